@@ -32,11 +32,10 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def _shingles(words: Column) -> Column:
     at = F.sequence(F.lit(0), F.size(words) - SHINGLE)
-    return (
-        F.when(F.size(words) >= SHINGLE, F.transform(at, lambda i: F.xxhash64(*[words[i + k] for k in range(SHINGLE)])))
-        .when(F.size(words) > 0, F.array(F.aggregate(words, F.lit(42).cast("long"), lambda acc, h: F.xxhash64(acc, h))))
-        .otherwise(F.array().cast("array<long>"))
-    )
+    out = F.when(F.size(words) >= SHINGLE, F.transform(at, lambda i: F.xxhash64(*[words[i + k] for k in range(SHINGLE)])))
+    for n in range(1, SHINGLE):
+        out = out.when(F.size(words) == n, F.array(F.xxhash64(*[words[k] for k in range(n)])))
+    return out.otherwise(F.array().cast("array<long>"))
 
 
 def sketch(text: Column) -> Column:
