@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from korpusgraf.plans import rollup_queries
+
+PARTS = (rollup_queries,)
+QUERIES: dict = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+SQL: dict[str, str] = {k: v for part in PARTS for k, v in part.SQL.items()}
