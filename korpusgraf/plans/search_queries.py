@@ -117,6 +117,18 @@ WHERE hits > 0 ORDER BY hits DESC, chunk_id LIMIT 10"""),
     "cosine_top_k": f"WITH {UNIT} SELECT b.id, round(1 - {COS}, 4) AS distance FROM n a, n b WHERE a.id = 7 ORDER BY distance, b.id LIMIT 20",
     "nearest_join": f"WITH {UNIT}, s AS (SELECT a.id AS query_id, b.id, round({COS}, 4) AS score FROM n a JOIN n b ON a.id % 50 = 0 AND a.id <> b.id) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 5",
     "document_links": f"WITH {UNIT}, s AS (SELECT a.id AS query_id, b.id, round({COS}, 4) AS score FROM n a JOIN n b ON a.source <> b.source), r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5) SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, max(score) AS score FROM r WHERE score >= 0.2 GROUP BY 1, 2",
+    "rank_fusion": with_relations("chunks", f"""{UNIT}, near AS (SELECT b.id, 1 - round(1 - {COS}, 4) AS score FROM n a, n b WHERE a.id = 7 ORDER BY round(1 - {COS}, 4), b.id LIMIT 40),
+t AS (SELECT chunk_id AS id, round(((length(l) - length(replace(l, 'the', ''))) / 3 + (length(l) - length(replace(l, 'tion', ''))) / 4) / (1 + ln(length(l) + 1)), 4) AS score
+  FROM (SELECT chunk_id, translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM chunks)),
+r AS (SELECT id, 1 / (19 + row_number() OVER (ORDER BY score DESC, id DESC)) AS s FROM (SELECT * FROM t WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 40) UNION ALL SELECT id, 1 / (19 + row_number() OVER (ORDER BY score DESC, id DESC)) FROM near)
+SELECT id, round(sum(s), 6) AS score FROM r GROUP BY id ORDER BY score DESC, id DESC LIMIT 20"""),
+    "hybrid_search": with_relations("chunks", f"""{UNIT}, near AS (SELECT b.id, 1 AS channel, round(1 - {COS}, 4) AS pos FROM n a, n b WHERE a.id = 7 ORDER BY pos, b.id LIMIT 10),
+u AS (SELECT chunk_id AS id, 0 AS channel, 0.0 AS pos FROM chunks WHERE contains(lower(content), 'license') UNION ALL SELECT * FROM near)
+SELECT * FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY channel, pos) = 1) ORDER BY channel, pos, id LIMIT 20"""),
+    "quota_rerank": f"""WITH {UNIT}, near AS (SELECT b.id, 'f' || b.id % 60 AS file, ['code', 'test', 'other'][b.id % 3 + 1] AS kind, round(1 - round(1 - {COS}, 4), 4) AS score FROM n a, n b WHERE a.id = 7 ORDER BY round(1 - {COS}, 4), b.id LIMIT 200),
+f AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, id) = 1), k AS (SELECT * FROM f QUALIFY kind = 'code' OR row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) <= 2)
+SELECT id, file, kind, score FROM k ORDER BY score DESC, id LIMIT 12""",
+    "external_targets": with_relations("entities", "SELECT id, CASE WHEN upper(substr(name, 1, 2)) || 'FX' LIKE 'MQ%' THEN 'messaging' END AS category FROM entities WHERE type IN ('nation', 'region')"),
     "resolve_unique_names": f"""WITH refs AS (SELECT {ORDER} + l_orderkey AS src_id, CASE WHEN l_linenumber % 2 = 0 THEN p_name || '#' || p_partkey ELSE p_name END AS dst_name FROM lineitem JOIN part ON l_partkey = p_partkey),
 held AS (SELECT upper(p_name) AS key, {PART} + p_partkey AS t FROM part UNION ALL SELECT upper(p_name || '#' || p_partkey), {PART} + p_partkey FROM part), one AS (SELECT key, min(t) AS t FROM held GROUP BY key HAVING count(DISTINCT t) = 1)
 SELECT src_id, CASE WHEN t IS NULL THEN 'unresolved' ELSE 'resolved' END AS resolution, count(*) AS edges, CAST(sum(t) AS BIGINT) AS sum_dst FROM refs LEFT JOIN one ON upper(dst_name) = key GROUP BY 1, 2""",
