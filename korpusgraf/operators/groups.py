@@ -15,33 +15,46 @@ def weighted(pairs: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
+def local_moves(edges: DataFrame, rounds: int) -> DataFrame:
     """node, community: from groups of one, each round lets the nodes whose hash is due move to the neighbouring group of greatest modularity gain,
     ties to the least name; nodes move half at a time, so that neighbours don't swap. Only sums for each node and group are shuffled, and no
     graph is gathered in one place."""
-    edges = stored(edges)
     degree = stored(edges.groupBy("a").agg(F.sum("w").alias("k")))
     total = degree.agg(F.sum("k")).first()[0]
     now = degree.select(F.col("a").alias("node"), F.col("a").alias("community"))
-    if not total:
-        return now
-    for turn in range(rounds):
+    still = 0
+    for turn in range(rounds if total else 0):
         sums = now.join(degree, now["node"] == degree["a"]).groupBy("community").agg(F.sum("k").alias("tot"))
-        to = edges.join(now.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w_in"))
+        to = edges.where("a <> b").join(now.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w_in"))
         own = now.select(F.col("node").alias("a"), F.col("community").alias("own"))
         options = to.join(own, "a").join(degree, "a").join(sums, "community")
         stay = own.select("a", F.col("own").alias("community"), F.lit(0.0).alias("w_in"), "own").join(degree, "a").join(sums, "community").select(options.columns)
         left = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
         gains = options.union(stay).groupBy("a", "community", "own").agg(F.max(F.round(F.col("w_in") - F.col("k") * left / total, 9)).alias("gain"))
-        w = Window.partitionBy("a").orderBy(F.desc("gain"), "community")
+        w = Window.partitionBy("a").orderBy(F.desc("gain"), F.col("community") != F.col("own"), "community")
         best = gains.withColumn("nr", F.row_number().over(w)).where("nr = 1").where(f"own <> community and pmod(xxhash64(a, {turn}), 2) = 0").select(F.col("a").alias("node"), F.col("community").alias("to"))
         best = stored(best)
-        if best.isEmpty() and turn % 2:
+        still = still + 1 if best.isEmpty() else 0
+        if still == 3:  # three draws of movers in turn found none that gains
             break
         now = stored(now.join(best, "node", "left").select("node", F.coalesce("to", "community").alias("community")))
     return now
 
 
+def communities(edges: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
+    """node, community: local moves, then the same on the graph of the groups found, until a level joins none."""
+    edges = stored(edges)
+    found, level = None, edges
+    for _ in range(levels):
+        step = local_moves(level, rounds)
+        found = step if found is None else stored(found.join(step.select(F.col("node").alias("community"), F.col("community").alias("up")), "community").select("node", F.col("up").alias("community")))
+        if step.where("node <> community").isEmpty():
+            break
+        g = lambda x, y: step.select(F.col("node").alias(x), F.col("community").alias(y))  # noqa: B023, E731
+        level = stored(level.join(g("a", "ca"), "a").join(g("b", "cb"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+    return found
+
+
 def modularity(edges: DataFrame, groups: DataFrame) -> float:
     total = edges.agg(F.sum("w")).first()[0]
     g = lambda x, y: groups.select(F.col("node").alias(x), F.col("community").alias(y))
