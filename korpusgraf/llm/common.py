@@ -45,6 +45,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sealed(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs with every column but the needed ones renamed by its place, so that no other column's name can clash."""
+    return docs.toDF(*_names(docs.columns, needed))
+
+
+def unsealed(df: DataFrame, columns: list[str], *needed: str) -> DataFrame:
+    """The columns of docs again, in their order and under their names."""
+    return df.select(*[F.col(x).alias(c) for x, c in zip(_names(columns, needed), columns)])
+
+
+def _names(columns: list[str], needed: tuple[str, ...]) -> list[str]:
+    return [c if c in needed and columns.index(c) == i else f"_col{i}" for i, c in enumerate(columns)]
+
+
 def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
     """How many buckets keep a bucket's rows in one task's memory; grows with the rows."""
     return max(64, -(-rows // per_bucket))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusgraf.llm.common import crc_of_id
+from korpusgraf.llm.common import crc_of_id, sealed, unsealed
 
 FEATURES = 1 << 14
 SAMPLE_ROWS = 3_000
@@ -181,6 +181,7 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def accepted(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows whose language is one of those learnt with a score of at least `least`."""
-    model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample_rows)
-    keep = with_language(docs, model).where((F.col("_guess.lang_pred") != NONE) & (F.col("_guess.score") >= least))
-    return keep.select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = sealed(docs, "doc_id", "text", "lang")
+    model = fit(held.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample_rows)
+    keep = with_language(held, model).where((F.col("_guess.lang_pred") != NONE) & (F.col("_guess.score") >= least))
+    return unsealed(keep, docs.columns, "doc_id", "text", "lang")

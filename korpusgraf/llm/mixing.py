@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusgraf.llm.common import SPACE, WORD, buckets_for, prefix_sums, stored
+from korpusgraf.llm.common import SPACE, WORD, buckets_for, prefix_sums, sealed, stored, unsealed
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -125,11 +125,11 @@ def resample(docs: DataFrame, shards: int = 16) -> DataFrame:
     """The mixed documents: a row for each copy that the mix takes; a copy cut at its source's target holds the words before the cut,
     joined by spaces. Documents without words are left out: the mix takes none of their words."""
     size, taken = "_size", F.aggregate(F.filter("pieces", lambda p: p["epoch"] == F.col("_epoch")), F.lit(0).cast("long"), lambda acc, p: acc + p["length"])
-    sized = docs.withColumn(size, n_words(F.col("text")))
+    sized = sealed(docs, "doc_id", "source", "text", "n_chars").withColumn(size, n_words(F.col("text")))
     copies = mix(sized, shards, size).withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))).where("epochs > 0").withColumn("_taken", taken)
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
     cut = F.when(F.col("_taken") == F.col(size), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_taken").cast("int")), " "))
     out = copies.withColumn("text", cut)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unsealed(out, docs.columns, "doc_id", "source", "text", "n_chars")

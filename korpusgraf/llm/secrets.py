@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusgraf.llm.common import stored
+from korpusgraf.llm.common import sealed, stored, unsealed
 
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -191,7 +191,7 @@ def redact(docs: DataFrame, level: float = LEVEL) -> DataFrame:
             out.append(redacted(t, spans) if spans else t)
         return pd.Series(out, dtype=object)
 
-    out = docs.withColumn("text", cleaned("text"))
+    out = sealed(docs, "text", "n_chars").withColumn("text", cleaned("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unsealed(out, docs.columns, "text", "n_chars")

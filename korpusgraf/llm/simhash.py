@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusgraf.llm.common import stored
+from korpusgraf.llm.common import sealed, stored, unsealed
 from korpusgraf.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -152,8 +152,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, one document of each group: that with the smallest doc_id."""
-    _, classes = groups(docs, radius)
+    held = sealed(docs, "doc_id", "text")
+    _, classes = groups(held, radius)
     keep = classes.select(F.col("component_id").alias("_id"), F.col("keeper_fp").alias("_keep")).distinct()
-    marked = docs.withColumn("_fp", fingerprint_of("text"))
+    marked = held.withColumn("_fp", fingerprint_of("text"))
     kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["_id"]) & (marked["_fp"] == keep["_keep"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unsealed(kept.dropDuplicates(["doc_id", "_fp"]), docs.columns, "doc_id", "text")

@@ -85,8 +85,8 @@ def _place(ends: list[int], x: Column) -> tuple[Column, Column]:
     literal = lambda xs: F.array(*[F.lit(e).cast("long") for e in xs])
     rows = F.array(*[literal(ends[i : i + step]) for i in range(0, len(ends), step)])
     group = F.size(F.filter(literal(ends[::step]), lambda e: e >= x)) - 1
-    inside = F.size(F.filter(rows[group], lambda e: e >= x))
-    return group * step + inside - 1, F.array_contains(rows[group], x)
+    row = F.get(rows, group)
+    return group * step + F.size(F.filter(row, lambda e: e >= x)) - 1, F.array_contains(row, x)
 
 
 def with_next(docs: DataFrame, id_col: str, cols: list[str], parts: int | None = None) -> DataFrame:
