@@ -17,9 +17,9 @@ def delta(old: DataFrame, new: DataFrame) -> DataFrame:
 def orphans(stored: DataFrame, seen: DataFrame, most_share: float = 0.5) -> DataFrame:
     """Rows of stored whose path a complete crawl didn't see; none if the crawl is empty or over `most_share` of the rows would go."""
     gone = stored.join(seen.select("path").distinct(), "path", "left_anti")
-    n = stored.agg(F.count("*").alias("n")).crossJoin(gone.agg(F.count("*").alias("gone"))).crossJoin(seen.agg(F.count("*").alias("seen")))
-    ok = n.where(f"seen > 0 and gone <= {most_share} * n").select(F.lit(True).alias("ok"))
-    return gone.join(F.broadcast(ok), F.lit(True), "left_semi")
+    if seen.isEmpty() or gone.count() > most_share * stored.count():
+        return stored.limit(0)
+    return gone
 
 
 def reindexed(old: DataFrame, new: DataFrame, links: DataFrame) -> DataFrame:

@@ -48,8 +48,6 @@ def escalated(links: DataFrame, votes: DataFrame, least: int = 2) -> DataFrame:
 
 def run_selection(entities: DataFrame, dirty: DataFrame, bootstrap: bool) -> DataFrame:
     """Entities to link again: all at a bootstrap or when any chunk is dirty, else the dirty ones. dirty: kind, id."""
-    chunks = dirty.where("kind = 'chunk'").limit(1).select(F.lit(True).alias("any"))
-    own = dirty.where("kind = 'entity'").select("id").distinct()
-    if bootstrap:
+    if bootstrap or not dirty.where("kind = 'chunk'").isEmpty():
         return entities
-    return entities.join(own, "id", "left_semi").union(entities.join(own, "id", "left_anti").join(F.broadcast(chunks), F.lit(True), "left_semi"))
+    return entities.join(dirty.where("kind = 'entity'").select("id").distinct(), "id", "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korpusgraf.operators.lineage import stored
+
 #: Families of edge types.
 CONTROL = ["PERFORM", "CALL", "GOTO", "CALLS", "EXPOSES", "DISPATCHES_TO", "EXECUTES"]
 INCLUDE = ["COPY", "INCLUDES", "IMPORTS", "IMPORTS_MODULE", "EXTENDS", "IMPLEMENTS", "INJECTS"]
@@ -51,8 +53,8 @@ def degrees(pairs: DataFrame) -> DataFrame:
 def backbone(pairs: DataFrame, k: int = 3, always: int = 1000) -> DataFrame:
     """The k strongest pairs of every file and of every edge type, with both ends' degrees and the number of all pairs; all pairs
     if there are no more than `always`. Ties end at the file names, so results are the same in every run."""
-    degree = degrees(pairs)
-    total = pairs.agg(F.count("*").alias("total_pairs"))
+    pairs = stored(pairs)
+    degree, total = degrees(pairs), pairs.count()
     held = pairs.join(degree.select(F.col("file").alias("src_file"), F.col("degree").alias("src_degree")), "src_file")
     held = held.join(degree.select(F.col("file").alias("dst_file"), F.col("degree").alias("dst_degree")), "dst_file")
     ends = held.select("*", F.explode(F.array(F.struct(F.col("src_file").alias("node"), F.col("dst_degree").alias("other")), F.struct(F.col("dst_file").alias("node"), F.col("src_degree").alias("other")))).alias("e"))
@@ -60,8 +62,9 @@ def backbone(pairs: DataFrame, k: int = 3, always: int = 1000) -> DataFrame:
     by_type = Window.partitionBy("one_type").orderBy(F.desc("priority"), F.desc("edge_count"), "src_file", "dst_file")
     strong = ends.withColumn("nr", F.row_number().over(by_node)).where(F.col("nr") <= k).select("src_file", "dst_file")
     typed = held.select("*", F.explode("edge_types").alias("one_type")).withColumn("nr", F.row_number().over(by_type)).where(F.col("nr") <= k).select("src_file", "dst_file")
-    chosen = strong.union(typed).distinct().withColumn("chosen", F.lit(True))
-    return held.join(chosen, ["src_file", "dst_file"], "left").crossJoin(F.broadcast(total)).where(F.col("chosen") | (F.col("total_pairs") <= always)).drop("chosen")
+    chosen = strong.union(typed).distinct()
+    met = held.withColumn("total_pairs", F.lit(total).cast("long"))
+    return met if total <= always else met.join(chosen, ["src_file", "dst_file"], "left_semi")
 
 
 def capped(pairs: DataFrame, limit: int) -> DataFrame:

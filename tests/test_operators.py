@@ -163,3 +163,40 @@ def test_structure_of_small_files(spark):
     dds = spark.createDataFrame([("j", "S1", "IN", "A"), ("j", "S2", "IN", "A"), ("j", "S1", "OUT", "B"), ("j", "S2", "OUT", "C")], "path string, step string, dd string, dataset string")
     fds = spark.createDataFrame([("P", "F1", "IN"), ("P", "F2", "OUT")], "program string, file string, dd string")
     assert ids(structure.dataset_assignments(steps, dds, fds)) == {("P", "F1", "A")}
+
+
+def test_one_implementation_within_three_levels(spark):
+    from korpusgraf.operators import change
+
+    calls = spark.createDataFrame([(1, "I", "run", 0), (2, "I", "stop", 1)], "call_id long, type string, name string, arity int")
+    methods = spark.createDataFrame([(10, "C", "run", 0), (11, "B", "stop", 1), (12, "C", "stop", 1), (13, "C", "run", 2)], "id long, type string, name string, arity int")
+    realises = spark.createDataFrame([("B", "I"), ("C", "B"), ("I", "C")], "sub string, super string")  # with a cycle
+    assert ids(change.implementations(calls, methods, realises)) == {(1, 10)}
+
+
+def test_chunks_one_step_away(spark):
+    from korpusgraf.operators import change
+
+    entities = spark.createDataFrame([(1, "f", 1, 9), (2, "g", 1, 5), (3, "g", 6, 9)], "id long, file_path string, start_line int, end_line int")
+    chunks = spark.createDataFrame([(1, "f", 1, 3, 10), (2, "g", 1, 5, 10), (3, "g", 5, 9, 10)], "chunk_id long, file_path string, start_line int, end_line int, size int")
+    edges = spark.createDataFrame([("a", 1, 2, "n", "CALL", "resolved", 1), ("b", 1, 3, "n", "CALL", "unresolved", 1)], EDGE)
+    assert ids(change.expanded_chunks(chunks.where("chunk_id = 1").drop("size"), chunks, entities, edges)) == {(1, 2), (1, 3)}
+    assert ids(change.expanded_chunks(chunks.where("chunk_id = 1").drop("size"), chunks, entities, edges, budget=10)) == {(1, 2)}
+
+
+def test_fingerprints_follow_dependencies_and_end_in_cycles(spark):
+    from korpusgraf.operators import change
+
+    deps = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "path string, needs string")
+    made = lambda c: {r["path"]: r["fingerprint"] for r in change.dependency_fingerprints(spark.createDataFrame([("a", "1"), ("b", "2"), ("c", c), ("x", "4"), ("y", "5")], "path string, hash string"), deps, 3).collect()}
+    one, two = made("3"), made("9")
+    assert {p for p in one if one[p] != two[p]} == {"a", "b", "c"}
+
+
+def test_findings_go_out_of_date_through_citations(spark):
+    from korpusgraf.operators import change
+
+    findings = spark.createDataFrame([(1, "verified", ["f"]), (2, "verified", ["g"]), (3, "verified", ["g"]), (4, "draft", ["f"])], "id long, state string, files array<string>")
+    cites = spark.createDataFrame([(2, 1), (3, 4), (1, 2)], "id long, other long")
+    got = change.outdated(findings, spark.createDataFrame([("f",)], "path string"), cites)
+    assert ids(got) == {(1, "outdated"), (2, "outdated"), (3, "verified"), (4, "draft")}
