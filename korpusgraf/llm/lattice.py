@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from korpusgraf.llm.common import crc_of_id, stored
 
-HOT, HOT_BYTES = 1 << 17, 64
+HOT, HOT_BYTES = 1 << 18, 64
+BASE, SPREAD, BITS, MASK = 0x100000001B3, 0x9E3779B97F4A7C15, 18, (1 << 64) - 1
 FLUSH = 200_000
 SMOOTH = 0.1
 MARK = "▁"
@@ -69,6 +70,66 @@ class Lattice:
         self.pieces = {sp.id_to_piece(i): log(counts.get(i, 0)) for i in usable if not sp.is_byte(i)}
         self.longest = max(map(len, self.pieces))
         self.end = log(ends)
+        self._index()
+
+    def _index(self) -> None:
+        """Open-addressed table from the hashes of pieces to their scores, for lookups of whole arrays."""
+        self.power = np.array([pow(BASE, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
+        self.keys, self.values, self.probes = np.zeros(1 << BITS, np.uint64), np.full(1 << BITS, -np.inf), 1
+        for piece, score in self.pieces.items():
+            key = 0
+            for c in piece:
+                key = (key * BASE + ord(c) + 1) & MASK
+            slot, tries = ((key * SPREAD) & MASK) >> (64 - BITS), 1
+            while self.keys[slot]:
+                slot, tries = (slot + 1) & ((1 << BITS) - 1), tries + 1
+            self.keys[slot], self.values[slot] = key, score
+            self.probes = max(self.probes, tries)
+
+    def _scores(self, keys: np.ndarray) -> np.ndarray:
+        """Piece scores of hashed substrings, -inf where there is no such piece."""
+        slot = ((keys * np.uint64(SPREAD)) >> np.uint64(64 - BITS)).astype(np.int64)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], -np.inf)
+        rest = np.flatnonzero((found != keys) & (found != 0))
+        for _ in range(self.probes - 1):
+            if not rest.size:
+                break
+            slot[rest] = (slot[rest] + 1) & ((1 << BITS) - 1)
+            found = self.keys[slot[rest]]
+            hit = found == keys[rest]
+            out[rest[hit]] = self.values[slot[rest[hit]]]
+            rest = rest[~hit & (found != 0)]
+        return out
+
+    def _of_length(self, words: list[str], n: int) -> np.ndarray:
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).T
+        points = np.vstack([np.full((1, len(words)), ord(MARK), np.uint32), points])
+        prefix = [np.zeros(len(words), np.uint64)]
+        for row in points:
+            prefix.append(prefix[-1] * np.uint64(BASE) + row.astype(np.uint64) + np.uint64(1))
+        forward = [np.zeros(len(words))]
+        for j in range(1, n + 2):
+            first = max(0, j - self.longest)
+            terms = np.stack([forward[i] + self._scores(prefix[j] - prefix[i] * self.power[j - i]) for i in range(first, j)])
+            if (bare := np.isneginf(self._scores(points[j - 1].astype(np.uint64) + np.uint64(1)))).any():
+                for c in np.unique(points[j - 1][bare]).tolist():
+                    at = points[j - 1] == c
+                    terms[-1, at] = forward[j - 1][at] + sum(self.bytes[b] for b in chr(c).encode())
+            top = terms.max(axis=0)
+            forward.append(top + np.log(np.exp(terms - top).sum(axis=0)))
+        return forward[-1] / math.log(10)
+
+    def log10_all(self, words: list[str], longest: int = 48, batch: int = 4096) -> np.ndarray:
+        """log10() of each word; words of equal length go through the recursion together."""
+        size = np.array([len(w) for w in words], np.int64)
+        out = np.zeros(len(words))
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            for k in range(0, len(at), batch):
+                part = at[k : k + batch]
+                out[part] = self._of_length([words[i] for i in part], n) if 0 < n <= longest else [self.log10(words[i]) for i in part]
+        return out
 
     def log10(self, word: str) -> float:
         """log10 of the sum over all segmentations of the marked word."""
@@ -148,7 +209,7 @@ def score(docs: DataFrame, vocabulary: str | None = None, hot: int = HOT) -> Dat
 
     @F.pandas_udf("double")
     def marginal(words: pd.Series) -> pd.Series:
-        return pd.Series([lattice.value.log10(w) for w in words], dtype=float)
+        return pd.Series(lattice.value.log10_all(words.tolist()))
 
     scored = stored(counts.select("word", "n", "c", marginal("word").alias("lm")))
     frequent = scored.where((F.col("n") >= F.lit(max(1, -(-sums["n"] // hot)))) & (F.octet_length("word") <= HOT_BYTES)).select("word", "c", "lm")

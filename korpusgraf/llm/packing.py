@@ -11,9 +11,11 @@ whole. Empty table: no rows. Further columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as packed
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from korpusgraf.llm.common import buckets_for, prefix_sums, stored
 
 CAPACITY, END = 4096, 1
-CACHE = 150_000
+CACHE = 400_000
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -33,26 +37,51 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: printable ones as themselves, the others as letters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(rest)) for b in range(256)}
+
+
 class Encoder:
-    """Ids of whole texts, little-endian. The tokenizer never joins across ASCII white space, so each distinct run between it is
-    encoded once and kept; the kept runs are bounded."""
+    """Ids of whole texts, little-endian. The tokenizer drops white space, lower-cases and never joins a letter to a mark after it, so
+    each distinct run of the lower-cased text is encoded once, its closing marks apart, and kept. Plain lower-case words are one
+    pre-token and go to the merges at once. Of kept runs there are two generations of at most CACHE each: a full one becomes the old one,
+    and old runs that are met again move to the new."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merges = self.tokenizer.model
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def run(self, w: bytes) -> bytes:
+        """The ids of a lower-cased run, kept."""
+        if (ids := self.known.get(w) or self.old.get(w)) is None:
+            core = w.rstrip(MARKS)
+            if core and core != w and 97 <= core[-1] <= 122:
+                ids = self.run(core) + self.run(w[len(core) :])
+            elif PLAIN.fullmatch(text := w.decode()):
+                found = [t.id for t in self.merges.tokenize(w.decode("latin-1").translate(self.letters))]
+                ids = packed(f"<{len(found)}I", *found)
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+                ids = packed(f"<{len(found)}I", *found)
+        self.known[w] = ids
+        return ids
 
     def ids(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
+        words = (text or "").encode().lower().split()
+        if len(self.known) > CACHE:
+            self.known, self.old = {}, self.known
         known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) > CACHE:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        for w in set(words).difference(known):
+            self.run(w)
         return b"".join([known[w] for w in words])
 
 

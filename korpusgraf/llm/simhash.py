@@ -103,7 +103,7 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     return nodes[moved], nodes[labels[moved]]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, block_rows: int = 16_384, most_blocks: int = 128) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, block_rows: int = 4_096, most_blocks: int = 128) -> DataFrame:
     """(src, dst) links whose components are those of all pairs of nodes.fp within the radius. A block holds about
     max(block_rows, rows / most_blocks) fingerprints of one population count."""
     spark = nodes.sparkSession

@@ -93,7 +93,7 @@ def sql_statements(files: DataFrame) -> DataFrame:
 
 def shell_facts(files: DataFrame) -> DataFrame:
     """path, line, type (function, sources, starts_java), name of shell scripts."""
-    shapes = [("function", r"^\s*(?:function +)?([A-Za-z_][A-Za-z0-9_]*) *\(\) *\{?"), ("sources", r"^\s*(?:\.|source) +([A-Za-z0-9_./-]+)"), ("starts_java", r"\bjava +(?:-[^ ]+ +)*([A-Za-z_][A-Za-z0-9_.]*)")]
+    shapes = [("function", r"^\s*(?:function +)?([A-Za-z_][A-Za-z0-9_]*) *\(\) *\{?"), ("sources", r"^\s*(?:\.|source) +([A-Za-z0-9_./-]+)"), ("starts_java", r"\bjava +(?:-(?:cp|classpath) +[^ ]+ +|-[^ ]+ +)*([A-Za-z_][A-Za-z0-9_.]*)")]
     found = F.filter(F.array(*[F.struct(F.lit(t).alias("type"), part(p).alias("name")) for t, p in shapes]), lambda x: x["name"].isNotNull())
     return lines(files).where(~F.col("text").rlike(r"^\s*#")).select("path", "line", F.explode(found).alias("f")).select("path", "line", "f.type", "f.name")
 
