@@ -15,6 +15,7 @@ none. Empty table: no rows. Further columns of docs are not read.
 from __future__ import annotations
 
 from itertools import accumulate
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -103,23 +104,26 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     return nodes[moved], nodes[labels[moved]]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, block_rows: int = 4_096, most_blocks: int = 128) -> DataFrame:
-    """(src, dst) links whose components are those of all pairs of nodes.fp within the radius. A block holds about
-    max(block_rows, rows / most_blocks) fingerprints of one population count."""
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = 32, least_rows: int = 256, most_rows: int = 1 << 20, most_blocks: int = 1_024) -> DataFrame:
+    """(src, dst) links whose components are those of all pairs of nodes.fp within the radius. Fingerprints of one population count
+    are dealt into blocks. How often a fingerprint is sent follows the number of blocks, so that number follows the cluster's
+    partitions and not the rows, until a block would hold over most_rows."""
     spark = nodes.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ones = nodes.select("fp", F.bit_count("fp").alias("ones"))
     held = {r["ones"]: r["n"] for r in ones.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    size = max(block_rows, sum(held.values()) // most_blocks)
+    total = sum(held.values())
+    size = max(least_rows, min(most_rows, -(-total // max(blocks, isqrt(4 * partitions)))), -(-total // most_blocks))
     parts = {c: -(-n // size) for c, n in held.items()}
-    blocks = sorted((c, k) for c, n in parts.items() for k in range(n))
-    pairs = [(x, y) for i, x in enumerate(blocks) for y in blocks[i:] if y[0] - x[0] <= radius]
+    held_blocks = sorted((c, k) for c, n in parts.items() for k in range(n))
+    pairs = [(x, y) for i, x in enumerate(held_blocks) for y in held_blocks[i:] if y[0] - x[0] <= radius]
     meets = [(*b, n, s) for n, (x, y) in enumerate(pairs) for b, s in (((x, 0),) if x == y else ((x, 0), (y, 1)))]
     if not meets:
         return spark.createDataFrame([], "src long, dst long")
     split = F.create_map(*[F.lit(int(v)) for kv in parts.items() for v in kv])
     plan = spark.createDataFrame(meets, "ones int, part int, pair int, side int")  # at most (most_blocks + 65) squared rows
     dealt = ones.withColumn("part", F.pmod(F.xxhash64("fp"), split[F.col("ones")]).cast("int")).join(F.broadcast(plan), ["ones", "part"])
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(pairs), 4096) // 2)
+    tasks = max(partitions, min(len(pairs), 4096) // 2)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         fps, side = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["side"].to_numpy()
