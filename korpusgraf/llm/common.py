@@ -45,6 +45,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(docs: DataFrame, rows: int = 1_000) -> None:
+    """Bounds what a Python worker holds of whole texts: at most `rows` rows an Arrow batch (the session's setting, lowered only)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(key)) <= rows:
+        docs.sparkSession.conf.set(key, str(rows))
+
+
 def sealed(docs: DataFrame, *needed: str) -> DataFrame:
     """docs with every column but the needed ones renamed by its place, so that no other column's name can clash."""
     return docs.toDF(*_names(docs.columns, needed))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusgraf.llm.common import crc_of_id, sealed, unsealed
+from korpusgraf.llm.common import crc_of_id, sealed, small_batches, unsealed
 
 FEATURES = 1 << 14
 SAMPLE_ROWS = 3_000
@@ -102,6 +102,7 @@ def calibrated(z: np.ndarray, y: np.ndarray) -> float:
 
 def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """train: text and lang of the rows to learn from (doc_id only spreads the sample)."""
+    small_batches(train)
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not rows:
@@ -127,8 +128,8 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            c = [counts(t) for t in pdf["text"]]
-            yield pd.DataFrame({"lang": pdf["lang"], "key": pdf["key"], "i": [np.flatnonzero(x).astype(np.int32) for x in c], "n": [x[x > 0].astype(np.int32) for x in c]})
+            c = [(i, x[i]) for x in map(counts, pdf["text"]) for i in [np.flatnonzero(x)]]  # one text's full counts at a time
+            yield pd.DataFrame({"lang": pdf["lang"], "key": pdf["key"], "i": [i.astype(np.int32) for i, _ in c], "n": [n.astype(np.int32) for _, n in c]})
 
     got = chosen.mapInPandas(sparse, "lang string, key long, i array<int>, n array<int>").toPandas()
     if got.empty:

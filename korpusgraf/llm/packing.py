@@ -22,10 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusgraf.llm.common import buckets_for, prefix_sums, stored
+from korpusgraf.llm.common import buckets_for, prefix_sums, small_batches, stored
 
 CAPACITY, END = 4096, 1
-CACHE = 400_000
+CACHE = 1 << 17
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -92,6 +92,7 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each row."""
+    small_batches(docs)
     path = tokenizer or default_tokenizer()
     end = np.array([END], "<u4").tobytes()
 

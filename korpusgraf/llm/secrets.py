@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusgraf.llm.common import sealed, stored, unsealed
+from korpusgraf.llm.common import sealed, small_batches, stored, unsealed
 
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -139,6 +139,7 @@ def cuts(cells: DataFrame, level: float = LEVEL) -> dict[int, int]:
 
 def find(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     """doc_id and spans array<struct<start, kind, end>> (kind by place in KINDS) of each row."""
+    small_batches(docs)
     seen = stored(docs.select("doc_id", F.pandas_udf(_found, FOUND)("text").alias("f")).select("doc_id", "f.base", "f.more"))
     cut = cuts(seen.select(F.explode("more").alias("m")).select("m.stratum", "m.cell"), level)
     return seen.select("doc_id", "base", _kept("base", "more", cut).alias("spans"))
@@ -175,6 +176,8 @@ def redact(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     """docs with every span of its texts replaced by a mark and n_chars counted anew; no row goes, texts without spans stay as they
     are. Two passes: the first counts the p-values, the second finds the spans again and applies the strata's cuts, so that
     no text is shuffled."""
+    small_batches(docs)
+
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [c[2:] for t in pdf["text"] for c in candidates(t or "", base_spans(t or ""))]

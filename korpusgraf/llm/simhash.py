@@ -14,7 +14,6 @@ none. Empty table: no rows. Further columns of docs are not read.
 
 from __future__ import annotations
 
-from itertools import accumulate
 from math import isqrt
 
 import numpy as np
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusgraf.llm.common import sealed, stored, unsealed
+from korpusgraf.llm.common import sealed, small_batches, stored, unsealed
 from korpusgraf.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -37,13 +36,14 @@ def fingerprint(text: str | None) -> int:
     if not words:
         return 0
     whole = b" ".join(words)
-    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    starts = np.cumsum(np.fromiter((0, *map(len, words)), np.int64, len(words) + 1) + 1) - 1
     k = min(SHINGLE, len(words))
     n = len(words) - k + 1
+    del words
     digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
         to = min(n, at + CHUNK)
-        hashes = b"".join([digest(whole[a : b - 1], SEED) for a, b in zip(starts[at:to], starts[at + k : to + k])])
+        hashes = b"".join([digest(whole[a : b - 1], SEED) for a, b in zip(starts[at:to].tolist(), starts[at + k : to + k].tolist())])
         ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
@@ -136,6 +136,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = 32, least_rows:
 def groups(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) for each row, and for each fingerprint (fp, component_id, keeper_fp): the group's smallest doc_id and the
     fingerprint of that document."""
+    small_batches(docs)
     fps = stored(docs.select(F.col("doc_id"), fingerprint_of("text").alias("fp")))
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = connected_components(links(nodes, radius))
