@@ -4,11 +4,16 @@ Files are (path, content). A file's lines meet in one task, so one file must fit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-IN_FILE = Window.partitionBy("path").orderBy("line")
-BEFORE = IN_FILE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def in_file() -> WindowSpec:
+    return Window.partitionBy("path").orderBy("line")
+
+
+def so_far() -> WindowSpec:
+    return in_file().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -23,13 +28,13 @@ def part(pattern: str, group: int = 1, text: str = "text") -> Column:
 
 def owner(col: str) -> Column:
     """The last value above, in the same file."""
-    return F.last(col, ignorenulls=True).over(BEFORE)
+    return F.last(col, ignorenulls=True).over(so_far())
 
 
 def ranged(heads: DataFrame, all_lines: DataFrame) -> DataFrame:
     """heads (path, line, ...) with end_line: the line before the next head, or the file's last."""
     last = all_lines.groupBy("path").agg(F.max("line").alias("_last"))
-    return heads.withColumn("_next", F.lead("line").over(IN_FILE)).join(last, "path").withColumn("end_line", F.coalesce(F.col("_next") - 1, F.col("_last"))).drop("_next", "_last")
+    return heads.withColumn("_next", F.lead("line").over(in_file())).join(last, "path").withColumn("end_line", F.coalesce(F.col("_next") - 1, F.col("_last"))).drop("_next", "_last")
 
 
 def jcl_entities(files: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def jcl_entities(files: DataFrame) -> DataFrame:
 
 
 def owner_when(condition: str) -> Column:
-    return F.last(F.when(F.expr(condition), F.col("name")), ignorenulls=True).over(BEFORE)
+    return F.last(F.when(F.expr(condition), F.col("name")), ignorenulls=True).over(so_far())
 
 
 def cobol_code(files: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def cobol_units(files: DataFrame) -> DataFrame:
     """path, line, end_line, type (division, section, paragraph), name; paragraphs only in the procedure division."""
     code = cobol_code(files)
     code = code.withColumn("division", part(r"^([A-Z]+) +DIVISION")).withColumn("section", part(r"^([A-Z0-9-]+) +SECTION *\."))
-    code = code.withColumn("inside", F.last("division", ignorenulls=True).over(BEFORE)).withColumn("paragraph", F.when((F.col("inside") == "PROCEDURE") & F.col("division").isNull(), part(r"^([A-Z0-9-]+) *\. *$")))
+    code = code.withColumn("inside", F.last("division", ignorenulls=True).over(so_far())).withColumn("paragraph", F.when((F.col("inside") == "PROCEDURE") & F.col("division").isNull(), part(r"^([A-Z0-9-]+) *\. *$")))
     heads = code.select("path", "line", F.when(F.col("division").isNotNull(), "division").when(F.col("section").isNotNull(), "section").when(F.col("paragraph").isNotNull(), "paragraph").alias("type"), F.coalesce("division", "section", "paragraph").alias("name"))
     return ranged(heads.where("type is not null"), lines(files))
 
@@ -65,7 +70,7 @@ def cobol_edges(files: DataFrame) -> DataFrame:
     """path, line, src (paragraph, or null above the first), type (PERFORM, CALL, GOTO, COPY), dst_name, resolution: calls by a data name are dynamic."""
     code = cobol_code(files)
     para = F.when(code["text"].rlike(r"^[A-Z0-9-]+ *\. *$"), part(r"^([A-Z0-9-]+) *\."))
-    code = code.withColumn("src", F.last(para, ignorenulls=True).over(BEFORE))
+    code = code.withColumn("src", F.last(para, ignorenulls=True).over(so_far()))
     shapes = [("PERFORM", r"\bPERFORM +([A-Z0-9]+(?:-[A-Z0-9]+)+|[A-Z0-9-]+)(?= *(?:\.|THRU|UNTIL|$))"), ("CALL", r"\bCALL +('[^']+'|\"[^\"]+\"|[A-Z0-9-]+)"), ("GOTO", r"\bGO +TO +([A-Z0-9-]+)"), ("COPY", r"\bCOPY +([A-Z0-9-]+)")]
     found = F.filter(F.array(*[F.struct(F.lit(t).alias("type"), part(p).alias("name")) for t, p in shapes]), lambda x: x["name"].isNotNull())
     hits = code.select("path", "line", "src", F.explode(found).alias("f"))

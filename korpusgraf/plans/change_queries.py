@@ -15,12 +15,12 @@ def ids(s, *xs):
 
 
 def statements(s, d, flags):
-    """Fields read or written by line items: a unit is an order, a field a part."""
-    return table(s, d, "lineitem").where(f"l_returnflag in ({flags}) and l_partkey < 150").selectExpr("l_orderkey % 40 as unit", "l_orderkey % 60 * 3 + l_linenumber as line", "l_partkey as field").distinct()
+    """Fields read or written by line items: a unit is an order, a field a part, a line its place in the order."""
+    return table(s, d, "lineitem").where(f"l_returnflag in ({flags})").selectExpr("l_orderkey as unit", "l_linenumber as line", "l_partkey as field").distinct()
 
 
 def jumps(s, d):
-    return table(s, d, "lineitem").where("l_linenumber = 1").selectExpr("l_suppkey as unit", "l_partkey % 9 as src", "cast(l_quantity as int) % 3 as line", "l_orderkey % 9 as dst").distinct()
+    return table(s, d, "lineitem").selectExpr("l_suppkey as unit", "l_partkey % 9 as src", "cast(l_quantity as int) % 3 as line", "l_orderkey % 9 as dst").distinct()
 
 
 def problems(s, d):
@@ -78,7 +78,7 @@ QUERIES = {
 }
 REF = f"""own AS (SELECT * FROM entities WHERE id IN ({PART + 17}, {PART + 5})), refs AS (SELECT src_id, line FROM edges WHERE dst_id IN (SELECT id FROM own) UNION ALL SELECT src_id, line FROM edges WHERE resolution = 'unresolved' AND lower(dst_name) IN (SELECT lower(name) FROM own)),
 u AS (SELECT DISTINCT file_path, line FROM refs JOIN entities ON id = src_id WHERE file_path NOT IN (SELECT file_path FROM own))"""
-STAT = "SELECT DISTINCT l_orderkey % 40 AS unit, l_orderkey % 60 * 3 + l_linenumber AS line, l_partkey AS field FROM lineitem WHERE l_partkey < 150 AND l_returnflag = "
+STAT = "SELECT DISTINCT l_orderkey AS unit, l_linenumber AS line, l_partkey AS field FROM lineitem WHERE l_returnflag = "
 PROBLEMS = "p AS (SELECT event_id, 'f' || user_id AS path, CASE event_id % 4 WHEN 0 THEN 'timeout after ' || event_id % 5 || ' s' WHEN 1 THEN 'bad code ' || event_id % 3 WHEN 2 THEN 'size limit' ELSE 'unknown' END AS message, CASE event_id % 3 WHEN 0 THEN 'partial' WHEN 1 THEN 'fallback' ELSE 'complete' END AS status FROM events)"
 TREE = "tree AS (SELECT id, parent_id, name FROM entities WHERE type IN ('region', 'nation', 'supplier')), paths AS (SELECT id, name AS path FROM tree WHERE parent_id IS NULL UNION ALL SELECT tree.id, path || '/' || name FROM tree JOIN paths ON parent_id = paths.id)"
 DOCS = "d AS (SELECT doc_id, lang, source, source || '/' || doc_id % 40 AS file_path, doc_id % 7 AS project_id FROM documents)"
@@ -89,7 +89,7 @@ SQL = {
     "includes": with_relations("edges", "i AS (SELECT DISTINCT src_id, dst_name, line, type, resolution FROM edges WHERE type IN ('COPY', 'IMPORTS')) SELECT src_id, count(*) FILTER (resolution = 'resolved') AS resolved, count(*) FILTER (resolution <> 'resolved' AND dst_name LIKE 'a%') AS external, count(*) FILTER (resolution <> 'resolved' AND dst_name NOT LIKE 'a%') AS unresolved FROM i GROUP BY 1"),
     "data_origin": f"""WITH w AS ({STAT}'R'), r AS ({STAT}'A'), step AS (SELECT DISTINCT w.field AS a, r.field AS b FROM w JOIN r ON w.unit = r.unit AND r.line BETWEEN w.line AND w.line + 2 AND w.field <> r.field),
 one AS (SELECT a AS field, b AS origin FROM step WHERE a IN (1, 2)), two AS (SELECT DISTINCT field, b AS origin FROM one JOIN step ON a = origin WHERE b <> field AND (field, b) NOT IN (SELECT * FROM one)) SELECT field, origin, 1 AS hop FROM one UNION ALL SELECT field, origin, 2 FROM two""",
-    "branches_and_cycles": """WITH RECURSIVE j AS (SELECT DISTINCT l_suppkey AS unit, l_partkey % 9 AS src, CAST(l_quantity AS INT) % 3 AS line, l_orderkey % 9 AS dst FROM lineitem WHERE l_linenumber = 1),
+    "branches_and_cycles": """WITH RECURSIVE j AS (SELECT DISTINCT l_suppkey AS unit, l_partkey % 9 AS src, CAST(l_quantity AS INT) % 3 AS line, l_orderkey % 9 AS dst FROM lineitem),
 walk AS (SELECT unit, src AS a, dst AS b FROM j UNION SELECT w.unit, a, dst FROM walk w JOIN j ON j.unit = w.unit AND src = b), n AS (SELECT unit, src, line, count(DISTINCT dst) AS n FROM j GROUP BY ALL)
 SELECT j.*, n >= 2 AS is_branch, src = dst OR EXISTS (SELECT 1 FROM walk WHERE walk.unit = j.unit AND a = dst AND b = src) AS is_cycle FROM j JOIN n USING (unit, src, line)""",
     "group_paths": with_relations("entities", f"{TREE} SELECT * FROM paths"),

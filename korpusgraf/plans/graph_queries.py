@@ -28,7 +28,7 @@ QUERIES = {
     "reach_both": lambda s, d: graph.reach(edges(s, d), start(s), 3),
     "reach_in_writes": lambda s, d: graph.reach(writes(s, d), s.createDataFrame([(PART + 7,)], "id long"), 1, "in"),
     "focus_subgraph": lambda s, d: graph.focus(edges(s, d), entities(s, d), start(s), ["CALL", "COPY"], 2, None),
-    "ancestors": lambda s, d: graph.with_ancestors(entities(s, d).where("type = 'order' and id % 10 = 0"), entities(s, d)),
+    "ancestors": lambda s, d: graph.with_ancestors(entities(s, d).where("type = 'order'"), entities(s, d)),
     "shortest_paths": lambda s, d: graph.shortest_paths(edges(s, d).union(edges(s, d).selectExpr("concat('r', edge_id)", "dst_id", "src_id", "dst_name", "type", "resolution", "line")).where("src_id is not null"), start(s), 2).select("id", "hop", F.array_join("path", ">").alias("path")),
     "call_flow": lambda s, d: graph.call_flow(edges(s, d), entities(s, d).where("type = 'order'").select("id"), 1, 3),
     "impact": lambda s, d: graph.impact(edges(s, d), entities(s, d), s.createDataFrame([(PART + 1,), (PART + 17,)], "id long")),
@@ -52,7 +52,7 @@ SQL = {
     "focus_subgraph": with_relations("edges entities", f"""typed AS (SELECT * FROM edges WHERE type IN ('CALL', 'COPY') AND dst_id IS NOT NULL), step AS (SELECT src_id AS a, dst_id AS b FROM typed UNION SELECT dst_id, src_id FROM typed), {WALK} 2),
 nodes AS (SELECT DISTINCT id FROM walk), up AS (SELECT id FROM nodes UNION SELECT parent_id FROM up JOIN entities USING (id) WHERE parent_id IS NOT NULL)
 SELECT DISTINCT src_id, dst_id, type FROM typed WHERE src_id IN (SELECT id FROM nodes) AND dst_id IN (SELECT id FROM nodes) UNION ALL SELECT parent_id, id, 'CONTAINS' FROM entities WHERE parent_id IN (SELECT id FROM up) AND id IN (SELECT id FROM up)"""),
-    "ancestors": with_relations("entities", "up AS (SELECT id FROM entities WHERE type = 'order' AND id % 10 = 0 UNION SELECT parent_id FROM up JOIN entities USING (id) WHERE parent_id IS NOT NULL) SELECT id FROM up"),
+    "ancestors": with_relations("entities", "up AS (SELECT id FROM entities WHERE type = 'order' UNION SELECT parent_id FROM up JOIN entities USING (id) WHERE parent_id IS NOT NULL) SELECT id FROM up"),
     "shortest_paths": with_relations("edges", f"""both_ AS (SELECT edge_id, src_id, dst_id FROM edges WHERE dst_id IS NOT NULL UNION ALL SELECT 'r' || edge_id, dst_id, src_id FROM edges WHERE dst_id IS NOT NULL), step AS (SELECT src_id, dst_id, min(edge_id) AS e FROM both_ GROUP BY ALL),
 one AS (SELECT dst_id AS id, e AS path FROM step WHERE src_id = {START}), two AS (SELECT step.dst_id AS id, arg_min(path || '>' || e, e) AS path FROM one JOIN step ON src_id = one.id WHERE step.dst_id <> {START} AND step.dst_id NOT IN (SELECT id FROM one) GROUP BY 1)
 SELECT CAST({START} AS BIGINT) AS id, 0 AS hop, '' AS path UNION ALL SELECT id, 1, path FROM one UNION ALL SELECT id, 2, path FROM two"""),

@@ -60,19 +60,19 @@ def due_sources(s, d):
 
 
 def votes(s, d):
-    return table(s, d, "events").select((F.col("event_id") % 300 * 10).alias("link_id"), F.col("user_id").alias("session_id"), (F.col("event_id") % 4 == 0).alias("revoked")).where("session_id % 5 = 0")
+    return table(s, d, "events").select((F.col("event_id") % 300 * 10).alias("link_id"), F.col("user_id").alias("session_id"), (F.col("event_id") % 4 == 0).alias("revoked"))
 
 
 def bindings(s, d):
-    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_custkey") % 40).alias("source_id"), F.col("o_orderstatus").alias("version"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_custkey")).alias("source_id"), F.col("o_orderstatus").alias("version"))
 
 
 def sources(s, d):
-    return table(s, d, "supplier").where("s_suppkey < 30").select(F.col("s_suppkey").alias("source_id"), F.when(F.col("s_suppkey") % 2 == 0, "F").otherwise("O").alias("version"), (F.col("s_suppkey") % 7 != 0).alias("indexed"))
+    return table(s, d, "supplier").select(F.col("s_suppkey").alias("source_id"), F.when(F.col("s_suppkey") % 2 == 0, "F").otherwise("O").alias("version"), (F.col("s_suppkey") % 7 != 0).alias("indexed"))
 
 
 def deps(s, d):
-    return table(s, d, "part").select(F.col("p_partkey").alias("path"), F.explode(F.array((F.col("p_partkey") * 3 + 1) % 100, (F.col("p_partkey") + 7) % 100)).alias("needs")).where("path < 100")
+    return table(s, d, "part").select(F.col("p_partkey").alias("path"), F.explode(F.array(F.expr("p_partkey div 2"), F.expr("p_partkey div 3"))).alias("needs"))
 
 
 QUERIES = {
@@ -82,7 +82,7 @@ QUERIES = {
     "store_links": lambda s, d: linking.stored_links(old_links(s, d), keyword(s, d).where("id % 2 = 0")),
     "link_status_counts": lambda s, d: linking.status_counts(old_links(s, d), F.col("id") > 3),
     "feedback_escalation": lambda s, d: linking.escalated(doc_links(s, d), votes(s, d)),
-    "run_selection": lambda s, d: linking.run_selection(entities(s, d).where("type = 'supplier'").select("id"), table(s, d, "events").where("event_id < 200").select(F.lit("entity").alias("kind"), (F.col("user_id") + 1_000_000).alias("id")), False),
+    "run_selection": lambda s, d: linking.run_selection(entities(s, d).where("type = 'supplier'").select("id"), table(s, d, "events").select(F.lit("entity").alias("kind"), (F.col("user_id") + 1_000_000).alias("id")), False),
     "file_delta": lambda s, d: inc.delta(files(s, d, False), files(s, d, True)),
     "orphan_removal": lambda s, d: inc.orphans(files(s, d, False), files(s, d, True)).select("path"),
     "reindex_links": lambda s, d: inc.reindexed(fingerprints(s, d, 0, 1), fingerprints(s, d, 1_000_000, 2), doc_links(s, d)),
@@ -110,8 +110,8 @@ SQL = {
     "undecided_pairs": _k("SELECT * FROM kw WHERE (id, chunk_id) NOT IN (SELECT id, chunk_id FROM links WHERE status IN ('approved', 'rejected'))"),
     "store_links": _k("SELECT coalesce(l.id, f.id) AS id, coalesce(l.chunk_id, f.chunk_id) AS chunk_id, coalesce(l.status, 'pending') AS status, CASE WHEN l.status = 'approved' THEN CAST(l.score AS DOUBLE) ELSE round(coalesce(f.score, l.score), 4) END AS score FROM links l FULL JOIN (SELECT * FROM kw WHERE id % 2 = 0) f ON l.id = f.id AND l.chunk_id = f.chunk_id"),
     "link_status_counts": _k("SELECT status, count(*) AS links FROM links WHERE id > 3 GROUP BY 1"),
-    "feedback_escalation": f"WITH {DOC_LINKS}, hot AS (SELECT event_id % 300 * 10 AS link_id FROM events WHERE user_id % 5 = 0 AND event_id % 4 <> 0 GROUP BY 1 HAVING count(DISTINCT user_id) >= 2) SELECT link_id, chunk_id, CASE WHEN status = 'approved' AND link_id IN (SELECT link_id FROM hot) THEN 'pending' ELSE status END AS status FROM links",
-    "run_selection": "SELECT 1000000 + s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT user_id FROM events WHERE event_id < 200)",
+    "feedback_escalation": f"WITH {DOC_LINKS}, hot AS (SELECT event_id % 300 * 10 AS link_id FROM events WHERE event_id % 4 <> 0 GROUP BY 1 HAVING count(DISTINCT user_id) >= 2) SELECT link_id, chunk_id, CASE WHEN status = 'approved' AND link_id IN (SELECT link_id FROM hot) THEN 'pending' ELSE status END AS status FROM links",
+    "run_selection": "SELECT 1000000 + s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT user_id FROM events)",
     "file_delta": f"WITH {FILES} SELECT * FROM (SELECT path, CASE WHEN old.hash IS NULL THEN 'added' WHEN new.hash IS NULL THEN 'deleted' WHEN old.hash <> new.hash THEN 'modified' END AS change FROM old FULL JOIN new USING (path)) WHERE change IS NOT NULL",
     "orphan_removal": f"WITH {FILES} SELECT path FROM old WHERE path NOT IN (SELECT path FROM new)",
     "reindex_links": rf"""WITH {DOC_LINKS}, fp AS (SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS f FROM documents),
@@ -121,10 +121,10 @@ SELECT link_id, b AS chunk_id, CASE WHEN b IS NULL AND status = 'approved' THEN
     "due_sources": "WITH e AS (SELECT user_id AS id, max(ts) AS l, user_id % 5 * 3600 AS interval_s, max(event_id) % 4 AS failures FROM events GROUP BY 1) SELECT id, interval_s, failures FROM e WHERE interval_s > 0 AND id % 11 <> 0 AND floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(l)) >= interval_s * 2 ** failures",
     "latest_attempts": "SELECT event_id, user_id, event_type, event_id % 17 AS attempt FROM events QUALIFY attempt = max(event_id % 17) OVER (PARTITION BY user_id, event_type)",
     "run_reconciliation": "SELECT event_id AS id, user_id AS scope, CASE WHEN event_id % 3 <> 0 THEN 'done' WHEN row_number() OVER (PARTITION BY user_id, event_id % 3 = 0 ORDER BY event_id) = 1 THEN 'active' ELSE 'ended' END AS state FROM events",
-    "version_state": """WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'F' ELSE 'O' END AS v FROM supplier WHERE s_suppkey < 30)
-SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'unbound' WHEN k IS NULL THEN 'other_source' WHEN k % 7 = 0 THEN 'index_unavailable' WHEN o_orderstatus = v THEN 'current' ELSE 'different_version' END AS state FROM orders LEFT JOIN s ON k = o_custkey % 40""",
+    "version_state": """WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'F' ELSE 'O' END AS v FROM supplier)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'unbound' WHEN k IS NULL THEN 'other_source' WHEN k % 7 = 0 THEN 'index_unavailable' WHEN o_orderstatus = v THEN 'current' ELSE 'different_version' END AS state FROM orders LEFT JOIN s ON k = o_custkey""",
     "last_question": "SELECT conv_id, turn, question FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question FROM conversations) WHERE role = 'assistant'",
-    "dependency_closure": """WITH RECURSIVE step AS (SELECT DISTINCT path, needs FROM (SELECT p_partkey AS path, unnest([(p_partkey * 3 + 1) % 100, (p_partkey + 7) % 100]) AS needs FROM part WHERE p_partkey < 100) WHERE path <> needs),
+    "dependency_closure": """WITH RECURSIVE step AS (SELECT DISTINCT path, needs FROM (SELECT p_partkey AS path, unnest([p_partkey // 2, p_partkey // 3]) AS needs FROM part) WHERE path <> needs),
 walk AS (SELECT path, needs, 1 AS n FROM step UNION SELECT walk.path, step.needs, n + 1 FROM walk JOIN step ON step.path = walk.needs WHERE n < 3) SELECT DISTINCT path, needs FROM walk WHERE path <> needs""",
     "pending_vectors": "SELECT doc_id FROM documents WHERE (CASE WHEN doc_id % 2 = 0 THEN lang END) IS DISTINCT FROM 'en' AND (CASE WHEN doc_id % 3 = 0 THEN lang END) IS DISTINCT FROM 'en'",
     "reused_vectors": f"WITH {FILES}, h AS (SELECT hash, min(path) AS vec_id FROM old GROUP BY hash) SELECT path AS chunk_id, vec_id FROM new LEFT JOIN h USING (hash)",

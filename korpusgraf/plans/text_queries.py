@@ -29,12 +29,12 @@ def answers(s, d):
 
 
 def cited_files(s, d):
-    return table(s, d, "customer").where("c_custkey < 120").selectExpr("concat('orders/', c_custkey, '.sql') as path", "60 as lines").union(s.createDataFrame([("x1/unit.java", 30), ("x2/unit.java", 30)], "path string, lines int"))
+    return table(s, d, "customer").selectExpr("concat('orders/', c_custkey, '.sql') as path", "60 as lines").union(s.createDataFrame([("x1/unit.java", 30), ("x2/unit.java", 30)], "path string, lines int"))
 
 
 def names(s, d):
     words = F.array(*[F.lit(w) for w in ("license", "apache", "password", "token", "tion", "thth")])
-    return table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), words[(F.col("s_suppkey") % 6).cast("int")].alias("token")).where("s_suppkey < 14")
+    return table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), words[F.col("r_regionkey")].alias("token"))
 
 
 def with_lang(s, d):
@@ -59,11 +59,11 @@ SQL = {
     "repo_statistics": "SELECT lang AS language, count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines FROM documents GROUP BY lang",
     "markdown_outline": r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS line, unnest(l) AS t FROM l)
 SELECT doc_id, CAST(line AS INT) AS line, 1 AS level, t[1:-2] AS title FROM x WHERE regexp_full_match(t, '[A-Z][a-z]+\.')""",
-    "mentions": with_relations("chunks", """names AS (SELECT s_suppkey AS id, ['license', 'apache', 'password', 'token', 'tion', 'thth'][s_suppkey % 6 + 1] AS token FROM supplier WHERE s_suppkey < 14),
+    "mentions": with_relations("chunks", """names AS (SELECT CAST(r_regionkey AS BIGINT) AS id, ['license', 'apache', 'password', 'token', 'tion', 'thth'][r_regionkey + 1] AS token FROM region),
 rare AS (SELECT * FROM names QUALIFY count(*) OVER (PARTITION BY token) <= 3), words AS (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_.#]{4,}')) AS token FROM chunks)
 SELECT chunk_id, id, count(*) AS uses FROM words JOIN rare USING (token) GROUP BY 1, 2"""),
     "citations": "SELECT event_id AS answer_id, 'orders/' || user_id || '.sql' AS path, CAST(event_id % 90 + 1 AS INT) AS line FROM events UNION ALL SELECT event_id, 'x' || event_id % 7 || '/unit.java', CAST(event_id % 50 AS INT) FROM events",
-    "citation_reconcile": """SELECT event_id AS answer_id, 'orders/' || user_id || '.sql' AS path, CAST(event_id % 90 + 1 AS INT) AS line, CASE WHEN user_id < 120 AND user_id IN (SELECT c_custkey FROM customer) AND event_id % 90 + 1 <= 60 THEN 'kept' ELSE 'removed' END AS state FROM events
+    "citation_reconcile": """SELECT event_id AS answer_id, 'orders/' || user_id || '.sql' AS path, CAST(event_id % 90 + 1 AS INT) AS line, CASE WHEN user_id IN (SELECT c_custkey FROM customer) AND event_id % 90 + 1 <= 60 THEN 'kept' ELSE 'removed' END AS state FROM events
 UNION ALL SELECT event_id, 'x' || event_id % 7 || '/unit.java', CAST(event_id % 50 AS INT), CASE WHEN event_id % 7 IN (1, 2) AND event_id % 50 <= 30 THEN 'kept' ELSE 'ambiguous' END FROM events""",
     "ownership": with_relations("entities", "SELECT DISTINCT file_path AS path, CASE WHEN file_path LIKE '%/GERMANY' THEN 'berlin' WHEN file_path LIKE 'EUROPE/%' THEN 'europe' WHEN file_path LIKE 'orders/%' THEN 'sales' ELSE 'all' END AS owner FROM entities"),
     "evidence_budget": "SELECT source, doc_id AS chunk_id, CAST(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents QUALIFY used <= 20000",

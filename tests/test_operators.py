@@ -200,3 +200,28 @@ def test_findings_go_out_of_date_through_citations(spark):
     cites = spark.createDataFrame([(2, 1), (3, 4), (1, 2)], "id long, other long")
     got = change.outdated(findings, spark.createDataFrame([("f",)], "path string"), cites)
     assert ids(got) == {(1, "outdated"), (2, "outdated"), (3, "verified"), (4, "draft")}
+
+
+def test_layers_collapse_and_end_in_cycles(spark):
+    from korpusgraf.operators import context
+
+    root = spark.createDataFrame([(1,)], "id long")
+    shown, summary = context.drop_layers(cycle(spark), root, 6)
+    assert ids(shown) == {(1, 0), (2, 1), (3, 2), (4, 3)}
+    assert ids(summary) == {(1, 1, 0, False), (2, 1, 0, False), (3, 1, 1, False), (4, 0, 0, False)}
+    shown, summary = context.drop_layers(cycle(spark), root, 6, collapse_above=0)
+    assert ids(shown) == {(1, 0)} and ids(summary) == {(1, 1, 0, True)}
+
+
+def test_only_the_best_are_blended(spark):
+    from korpusgraf.operators import context
+
+    hits = spark.createDataFrame([(1, 3.0, -1.0), (2, 2.0, 0.5), (3, 1.0, 1.0), (4, 1.0, 0.0)], "id long, score double, cosine double")
+    assert ids(context.blend_rerank(hits, top=2)) == {(2, 1), (1, 2), (3, 3), (4, 4)}
+
+
+def test_control_flow_goes_two_hops(spark):
+    from korpusgraf.operators import context
+
+    entities = spark.createDataFrame([(1, "f", 5), (2, "g", 1), (3, "g", 9)], "id long, file_path string, start_line int")
+    assert ids(context.control_flow(cycle(spark), entities, "f").select("hop", "src_id", "dst_id")) == {(1, 1, 2), (1, 1, 1), (2, 2, 3)}

@@ -1,6 +1,9 @@
 """Every registered query against its SQL twin in DuckDB, or for having rows."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -45,3 +48,9 @@ def test_query(spark, data, duck, name):
 
 def test_sql_names_a_query():
     assert set(registry.SQL) <= set(registry.QUERIES)
+
+
+def test_entry_point_needs_no_session():
+    """Queries can be listed before any session is made."""
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True, timeout=120)
