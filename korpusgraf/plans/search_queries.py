@@ -123,7 +123,7 @@ t AS (SELECT chunk_id AS id, round(((length(l) - length(replace(l, 'the', '')))
 r AS (SELECT id, 1 / (19 + row_number() OVER (ORDER BY score DESC, id DESC)) AS s FROM (SELECT * FROM t WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 40) UNION ALL SELECT id, 1 / (19 + row_number() OVER (ORDER BY score DESC, id DESC)) FROM near)
 SELECT id, round(sum(s), 6) AS score FROM r GROUP BY id ORDER BY score DESC, id DESC LIMIT 20"""),
     "hybrid_search": with_relations("chunks", f"""{UNIT}, near AS (SELECT b.id, 1 AS channel, round(1 - {COS}, 4) AS pos FROM n a, n b WHERE a.id = 7 ORDER BY pos, b.id LIMIT 10),
-u AS (SELECT chunk_id AS id, 0 AS channel, 0.0 AS pos FROM chunks WHERE contains(lower(content), 'license') UNION ALL SELECT * FROM near)
+u AS (SELECT chunk_id AS id, 0 AS channel, CAST(0 AS DOUBLE) AS pos FROM chunks WHERE contains(lower(content), 'license') UNION ALL SELECT * FROM near)
 SELECT * FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY channel, pos) = 1) ORDER BY channel, pos, id LIMIT 20"""),
     "quota_rerank": f"""WITH {UNIT}, near AS (SELECT b.id, 'f' || b.id % 60 AS file, ['code', 'test', 'other'][b.id % 3 + 1] AS kind, round(1 - round(1 - {COS}, 4), 4) AS score FROM n a, n b WHERE a.id = 7 ORDER BY round(1 - {COS}, 4), b.id LIMIT 200),
 f AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, id) = 1), k AS (SELECT * FROM f QUALIFY kind = 'code' OR row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) <= 2)
