@@ -94,5 +94,5 @@ def quota_rerank(hits: DataFrame, quotas: dict[str, int], limit: int) -> DataFra
     most = F.lit(limit)
     for kind, n in quotas.items():
         most = F.when(F.col("kind") == kind, n).otherwise(most)
-    best = hits.withColumn("f", F.row_number().over(per_file)).where("f = 1").withColumn("n", F.row_number().over(per_kind)).where(F.col("n") <= most)
+    best = hits.withColumn("f", F.row_number().over(per_file)).where("f = 1").withColumn("n", F.row_number().over(per_kind)).where(F.col("n") <= limit).where(F.col("n") <= most)  # the limit is applied before the shuffle
     return best.orderBy(F.desc("score"), "id").limit(limit).drop("f", "n")

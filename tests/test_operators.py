@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from korpusgraf.functions import chunking, text
-from korpusgraf.operators import evidence, graph, groups, incremental, intervals, resolution, rollup
+from korpusgraf.operators import choices, evidence, graph, groups, incremental, intervals, resolution, rollup
 from korpusgraf.sources import readers
 from korpusgraf.streaming import queue
 
@@ -225,3 +225,32 @@ def test_control_flow_goes_two_hops(spark):
 
     entities = spark.createDataFrame([(1, "f", 5), (2, "g", 1), (3, "g", 9)], "id long, file_path string, start_line int")
     assert ids(context.control_flow(cycle(spark), entities, "f").select("hop", "src_id", "dst_id")) == {(1, 1, 2), (1, 1, 1), (2, 2, 3)}
+
+
+def test_settings_are_inherited_and_cycles_end(spark):
+    models = spark.createDataFrame(
+        [("a", None, {"v": "1", "full": "${g}:${v}"}), ("b", "a", {"v": "2", "g": "x"}), ("c", "d", {"k": "c"}), ("d", "c", {"k": "d", "only": "${missing}"}), ("e", "gone", {})], "path string, parent string, props map<string,string>"
+    )
+    got = {(r["path"], r["key"]): (r["value"], r["level"]) for r in choices.effective_settings(models).collect()}
+    assert got == {("a", "v"): ("1", 0), ("a", "full"): ("${g}:1", 0), ("b", "v"): ("2", 0), ("b", "g"): ("x", 0), ("b", "full"): ("x:2", 1), ("c", "k"): ("c", 0), ("c", "only"): ("${missing}", 1), ("d", "k"): ("d", 0), ("d", "only"): ("${missing}", 0)}
+
+
+def test_items_nest_by_level(spark):
+    rows = [("p", n, level) for n, level in enumerate([1, 5, 10, 88, 88, 10, 5, 77, 1, 66], 1)]
+    got = {r["line"]: r["parent_line"] for r in choices.nested_items(spark.createDataFrame(rows, "path string, line int, level int")).collect()}
+    assert got == {1: None, 2: 1, 3: 2, 4: 3, 5: 3, 6: 2, 7: 1, 8: None, 9: None, 10: 9}
+
+
+def test_overloads_stay_open_unless_one_is_left(spark):
+    methods = spark.createDataFrame([(1, "f", ["int"]), (2, "f", ["java.lang.Integer"]), (3, "f", ["int", "int"]), (4, "g", [])], "method_id long, name string, param_types array<string>")
+    calls = spark.createDataFrame(
+        [(1, "f", 2, None), (2, "f", 1, ["int"]), (3, "f", 1, ["Integer"]), (4, "f", 1, [None]), (5, "g", 0, []), (6, "f", 1, ["Long"]), (7, "none", 0, []), (8, "f", None, ["a.b.Integer<T>"])], "call_id long, name string, n_args int, arg_types array<string>"
+    )
+    got = {r["call_id"]: r["method_id"] for r in choices.chosen_overloads(calls, methods).collect()}
+    assert got == {1: 3, 2: 1, 3: 2, 4: None, 5: 4, 6: None, 7: None, 8: 2}
+
+
+def test_suites_without_cases_count_by_their_attributes(spark):
+    files = spark.createDataFrame([("a", '<testsuites><testsuite tests="9"><testsuite tests="2" failures="3"/></testsuite></testsuites>'), ("b", '<n:testsuite xmlns:n="u"><n:testcase name="x"><n:failure/></n:testcase></n:testsuite>')], "path string, content string")
+    got = {r["path"]: (r["tests"], r["failures"], r["consistent"]) for r in choices.test_reports(files).collect()}
+    assert got == {"a": (2, 3, False), "b": (1, 1, True)}
