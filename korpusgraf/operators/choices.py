@@ -59,6 +59,7 @@ def data_access(edges: DataFrame, entities: DataFrame, asked: DataFrame, per_ent
     at = entities.select(F.col("id").alias("src_id"), "source_id", "file_path")
     wanted = entities.join(asked, "id", "left_semi").select("id", "source_id", "file_path", "start_line", "end_line")
     met = edges.where(F.col("type").isin(list(ACCESS))).join(at, "src_id").join(wanted, ["source_id", "file_path"]).where("line between start_line and end_line")
+    met = stored(met.select("id", "type", "dst_name", "line", "edge_id", "file_io"))
     group = Window.partitionBy("id", "type", "dst_name").orderBy("line", "edge_id")
     flags = met.groupBy("id", "type", "dst_name").agg(F.max("file_io").alias("file_io"))
     first = met.withColumn("nr", F.row_number().over(group)).where(F.col("nr") <= per_group)
@@ -92,23 +93,26 @@ def test_reports(files: DataFrame, shown: int = 30) -> DataFrame:
     skipped; without cases the innermost suites' own numbers count. failed: the first names, comma-joined. Content must be well-formed."""
     kind = lambda k: f"*[local-name()='{k}']"
     case, leaf = "//*[local-name()='testcase']", "//*[local-name()='testsuite'][not(*[local-name()='testsuite'])]"
-    n = lambda q: F.xpath_long("content", F.lit(q))
     own = {
         "tests": f"count({case})",
         "failures": f"count({case}[{kind('failure')}][not({kind('error')})])",
         "errors": f"count({case}[{kind('error')}])",
         "skipped": f"count({case}[{kind('skipped')}][not({kind('error')} or {kind('failure')})])",
     }
-    counts = [F.when(n(own["tests"]) > 0, n(q)).otherwise(n(f"sum({leaf}/@{k})")).alias(k) for k, q in own.items()]
+    listed = lambda qs: F.split(F.xpath_string("content", F.lit("concat(" + ", ',', ".join(qs) + ")")), ",")  # noqa: E731 - one pass for four numbers
+    of_cases, of_suites = listed(own.values()), listed([f"sum({leaf}/@{k})" for k in own])
+    out = files.select("path", "content", of_cases.alias("_c")).withColumn("_n", F.when(F.col("_c")[0] != "0", F.col("_c")).otherwise(of_suites))
     failed = F.slice(F.xpath("content", F.lit(f"{case}[{kind('error')} or {kind('failure')}]/@name")), 1, shown)
-    out = files.select("path", *counts, F.array_join(failed, ",").alias("failed"))
+    names = F.when((F.col("_c")[1] != "0") | (F.col("_c")[2] != "0"), F.array_join(failed, ",")).otherwise("")
+    out = out.select("path", *[F.col("_n")[i].try_cast("double").cast("long").alias(k) for i, k in enumerate(own)], names.alias("failed"))
     return out.withColumn("consistent", (F.least("tests", "failures", "errors", "skipped") >= 0) & (F.col("failures") + F.col("errors") + F.col("skipped") <= F.col("tests")))
 
 
 def effective_settings(models: DataFrame, depth: int = 8, rounds: int = 4) -> DataFrame:
     """path, key, value, level: settings of each model (path, parent, props map) and those inherited from its ancestors, the nearest winning (level: how far above),
     with ${key} replaced by the effective value, `rounds` deep. A parent that is its own ancestor ends the chain."""
-    up = stored(models.select(F.col("path").alias("at"), "parent"))
+    models = stored(models.select("path", "parent", "props"))
+    up = models.select(F.col("path").alias("at"), "parent")
     frontier = chain = stored(models.select("path", F.col("path").alias("at"), F.lit(0).alias("level"), F.array("path").alias("seen")))
     for level in range(1, depth + 1):
         above = frontier.join(up.where("parent is not null"), "at").where(~F.array_contains("seen", F.col("parent")))
