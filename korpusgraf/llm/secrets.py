@@ -1,8 +1,8 @@
 """Secret scans: known shapes, and a battery of randomness tests on other long tokens.
 
 Shapes (leftmost, non-overlapping per kind): assignments to a secret's name, access keys, long runs of hex digits. Further tokens of
-[A-Za-z0-9+/_=-] that are long enough for their inferred encoding (hex, base32, base64) and hold letters as well as digits go through
-the battery: chi-squared uniformity over the encoding's alphabet, a runs test about its middle and a lag-one serial correlation, joined by
+[A-Za-z0-9+/_-], with '=' as closing padding only, that are long enough for their inferred encoding (hex, base32, base64) and hold letters
+as well as digits go through the battery: chi-squared uniformity over the encoding's alphabet, a runs test about its middle and a lag-one serial correlation, joined by
 Bonferroni. Benjamini-Hochberg within each stratum of encoding and length rejects the tokens that are not random; p-values are
 counted on a fixed grid over all documents, so that the cut of a stratum needs a row for each grid cell only. Tokens that stay are spans
 of kind `random`, unless they overlap a span of a known shape. A span is the whole match in code points, end exclusive.
@@ -27,7 +27,8 @@ from korpusgraf.llm.common import sealed, small_batches, stored, unsealed
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: '=' only as closing padding, so that what follows NAME= is a token of its own.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets in symbol order, and the length from which the battery can tell text from random symbols.
 ENCODINGS = [

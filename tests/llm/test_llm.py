@@ -215,6 +215,27 @@ def test_redaction(spark, odd_docs):
     assert secrets.redact(odd_docs).columns == odd_docs.columns
 
 
+KEY = "Zk3v9QpX7wLr2TyB8nMd5HsGcJf4UaEo"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (f"AUTH={KEY} x", "AUTH=[SECRET] x"),
+        (f"http://h.example/p?sig={KEY}&n=1", "http://h.example/p?sig=[SECRET]&n=1"),
+        (f"aws_secret_access_key={KEY}\n", "aws_secret_access_key=[SECRET]\n"),
+        (f"AUTH=={KEY}== x", "AUTH==[SECRET] x"),
+        (f"see {KEY}= x", "see [SECRET] x"),
+        ("SEED=MZXW6YTBOI7Q2KDFJ5XGU4TPLR3VAH====== x", "SEED=[SECRET] x"),
+    ],
+)
+def test_keys_after_a_name(spark, text, want):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redact(docs).first()["text"] == want
+    kind, a, b = secrets.scan(docs).first()["spans"].split(":")
+    assert kind == "random" and text[: int(a)] + "[SECRET]" + text[int(b) :] == want
+
+
 # 6
 def brute_targets(sizes, weights=(1, 2, 3)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
