@@ -1,15 +1,23 @@
 """License scans by canonical digest lookup, in DataFrame functions only.
 
 A text's canonical form: A-Z lower-cased, lines that hold a copyright notice left out, equivalent spellings made one, and every
-run of other characters than letters and digits one space. Its MD5 is hash-joined to the digests of known licence texts. Whole
+run of other characters than letters and digits one space. Its MD5 is the digest. For the lookup, punctuation and symbols beyond ASCII
+are spaces as well; the MD5 of that form is hash-joined to those of the known texts: notices (KNOWN) and entire licences (entire()). Whole
 documents are looked up, and so is every line of a document that names a licence, as an entire text of its own.
 
+The SQL twin knows the notices and the texts in KNOWN only, and looks up the digest itself: it gives less than scan() where a document is another
+entire licence or has such punctuation.
+
 Cases: null or empty text: digest of the empty form, no licence. Equal digests of several known texts would name the least licence.
 Repeated rows and null doc_ids: each row is returned. Very long texts are read whole. Further columns of docs are not read.
 """
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +29,8 @@ SPELLINGS = [
     (r"merchantability", "merchantability"), (r"https://", "http://"), (r"&", " and "), (r"\bver(sion|\.)? ?(\d)", r"v$2"), (r"\bv\.? ?(\d)", r"v$1"), (r"(\d)\.0\b", "$1"), (r"\bthe\b", " "),
 ]
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
+#: A line break within a sentence of the terms before this word, where the next line is no notice.
+WRAPPED = r"(?<=[^\s])[ \t]*\r?\n[^A-Za-z0-9\n]*(copyright|COPYRIGHT)(?=(?i:, [a-z]|\s+(?:notice|statement|holder|owner|law|licen[cs]e|interest|permission|disclaimer|treat|and|or|on the|in the|the software)))"
 NAMES_LICENCE = r"licen[cs]|permission|public domain|copyright|redistribution|warranty|spdx"
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -53,6 +63,36 @@ KNOWN = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ] + [(k, f"SPDX-License-Identifier: {k}") for k in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "ISC", "MIT", "MPL-2.0")]
 
+#: Licence texts without a title, by the titles that files begin with. All others have their title in the text.
+TITLES = {
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License"],
+    "ISC": ["ISC License", "ISC License (ISC)"],
+    "MIT": ["MIT License", "MIT License (MIT)"],
+}
+
+
+@cache
+def entire() -> list[tuple[str, str]]:
+    """(licence, text) of entire licences: with and without title, with and without what follows the terms, in their usual wordings."""
+    texts = [(f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))] + [("ISC", ISC), ("MIT", MIT)]
+    out = []
+    for name, text in texts:
+        forms = [text]
+        if name.startswith("BSD"):
+            forms += [f.replace("HOLDER OR", "OWNER OR") for f in forms]
+            forms += [re.sub(r"(?m)^[123]\.", "*", f) for f in forms]
+            forms += [f"All rights reserved.\n\n{f}" for f in forms]
+        if name == "ISC":
+            forms += [f.replace("and/or distribute", "and distribute") for f in forms]
+        if name == "BSL-1.0":
+            forms.append(text.split("\n", 1)[1])
+        if "END OF TERMS AND CONDITIONS" in text:
+            terms = text[: text.index("END OF TERMS AND CONDITIONS")]
+            forms += [terms, f"{terms}END OF TERMS AND CONDITIONS"]
+        out += [(name, t + f) for f in forms for t in ["", *(f"{t}\n\n" for t in TITLES.get(name, []))]]
+    return out
+
 
 def canonical(text: Column) -> Column:
     t = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
@@ -65,19 +105,32 @@ def digest(text: Column) -> Column:
     return F.md5(canonical(text).cast("binary"))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license) of the known texts, made by the same expressions as the documents' digests; one row a text."""
+def lookup_key(form: Column) -> Column:
+    """MD5 of a canonical form without punctuation, symbols, spaces and format marks beyond ASCII; spellings with a hyphen are made one with any dash."""
+    plain = F.trim(F.regexp_replace(form, r"[ \p{P}\p{S}\p{Z}\p{Cf}\x{80}-\x{9F}]+", " "))
+    return F.md5(F.regexp_replace(plain, r"\b(non|sub) (commercial|license)", "$1$2").cast("binary"))
+
+
+def text_key(text: Column, form: Column) -> Column:
+    """Lookup key of an entire text, however its lines are broken. form: its canonical form."""
+    return F.when(text.rlike(WRAPPED), lookup_key(canonical(F.regexp_replace(text, WRAPPED, " $1")))).otherwise(lookup_key(form))
+
+
+def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
+    """(key, license) of the known texts, made by the same expressions as the documents' keys; one row a text."""
     texts = spark.createDataFrame(known, "license string, text string")
-    return texts.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    return texts.groupBy(text_key(F.col("text"), canonical(F.col("text"))).alias("key")).agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, digest, text_license (of the whole text, or null), n_license_lines, line_licenses (distinct, sorted, comma-joined)."""
+    known = KNOWN + entire() if known is None else known
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ascii_lower(x).rlike(NAMES_LICENCE))
-    whole = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest(F.col("text")).alias("digest"), lines.alias("lines"))
-    units = whole.select("row", "doc_id", "digest", F.explode(F.concat(F.array(F.lit(None).cast("string")), "lines")).alias("line"))
-    units = units.select("row", "doc_id", F.col("line").isNull().alias("is_text"), F.when(F.col("line").isNull(), F.col("digest")).otherwise(digest(F.col("line"))).alias("digest"))
-    met = units.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest", "left")  # as many rows as known texts
+    forms = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", canonical(F.col("text")).alias("form"), lines.alias("lines"))
+    whole = forms.select("row", "doc_id", F.md5(F.col("form").cast("binary")).alias("digest"), text_key(F.col("text"), F.col("form")).alias("key"), "lines")
+    units = whole.select("row", "doc_id", "digest", "key", F.explode(F.concat(F.array(F.lit(None).cast("string")), "lines")).alias("line"))
+    units = units.select("row", "doc_id", F.col("line").isNull().alias("is_text"), "digest", F.when(F.col("line").isNull(), F.col("key")).otherwise(lookup_key(canonical(F.col("line")))).alias("key"))
+    met = units.join(F.broadcast(known_digests(docs.sparkSession, known)), "key", "left")  # as many rows as known texts
     of_line = F.when(~F.col("is_text"), F.col("license"))
     return met.groupBy("row", "doc_id").agg(
         F.max(F.when(F.col("is_text"), F.col("digest"))).alias("digest"),

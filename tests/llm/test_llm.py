@@ -174,6 +174,18 @@ def test_licence_forms(spark):
     assert got[4][1] == "Apache-2.0" and got[5][1] == "MIT"
 
 
+@pytest.mark.parametrize("name", ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"])
+def test_entire_licences(spark, name):
+    """An entire text is known as it is, with curly quotes, dashes and a byte order mark, and after its title and a notice; not with a word more."""
+    text = next(t for k, t in licences.entire() if k == name)
+    curly = "\ufeff" + re.sub(r'"([^"]*)"', "“\\1”", text).replace("'", "’").replace("-", "–").replace(", ", ",\u00a0")
+    titled = f"{licences.TITLES.get(name, [''])[0]}\n\nCopyright (c) 2020 A. Person\n\n{text}"
+    wrapped = [re.sub(r"(?<=\w) (?=copyright (?:notice|holder|license|law|interest)|COPYRIGHT HOLDER)", "\n", t) for t in (text, titled)]
+    rows = list(enumerate([text, curly, titled, *wrapped, text + " more"]))
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text_license"] for r in got] == [name] * 5 + [None]
+
+
 # 5
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
