@@ -18,9 +18,9 @@ def directories(s, d):
     return rollup.degrees(pairs(s, d))
 
 
-def small_graph(s, d):
-    """Brands and customers' files by shared parts, as a weighted graph."""
-    return groups.weighted(pairs(s, d).where("edge_count >= 1").withColumn("src_file", F.concat(F.lit("orders/"), F.pmod(F.xxhash64("src_file"), F.lit(200)))))
+def file_graph(s, d):
+    """All files, weighted by their edges."""
+    return groups.weighted(pairs(s, d))
 
 
 def answers(s, d):
@@ -53,7 +53,7 @@ QUERIES = {
     "ownership": lambda s, d: evidence.owners(entities(s, d).select(F.col("file_path").alias("path")).distinct(), [(codeowners_pattern(p), o) for p, o in RULES]),
     "evidence_budget": lambda s, d: evidence.within_budget(chunks(s, d), "source", ["chunk_id"], "content", 20_000).select("source", "chunk_id", "used"),
     "fall_through": lambda s, d: evidence.fall_through(entities(s, d).where("type = 'part'").withColumn("ends", F.col("id") % 4 == 0)),
-    "file_groups": lambda s, d: groups.communities(small_graph(s, d)),
+    "file_groups": lambda s, d: groups.communities(file_graph(s, d)),
 }
 SQL = {
     "repo_statistics": "SELECT lang AS language, count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines FROM documents GROUP BY lang",

@@ -57,6 +57,17 @@ def test_two_cliques_are_two_groups(spark):
     assert groups.labels(edges, found).count() == 2 and groups.group_edges(edges, found).count() == 2
 
 
+def test_file_groups_hold_every_file(spark, data):
+    from korpusgraf.plans import text_queries
+    from korpusgraf.plans.rollup_queries import pairs
+
+    met = pairs(spark, data)
+    files = {r[0] for c in ("src_file", "dst_file") for r in met.select(c).distinct().collect()}
+    found = text_queries.QUERIES["file_groups"](spark, data)
+    assert sorted(r["node"] for r in found.collect()) == sorted(files)
+    assert groups.modularity(groups.weighted(met), found) > 0.05
+
+
 def test_intervals(spark):
     entities = spark.createDataFrame([(1, "f", 1, 300), (2, "f", 10, 90), (3, "f", 20, 30), (4, "f", 20, 30), (5, "g", 1, 9)], "id long, file_path string, start_line int, end_line int")
     hunks = spark.createDataFrame([(1, "f", 25, 25), (2, "f", 200, 280), (3, "f", 50, 120)], "hunk_id long, file_path string, start_line int, end_line int")
