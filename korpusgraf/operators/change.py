@@ -107,14 +107,18 @@ def visible_groups(paths: DataFrame, expanded: list[str]) -> DataFrame:
     return paths.select("id", F.coalesce(F.get(closed, F.lit(0)), F.col("path")).alias("shown"))
 
 
-def dependency_fingerprints(files: DataFrame, deps: DataFrame, depth: int = 8) -> DataFrame:
+def dependency_fingerprints(files: DataFrame, deps: DataFrame, depth: int = 64) -> DataFrame:
     """path, fingerprint: a file's hash folded with its dependencies' fingerprints, `depth` levels deep; after that, and so in cycles, with their hashes.
     files: path, hash; deps: path, needs."""
     now = files.select("path", F.col("hash").alias("fingerprint"))
     step = stored(deps.select("path", "needs").where("path <> needs").distinct())
     for _ in range(depth):
         folded = step.join(now.select(F.col("path").alias("needs"), "fingerprint"), "needs").groupBy("path").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "needs", "fingerprint"))), ";").alias("all"))
-        now = stored(files.join(folded, "path", "left").select("path", F.when(F.col("all").isNull(), F.col("hash")).otherwise(F.sha2(F.concat_ws("|", "hash", "all"), 256)).alias("fingerprint")))
+        new = stored(files.join(folded, "path", "left").select("path", F.when(F.col("all").isNull(), F.col("hash")).otherwise(F.sha2(F.concat_ws("|", "hash", "all"), 256)).alias("fingerprint")))
+        still = new.exceptAll(now).isEmpty()
+        now = new
+        if still:  # every further level would give the same
+            break
     return now
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,13 +85,13 @@ def last_before(messages: DataFrame) -> DataFrame:
     return messages.withColumn("question", asked).where("role = 'assistant'").select("conv_id", "turn", "question")
 
 
-def dependency_closure(deps: DataFrame, depth: int) -> DataFrame:
-    """path, needs: direct and indirect dependencies up to `depth` steps, without the file itself. Lineage is cut at each step."""
+def dependency_closure(deps: DataFrame, depth: int | None = None) -> DataFrame:
+    """path, needs: direct and indirect dependencies, without the file itself, until a step finds no new pair, or up to `depth` steps. Lineage is cut at each step."""
     from korpusgraf.operators.lineage import stored
 
     step = stored(deps.select("path", "needs").where("path <> needs").distinct())
     out = frontier = step
-    for _ in range(depth - 1):
+    for _ in count() if depth is None else range(depth - 1):
         new = frontier.select("path", F.col("needs").alias("mid")).join(step.select(F.col("path").alias("mid"), "needs"), "mid").select("path", "needs").where("path <> needs").distinct()
         frontier = stored(new.join(out, ["path", "needs"], "left_anti"))
         if frontier.isEmpty():

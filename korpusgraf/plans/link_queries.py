@@ -93,6 +93,7 @@ QUERIES = {
     "version_state": lambda s, d: inc.version_state(bindings(s, d), sources(s, d)),
     "last_question": lambda s, d: inc.last_before(table(s, d, "conversations")),
     "dependency_closure": lambda s, d: inc.dependency_closure(deps(s, d), 3),
+    "dependency_closure_whole": lambda s, d: inc.dependency_closure(deps(s, d)),
     "pending_vectors": lambda s, d: inc.pending_vectors(table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("embedding_model"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("embedding_next_model")), "en").select("doc_id"),
     "reused_vectors": lambda s, d: inc.reused_vectors(files(s, d, True).select(F.col("path").alias("chunk_id"), "hash", F.lit("m").alias("model")), files(s, d, False).select(F.col("path").alias("vec_id"), "hash", F.lit("m").alias("model"))).select("chunk_id", "vec_id"),
 }
@@ -126,6 +127,8 @@ SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'unbound' WHEN k IS N
     "last_question": "SELECT conv_id, turn, question FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question FROM conversations) WHERE role = 'assistant'",
     "dependency_closure": """WITH RECURSIVE step AS (SELECT DISTINCT path, needs FROM (SELECT p_partkey AS path, unnest([p_partkey // 2, p_partkey // 3]) AS needs FROM part) WHERE path <> needs),
 walk AS (SELECT path, needs, 1 AS n FROM step UNION SELECT walk.path, step.needs, n + 1 FROM walk JOIN step ON step.path = walk.needs WHERE n < 3) SELECT DISTINCT path, needs FROM walk WHERE path <> needs""",
+    "dependency_closure_whole": """WITH RECURSIVE step AS (SELECT DISTINCT path, needs FROM (SELECT p_partkey AS path, unnest([p_partkey // 2, p_partkey // 3]) AS needs FROM part) WHERE path <> needs),
+walk AS (SELECT path, needs FROM step UNION SELECT walk.path, step.needs FROM walk JOIN step ON step.path = walk.needs) SELECT path, needs FROM walk WHERE path <> needs""",
     "pending_vectors": "SELECT doc_id FROM documents WHERE (CASE WHEN doc_id % 2 = 0 THEN lang END) IS DISTINCT FROM 'en' AND (CASE WHEN doc_id % 3 = 0 THEN lang END) IS DISTINCT FROM 'en'",
     "reused_vectors": f"WITH {FILES}, h AS (SELECT hash, min(path) AS vec_id FROM old GROUP BY hash) SELECT path AS chunk_id, vec_id FROM new LEFT JOIN h USING (hash)",
 }

@@ -204,6 +204,19 @@ def test_fingerprints_follow_dependencies_and_end_in_cycles(spark):
     assert {p for p in one if one[p] != two[p]} == {"a", "b", "c"}
 
 
+def test_dependencies_are_followed_to_the_end(spark):
+    from korpusgraf.operators import change
+
+    steps = [(i, i + 1) for i in range(11)] + [(20, 21), (21, 22), (22, 20)]
+    deps = spark.createDataFrame(steps, "path long, needs long")
+    want = {(i, j) for i in range(12) for j in range(i + 1, 12)} | {(i, j) for i in (20, 21, 22) for j in (20, 21, 22) if i != j}
+    assert ids(incremental.dependency_closure(deps)) == want
+    chain = deps.where("path < 20").selectExpr("string(path) as path", "string(needs) as needs")
+    made = lambda last: {r["path"]: r["fingerprint"] for r in change.dependency_fingerprints(spark.createDataFrame([(str(i), last if i == 11 else "h") for i in range(12)], "path string, hash string"), chain).collect()}
+    one, two = made("h"), made("x")
+    assert all(one[p] != two[p] for p in one) and len(one) == 12
+
+
 def test_findings_go_out_of_date_through_citations(spark):
     from korpusgraf.operators import change
 
