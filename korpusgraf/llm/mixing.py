@@ -1,24 +1,26 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source's documents are laid on a line of words in an order given by a hash; a target above the source's size goes round the line
-again, up to three times. The words that a source gives, its line up to the target, are cut into blocks. The numbers of blocks of
-all sources are split among the output shards by a binary tree: a node draws its left child's share of each source by the multivariate
-hypergeometric law, so that every block has one shard and every source its exact quota. A shard draws its quota of a source from a
-seeded permutation of the blocks, disjoint from what others draw, and shuffles its rows locally by a hash.
+A source's documents are laid on a line of words in an order given by a hash, and the line is cut into blocks. A target of m times the
+source's size and a rest takes every block m times (three at most), an epoch each, and of one more epoch as many blocks, in the order of a seeded
+permutation, as give the rest; the last of them is cut, so that the words taken are the target, rounded. The numbers of blocks of all
+sources are split among the output shards by a binary tree: a node draws its left child's share of each source by the
+multivariate hypergeometric law, so that every block has one shard and every source its exact quota. A shard draws its quota of a source
+from the epochs' permutations, disjoint from what others draw, and shuffles its rows locally by a hash. What no shard draws is not taken.
 
 Positions on the lines come from prefix sums over hash buckets, so a hot source is spread over many tasks. The driver holds one row a
 source, and one number for each source and shard.
 
-Cases: null source is a source of its own, after all others. Null or empty text: size 0, nothing is taken. Repeated rows lie side by side
-on the line. Null doc_ids are ordered by their size alone. Empty table: no rows. Further columns pass through mix().
+Cases: null source is a source of its own, after all others. Null or empty text: size 0, nothing is taken. Rows of one doc_id (null ones
+too) and size lie side by side on the line, in the order of their rows (mixture) or of their texts' hashes (resample). Empty table: no rows.
+Further columns pass through mix() and resample(); those named like a column that mix() adds are replaced there and kept by resample().
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from korpusgraf.llm.common import SPACE, WORD, buckets_for, prefix_sums, sealed, stored, unsealed
@@ -26,6 +28,13 @@ from korpusgraf.llm.common import SPACE, WORD, buckets_for, prefix_sums, sealed,
 MOST = 3
 WEIGHTS = (1, 2, 3)
 SEED = 20_240_601
+ADDED = ("source_size", "target", "pieces")
+PIECES = "array<struct<shard:int,epoch:int,block:bigint,start:bigint,length:bigint>>"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once however often `then` uses it."""
+    return F.transform(F.array(value), then)[0]
 
 
 def n_words(text: Column) -> Column:
@@ -67,69 +76,119 @@ def split_blocks(blocks: np.ndarray, shards: int, seed: int = SEED) -> np.ndarra
     return out
 
 
-def step_of(n: int) -> int:
-    """A step coprime to n, near its golden section: i -> (i * step + shift) mod n is a permutation of the blocks."""
-    step = max(1, round(n * 0.6180339887498949))
-    while math.gcd(step, n) > 1:
-        step += 1
-    return step
+def permuted(x: Column, n: Column, salt: Column, rounds: int = 24) -> Column:
+    """Place of x among 0..n-1 in the order that salt draws: in each round x and its mirror at a drawn centre are swapped or not, by
+    one drawn bit for the two, so that any n has an exact permutation and no table of it is held."""
+
+    def swap(v: Column, i: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(salt, i), n) - v, n)
+        return _let(mirror, lambda m: F.when(F.xxhash64(salt, i, F.greatest(v, m)) % 2 == 0, v).otherwise(m))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), swap)
 
 
-def mix(docs: DataFrame, shards: int = 16, size_col: str = "size", block_words: int = 4_096, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, source, size_col and whatever else) with source_size, target, epochs and pieces: array<struct<shard, epoch,
-    block, start, length>>, the words of the document that each shard draws, in order of its copies (epochs from 0)."""
+def mix(docs: DataFrame, shards: int = 16, size_col: str = "size", block_words: int = 4_096, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, ties: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, source, size_col and whatever else) with source_size, target and pieces: array<struct<shard, epoch, block, start,
+    length>>, the words of the document that each shard draws, by epoch (from 0) and block (counted on over the epochs). Columns of
+    docs that have one of these names are replaced. `ties` order rows of one doc_id and size."""
     known = docs.groupBy("source").agg(F.sum(size_col).alias("words"), F.count("*").alias("rows")).collect()  # one row a source
     sizes = {r["source"]: int(r["words"]) for r in known}
     goal = targets(sizes, weights, most)
     block = max(block_words, -(-sum(sizes.values()) // (1 << 26)))  # the law's draws stay below 1e9 blocks
+    spark = docs.sparkSession
     names = list(sizes)
-    whole = {s: int(round(goal[s])) for s in names}
-    blocks = np.array([-(-whole[s] // block) for s in names], np.int64)
+    whole = [int(round(goal[s])) for s in names]
+    rows = [(i, s is None, s or "", sizes[s], float(goal[s]), w // max(1, sizes[s]), w % max(1, sizes[s]), -(-sizes[s] // block)) for i, (s, w) in enumerate(zip(names, whole))]
+    plan = spark.createDataFrame(rows, "_i int, _none boolean, _source string, source_size long, target double, _full long, _rest long, _n long")
+    salt = lambda epoch: F.xxhash64(F.lit(seed), "_none", "_source", epoch)
+    # In the epoch that is drawn in part, blocks go by their drawn place; the last block of a line is the only shorter one.
+    short = F.col("_n") * block - F.col("source_size")
+    at_short = F.when(F.col("_n") > 0, permuted(F.col("_n") - 1, F.col("_n"), salt(F.col("_full"))))
+    plan = plan.withColumn("_at_short", at_short).withColumn("_short", short)
+    ask = {r["_i"]: r for r in plan.collect()}  # one row a source
+    blocks = np.array([_drawn_blocks(ask[i], block) for i in range(len(names))], np.int64)
     held = split_blocks(blocks, shards, seed)
-    plan = [
-        (s is None, s or "", sizes[s], float(goal[s]), whole[s], int(blocks[i]), step_of(int(blocks[i])) if blocks[i] else 1, [int(x) for x in held[:, i].cumsum()])
-        for i, s in enumerate(names)
-    ]
-    spark = docs.sparkSession
-    plan_df = spark.createDataFrame(plan, "_none boolean, _source string, source_size long, target double, _goal long, _blocks long, _step long, _ends array<long>")
+    ends = spark.createDataFrame([(i, [int(x) for x in held[:, i].cumsum()]) for i in range(len(names))], "_i int, _ends array<long>")
+    plan = plan.join(F.broadcast(ends), "_i")
+    needed = ("doc_id", "source", size_col, *ties)
     key = F.xxhash64(F.lit(seed), "doc_id", size_col)
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), size_col, *ties)).otherwise(key)  # null ids may be many
     n = sum(r["rows"] for r in known)
-    keyed = docs.select("*", F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), key.alias("_key"))
-    keyed = keyed.withColumn("_bucket", F.shiftright("_key", 40) * F.lit(buckets_for(n)) / F.lit(float(1 << 24))).withColumn("_bucket", F.floor("_bucket"))
-    placed = prefix_sums(keyed, ["_none", "_source"], "_bucket", [F.col("_key"), F.col("doc_id")], [size_col])
-    placed = placed.withColumnRenamed(f"before_{size_col}", "_before").join(F.broadcast(plan_df), ["_none", "_source"])
-    size, before = f"`{size_col}`", "_before"
-    copies = f"""filter(transform(sequence(0, {most - 1}), e -> named_struct('epoch', e, 'at', e * source_size + {before},
-        'length', greatest(0L, least({size}, _goal - e * source_size - {before})))), c -> c.length > 0)"""
-    pieces = f"""flatten(transform(_copies, c -> transform(sequence(c.at div {block}, (c.at + c.length - 1) div {block}), b -> named_struct(
-        'shard', size(filter(_ends, x -> x <= pmod(b * _step + 17, _blocks))), 'epoch', c.epoch, 'block', b,
-        'start', greatest(c.at, b * {block}) - c.at, 'length', least(c.at + c.length, (b + 1) * {block}) - greatest(c.at, b * {block})))))"""
-    out = placed.withColumn("_copies", F.expr(copies)).withColumn("pieces", F.expr(pieces)).withColumn("epochs", F.size("_copies"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "source_size", "target", "epochs", "pieces")
+    keyed = sealed(docs, *needed).select("*", F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), key.alias("_key"))
+    keyed = keyed.withColumn("_bucket", F.floor(F.shiftright("_key", 40) * F.lit(buckets_for(n)) / F.lit(float(1 << 24))))
+    placed = prefix_sums(keyed, ["_none", "_source"], "_bucket", [F.col("_key"), F.col("doc_id"), *[F.col(t) for t in ties]], [size_col])
+    placed = placed.withColumnRenamed(f"before_{size_col}", "_before").join(F.broadcast(plan), ["_none", "_source"])
+    first, last = F.col("_before"), F.col("_before") + F.col(size_col) - 1
+
+    def piece(epoch: Column, b: Column) -> Column:
+        """The document's words of block b that the epoch draws. A block's place gives the words drawn before it, and its shard."""
+
+        def drawn_at(place: Column) -> Column:
+            before = place * block - F.when(place > F.col("_at_short"), F.col("_short")).otherwise(0)
+            given = F.when(epoch < F.col("_full"), F.lit(block)).otherwise(F.least(F.lit(block), F.col("_rest") - before))
+            start, to = F.greatest(first, b * block), F.least(last + 1, b * block + given, (b + 1) * block)
+            number = epoch * F.col("_n") + place
+            shard = F.size(F.filter("_ends", lambda e: e <= number))
+            return F.struct(shard.alias("shard"), epoch.cast("int").alias("epoch"), (epoch * F.col("_n") + b).alias("block"), (start - first).alias("start"), (to - start).alias("length"))
+
+        return _let(permuted(b, F.col("_n"), salt(epoch)), drawn_at)
+
+    epochs = F.sequence(F.lit(0).cast("long"), F.least(F.lit(most - 1).cast("long"), F.col("_full")))
+    units = F.sequence(F.floor(first / block), F.floor(last / block))
+    every = F.flatten(F.transform(epochs, lambda e: F.transform(units, lambda b: piece(e, b))))
+    pieces = F.when(F.col(size_col) > 0, F.filter(every, lambda p: (p["length"] > 0) & (p["shard"] < shards)))
+    out = placed.withColumn("_pieces", F.coalesce(pieces, F.array().cast(PIECES)))
+    own = [F.col(x).alias(c) for x, c in zip(sealed(docs, *needed).columns, docs.columns) if c not in ADDED]
+    return out.select(*own, "source_size", "target", F.col("_pieces").alias("pieces"))
+
+
+def _drawn_blocks(row: Row, block: int) -> int:
+    """Blocks that a source gives: all of its full epochs, and of the next one those whose words before them are below the rest."""
+    if row["_at_short"] is None:
+        return 0
+    to_short = min(row["_at_short"] + 1, -(-row["_rest"] // block))
+    beyond = -(-(row["_rest"] + row["_short"]) // block)
+    return row["_full"] * row["_n"] + (beyond if beyond > row["_at_short"] + 1 else to_short)
+
+
+def place_in_shard(shard: Column, block: Column, start: Column, doc_id: Column) -> Column:
+    """The local shuffle: rows of a shard by this hash."""
+    return F.xxhash64(F.lit(SEED), shard, block, start, doc_id)
 
 
 def drawn(mixed: DataFrame) -> DataFrame:
-    """One row for each piece of mix(), with its shard and place there; order rows by (shard, place) to write the shards."""
-    flat = mixed.withColumn("_p", F.explode("pieces")).select("*", "_p.*").drop("_p", "pieces")
-    return flat.withColumn("place", F.xxhash64(F.lit(SEED), "shard", "epoch", "block", "start", "doc_id"))
+    """One row for each piece of mix(), with its shard and place there; order rows by (shard, place) to write the shards. Columns named
+    like a part of a piece, or `place`, are replaced."""
+    parts = mixed.schema["pieces"].dataType.elementType.names
+    own = [F.col(f"`{c}`") for c in mixed.columns if c not in (*parts, "place", "pieces")]
+    flat = mixed.select(*own, F.explode("pieces").alias("_p")).select(*own, "_p.*")
+    return flat.withColumn("place", place_in_shard(F.col("shard"), F.col("block"), F.col("start"), F.col("doc_id")))
 
 
 def mixture(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row of documents."""
-    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    """doc_id, size, source_size, target, taken of each row of documents, and draws: shard:place:epoch:block:start:length of each
+    piece that a shard draws, comma-joined. taken is the sum of these lengths."""
+    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda acc, p: acc + p["length"])
-    return mix(sized, shards).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    place = lambda p: place_in_shard(p["shard"], p["block"], p["start"], F.col("doc_id"))
+    draw = lambda p: F.concat_ws(":", *[x.cast("string") for x in (p["shard"], place(p), p["epoch"], p["block"], p["start"], p["length"])])
+    return mix(sized, shards, ties=("row",)).select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join(F.transform("pieces", draw), ",").alias("draws"))
 
 
 def resample(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """The mixed documents: a row for each copy that the mix takes; a copy cut at its source's target holds the words before the cut,
-    joined by spaces. Documents without words are left out: the mix takes none of their words."""
-    size, taken = "_size", F.aggregate(F.filter("pieces", lambda p: p["epoch"] == F.col("_epoch")), F.lit(0).cast("long"), lambda acc, p: acc + p["length"])
-    sized = sealed(docs, "doc_id", "source", "text", "n_chars").withColumn(size, n_words(F.col("text")))
-    copies = mix(sized, shards, size).withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))).where("epochs > 0").withColumn("_taken", taken)
-    words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    cut = F.when(F.col("_taken") == F.col(size), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_taken").cast("int")), " "))
-    out = copies.withColumn("text", cut)
+    """The mixed documents: a row for each piece that a shard draws, in order of shard and place. A document that lies in one block
+    comes whole; of others each piece holds its words, joined by spaces. Documents without words are left out: the mix takes none of
+    their words. Partitions hold one shard each, or a range of places of one."""
+    needed = ("doc_id", "source", "text", "n_chars")
+    sized = sealed(docs, *needed).withColumn("_size", n_words(F.col("text"))).withColumn("_tie", F.xxhash64("text"))
+    mixed = mix(sized, shards, "_size", ties=("_tie",))
+    cut = F.exists("pieces", lambda p: p["length"] < F.col("_size"))
+    words = F.when(cut, F.filter(F.split("text", SPACE), lambda w: w != "")).otherwise(F.array().cast("array<string>"))
+    texts = _let(words, lambda w: F.transform("pieces", lambda p: F.when(p["length"] == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(w, p["start"].cast("int") + 1, p["length"].cast("int")), " "))))
+    out = drawn(mixed.withColumn("pieces", F.transform(F.arrays_zip(F.col("pieces").alias("p"), texts.alias("t")), lambda x: F.struct(x["p"]["shard"].alias("shard"), x["p"]["block"].alias("block"), x["p"]["start"].alias("start"), x["t"].alias("_text")))))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    part = F.col("shard") * parts + F.floor((F.shiftright("place", 32) / float(1 << 32) + 0.5) * parts).cast("int")
+    out = out.withColumn("text", F.col("_text")).repartitionById(shards * parts, part).sortWithinPartitions("shard", "place", "_tie")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return unsealed(out, docs.columns, "doc_id", "source", "text", "n_chars")
+    return unsealed(out, docs.columns, *needed)
