@@ -221,8 +221,8 @@ def score(docs: DataFrame, vocabulary: str | None = None, hot: int = HOT) -> Dat
         known = table.value
         for pdf in batches:
             for at in range(0, len(pdf), 256):
-                out = {k: [] for k in ("row", "word", "tf", "tokens", "known", "base", "lm")}
-                for row, text in zip(pdf["row"].iloc[at : at + 256], pdf["text"].iloc[at : at + 256]):
+                out = {k: [] for k in ("row", "id", "word", "tf", "tokens", "known", "base", "lm")}
+                for row, doc_id, text in zip(*[pdf[c].iloc[at : at + 256] for c in ("row", "id", "text")]):
                     words = words_of(text)
                     base, lm, seen = end
                     rest = []
@@ -233,15 +233,16 @@ def score(docs: DataFrame, vocabulary: str | None = None, hot: int = HOT) -> Dat
                             seen += tf * got[2]
                         else:
                             rest.append((w.decode(), tf))
-                    for k, v in (("row", [row] * (len(rest) + 1)), ("word", [None, *[w for w, _ in rest]]), ("tf", [0, *[tf for _, tf in rest]]), ("tokens", [len(words) + 1, *[0] * len(rest)]), ("known", [seen, *[0] * len(rest)]), ("base", [base, *[0.0] * len(rest)]), ("lm", [lm, *[0.0] * len(rest)])):
+                    for k, v in (("row", [row] * (len(rest) + 1)), ("id", [doc_id, *[None] * len(rest)]), ("word", [None, *[w for w, _ in rest]]), ("tf", [0, *[tf for _, tf in rest]]), ("tokens", [len(words) + 1, *[0] * len(rest)]), ("known", [seen, *[0] * len(rest)]), ("base", [base, *[0.0] * len(rest)]), ("lm", [lm, *[0.0] * len(rest)])):
                         out[k] += v
                 yield pd.DataFrame(out)
 
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    parts = stored(numbered.select("row", "text").mapInPandas(sums_of, "row long, word string, tf long, tokens long, known long, base double, lm double"))
+    # The row's number and id are made in the one pass that is stored, so that no later job numbers the rows anew.
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("id"), "text")
+    parts = stored(numbered.mapInPandas(sums_of, "row long, id string, word string, tf long, tokens long, known long, base double, lm double"))
     rare = parts.where("word is not null").select("row", "word", "tf").join(scored.select("word", "c", "lm"), "word")
-    rare = rare.select("row", F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known"), (F.col("tf") * F.log10((F.col("c") + SMOOTH) / F.lit(float(whole)))).alias("base"), (F.col("tf") * F.col("lm")).alias("lm"))
-    both = parts.where("word is null").select("row", "tokens", "known", "base", "lm").union(rare)
-    sums_by_row = both.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "lm")])
-    ids = numbered.select("row", "doc_id", out.alias("held_out"))
-    return ids.join(sums_by_row, "row").select("doc_id", "held_out", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lm").alias("score"))
+    rare = rare.select("row", F.lit(None).cast("string").alias("id"), F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known"), (F.col("tf") * F.log10((F.col("c") + SMOOTH) / F.lit(float(whole)))).alias("base"), (F.col("tf") * F.col("lm")).alias("lm"))
+    both = parts.where("word is null").select("row", "id", "tokens", "known", "base", "lm").union(rare)
+    by_row = both.groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("tokens", "known", "base", "lm")])
+    doc_id = F.col("id").cast(docs.schema["doc_id"].dataType)
+    return by_row.select(doc_id.alias("doc_id"), held_out(F.col("id")).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lm").alias("score"))
