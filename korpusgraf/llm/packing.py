@@ -11,10 +11,12 @@ whole. Empty table: no rows. Further columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 from struct import pack as packed
 
 import numpy as np
@@ -28,7 +30,7 @@ CAPACITY, END = 4096, 1
 CACHE = 1 << 17
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def default_tokenizer() -> str:
@@ -44,10 +46,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(rest)) for b in range(256)}
 
 
+#: The parts of a tokenizer file under which runs between white space can be encoded apart (Encoder).
+BY_RUNS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 class Encoder:
-    """Ids of whole texts, little-endian. The tokenizer drops white space, lower-cases and never joins a letter to a mark after it, so
-    each distinct run of the lower-cased text is encoded once, its closing marks apart, and kept. Plain lower-case words are one
-    pre-token and go to the merges at once. Of kept runs there are two generations of at most CACHE each: a full one becomes the old one,
+    """Ids of whole texts, little-endian. A tokenizer that drops white space, lower-cases and never joins a letter to a mark after it
+    (its file has the parts in BY_RUNS) meets each distinct run of the lower-cased text once, its closing marks apart, and the ids are
+    kept; any other one is given whole texts. Plain lower-case words are one pre-token and go to the merges at once. Of kept runs there are two generations of at most CACHE each: a full one becomes the old one,
     and old runs that are met again move to the new."""
 
     def __init__(self, path: str):
@@ -56,6 +67,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merges = self.tokenizer.model
+        spec = json.loads(Path(path).read_text())
+        self.by_runs = all(spec.get(k) == v for k, v in BY_RUNS.items())
         self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -76,6 +89,8 @@ class Encoder:
         return ids
 
     def ids(self, text: str | None) -> bytes:
+        if not self.by_runs:
+            return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
         words = (text or "").encode().lower().split()
         if len(self.known) > CACHE:
             self.known, self.old = {}, self.known
@@ -92,7 +107,6 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each row."""
-    small_batches(docs)
     path = tokenizer or default_tokenizer()
     end = np.array([END], "<u4").tobytes()
 
@@ -108,9 +122,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(cut, PIECES)  # as text: a null makes a batch's ids doubles
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def fullest(left: np.ndarray, room: int, first: int) -> list[tuple[int, int]]:
@@ -163,13 +178,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
-    cut = stored(pieces(docs, tokenizer, capacity))
+    with small_batches(docs):
+        cut = stored(pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()))
     counted = cut.groupBy("length").agg(F.count("*").alias("n")).collect()  # a row for each length, at most `capacity`
     counts = {int(r["length"]): int(r["n"]) for r in counted}
     rows, _ = plan(counts, capacity)
     held = docs.sparkSession.sparkContext.broadcast((rows, (rows[:, 0] << 44) | rows[:, 1]))  # bounded by the lengths
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets_for(sum(counts.values()))))
-    order = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
+    bucket = F.pmod(F.xxhash64("row"), F.lit(buckets_for(sum(counts.values()))))  # not by doc_id, which may repeat or be null
+    order = [F.col("doc_id"), F.col("piece"), F.col("row")]
     numbered = prefix_sums(cut.withColumn("bucket", bucket).withColumn("one", F.lit(1).cast("long")), ["length"], "bucket", order, ["one"])
 
     @F.pandas_udf("sequence_id long, offset long")
