@@ -19,7 +19,7 @@ from math import isqrt
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusgraf.llm.common import sealed, small_batches, stored, unsealed
@@ -104,45 +104,52 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     return nodes[moved], nodes[labels[moved]]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = 32, least_rows: int = 256, most_rows: int = 1 << 20, most_blocks: int = 1_024) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = 32, least_rows: int = 256, most_rows: int = 1 << 20) -> DataFrame:
     """(src, dst) links whose components are those of all pairs of nodes.fp within the radius. Fingerprints of one population count
-    are dealt into blocks. How often a fingerprint is sent follows the number of blocks, so that number follows the cluster's
-    partitions and not the rows, until a block would hold over most_rows."""
+    are dealt into blocks, and each block meets every block whose count differs by at most the radius, in one group for each pair. How often
+    a fingerprint is sent follows the number of blocks, so that number follows the cluster's partitions and not the rows, until a
+    block would hold over most_rows. The pairs of blocks are expressions on the row: the plan knows the 65 numbers of blocks only."""
     spark = nodes.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ones = nodes.select("fp", F.bit_count("fp").alias("ones"))
     held = {r["ones"]: r["n"] for r in ones.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     total = sum(held.values())
-    size = max(least_rows, min(most_rows, -(-total // max(blocks, isqrt(4 * partitions)))), -(-total // most_blocks))
-    parts = {c: -(-n // size) for c, n in held.items()}
-    held_blocks = sorted((c, k) for c, n in parts.items() for k in range(n))
-    pairs = [(x, y) for i, x in enumerate(held_blocks) for y in held_blocks[i:] if y[0] - x[0] <= radius]
-    meets = [(*b, n, s) for n, (x, y) in enumerate(pairs) for b, s in (((x, 0),) if x == y else ((x, 0), (y, 1)))]
-    if not meets:
-        return spark.createDataFrame([], "src long, dst long")
-    split = F.create_map(*[F.lit(int(v)) for kv in parts.items() for v in kv])
-    plan = spark.createDataFrame(meets, "ones int, part int, pair int, side int")  # at most (most_blocks + 65) squared rows
-    dealt = ones.withColumn("part", F.pmod(F.xxhash64("fp"), split[F.col("ones")]).cast("int")).join(F.broadcast(plan), ["ones", "part"])
-    tasks = max(partitions, min(len(pairs), 4096) // 2)
+    size = max(least_rows, min(most_rows, -(-total // max(blocks, isqrt(4 * partitions)))))
+    parts = [-(-held.get(c, 0) // size) for c in range(65)]
+    n_pairs = sum(parts[c] * (parts[c] + 1) // 2 + parts[c] * sum(parts[c + 1 : c + 1 + radius]) for c in range(65))
+    number = F.array(*[F.lit(p) for p in parts])
+    own = F.struct(F.col("ones"), F.pmod(F.xxhash64("fp"), number[F.col("ones")]).cast("int").alias("part"))
+    near = F.sequence(F.greatest(F.lit(0), F.col("ones") - radius), F.least(F.lit(64), F.col("ones") + radius))
+    met = F.flatten(F.transform(near, lambda c: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.lit(1), number[c]) - 1), lambda k: number[c] > 0), lambda k: F.struct(c.alias("ones"), k.alias("part")))))
+    dealt = ones.select("fp", own.alias("own"), F.explode(met).alias("other"))
+    ends = F.least("own", "other"), F.greatest("own", "other")
+    pair = F.concat_ws(":", *[e[x].cast("string") for e in ends for x in ("ones", "part")])
+    tasks = max(partitions, min(n_pairs, 1 << 17) // 2)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         fps, side = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["side"].to_numpy()
         a, b = forest(fps[side == 0], fps[side == 1] if (side == 1).any() else None, radius)
         return pd.DataFrame({"src": a.view(np.int64), "dst": b.view(np.int64)})
 
-    return dealt.select("pair", "side", "fp").repartition(tasks, "pair").groupBy("pair").applyInPandas(meet, "src long, dst long")
+    dealt = dealt.select(pair.alias("pair"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
+    return dealt.repartition(tasks, "pair").groupBy("pair").applyInPandas(meet, "src long, dst long")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) for each row, and for each fingerprint (fp, component_id, keeper_fp): the group's smallest doc_id and the
-    fingerprint of that document."""
-    small_batches(docs)
-    fps = stored(docs.select(F.col("doc_id"), fingerprint_of("text").alias("fp")))
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    """(doc_id, fp, digest) for each row, digest being a hash of the text, and for each fingerprint (fp, component_id, keeper): the
+    group's smallest doc_id and the digest of that document, the least one if several have its id."""
+    with small_batches(docs):
+        fps = stored(docs.select("doc_id", fingerprint_of("text").alias("fp"), _digest("text").alias("digest")))
+    first_of = lambda id_, digest: F.min(F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), F.col(digest).alias("digest")))
+    nodes = stored(fps.groupBy("fp").agg(first_of("doc_id", "digest").alias("k")).select("fp", F.col("k.id").alias("rep"), "k.digest"))
     roots = connected_components(links(nodes, radius))
-    of = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    first = of.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep"), F.col("fp"))).alias("k"))
-    return fps, of.join(first, "root").select("fp", F.col("k.rep").alias("component_id"), F.col("k.fp").alias("keeper_fp"))
+    of = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", "digest", F.coalesce("root", "fp").alias("root"))
+    first = of.groupBy("root").agg(first_of("rep", "digest").alias("k"))
+    return fps, of.join(first, "root").select("fp", F.col("k.id").alias("component_id"), F.col("k.digest").alias("keeper"))
+
+
+def _digest(text: str) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def hex_digits(fp: Column) -> Column:
@@ -156,10 +163,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, one document of each group: that with the smallest doc_id."""
+    """The rows of docs, one document of each group: that with the smallest doc_id. Of several rows with that id, the one whose
+    text has the least hash stays, and of those with one text the first by its other columns, in their order (nulls first; columns
+    that can't be ordered don't count)."""
     held = sealed(docs, "doc_id", "text")
     _, classes = groups(held, radius)
-    keep = classes.select(F.col("component_id").alias("_id"), F.col("keeper_fp").alias("_keep")).distinct()
-    marked = held.withColumn("_fp", fingerprint_of("text"))
-    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["_id"]) & (marked["_fp"] == keep["_keep"]), "left_semi")
-    return unsealed(kept.dropDuplicates(["doc_id", "_fp"]), docs.columns, "doc_id", "text")
+    keep = stored(classes.select(F.col("component_id").alias("_id"), F.col("keeper").alias("_keep")).distinct())
+    marked = held.withColumn("_digest", _digest("text"))
+    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["_id"]) & (marked["_digest"] == keep["_keep"]), "left_semi")
+    order = [F.col(c) for c, t in kept.dtypes if not any(x in t for x in ("map<", "variant", "interval"))]
+    first = Window.partitionBy("doc_id", "_digest").orderBy(*order)
+    return unsealed(kept.withColumn("_n", F.row_number().over(first)).where("_n = 1"), docs.columns, "doc_id", "text")
