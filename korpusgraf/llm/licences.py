@@ -3,9 +3,10 @@
 A text's canonical form: A-Z lower-cased, lines that hold a copyright notice left out, equivalent spellings made one, and every
 run of other characters than letters and digits one space. Its MD5 is the digest. For the lookup, punctuation and symbols beyond ASCII
 are spaces as well; the MD5 of that form is hash-joined to those of the known texts: notices (KNOWN) and entire licences (entire()). Whole
-documents are looked up, and so is every line of a document that names a licence, as an entire text of its own.
+documents are looked up, every line as an entire text of its own, and every block between blank lines: a known text of n blocks stands in a
+document where its n block digests follow each other. Comment marks are no letters, so licences in file headers are found the same way.
 
-The SQL twin knows the notices and the texts in KNOWN only, and looks up the digest itself: it gives less than scan() where a document is another
+The SQL twin knows the notices and the texts in KNOWN only, and looks up the digest itself: it gives less than scan() where a document holds another
 entire licence or has such punctuation.
 
 Cases: null or empty text: digest of the empty form, no licence. Equal digests of several known texts would name the least licence.
@@ -26,13 +27,13 @@ from korpusgraf.llm.common import ascii_lower
 #: Equivalent spellings, applied in this order to the lower-cased text.
 SPELLINGS = [
     (r"licence", "license"), (r"organisation", "organization"), (r"sub-license", "sublicense"), (r"non-commercial", "noncommercial"),
-    (r"merchantability", "merchantability"), (r"https://", "http://"), (r"&", " and "), (r"\bver(sion|\.)? ?(\d)", r"v$2"), (r"\bv\.? ?(\d)", r"v$1"), (r"(\d)\.0\b", "$1"), (r"\bthe\b", " "),
+    (r"https://", "http://"), (r"&", " and "), (r"\bver(sion|\.)? ?(\d)", r"v$2"), (r"\bv\.? ?(\d)", r"v$1"), (r"(\d)\.0\b", "$1"), (r"\bthe\b", " "),
 ]
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
 #: A line break within a sentence of the terms before this word, where the next line is no notice.
 WRAPPED = r"(?<=[^\s])[ \t]*\r?\n[^A-Za-z0-9\n]*(copyright|COPYRIGHT)(?=(?i:, [a-z]|\s+(?:notice|statement|holder|owner|law|licen[cs]e|interest|permission|disclaimer|treat|and|or|on the|in the|the software)))"
-NAMES_LICENCE = r"licen[cs]|permission|public domain|copyright|redistribution|warranty|spdx"
 
+#: The texts of two licences.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -94,50 +95,80 @@ def entire() -> list[tuple[str, str]]:
     return out
 
 
-def canonical(text: Column) -> Column:
+def line_forms(text: Column) -> Column:
+    """The canonical form with its line breaks kept."""
     t = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
     for pattern, to in SPELLINGS:
         t = F.regexp_replace(t, pattern, to)
-    return F.trim(F.regexp_replace(t, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
+    return F.regexp_replace(t, r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " ")
+
+
+def _flat(form: Column) -> Column:
+    return F.trim(F.regexp_replace(form, r"[ \n]+", " "))
 
 
 def digest(text: Column) -> Column:
-    return F.md5(canonical(text).cast("binary"))
+    return F.md5(_flat(line_forms(text)).cast("binary"))
+
+
+def _plain(form: Column) -> Column:
+    """A form with its line breaks, without punctuation, symbols, spaces and format marks beyond ASCII."""
+    return F.regexp_replace(form, r"[ \p{P}\p{S}\p{Z}\p{Cf}\x{80}-\x{9F}]+", " ")
 
 
-def lookup_key(form: Column) -> Column:
-    """MD5 of a canonical form without punctuation, symbols, spaces and format marks beyond ASCII; spellings with a hyphen are made one with any dash."""
-    plain = F.trim(F.regexp_replace(form, r"[ \p{P}\p{S}\p{Z}\p{Cf}\x{80}-\x{9F}]+", " "))
-    return F.md5(F.regexp_replace(plain, r"\b(non|sub) (commercial|license)", "$1$2").cast("binary"))
+def _key(plain: Column) -> Column:
+    """MD5 for the lookup; spellings with a hyphen are made one with any dash."""
+    return F.md5(F.regexp_replace(_flat(plain), r"\b(non|sub) (commercial|license)", "$1$2").cast("binary"))
 
 
-def text_key(text: Column, form: Column) -> Column:
-    """Lookup key of an entire text, however its lines are broken. form: its canonical form."""
-    return F.when(text.rlike(WRAPPED), lookup_key(canonical(F.regexp_replace(text, WRAPPED, " $1")))).otherwise(lookup_key(form))
+def with_keys(texts: DataFrame) -> DataFrame:
+    """texts (text and others) with digest, key of the whole text, and keys of its lines and blocks. A block is a run of lines whose
+    forms hold something, so that comment marks and empty comment lines are no part of it. Line breaks before `copyright` within
+    a sentence are taken away for whole texts and blocks."""
+    form = texts.withColumn("form", line_forms(F.col("text")))
+    unwrapped = F.when(F.col("text").rlike(WRAPPED), line_forms(F.regexp_replace("text", WRAPPED, " $1"))).otherwise(F.col("form"))
+    form = form.select("*", _plain(F.col("form")).alias("plain"), _plain(unwrapped).alias("whole"))
+    lines = F.filter(F.transform(F.split("plain", "\n"), F.trim), lambda x: x != "")
+    blocks = F.filter(F.split(F.regexp_replace("whole", r" *\n *", "\n"), "\n{2,}"), lambda b: F.trim(F.translate(b, "\n", " ")) != "")
+    return form.select(
+        *texts.columns, F.md5(_flat(F.col("form")).cast("binary")).alias("digest"), _key(F.col("whole")).alias("key"),
+        F.transform(lines, _key).alias("line_keys"), F.transform(blocks, _key).alias("block_keys"),
+    )
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    """(key, license) of the known texts, made by the same expressions as the documents' keys; one row a text."""
-    texts = spark.createDataFrame(known, "license string, text string")
-    return texts.groupBy(text_key(F.col("text"), canonical(F.col("text"))).alias("key")).agg(F.min("license").alias("license"))
+def known_units(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
+    """(kind, key, license, no, j, n) of the known texts, by the expressions that make the documents' keys: each as an entire text (kind
+    text, and line), and its n blocks by number (kind block)."""
+    keyed = with_keys(spark.createDataFrame(known, "license string, text string"))
+    entire_ = keyed.groupBy("key").agg(F.min(F.struct("license", "block_keys")).alias("k")).select("key", "k.license", "k.block_keys")
+    whole = entire_.select(F.explode(F.array(F.lit("text"), F.lit("line"))).alias("kind"), "key", "license", F.lit("").alias("no"), F.lit(0).alias("j"), F.lit(1).alias("n"))
+    parts = entire_.select(F.lit("block").alias("kind"), F.posexplode("block_keys").alias("j", "key"), "license", F.col("key").alias("no"), F.size("block_keys").alias("n"))
+    return whole.unionByName(parts)
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, digest, text_license (of the whole text, or null), n_license_lines, line_licenses (distinct, sorted, comma-joined)."""
+    """doc_id, digest, text_license (of the whole text, or null), n_license_lines, line_licenses, block_licenses (distinct, sorted,
+    comma-joined) of each row. A known text stands in a document where all its blocks stand one after the other."""
     known = KNOWN + entire() if known is None else known
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ascii_lower(x).rlike(NAMES_LICENCE))
-    forms = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", canonical(F.col("text")).alias("form"), lines.alias("lines"))
-    whole = forms.select("row", "doc_id", F.md5(F.col("form").cast("binary")).alias("digest"), text_key(F.col("text"), F.col("form")).alias("key"), "lines")
-    units = whole.select("row", "doc_id", "digest", "key", F.explode(F.concat(F.array(F.lit(None).cast("string")), "lines")).alias("line"))
-    units = units.select("row", "doc_id", F.col("line").isNull().alias("is_text"), "digest", F.when(F.col("line").isNull(), F.col("key")).otherwise(lookup_key(canonical(F.col("line")))).alias("key"))
-    met = units.join(F.broadcast(known_digests(docs.sparkSession, known)), "key", "left")  # as many rows as known texts
-    of_line = F.when(~F.col("is_text"), F.col("license"))
-    return met.groupBy("row", "doc_id").agg(
-        F.max(F.when(F.col("is_text"), F.col("digest"))).alias("digest"),
-        F.max(F.when(F.col("is_text"), F.col("license"))).alias("text_license"),
-        F.count(of_line).alias("n_license_lines"),
-        F.array_join(F.sort_array(F.collect_set(of_line)), ",").alias("line_licenses"),
-    ).drop("row")
+    raw = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("raw")  # rows of one id and text are told by their number only
+    keyed = with_keys(docs.select("doc_id", "text")).select("doc_id", raw, "digest", "key", "line_keys", "block_keys")
+    unit = lambda kind, keys: F.transform(keys, lambda k, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), k.alias("key")))
+    units = keyed.select("doc_id", "raw", "digest", F.explode(F.concat(unit("text", F.array("key")), unit("line", F.col("line_keys")), unit("block", F.col("block_keys")))).alias("u"))
+    units = units.select("doc_id", "raw", "digest", "u.*")
+    met = units.join(F.broadcast(known_units(docs.sparkSession, known)), ["kind", "key"], "left").where("kind = 'text' OR license IS NOT NULL")  # a fixed catalogue
+    begins = F.when(F.col("kind") == "block", F.col("i") - F.col("j"))
+    counted = met.groupBy("doc_id", "raw", "digest", "kind", "license", "no", "n", begins.alias("at")).agg(F.count("*").alias("c"))
+    hits = F.collect_list(F.when(F.col("kind") == "block", F.struct("license", "n", "c")))
+    of = counted.groupBy("doc_id", "raw", "digest").agg(
+        F.max(F.when(F.col("kind") == "text", F.col("c"))).alias("rows"),
+        F.max(F.when(F.col("kind") == "text", F.col("license"))).alias("text_license"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "line", F.col("c"))), F.lit(0)).alias("lines"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("kind") == "line", F.col("license")))), ",").alias("line_licenses"),
+        hits.alias("hits"),
+    )
+    whole = F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("hits", lambda h: h["c"] >= h["n"] * F.col("rows")), lambda h: h["license"]))), ",")
+    out = of.select("*", whole.alias("block_licenses"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return out.select("doc_id", "digest", "text_license", F.expr("lines div rows").alias("n_license_lines"), "line_licenses", "block_licenses")
 
 
 def _sql() -> str:
@@ -146,17 +177,27 @@ def _sql() -> str:
     for pattern, to in SPELLINGS:
         to = to.replace("$", "\\")
         t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(to)}, 'g')"
-    form = f"md5(trim(regexp_replace({t}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')))"
+    form = f"regexp_replace({t}, '[^a-z0-9\\n\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')"
+    flat = "md5(trim(regexp_replace(%s, '[ \\n]+', ' ', 'g')))"
     values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in KNOWN)
+    split = "list_filter(string_split_regex(regexp_replace(form, ' *\\n *', chr(10), 'g'), '\\n{2,}'), lambda b: trim(replace(b, chr(10), ' ')) <> '')"
     return f"""
-WITH known AS (SELECT {form % "x"} AS digest, min(k) AS license FROM (VALUES {values}) AS t(k, x) GROUP BY 1),
-docs AS (SELECT row_number() OVER () AS r, doc_id, text, {form % "text"} AS digest FROM documents),
-lines AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM docs),
+WITH texts AS (SELECT k, {form % "x"} AS form FROM (VALUES {values}) AS t(k, x)),
+known AS (SELECT {flat % "form"} AS digest, min({{'license': k, 'blocks': {split}}}) AS u FROM texts GROUP BY 1),
+parts AS (SELECT digest AS no, u.license AS license, len(u.blocks) AS n, unnest(range(len(u.blocks))) AS j, unnest(u.blocks) AS b FROM known),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {form % "text"} AS form FROM documents),
+lines AS (SELECT r, unnest(string_split(form, chr(10))) AS line FROM docs),
 hits AS (
-  SELECT r, count(license) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
-  FROM (SELECT r, {form % "line"} AS digest FROM lines WHERE regexp_matches(lower(line), '{NAMES_LICENCE}')) JOIN known USING (digest) GROUP BY r)
-SELECT doc_id, docs.digest AS digest, known.license AS text_license, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines, coalesce(names, '') AS line_licenses
-FROM docs LEFT JOIN known ON docs.digest = known.digest LEFT JOIN hits USING (r)
+  SELECT r, count(*) AS n, string_agg(DISTINCT u.license, ',' ORDER BY u.license) AS names
+  FROM (SELECT r, {flat % "line"} AS digest FROM lines) JOIN known USING (digest) GROUP BY r),
+blocks AS (SELECT r, unnest(range(len({split}))) AS i, unnest({split}) AS b FROM docs),
+runs AS (
+  SELECT r, license FROM (SELECT r, i, {flat % "b"} AS key FROM blocks) JOIN (SELECT *, {flat % "b"} AS key FROM parts) USING (key)
+  GROUP BY r, license, no, n, i - j HAVING count(*) = n),
+held AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM runs GROUP BY r)
+SELECT doc_id, {flat % "form"} AS digest, known.u.license AS text_license, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines,
+       coalesce(hits.names, '') AS line_licenses, coalesce(held.names, '') AS block_licenses
+FROM docs LEFT JOIN known ON {flat % "form"} = known.digest LEFT JOIN hits USING (r) LEFT JOIN held USING (r)
 """
 
 
