@@ -3,9 +3,11 @@
 Shapes (leftmost, non-overlapping per kind): assignments to a secret's name, access keys, long runs of hex digits. Further tokens of
 [A-Za-z0-9+/_-], with '=' as closing padding only, that are long enough for their inferred encoding (hex, base32, base64) and hold letters
 as well as digits go through the battery: chi-squared uniformity over the encoding's alphabet, a runs test about its middle and a lag-one serial correlation, joined by
-Bonferroni. Benjamini-Hochberg within each stratum of encoding and length rejects the tokens that are not random; p-values are
-counted on a fixed grid over all documents, so that the cut of a stratum needs a row for each grid cell only. Tokens that stay are spans
-of kind `random`, unless they overlap a span of a known shape. A span is the whole match in code points, end exclusive.
+Bonferroni. Which of them are reported is decided within each stratum of encoding and length, where p-values are counted on a fixed
+grid over all documents, so that the cut of a stratum needs a row for each grid cell only: Benjamini-Hochberg rejects tokens as not random, and the
+share of tokens among the reported that are not random, estimated from the p-values, is held at FALSE_SHARE (cut_of). Where text tokens
+reach p above 1/2 they can't be told from random ones by p-values, so short strata can hold more false spans than that. Tokens that stay
+are spans of kind `random`, unless they overlap a span of a known shape. A span is the whole match in code points, end exclusive.
 
 Cases: null text is empty: no spans, digest of the empty string. Repeated rows and null doc_ids: each row is returned. Very long
 texts are read whole. Further columns of docs are kept out of scan() and untouched by redact().
@@ -37,7 +39,8 @@ ENCODINGS = [
     ("base64", re.compile(r"[A-Za-z0-9+/_-]+=*"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
 ]
 GRID = 400  # cells of -log10(p), 0.05 wide
-LEVEL = 0.01
+HALF = 6  # cells before it have p above 1/2
+LEVEL, FALSE_SHARE = 0.01, 0.05
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -101,10 +104,14 @@ def battery(token: str) -> tuple[int, float] | None:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, grid cell) of the tokens that go through the battery."""
-    out = []
+    """(start, end, stratum, grid cell) of the tokens that go through the battery: those that no span of `taken`, which comes by start,
+    overlaps. Both lists are read once, side by side."""
+    out, at, until = [], 0, 0
     for m in TOKEN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in taken) and (got := battery(m.group())):
+        while at < len(taken) and taken[at][0] < m.end():
+            until = max(until, taken[at][2])
+            at += 1
+        if until <= m.start() and (got := battery(m.group())):
             stratum = got[0] * 16 + min(15, (m.end() - m.start()).bit_length())
             out.append((m.start(), m.end(), stratum, min(GRID - 1, int(-math.log10(max(got[1], 1e-300)) / 0.05))))
     return out
@@ -122,26 +129,35 @@ def _found(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"base": base, "more": more})
 
 
-def cuts(cells: DataFrame, level: float = LEVEL) -> dict[int, int]:
-    """For each stratum, the least grid cell that Benjamini-Hochberg rejects as not random. cells: (stratum, cell) of all candidates."""
+def cut_of(n: np.ndarray, level: float = LEVEL, false_share: float = FALSE_SHARE) -> int:
+    """The grid cell from which on a stratum's tokens are not reported; n: its tokens by cell.
+
+    Random tokens have uniform p-values, others small ones, so the tokens with p above 1/2 give the number of random ones
+    (one added, doubled, all at most). A cut is allowed while the tokens reported beyond those expected of that number are at most
+    `false_share` of the reported, or within one standard error of it. Within that, Benjamini-Hochberg at `level` rejects tokens as not random."""
+    p = 10.0 ** (-0.05 * np.arange(GRID + 1))
+    m, kept = n.sum(), np.append(0, n.cumsum())  # kept[c]: tokens in the cells before c
+    at_least = m - kept[:-1]
+    rejected = np.flatnonzero((p[:-1] * m <= level * np.maximum(at_least, 1)) & (at_least > 0))
+    random = min(float(m), (kept[HALF] + 1) / (1 - p[HALF]))
+    false = np.maximum(0.0, kept - random * (1 - p))
+    allowed = np.flatnonzero(false <= false_share * kept + np.sqrt(kept))
+    return min(int(rejected[0]) if len(rejected) else GRID, int(allowed[-1]))
+
+
+def cuts(cells: DataFrame, level: float = LEVEL, false_share: float = FALSE_SHARE) -> dict[int, int]:
+    """cut_of() each stratum. cells: (stratum, cell) of all candidates."""
     counted = cells.groupBy("stratum", "cell").count().collect()  # at most 48 strata x GRID rows
-    out: dict[int, int] = {}
-    for s in {r["stratum"] for r in counted}:
-        n = np.zeros(GRID, np.int64)
-        for r in counted:
-            if r["stratum"] == s:
-                n[r["cell"]] = r["count"]
-        at_least = n[::-1].cumsum()[::-1]
-        ok = np.flatnonzero(10.0 ** (-0.05 * np.arange(GRID)) * n.sum() <= level * np.maximum(at_least, 1))
-        ok = ok[at_least[ok] > 0]
-        out[s] = int(ok[0]) if len(ok) else GRID
-    return out
+    by_stratum: dict[int, np.ndarray] = {}
+    for r in counted:
+        by_stratum.setdefault(r["stratum"], np.zeros(GRID, np.int64))[r["cell"]] = r["count"]
+    return {s: cut_of(n, level, false_share) for s, n in by_stratum.items()}
 
 
 def find(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     """doc_id and spans array<struct<start, kind, end>> (kind by place in KINDS) of each row."""
-    small_batches(docs)
-    seen = stored(docs.select("doc_id", F.pandas_udf(_found, FOUND)("text").alias("f")).select("doc_id", "f.base", "f.more"))
+    with small_batches(docs):
+        seen = stored(docs.select("doc_id", F.pandas_udf(_found, FOUND)("text").alias("f")).select("doc_id", "f.base", "f.more"))
     cut = cuts(seen.select(F.explode("more").alias("m")).select("m.stratum", "m.cell"), level)
     return seen.select("doc_id", "base", _kept("base", "more", cut).alias("spans"))
 
@@ -177,14 +193,14 @@ def redact(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     """docs with every span of its texts replaced by a mark and n_chars counted anew; no row goes, texts without spans stay as they
     are. Two passes: the first counts the p-values, the second finds the spans again and applies the strata's cuts, so that
     no text is shuffled."""
-    small_batches(docs)
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [c[2:] for t in pdf["text"] for c in candidates(t or "", base_spans(t or ""))]
             yield pd.DataFrame(got, columns=["stratum", "cell"], dtype="int32")
 
-    cut = cuts(docs.select("text").mapInPandas(cells, "stratum int, cell int"), level)
+    with small_batches(docs):
+        cut = cuts(docs.select("text").mapInPandas(cells, "stratum int, cell int"), level)
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
