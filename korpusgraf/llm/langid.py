@@ -2,8 +2,9 @@
 
 Character one- to three-grams of the lower-cased whole text are hashed into FEATURES dimensions. Document frequencies are
 counted over all training rows. The weights are fitted by follow-the-regularised-leader (proximal, per coordinate, with L1
-and L2 penalties) on a sample of at most `sample_rows` labelled rows, taken by a hash of doc_id and shared evenly among the
-languages; every fifth sampled row is kept back to fit the temperature that calibrates the probabilities.
+and L2 penalties) on a sample of at most `sample_rows` labelled rows with at most `entries` distinct n-grams together, taken by a hash
+of the row and shared evenly among the languages; every fifth sampled row is kept back to fit the temperature that calibrates the
+probabilities.
 
 Cases: null text or text without a letter: `und` with score 0. No labelled training rows: every row is `und` with score 0. Repeated
 rows and null doc_ids: predicted like any other. Very long texts are read whole, in chunks. Further columns of docs are not read.
@@ -20,10 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusgraf.llm.common import crc_of_id, sealed, small_batches, unsealed
+from korpusgraf.llm.common import crc_of_id, sealed, small_batches, stored, unsealed
 
 FEATURES = 1 << 14
-SAMPLE_ROWS = 3_000
+SAMPLE_ROWS, SAMPLE_ENTRIES = 3_000, 1 << 23
 STEP = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 NONE = "und"
@@ -100,15 +101,14 @@ def calibrated(z: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS, entries: int = SAMPLE_ENTRIES) -> Model | None:
     """train: text and lang of the rows to learn from (doc_id only spreads the sample)."""
-    small_batches(train)
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not rows:
         return None
     langs = sorted(rows)
-    each = max(20, sample_rows // len(langs))
+    each = sample_rows / len(langs)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = np.zeros(FEATURES, np.int64)
@@ -117,24 +117,29 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
                 df += counts(t) > 0
         yield pd.DataFrame({"i": np.arange(FEATURES), "n": df})
 
-    found = train.select("text").mapInPandas(frequencies, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    with small_batches(train):
+        found = train.select("text").mapInPandas(frequencies, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # FEATURES rows
     df = np.zeros(FEATURES)
     df[found["i"]] = found["n"]
     idf = (np.log((1 + sum(rows.values())) / (1 + df)) + 1).astype(np.float32)
 
     share = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, each / rows[lang]))])
-    key = F.xxhash64("doc_id", F.lit("langid"))
+    key = F.xxhash64("doc_id", "text", F.lit("langid"))
     chosen = train.where(F.pmod(key, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text", key.alias("key"))
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             c = [(i, x[i]) for x in map(counts, pdf["text"]) for i in [np.flatnonzero(x)]]  # one text's full counts at a time
-            yield pd.DataFrame({"lang": pdf["lang"], "key": pdf["key"], "i": [i.astype(np.int32) for i, _ in c], "n": [n.astype(np.int32) for _, n in c]})
-
-    got = chosen.mapInPandas(sparse, "lang string, key long, i array<int>, n array<int>").toPandas()
+            yield pd.DataFrame({"lang": pdf["lang"], "key": pdf["key"], "size": [len(i) for i, _ in c], "i": [i.astype(np.int32) for i, _ in c], "n": [n.astype(np.int32) for _, n in c]})
+
+    with small_batches(train):
+        held = stored(chosen.mapInPandas(sparse, "lang string, key long, size long, i array<int>, n array<int>"))
+    order = ["key", "lang", "size"]
+    sizes = [r["size"] for r in held.select(*order).orderBy(*order).limit(sample_rows).collect()]
+    take = int((np.cumsum(sizes) <= entries).sum()) if sizes else 0
+    got = held.orderBy(*order).limit(max(1, take)).toPandas()  # at most sample_rows rows and, but for a single one, `entries` n-grams
     if got.empty:
         return None
-    got = got.assign(size=got["i"].map(len)).sort_values(["key", "lang", "size"], kind="stable").reset_index(drop=True)
     x = []
     for i, n in zip(got["i"], got["n"]):
         i = np.asarray(i, np.int64)
@@ -177,11 +182,12 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row; learnt from the rows that aren't held out."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample_rows)
-    return with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_guess.lang_pred", "_guess.score")
+    with small_batches(docs):
+        return stored(with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_guess.lang_pred", "_guess.score"))
 
 
-def accepted(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows whose language is one of those learnt with a score of at least `least`."""
+def accepted(docs: DataFrame, least: float = 0.0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows whose language is one of those learnt, with a score of at least `least`: unless it is given, only `und` goes."""
     held = sealed(docs, "doc_id", "text", "lang")
     model = fit(held.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample_rows)
     keep = with_language(held, model).where((F.col("_guess.lang_pred") != NONE) & (F.col("_guess.score") >= least))
