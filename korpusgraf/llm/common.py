@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,12 +32,14 @@ def crc_of_id(doc_id: Column) -> Column:
 
 def stored(df: DataFrame) -> DataFrame:
     """Writes df into the shared checkpoint folder and returns a reader of it: lineage is cut there, and a lost executor
-    costs no recomputation. The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a new one is made.
-    The table goes when the application ends."""
+    costs no recomputation. The folder is the session's spark.checkpoint.dir; only where that is unset in local mode (tests) is a
+    new one made. The table goes when the application ends."""
     spark = df.sparkSession
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="korpusgraf-")
         sc.setCheckpointDir(base)
     path = f"{base}/{sc.applicationId}-{uuid.uuid4().hex}"
@@ -45,11 +49,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(docs: DataFrame, rows: int = 1_000) -> None:
-    """Bounds what a Python worker holds of whole texts: at most `rows` rows an Arrow batch (the session's setting, lowered only)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(docs.sparkSession.conf.get(key)) <= rows:
-        docs.sparkSession.conf.set(key, str(rows))
+@contextmanager
+def small_batches(df: DataFrame, rows: int = 1_000) -> Iterator[None]:
+    """Bounds what a Python worker holds of whole texts to `rows` rows an Arrow batch, for the jobs run within; the session's setting
+    is as before afterwards."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    if not 0 < int(before) <= rows:
+        conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        conf.set(key, before)
 
 
 def sealed(docs: DataFrame, *needed: str) -> DataFrame:
