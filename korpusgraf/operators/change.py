@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korpusgraf.operators.intervals import overlapping
 from korpusgraf.operators.lineage import stored
 
 
@@ -79,19 +80,20 @@ def implementations(calls: DataFrame, methods: DataFrame, realises: DataFrame, l
 def expanded_chunks(hits: DataFrame, chunks: DataFrame, entities: DataFrame, edges: DataFrame, budget: int = 7_200) -> DataFrame:
     """hit_id, chunk_id: chunks of the entities one resolved step away from the entities that a hit's lines overlap, in order of chunk, up to `budget` characters
     for each hit. hits and chunks: chunk_id, file_path, start_line, end_line (chunks: size)."""
-    over = lambda c, key: c.join(entities.select("id", "file_path", F.col("start_line").alias("s"), F.col("end_line").alias("t")), "file_path").where("s <= end_line and t >= start_line").select(F.col("chunk_id").alias(key), "id", *(["size"] if "size" in c.columns else []))
+    over = lambda c, key: overlapping(c.withColumnRenamed("chunk_id", "hunk_id"), entities).select(F.col("hunk_id").alias(key), "id")
     known = edges.where("resolution = 'resolved' and dst_id is not null")
     step = known.select(F.col("src_id").alias("id"), F.col("dst_id").alias("other")).union(known.select("dst_id", "src_id")).distinct()
     near = over(hits, "hit_id").join(step, "id").select("hit_id", F.col("other").alias("id")).distinct()
-    met = near.join(over(chunks, "chunk_id"), "id").where("chunk_id <> hit_id").select("hit_id", "chunk_id", "size").distinct()
+    met = near.join(over(chunks, "chunk_id"), "id").where("chunk_id <> hit_id").select("hit_id", "chunk_id").distinct().join(chunks.select("chunk_id", "size"), "chunk_id")
     w = Window.partitionBy("hit_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, 0)
     return met.withColumn("used", F.sum("size").over(w)).where(F.col("used") <= budget).select("hit_id", "chunk_id")
 
 
-def group_paths(groups: DataFrame, depth: int = 6) -> DataFrame:
-    """id, path: names from the root to each group (id, parent_id, name)."""
+def group_paths(groups: DataFrame) -> DataFrame:
+    """id, path: names from the root to each group (id, parent_id, name), level by level until one is empty. Groups in a cycle hang on no root
+    and have no path."""
     out = now = groups.where("parent_id is null").select("id", F.col("name").alias("path"))
-    for _ in range(depth):
+    while True:
         now = stored(groups.select("id", "parent_id", "name").join(now.select(F.col("id").alias("parent_id"), "path"), "parent_id").select("id", F.concat_ws("/", "path", "name").alias("path")))
         if now.isEmpty():
             break

@@ -53,12 +53,17 @@ def library_paths(copies: DataFrame, books: DataFrame, search_order: list[str])
     return counted.select("copy_id", choice.alias("path"))
 
 
+GRAIN = 64  # lines of a cell of a file, in joins of lines and ranges
+
+
 def data_access(edges: DataFrame, entities: DataFrame, asked: DataFrame, per_entity: int = 15, per_group: int = 4) -> DataFrame:
     """id, pos, access, target, lines: what data each asked entity (id) reads and writes on its own lines, grouped by kind and target with the first
     lines, file access first (edges.file_io), then writes. edges: edge_id, src_id, type, dst_name, line, file_io."""
     at = entities.select(F.col("id").alias("src_id"), "source_id", "file_path")
     wanted = entities.join(asked, "id", "left_semi").select("id", "source_id", "file_path", "start_line", "end_line")
-    met = edges.where(F.col("type").isin(list(ACCESS))).join(at, "src_id").join(wanted, ["source_id", "file_path"]).where("line between start_line and end_line")
+    wanted = wanted.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start_line") / GRAIN), F.floor(F.col("end_line") / GRAIN))))
+    met = edges.where(F.col("type").isin(list(ACCESS))).withColumn("cell", F.floor(F.col("line") / GRAIN)).join(at, "src_id")
+    met = met.join(wanted, ["source_id", "file_path", "cell"]).where("line between start_line and end_line")  # a line lies in one cell
     met = stored(met.select("id", "type", "dst_name", "line", "edge_id", "file_io"))
     group = Window.partitionBy("id", "type", "dst_name").orderBy("line", "edge_id")
     flags = met.groupBy("id", "type", "dst_name").agg(F.max("file_io").alias("file_io"))

@@ -36,11 +36,11 @@ def reach(edges: DataFrame, start: DataFrame, hops: int, direction: str = "both"
     return seen
 
 
-def with_ancestors(nodes: DataFrame, entities: DataFrame, depth: int = 32) -> DataFrame:
-    """id: nodes and their ancestors by parent_id, up to `depth` levels; stops at the level that has none."""
+def with_ancestors(nodes: DataFrame, entities: DataFrame) -> DataFrame:
+    """id: nodes and their ancestors by parent_id; stops at the level that has no new one, so that cycles end too."""
     parents = entities.where("parent_id is not null").select("id", "parent_id")
     seen = frontier = nodes.select("id").distinct()
-    for _ in range(depth):
+    while True:
         frontier = stored(frontier.join(parents, "id").select(F.col("parent_id").alias("id")).distinct().join(seen, "id", "left_anti"))
         if frontier.isEmpty():
             break
@@ -125,14 +125,53 @@ def shared_targets(edges: DataFrame, focus_ids: DataFrame) -> DataFrame:
 
 
 def to_graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nr, line: GraphML lines of nodes (id, name) and edges (src_id, dst_id, type); nr orders the header, nodes, edges and footer."""
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    n = nodes.select(F.lit(1).alias("nr"), F.format_string('<node id="n%d"><data key="name">%s</data></node>', "id", esc(F.col("name"))).alias("line"))
-    e = edges.select(F.lit(2).alias("nr"), F.format_string('<edge source="n%d" target="n%d"><data key="type">%s</data></edge>', "src_id", "dst_id", "type").alias("line"))
+    """nr, id, line: the lines of a GraphML file of nodes (id, name) and edges (src_id, dst_id, type) between them, in order of nr and
+    id: header, nodes, edges, footer. Edges with an end that is no node are left out, characters that XML forbids are blanks."""
+
+    def esc(c: Column) -> Column:
+        c = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    spark, text = nodes.sparkSession, lambda c: esc(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    frame = [(0, 0, HEADER[0]), (0, 1, HEADER[1]), (0, 2, HEADER[2]), (0, 3, HEADER[3]), (3, 0, "</graph>"), (3, 1, "</graphml>")]
+    n = nodes.select(F.lit(1).alias("nr"), F.col("id").cast("string").alias("id"), F.format_string('<node id="n%s"><data key="name">%s</data></node>', text("id"), text("name")).alias("line"))
+    e = _inside(nodes, edges).select(F.lit(2).alias("nr"), F.concat_ws(":", "src_id", "dst_id", "type").alias("id"), F.format_string('<edge source="n%s" target="n%s"><data key="type">%s</data></edge>', text("src_id"), text("dst_id"), text("type")).alias("line"))
+    return n.union(e).union(spark.createDataFrame(frame, "nr int, id int, line string").select("nr", F.col("id").cast("string"), "line"))
+
+
+#: The first lines of a GraphML file.
+HEADER = (
+    '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">',
+    '<key id="name" for="node" attr.name="name" attr.type="string"/>',
+    '<key id="type" for="edge" attr.name="type" attr.type="string"/>',
+    '<graph edgedefault="directed">',
+)
+
+
+def _inside(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges both of whose ends are nodes."""
+    ids = nodes.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
+
+
+def to_cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nr, line: a MERGE statement for each node (nr 1) and for each edge between two of them (nr 2), the type as a property."""
+
+    def quoted(c: str) -> Column:
+        q = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        for a, b in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r")):
+            q = F.replace(q, F.lit(a), F.lit(b))
+        return F.concat(F.lit("'"), q, F.lit("'"))
+
+    n = nodes.select(F.lit(1).alias("nr"), F.format_string("MERGE (n:Entity {id: %s}) SET n.name = %s;", F.col("id").cast("string"), quoted("name")).alias("line"))
+    ends = [F.col(c).cast("string") for c in ("src_id", "dst_id")]
+    e = _inside(nodes, edges).select(F.lit(2).alias("nr"), F.format_string("MATCH (a:Entity {id: %s}), (b:Entity {id: %s}) MERGE (a)-[:EDGE {type: %s}]->(b);", *ends, quoted("type")).alias("line"))
     return n.union(e)
 
 
-def to_cypher(nodes: DataFrame) -> DataFrame:
-    """line: a MERGE statement for each node."""
-    q = F.replace(F.replace(F.col("name"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
-    return nodes.select(F.format_string("MERGE (n:Entity {id: %d}) SET n.name = '%s';", "id", q).alias("line"))
+def to_csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """line: the rows' columns as CSV, a field with a comma, a quote or a line break in quotes; the header is the columns' names."""
+    field = lambda c: F.when(F.col(c).cast("string").rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return rows.select(F.concat_ws(",", *[field(c) for c in columns]).alias("line"))

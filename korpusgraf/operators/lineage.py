@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder that the session names in spark.checkpoint.dir, and read again; where it names none, as in tests, to a
+    """df written to the folder that the session names in spark.checkpoint.dir, and read again; where it names none in local mode, as in tests, to a
     new folder. It goes when the application ends."""
     spark = df.sparkSession
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="korpusgraf-")
         sc.setCheckpointDir(base)
     path = f"{base}/{sc.applicationId}-{uuid.uuid4().hex}"

@@ -5,17 +5,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korpusgraf.operators.lineage import stored
+
 
 def keyword_pass(entities: DataFrame, chunks: DataFrame, least: float = 0.3, best: int = 50) -> DataFrame:
-    """id, chunk_id, score: share of an entity's keywords (array) found among a chunk's words; the best chunks of each entity."""
-    words = chunks.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([a-z0-9]{3,})"), F.lit(1)))).alias("k"))
-    keys = entities.where(F.size("keywords") > 0).select("id", F.size("keywords").alias("n"), F.explode("keywords").alias("k"))
-    hit = keys.join(words, "k").groupBy("id", "n", "chunk_id").agg(F.count("*").alias("hits"))
+    """id, chunk_id, score: share of an entity's distinct keywords (array) that stand in a chunk's lower-cased text, also within words; the best chunks of
+    each entity. Keywords of fewer than three characters or with white space don't count.
+
+    The distinct words of all chunks are matched with the distinct keywords first, by the keyword's first three characters, so that
+    texts are read once. A pair at `least` or more shares one of the entity's rarest keywords: all but so many that the
+    others alone could not reach it. Candidates come from those only, and frequent keywords are then counted for candidates."""
+    words = stored(chunks.select("chunk_id", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("w")).where(F.length("w") >= 3))
+    keys = entities.select("id", F.array_distinct(F.filter("keywords", lambda k: (F.length(k) >= 3) & ~k.rlike(r"\s"))).alias("ks")).where(F.size("ks") > 0)
+    keys = stored(keys.select("id", F.size("ks").alias("n"), F.explode("ks").alias("k")))
+    vocabulary = words.groupBy("w").agg(F.count("*").alias("df"))
+    grams = vocabulary.select("w", "df", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, F.lit(3))))).alias("g"))
+    held = keys.select("k").distinct().withColumn("g", F.substring("k", 1, 3)).join(grams, "g").where(F.contains("w", F.col("k")))
+    held = stored(held.select("k", "w", "df"))
+    seen = stored(words.join(held.select("k", "w"), "w").select("k", "chunk_id").distinct())
+    rarity = held.groupBy("k").agg(F.sum("df").alias("df"))
+    by_rarity = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "k")
+    ranked = keys.join(rarity, "k", "left").withColumn("nr", F.row_number().over(by_rarity))
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(least - 0.00005)))  # scores have four decimals
+    rare = ranked.where(F.col("nr") <= F.col("n") - need + 1)
+    pairs = rare.select("id", "n", "k").join(seen, "k").select("id", "n", "chunk_id").distinct()
+    hit = pairs.join(keys.select("id", "k"), "id").join(seen, ["k", "chunk_id"]).groupBy("id", "n", "chunk_id").agg(F.count("*").alias("hits"))
     scored = hit.select("id", "chunk_id", F.round(F.col("hits") / F.col("n"), 4).alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy("id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("nr", F.row_number().over(w)).where(F.col("nr") <= best).drop("nr")
 
 
+def candidate_keys(chunks: DataFrame) -> DataFrame:
+    """chunk_id, key: a page's title, or for local documents the title and the chunk. chunks: chunk_id, title, is_local."""
+    return chunks.select("chunk_id", F.when(F.col("is_local"), F.concat_ws("#", "title", "chunk_id")).otherwise(F.col("title")).alias("key"))
+
+
+def semantic_pass(pairs: DataFrame, keys: DataFrame, least: float = 0.45, best: int = 20) -> DataFrame:
+    """id, chunk_id, score: of the `best` nearest chunks (id, chunk_id, distance) of each entity those with max(0, 1 - distance) of at least `least`,
+    one for each candidate key (keys: chunk_id, key): the nearest."""
+    near = Window.partitionBy("id").orderBy("distance", "chunk_id")
+    score = F.round(F.greatest(F.lit(0.0), 1 - F.col("distance")), 4)
+    first = pairs.withColumn("nr", F.row_number().over(near)).where(F.col("nr") <= best).withColumn("score", score).where(F.col("score") >= least)
+    of = first.join(keys, "chunk_id").groupBy("id", "key").agg(F.min_by(F.struct("chunk_id", "score"), F.struct("distance", "chunk_id")).alias("m"))
+    return of.select("id", "m.chunk_id", "m.score")
+
+
+def without_own_source(links: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:
+    """links (id, chunk_id) whose chunk is not of the entity's own source and path; a missing source or path is no match."""
+    e = entities.select("id", F.col("source_id").alias("_s"), F.col("file_path").alias("_p"))
+    c = chunks.select("chunk_id", F.col("source_id").alias("_t"), F.col("file_path").alias("_q"))
+    own = links.join(e, "id").join(c, "chunk_id").where("_s = _t and _p = _q").select("id", "chunk_id").distinct()
+    return links.join(own, ["id", "chunk_id"], "left_anti")
+
+
+def pairings(sets: DataFrame) -> DataFrame:
+    """run, a_kind, b_kind, pairs: how many pairs a run's sides make, code with documents and documents with documents, never an item with itself.
+    Counted without making them. sets: run, side (a, b), kind (code, doc), item."""
+    a = sets.where("side = 'a'").groupBy("run", F.col("kind").alias("a_kind")).agg(F.countDistinct("item").alias("a_items"))
+    b = sets.where("side = 'b'").groupBy("run", F.col("kind").alias("b_kind")).agg(F.countDistinct("item").alias("b_items"))
+    both = sets.groupBy("run", "kind", "item").agg(F.countDistinct("side").alias("n")).where("n = 2").groupBy("run", F.col("kind").alias("a_kind")).agg(F.count("*").alias("same"))
+    met = a.join(b, "run").where("not (a_kind = 'code' and b_kind = 'code')").join(both, ["run", "a_kind"], "left")
+    same = F.when(F.col("a_kind") == F.col("b_kind"), F.coalesce("same", F.lit(0))).otherwise(0)
+    return met.select("run", "a_kind", "b_kind", (F.col("a_items") * F.col("b_items") - same).alias("pairs"))
+
+
+def run_parameters(runs: DataFrame, profiles: DataFrame, limits: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """run and each parameter of limits (name: least, most, default): the run's own value, else its profile's, else the default, held within least and most."""
+    p = profiles.select("profile", *[F.col(c).alias(f"_{c}") for c in limits])
+    clamp = lambda c, a, b, d: F.greatest(F.lit(a), F.least(F.lit(b), F.coalesce(c, f"_{c}", F.lit(d)))).alias(c)
+    return runs.join(p, "profile", "left").select("run", *[clamp(c, *v) for c, v in limits.items()])
+
+
 def merged(passes: list[DataFrame], over: float) -> DataFrame:
     """id, chunk_id, score: the greatest score of each pair over all passes, where it is above `over`."""
     both = passes[0]
@@ -40,8 +100,9 @@ def status_counts(links: DataFrame, visible: Column) -> DataFrame:
     return links.where(visible).groupBy("status").agg(F.count("*").alias("links"))
 
 
-def escalated(links: DataFrame, votes: DataFrame, least: int = 2) -> DataFrame:
-    """links with approved ones made pending where at least `least` sessions hold a downvote (link_id, session_id, not revoked)."""
+def escalated(links: DataFrame, votes: DataFrame, now: str, least: int = 2, days: int = 30) -> DataFrame:
+    """links with approved ones made pending where at least `least` sessions hold a downvote (link_id, session_id, ts, not revoked) of the last `days` days."""
+    votes = votes.where(F.col("ts") >= F.lit(now).cast("timestamp") - F.expr(f"interval {int(days)} days"))
     hot = votes.where("not revoked").groupBy("link_id").agg(F.countDistinct("session_id").alias("n")).where(F.col("n") >= least).select("link_id", F.lit(True).alias("hit"))
     return links.join(hot, "link_id", "left").withColumn("status", F.when((F.col("status") == "approved") & F.col("hit"), "pending").otherwise(F.col("status"))).drop("hit")
 

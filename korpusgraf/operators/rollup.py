@@ -19,31 +19,45 @@ def priority_of(edge_type: Column) -> Column:
     return F.when(edge_type.isin(NAMING), 0).when(edge_type.isin(CONTROL + INCLUDE), 3).when(edge_type.isin(DATA), 2).otherwise(1)
 
 
-def file_pairs(edges: DataFrame, entities: DataFrame, key: Column | None = None) -> DataFrame:
-    """src_file, dst_file, edge_count, edge_types (array), sample_ids (five least), priority, is_control; self-pairs are left out.
-    key: from an entity to what counts as its file. File keys compare null-safe: a missing path is ''."""
-    path = F.coalesce(key if key is not None else F.col("file_path"), F.lit(""))
-    at = entities.select("id", path.alias("file"))
+def file_key(entities: DataFrame, path: Column | None = None) -> Column:
+    """What identifies a file: project, source and path, those of them that entities have, joined by `:`. A missing part is empty."""
+    scope = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("project_id", "source_id") if c in entities.columns]
+    return F.concat_ws(":", *scope, F.coalesce(path if path is not None else F.col("file_path"), F.lit("")))
+
+
+def between_files(edges: DataFrame, entities: DataFrame, path: Column | None = None) -> DataFrame:
+    """Edges whose ends lie in different files, with src_file and dst_file. The entities' keys are made once and stored."""
+    at = stored(entities.select("id", file_key(entities, path).alias("file")))
     src, dst = at.select(F.col("id").alias("src_id"), F.col("file").alias("src_file")), at.select(F.col("id").alias("dst_id"), F.col("file").alias("dst_file"))
-    met = edges.where(F.col("dst_id").isNotNull()).join(src, "src_id").join(dst, "dst_id").where("src_file <> dst_file")
-    per_type = met.groupBy("src_file", "dst_file").agg(
+    return edges.where(F.col("dst_id").isNotNull()).join(src, "src_id").join(dst, "dst_id").where("src_file <> dst_file")
+
+
+def file_pairs(edges: DataFrame, entities: DataFrame, path: Column | None = None, samples: int = 0) -> DataFrame:
+    """src_file, dst_file (file_key), edge_count, edge_types (array), priority, is_control and, if samples are wanted, sample_ids (array of
+    the least edge ids); self-pairs are left out. path: from an entity to what counts as its file's path."""
+    met = between_files(edges, entities, path)
+    pairs = met.groupBy("src_file", "dst_file").agg(
         F.count("*").alias("edge_count"),
         F.sort_array(F.collect_set("type")).alias("edge_types"),
         F.max(priority_of(F.col("type"))).alias("priority"),
         F.max(F.col("type").isin(CONTROL)).alias("is_control"),
     )
-    return per_type
+    if not samples:
+        return pairs
+    few = _first_edges(met, samples).groupBy("src_file", "dst_file").agg(F.sort_array(F.collect_list("edge_id")).alias("sample_ids"))
+    return pairs.join(few, ["src_file", "dst_file"])
 
 
-def sample_edges(edges: DataFrame, entities: DataFrame, per_pair: int = 5) -> DataFrame:
-    """src_file, dst_file, edge_id, nr: the first ids of each pair as evidence."""
-    at = entities.select("id", F.coalesce("file_path", F.lit("")).alias("file"))
-    met = edges.where(F.col("dst_id").isNotNull()).join(at.select(F.col("id").alias("src_id"), F.col("file").alias("src_file")), "src_id")
-    met = met.join(at.select(F.col("id").alias("dst_id"), F.col("file").alias("dst_file")), "dst_id").where("src_file <> dst_file")
+def _first_edges(met: DataFrame, per_pair: int) -> DataFrame:
     w = Window.partitionBy("src_file", "dst_file").orderBy("edge_id")
     return met.select("src_file", "dst_file", "edge_id", F.row_number().over(w).alias("nr")).where(F.col("nr") <= per_pair)
 
 
+def sample_edges(edges: DataFrame, entities: DataFrame, per_pair: int = 5) -> DataFrame:
+    """src_file, dst_file, edge_id, nr: the first ids of each pair as evidence."""
+    return _first_edges(between_files(edges, entities), per_pair)
+
+
 def degrees(pairs: DataFrame) -> DataFrame:
     """file, degree: each pair counts at both ends."""
     ends = pairs.select(F.col("src_file").alias("file")).union(pairs.select(F.col("dst_file").alias("file")))
@@ -54,17 +68,20 @@ def backbone(pairs: DataFrame, k: int = 3, always: int = 1000) -> DataFrame:
     """The k strongest pairs of every file and of every edge type, with both ends' degrees and the number of all pairs; all pairs
     if there are no more than `always`. Ties end at the file names, so results are the same in every run."""
     pairs = stored(pairs)
-    degree, total = degrees(pairs), pairs.count()
-    held = pairs.join(degree.select(F.col("file").alias("src_file"), F.col("degree").alias("src_degree")), "src_file")
-    held = held.join(degree.select(F.col("file").alias("dst_file"), F.col("degree").alias("dst_degree")), "dst_file")
-    ends = held.select("*", F.explode(F.array(F.struct(F.col("src_file").alias("node"), F.col("dst_degree").alias("other")), F.struct(F.col("dst_file").alias("node"), F.col("src_degree").alias("other")))).alias("e"))
-    by_node = Window.partitionBy("e.node").orderBy(F.desc("priority"), F.desc("is_control"), "e.other", F.desc("edge_count"), "src_file", "dst_file")
-    by_type = Window.partitionBy("one_type").orderBy(F.desc("priority"), F.desc("edge_count"), "src_file", "dst_file")
-    strong = ends.withColumn("nr", F.row_number().over(by_node)).where(F.col("nr") <= k).select("src_file", "dst_file")
-    typed = held.select("*", F.explode("edge_types").alias("one_type")).withColumn("nr", F.row_number().over(by_type)).where(F.col("nr") <= k).select("src_file", "dst_file")
-    chosen = strong.union(typed).distinct()
-    met = held.withColumn("total_pairs", F.lit(total).cast("long"))
-    return met if total <= always else met.join(chosen, ["src_file", "dst_file"], "left_semi")
+    degree, total = stored(degrees(pairs)), pairs.count()
+    if total <= always:
+        chosen = pairs
+    else:
+        ends = F.array(F.struct(F.col("src_file").alias("node"), F.col("dst_file").alias("other")), F.struct(F.col("dst_file").alias("node"), F.col("src_file").alias("other")))
+        met = pairs.select("*", F.explode(ends).alias("e")).select(*pairs.columns, "e.node", F.col("e.other").alias("file")).join(degree, "file")
+        by_node = Window.partitionBy("node").orderBy(F.desc("priority"), F.desc("is_control"), "degree", F.desc("edge_count"), "src_file", "dst_file")
+        by_type = Window.partitionBy("one_type").orderBy(F.desc("priority"), F.desc("edge_count"), "src_file", "dst_file")
+        strong = met.withColumn("nr", F.row_number().over(by_node)).where(F.col("nr") <= k)
+        typed = pairs.select("*", F.explode("edge_types").alias("one_type")).withColumn("nr", F.row_number().over(by_type)).where(F.col("nr") <= k)
+        chosen = strong.select(pairs.columns).union(typed.select(pairs.columns)).dropDuplicates(["src_file", "dst_file"])  # rows of one pair are equal
+    chosen = chosen.join(degree.select(F.col("file").alias("src_file"), F.col("degree").alias("src_degree")), "src_file")
+    chosen = chosen.join(degree.select(F.col("file").alias("dst_file"), F.col("degree").alias("dst_degree")), "dst_file")
+    return chosen.withColumn("total_pairs", F.lit(total).cast("long"))
 
 
 def capped(pairs: DataFrame, limit: int) -> DataFrame:

@@ -88,8 +88,9 @@ def local_targets(edges: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def sql_statements(files: DataFrame) -> DataFrame:
-    """path, nr, verb, object, tables of the statements between semicolons, comments left out."""
-    clean = F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " ")
+    """path, nr, verb, object, tables of the statements between semicolons. Comments are left out and literals emptied first, in one pass
+    from the left, so that what stands in either is no statement's end."""
+    clean = F.regexp_replace(F.regexp_replace("content", r"(?s)('(?:[^']|'')*')|/\*.*?\*/|--[^\n]*", "$1 "), r"'(?:[^']|'')*'", "''")
     s = files.select("path", F.posexplode(F.filter(F.split(clean, ";"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")).alias("nr", "raw"))
     s = s.withColumn("text", F.upper(F.trim(F.regexp_replace("raw", r"\s+", " "))))
     tables = F.array_join(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(?:FROM|JOIN|INTO|UPDATE|TABLE) ([A-Z_][A-Z0-9_.]*)"), F.lit(1))), ",")

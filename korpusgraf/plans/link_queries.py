@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from korpusgraf.functions import text as T
 from korpusgraf.operators import incremental as inc
-from korpusgraf.operators import linking
+from korpusgraf.operators import linking, vectors
+from korpusgraf.plans.search_queries import COS, UNIT, asked, unit
 from korpusgraf.sources.adapter import chunks, entities, table, with_relations
 
 
@@ -59,8 +60,22 @@ def due_sources(s, d):
     return inc.due(e, top).select("id", "interval_s", "failures")
 
 
+NOW = "2024-02-15"
+
+
+def titled(s, d):
+    return table(s, d, "documents").selectExpr("doc_id as chunk_id", "concat(source, ' ', doc_id % 50) as title", "doc_id % 3 = 0 as is_local")
+
+
+def semantic(s, d):
+    """Vectors as entities and chunks: the nearest of each asked vector are its chunks."""
+    near = vectors.nearest(asked(s, d), unit(s, d), 30).select(F.col("query_id").alias("id"), F.col("id").alias("chunk_id"), F.round(1 - F.col("score"), 4).alias("distance"))
+    keys = linking.candidate_keys(table(s, d, "embeddings").selectExpr("vec_id as chunk_id", "concat('t', vec_id % 40) as title", "vec_id % 3 = 0 as is_local"))
+    return linking.semantic_pass(near, keys, 0.2, 20)
+
+
 def votes(s, d):
-    return table(s, d, "events").select((F.col("event_id") % 300 * 10).alias("link_id"), F.col("user_id").alias("session_id"), (F.col("event_id") % 4 == 0).alias("revoked"))
+    return table(s, d, "events").select("ts", (F.col("event_id") % 300 * 10).alias("link_id"), F.col("user_id").alias("session_id"), (F.col("event_id") % 4 == 0).alias("revoked"))
 
 
 def bindings(s, d):
@@ -81,7 +96,12 @@ QUERIES = {
     "undecided_pairs": lambda s, d: linking.undecided(keyword(s, d), old_links(s, d)),
     "store_links": lambda s, d: linking.stored_links(old_links(s, d), keyword(s, d).where("id % 2 = 0")),
     "link_status_counts": lambda s, d: linking.status_counts(old_links(s, d), F.col("id") > 3),
-    "feedback_escalation": lambda s, d: linking.escalated(doc_links(s, d), votes(s, d)),
+    "feedback_escalation": lambda s, d: linking.escalated(doc_links(s, d), votes(s, d), NOW),
+    "semantic_pass": semantic,
+    "candidate_keys": lambda s, d: linking.candidate_keys(titled(s, d)),
+    "without_own_source": lambda s, d: linking.without_own_source(keyword(s, d).select("id", "chunk_id"), table(s, d, "supplier").selectExpr("s_suppkey as id", "s_nationkey % 3 as source_id", "cast(s_suppkey % 4 as string) as file_path"), table(s, d, "documents").selectExpr("doc_id as chunk_id", "doc_id % 3 as source_id", "cast(doc_id % 4 as string) as file_path")),
+    "set_pairings": lambda s, d: linking.pairings(table(s, d, "events").selectExpr("user_id % 20 as run", "case when event_id % 2 = 0 then 'a' else 'b' end as side", "case when event_id % 5 < 2 then 'code' else 'doc' end as kind", "event_id % 60 as item")),
+    "run_parameters": lambda s, d: linking.run_parameters(table(s, d, "customer").selectExpr("c_custkey as run", "c_mktsegment as profile", "case when c_custkey % 3 = 0 then c_acctbal / 1000 end as threshold", "case when c_custkey % 4 = 0 then double(c_custkey) end as best"), s.createDataFrame([("BUILDING", 0.5, None), ("MACHINERY", None, 30.0)], "profile string, threshold double, best double"), {"threshold": (0.0, 1.0, 0.45), "best": (1.0, 50.0, 20.0)}),
     "run_selection": lambda s, d: linking.run_selection(entities(s, d).where("type = 'supplier'").select("id"), table(s, d, "events").select(F.lit("entity").alias("kind"), (F.col("user_id") + 1_000_000).alias("id")), False),
     "file_delta": lambda s, d: inc.delta(files(s, d, False), files(s, d, True)),
     "orphan_removal": lambda s, d: inc.orphans(files(s, d, False), files(s, d, True)).select("path"),
@@ -98,8 +118,8 @@ QUERIES = {
     "reused_vectors": lambda s, d: inc.reused_vectors(files(s, d, True).select(F.col("path").alias("chunk_id"), "hash", F.lit("m").alias("model")), files(s, d, False).select(F.col("path").alias("vec_id"), "hash", F.lit("m").alias("model"))).select("chunk_id", "vec_id"),
 }
 KW = """keys AS (SELECT s_suppkey AS id, unnest(list_distinct(['the', 'th' || substr('ereatinonndha', CAST(s_suppkey % 12 + 1 AS INT), 2), 'license'])) AS k FROM supplier),
-words AS (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]{3,}'))) AS k FROM chunks),
-kw AS (SELECT id, chunk_id, round(count(*) / 3, 4) AS score FROM keys JOIN words USING (k) GROUP BY 1, 2 HAVING round(count(*) / 3, 4) >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(count(*) / 3, 4) DESC, chunk_id) <= 10),
+kw AS (SELECT id, chunk_id, round(count(*) / any_value(n), 4) AS score FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM keys) JOIN chunks ON contains(lower(content), k)
+  GROUP BY 1, 2 HAVING round(count(*) / any_value(n), 4) >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(count(*) / any_value(n), 4) DESC, chunk_id) <= 10),
 links AS (SELECT id, chunk_id, CASE WHEN chunk_id % 2 = 0 THEN 'approved' ELSE 'pending' END AS status, 0.1 AS score FROM kw WHERE (id + chunk_id) % 3 = 0)"""
 _k = lambda body: with_relations("chunks", f"{KW} {body}")
 FILES = """old AS (SELECT doc_id AS path, sha256(text) AS hash FROM documents WHERE doc_id % 7 <> 1),
@@ -111,7 +131,16 @@ SQL = {
     "undecided_pairs": _k("SELECT * FROM kw WHERE (id, chunk_id) NOT IN (SELECT id, chunk_id FROM links WHERE status IN ('approved', 'rejected'))"),
     "store_links": _k("SELECT coalesce(l.id, f.id) AS id, coalesce(l.chunk_id, f.chunk_id) AS chunk_id, coalesce(l.status, 'pending') AS status, CASE WHEN l.status = 'approved' THEN CAST(l.score AS DOUBLE) ELSE round(coalesce(f.score, l.score), 4) END AS score FROM links l FULL JOIN (SELECT * FROM kw WHERE id % 2 = 0) f ON l.id = f.id AND l.chunk_id = f.chunk_id"),
     "link_status_counts": _k("SELECT status, count(*) AS links FROM links WHERE id > 3 GROUP BY 1"),
-    "feedback_escalation": f"WITH {DOC_LINKS}, hot AS (SELECT event_id % 300 * 10 AS link_id FROM events WHERE event_id % 4 <> 0 GROUP BY 1 HAVING count(DISTINCT user_id) >= 2) SELECT link_id, chunk_id, CASE WHEN status = 'approved' AND link_id IN (SELECT link_id FROM hot) THEN 'pending' ELSE status END AS status FROM links",
+    "feedback_escalation": f"WITH {DOC_LINKS}, hot AS (SELECT event_id % 300 * 10 AS link_id FROM events WHERE event_id % 4 <> 0 AND ts >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY GROUP BY 1 HAVING count(DISTINCT user_id) >= 2) SELECT link_id, chunk_id, CASE WHEN status = 'approved' AND link_id IN (SELECT link_id FROM hot) THEN 'pending' ELSE status END AS status FROM links",
+    "semantic_pass": f"""WITH {UNIT}, s AS (SELECT a.id, b.id AS chunk_id, round(1 - round({COS}, 4), 4) AS distance FROM n a JOIN n b ON a.id % 50 = 0 AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({COS}, 4) DESC, b.id) <= 30),
+f AS (SELECT *, round(greatest(0, 1 - distance), 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, chunk_id) <= 20)
+SELECT id, chunk_id, score FROM f WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY id, 't' || chunk_id % 40 || CASE WHEN chunk_id % 3 = 0 THEN '#' || chunk_id ELSE '' END ORDER BY distance, chunk_id) = 1""",
+    "candidate_keys": "SELECT doc_id AS chunk_id, source || ' ' || doc_id % 50 || CASE WHEN doc_id % 3 = 0 THEN '#' || doc_id ELSE '' END AS key FROM documents",
+    "without_own_source": _k("SELECT id, chunk_id FROM kw JOIN supplier ON s_suppkey = id WHERE NOT (s_nationkey % 3 = chunk_id % 3 AND id % 4 = chunk_id % 4)"),
+    "set_pairings": """WITH s AS (SELECT DISTINCT user_id % 20 AS run, event_id % 2 AS side, CASE WHEN event_id % 5 < 2 THEN 'code' ELSE 'doc' END AS kind, event_id % 60 AS item FROM events)
+SELECT a.run, a.kind AS a_kind, b.kind AS b_kind, count(*) FILTER (a.kind <> b.kind OR a.item <> b.item) AS pairs FROM s a JOIN s b ON a.run = b.run AND a.side = 0 AND b.side = 1 AND NOT (a.kind = 'code' AND b.kind = 'code') GROUP BY ALL""",
+    "run_parameters": """SELECT c_custkey AS run, greatest(0, least(1, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal / 1000 END, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.5 END, 0.45))) AS threshold,
+greatest(1, least(50, coalesce(CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS DOUBLE) END, CASE WHEN c_mktsegment = 'MACHINERY' THEN 30 END, 20))) AS best FROM customer""",
     "run_selection": "SELECT 1000000 + s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT user_id FROM events)",
     "file_delta": f"WITH {FILES} SELECT * FROM (SELECT path, CASE WHEN old.hash IS NULL THEN 'added' WHEN new.hash IS NULL THEN 'deleted' WHEN old.hash <> new.hash THEN 'modified' END AS change FROM old FULL JOIN new USING (path)) WHERE change IS NOT NULL",
     "orphan_removal": f"WITH {FILES} SELECT path FROM old WHERE path NOT IN (SELECT path FROM new)",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from korpusgraf.operators import rollup
 from korpusgraf.sources.adapter import edges, entities, with_relations
 
-PAIRS = """met AS (SELECT e.*, s.file_path AS src_file, t.file_path AS dst_file FROM edges e JOIN entities s ON s.id = src_id JOIN entities t ON t.id = dst_id WHERE s.file_path <> t.file_path),
+PAIRS = """met AS (SELECT e.*, s.source_id || ':' || s.file_path AS src_file, t.source_id || ':' || t.file_path AS dst_file FROM edges e JOIN entities s ON s.id = src_id JOIN entities t ON t.id = dst_id WHERE (s.source_id, s.file_path) <> (t.source_id, t.file_path)),
 typed AS (SELECT *, CASE WHEN type = 'IMPORTS' THEN 0 WHEN type IN ('CALL', 'COPY') THEN 3 WHEN type = 'READS' THEN 2 ELSE 1 END AS p FROM met),
 pairs AS (SELECT src_file, dst_file, count(*) AS edge_count, string_agg(DISTINCT type, ',' ORDER BY type) AS edge_types, max(p) AS priority, bool_or(type = 'CALL') AS is_control FROM typed GROUP BY ALL),
 ends AS (SELECT src_file AS file FROM pairs UNION ALL SELECT dst_file FROM pairs),
@@ -23,7 +23,7 @@ def flat(df):
 
 
 QUERIES = {
-    "file_pair_rollup": lambda s, d: flat(pairs(s, d)),
+    "file_pair_rollup": lambda s, d: flat(rollup.file_pairs(edges(s, d), entities(s, d), samples=5)).withColumn("sample_ids", F.array_join("sample_ids", ",")),
     "file_pair_evidence": lambda s, d: rollup.sample_edges(edges(s, d), entities(s, d)),
     "file_degree": lambda s, d: rollup.degrees(pairs(s, d)),
     "graph_backbone": lambda s, d: flat(rollup.backbone(pairs(s, d))),
@@ -36,7 +36,7 @@ QUERIES = {
 }
 _q = lambda body: with_relations("entities edges", f"{PAIRS}{body}")
 SQL = {
-    "file_pair_rollup": _q(" SELECT * FROM pairs"),
+    "file_pair_rollup": _q(", ids AS (SELECT src_file, dst_file, array_to_string(list(edge_id ORDER BY edge_id)[1:5], ',') AS sample_ids FROM met GROUP BY 1, 2) SELECT pairs.*, sample_ids FROM pairs JOIN ids USING (src_file, dst_file)"),
     "file_pair_evidence": _q(", r AS (SELECT src_file, dst_file, edge_id, CAST(row_number() OVER (PARTITION BY src_file, dst_file ORDER BY edge_id) AS INT) AS nr FROM met) SELECT * FROM r WHERE nr <= 5"),
     "file_degree": _q(" SELECT * FROM degree"),
     "graph_backbone": _q(""",
