@@ -50,15 +50,27 @@ def chunk_lines(text: str, size: int = SIZE, overlap: int = OVERLAP, boundary: r
     return out
 
 
-def merge_small(chunks: list[tuple[int, int, str]], small: int = SMALL, size: int = SIZE, boundary: re.Pattern[str] | None = None) -> list[tuple[int, int, str]]:
-    """Joins a chunk below `small` characters to the one before it, unless it begins with a boundary or the two exceed `size`."""
+def merge_small(chunks: list[tuple[int, int, str]], small: int = SMALL, boundary: re.Pattern[str] | None = None) -> list[tuple[int, int, str]]:
+    """Gathers neighbouring chunks below `small` characters into one until it holds that much; a chunk that begins with a boundary begins a new one."""
     out: list[tuple[int, int, str]] = []
-    for a, b, text in chunks:
-        opens = boundary is not None and boundary.search(text.split("\n", 1)[0]) is not None
-        if out and not opens and min(len(text), len(out[-1][2])) < small and out[-1][1] < a and len(out[-1][2]) + 1 + len(text) <= size:
-            out[-1] = (out[-1][0], b, out[-1][2] + "\n" + text)
-        else:
-            out.append((a, b, text))
+    held: list[tuple[int, int, str]] = []
+
+    def close() -> None:
+        if held:
+            out.append((held[0][0], held[-1][1], "\n".join(t for *_, t in held)))
+            held.clear()
+
+    for chunk in chunks:
+        if len(chunk[2]) >= small:
+            close()
+            out.append(chunk)
+            continue
+        if boundary is not None and boundary.search(chunk[2].split("\n", 1)[0]):
+            close()
+        held.append(chunk)
+        if sum(len(t) for *_, t in held) >= small:
+            close()
+    close()
     return out
 
 

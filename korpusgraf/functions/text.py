@@ -56,15 +56,71 @@ def question_stems(question: Column) -> Column:
 
 
 def query_variants(symbol: Column) -> Column:
-    """Spellings of a.b.c: itself, a.b#c, b#c, b.c, c."""
-    p = F.split(F.regexp_replace(symbol, r"#|::", "."), r"\.")
+    """Spellings of a.b.c: itself, a.b#c, b#c, b.c; of a.b: itself and a#b. Parameters don't count for the others."""
+    p = F.split(F.regexp_replace(F.substring_index(symbol, "(", 1), r"#|::", "."), r"\.")
     n = F.size(p)
-    last, before = F.element_at(p, -1), F.when(n > 1, F.element_at(p, -2))
+    last, before = F.element_at(p, -1), F.when(n > 2, F.element_at(p, -2))
     head = F.array_join(F.slice(p, F.lit(1), F.greatest(n - 1, F.lit(0))), ".")
-    made = F.array(symbol, F.when(n > 1, F.concat(head, F.lit("#"), last)), F.when(n > 1, F.concat(before, F.lit("#"), last)), F.when(n > 1, F.concat(before, F.lit("."), last)), last)
+    made = F.array(symbol, F.when(n > 1, F.concat(head, F.lit("#"), last)), F.concat(before, F.lit("#"), last), F.concat(before, F.lit("."), last))
     return F.array_distinct(F.filter(made, lambda x: x.isNotNull()))
 
 
+def question_symbols(question: Column, most: int = 8) -> Column:
+    """Code-like names of a question in order: with a dot, `#`, `::` or `_` inside, an inner capital, a hyphen between capitals, or behind a capital word a digit; of four characters
+    or more, `()` and closing marks cut. A name that another one holds, in any case, is dropped."""
+    shape = r"([A-Za-z_][A-Za-z0-9_]*(?:(?:\.|#|::)[A-Za-z_][A-Za-z0-9_]*)+|[A-Za-z0-9]+_[A-Za-z0-9_]+|[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)+|[A-Za-z]*[a-z0-9][A-Z][A-Za-z0-9]*|[A-Z]{2,}[0-9]+)"
+    found = F.array_distinct(F.filter(F.regexp_extract_all(question, F.lit(shape), F.lit(1)), lambda t: F.length(t) >= 4))
+    alone = F.transform(F.array(found), lambda ts: F.filter(ts, lambda t: ~F.exists(ts, lambda o: (F.lower(o) != F.lower(t)) & F.contains(F.lower(o), F.lower(t)))))[0]
+    return F.slice(alone, 1, most)
+
+
+def section_path(outline: Column, line: Column) -> Column:
+    """`Chapter > Section` at a line of an outline (array of line, level, title, by line): the headings up to it that no later one of the same or a higher level ends; null
+    before the first."""
+    above = F.filter(outline, lambda h: h["line"] <= line)
+    open_ = F.transform(F.array(above), lambda hs: F.filter(hs, lambda h: ~F.exists(hs, lambda o: (o["line"] > h["line"]) & (o["level"] <= h["level"]))))[0]
+    return F.nullif(F.array_join(F.transform(open_, lambda h: h["title"]), " > "), F.lit(""))
+
+
+def explicit_files(message: Column) -> Column:
+    """File names and paths that a message quotes, each once whatever its case, with `/` between folders and no leading `./`."""
+    found = F.regexp_extract_all(F.replace(message, F.lit("\\"), F.lit("/")), F.lit(r"((?:[A-Za-z0-9_.-]+/)*[A-Za-z0-9_-]+\.(?:java|cbl|cob|cpy|jcl|xml|xsd|wsdl|sql|sh|properties|jsp|xsl|md|adoc))\b"), F.lit(1))
+    clean = F.transform(found, lambda p: F.regexp_replace(p, r"^[./]+", ""))
+    first = F.transform(clean, lambda p, i: F.when(F.array_position(F.transform(clean, F.lower), F.lower(p)) == i + 1, p))
+    return F.filter(first, lambda p: p.isNotNull())
+
+
+def identifiers(sentence: Column) -> Column:
+    """Name parts of a sentence, lower-cased and sorted: the words in backticks and those with inner capitals, dots or underscores, split at `.#:/()`, of four characters or more."""
+    quoted = F.flatten(F.transform(F.regexp_extract_all(sentence, F.lit("`([^`]+)`"), F.lit(1)), lambda q: F.regexp_extract_all(q, F.lit(r"([A-Za-z_][\w.#:/()-]*)"), F.lit(1))))
+    bare = F.regexp_extract_all(F.regexp_replace(sentence, "`[^`]*`", " "), F.lit(r"\b((?:[A-Za-z_]\w*[.#])+\w+|[A-Za-z]+[a-z0-9][A-Z]\w*|[A-Za-z]\w*_\w+)"), F.lit(1))
+    parts = F.flatten(F.transform(F.concat(quoted, bare), lambda n: F.split(F.lower(n), r"[.#:/()]+")))
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda p: F.length(p) >= 4)))
+
+
+def split_parameters(text: Column) -> Column:
+    """Parts of a parameter list between its top-level commas; `<`, `(` nest. Trimmed, empty ones left out."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, c: Column) -> Column:
+        depth = acc["depth"] + F.when(c.isin("<", "("), 1).when(c.isin(">", ")"), -1).otherwise(0)
+        cut = (c == ",") & (acc["depth"] == 0)
+        return F.struct(depth.alias("depth"), F.when(cut, "").otherwise(F.concat(acc["now"], c)).alias("now"), F.when(cut, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]).alias("out"))
+
+    parts = F.aggregate(F.split(text, ""), start, step, lambda acc: F.concat(acc["out"], F.array(acc["now"])))
+    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+
+
+def is_documentation(kind: Column, language: Column) -> Column:
+    """Chunks of the documentation side: of any source but a repository, or of a language for texts."""
+    return (kind != "git") | F.coalesce(language.isin("markdown", "asciidoc", "text", "html"), F.lit(False))
+
+
+def analysis_fingerprint(inputs: dict[str, Column]) -> Column:
+    """sha256 of all that a parse depends on, as JSON in order of the names; a null is part of it."""
+    return F.sha2(F.to_json(F.struct(*[inputs[k].alias(k) for k in sorted(inputs)]), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
 def entity_keywords(name: Column, path: Column) -> Column:
     """Lower-case parts of a name and of its file's stem between `-`, `_`, `#` and blanks, of three characters or more, distinct."""
     stem = F.regexp_replace(path_tail(path), r"\.[^.]*$", "")
@@ -93,6 +149,15 @@ def bundle_locale(path: Column) -> Column:
     return F.regexp_extract(path_tail(path), r"_([a-z]{2}(_[A-Z]{2})?)\.properties$", 1)
 
 
+def language_by_content(path: Column, text: Column) -> Column:
+    """Language by extension or name, else by the first line's interpreter, else by what the first lines hold."""
+    head = F.substring(text, 1, 4000)
+    sniffed = F.when(head.rlike(r"^#!\s*\S*/(env\s+)?(ba|k|z)?sh\b"), "shell").when(head.rlike(r"^\s*<\?xml"), "xml").when(head.rlike(r"(?i)^\s*<(!doctype html|html)\b"), "html")
+    sniffed = sniffed.when(head.rlike(r"(?im)^(.{6} |\s*)\s*(IDENTIFICATION|ID|PROCEDURE)\s+DIVISION\s*\."), "cobol").when(head.rlike(r"(?m)^//[A-Z0-9@#$]+\s+(JOB|EXEC|PROC)\b"), "jcl")
+    return F.coalesce(language_of(path), sniffed)
+
+
+#: Fixed values in language_of: extensions and names of languages.
 def language_of(path: Column) -> Column:
     """Language by extension or name."""
     tail = F.lower(path_tail(path))
@@ -104,7 +169,10 @@ def language_of(path: Column) -> Column:
 
 
 def codeowners_pattern(rule: str) -> str:
-    """A CODEOWNERS glob as a regular expression for rlike: `**` crosses directories, `*` and `?` don't, a leading or inner slash anchors."""
+    """A CODEOWNERS glob as a regular expression for rlike: `**` crosses directories, `*` and `?` don't, a leading or inner slash anchors. Negations and
+    character classes, which such files don't know, match nothing."""
+    if rule.startswith("!") or "[" in rule:
+        return r"(?!)"
     anchored, folder = "/" in rule.rstrip("/"), rule.endswith("/")
     out = "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x) or "".join("\\" + c if c in r".+()[]{}^$|\\" else c for c in x) for x in _globs(rule.strip("/")))
     return ("^" if anchored else "(^|/)") + out.replace(".*/", "(.*/)?") + ("/" if folder else "(/|$)")

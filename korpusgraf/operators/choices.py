@@ -3,11 +3,14 @@ inherited settings, nested data items, test reports, interrupted runs and search
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusgraf.functions.text import contains_ci
 from korpusgraf.operators.lineage import stored
+from korpusgraf.operators.source_passes import well_formed
 
 #: Primitive types and the classes that box them.
 BOXED = {"byte": "Byte", "short": "Short", "int": "Integer", "long": "Long", "float": "Float", "double": "Double", "boolean": "Boolean", "char": "Character"}
@@ -95,7 +98,9 @@ def interrupted(sources: DataFrame, held: DataFrame, message: str = "interrupted
 
 def test_reports(files: DataFrame, shown: int = 30) -> DataFrame:
     """path, tests, failures, errors, skipped, failed, consistent of JUnit reports (path, content) by XPath. A case counts once: error before failure before
-    skipped; without cases the innermost suites' own numbers count. failed: the first names, comma-joined. Content must be well-formed."""
+    skipped; without cases the innermost suites' own numbers count. failed: the first names, comma-joined. A malformed report has null numbers and is not
+    consistent."""
+    files = files.select("path", well_formed(F.col("content")).alias("content"))
     kind = lambda k: f"*[local-name()='{k}']"
     case, leaf = "//*[local-name()='testcase']", "//*[local-name()='testsuite'][not(*[local-name()='testsuite'])]"
     own = {
@@ -110,16 +115,17 @@ def test_reports(files: DataFrame, shown: int = 30) -> DataFrame:
     failed = F.slice(F.xpath("content", F.lit(f"{case}[{kind('error')} or {kind('failure')}]/@name")), 1, shown)
     names = F.when((F.col("_c")[1] != "0") | (F.col("_c")[2] != "0"), F.array_join(failed, ",")).otherwise("")
     out = out.select("path", *[F.col("_n")[i].try_cast("double").cast("long").alias(k) for i, k in enumerate(own)], names.alias("failed"))
-    return out.withColumn("consistent", (F.least("tests", "failures", "errors", "skipped") >= 0) & (F.col("failures") + F.col("errors") + F.col("skipped") <= F.col("tests")))
+    whole = (F.least("tests", "failures", "errors", "skipped") >= 0) & (F.col("failures") + F.col("errors") + F.col("skipped") <= F.col("tests"))
+    return out.withColumn("consistent", F.coalesce(whole, F.lit(False))).withColumn("failed", F.when(F.col("tests").isNotNull(), F.col("failed")))
 
 
-def effective_settings(models: DataFrame, depth: int = 8, rounds: int = 4) -> DataFrame:
-    """path, key, value, level: settings of each model (path, parent, props map) and those inherited from its ancestors, the nearest winning (level: how far above),
+def effective_settings(models: DataFrame, rounds: int = 4) -> DataFrame:
+    """path, key, value, level: settings of each model (path, parent, props map) and those inherited from all its ancestors, the nearest winning (level: how far above),
     with ${key} replaced by the effective value, `rounds` deep. A parent that is its own ancestor ends the chain."""
     models = stored(models.select("path", "parent", "props"))
     up = models.select(F.col("path").alias("at"), "parent")
     frontier = chain = stored(models.select("path", F.col("path").alias("at"), F.lit(0).alias("level"), F.array("path").alias("seen")))
-    for level in range(1, depth + 1):
+    for level in count(1):
         above = frontier.join(up.where("parent is not null"), "at").where(~F.array_contains("seen", F.col("parent")))
         frontier = stored(above.select("path", F.col("parent").alias("at"), F.lit(level).alias("level"), F.concat("seen", F.array("parent")).alias("seen")))
         if frontier.isEmpty():

@@ -54,10 +54,10 @@ def control_flow(edges: DataFrame, entities: DataFrame, path: str, hops: int = 2
     return out
 
 
-def blend_rerank(hits: DataFrame, top: int = 12, weight: float = 8.0) -> DataFrame:
-    """id, pos: a bounded list of hits (id, score, cosine) by score; the first `top` anew by score + weight * max(0, cosine), the others in their order."""
-    by_score = Window.orderBy(F.desc("score"), "id")  # over a bounded list
-    first = hits.withColumn("nr", F.row_number().over(by_score))
+def blend_rerank(hits: DataFrame, top: int = 12, weight: float = 8.0, most: int = 200) -> DataFrame:
+    """id, pos: of hits (id, score, cosine) the best `most` by score; the first `top` of them anew by score + weight * max(0, cosine), the others in their order."""
+    by_score = Window.orderBy(F.desc("score"), "id")  # over `most` rows
+    first = hits.orderBy(F.desc("score"), "id").limit(most).withColumn("nr", F.row_number().over(by_score))
     blended = F.when(F.col("nr") <= top, F.round(F.col("score") + weight * F.greatest(F.lit(0.0), "cosine"), 4))
     return first.select("id", F.row_number().over(Window.orderBy(F.desc_nulls_last(blended), "nr")).alias("pos"))
 

@@ -72,9 +72,11 @@ def reused_vectors(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def version_state(bindings: DataFrame, sources: DataFrame) -> DataFrame:
-    """id, state: current, different_version, unbound, other_source or index_unavailable. bindings: id, source_id, version; sources: source_id, version, indexed."""
+    """id, state: current, different_version, unbound, project (bound to the project as a whole), other_source or index_unavailable. bindings: id, source_id, version,
+    is_project if there are such; sources: source_id, version, indexed."""
     s = sources.select("source_id", F.col("version").alias("now"), "indexed", F.lit(True).alias("known"))
-    state = F.when(F.col("source_id").isNull(), "unbound").when(F.col("known").isNull(), "other_source").when(~F.col("indexed"), "index_unavailable").when(F.col("version").eqNullSafe(F.col("now")), "current").otherwise("different_version")
+    whole = F.coalesce("is_project", F.lit(False)) if "is_project" in bindings.columns else F.lit(False)
+    state = F.when(whole, "project").when(F.col("source_id").isNull(), "unbound").when(F.col("known").isNull(), "other_source").when(~F.col("indexed"), "index_unavailable").when(F.col("version").eqNullSafe(F.col("now")), "current").otherwise("different_version")
     return bindings.join(s, "source_id", "left").select("id", state.alias("state"))
 
 

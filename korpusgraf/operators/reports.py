@@ -26,9 +26,10 @@ def parser_gaps(errors: DataFrame, top: int = 10) -> DataFrame:
 def source_status(files: DataFrame, most: int) -> DataFrame:
     """status, files, listed: incomplete files of each status with their number and the first `most` paths."""
     w = Window.partitionBy("status").orderBy("path")
-    n = F.row_number().over(w)
-    open_ = files.where("status <> 'complete'").withColumn("nr", n)
-    return open_.groupBy("status").agg(F.count("*").alias("files"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("nr") <= most, F.col("path")))), ",").alias("listed"))
+    open_ = files.where("status <> 'complete'")
+    first = open_.select("status", "path", F.row_number().over(w).alias("nr")).where(F.col("nr") <= most)  # limited before the shuffle
+    listed = first.groupBy("status").agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("listed"))
+    return open_.groupBy("status").agg(F.count("*").alias("files")).join(listed, "status")
 
 
 def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,7 +52,9 @@ def set_size(chunks: DataFrame, condition: Column) -> DataFrame:
 
 
 def gated(chunks: DataFrame, exposed: DataFrame, own_project: int) -> DataFrame:
-    """Chunks that a project may see: documents, its own code, and code of exposed projects (project_id)."""
+    """Chunks that a project may see: documents, its own code, and code of exposed projects (project_id). What isn't known to be code is a document; code of no project is
+    seen by none."""
+    chunks = chunks.withColumn("is_code", F.coalesce("is_code", F.lit(False)))
     code = chunks.where("is_code")
     seen = code.where(F.col("project_id") == own_project).union(code.where(F.col("project_id") != own_project).join(exposed, "project_id", "left_semi").select(code.columns))
     return chunks.where("not is_code").union(seen)
@@ -78,7 +81,7 @@ def restricted(pages: DataFrame) -> DataFrame:
 
 def new_reports(stored_runs: DataFrame, uploads: DataFrame, keys: list[str]) -> DataFrame:
     """identity, payload, state of uploads: new, known, or conflict where the identity is held with another payload; equal uploads count once."""
-    identity = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), 256)
+    identity = F.sha2(F.to_json(F.array(*[F.col(k).cast("string") for k in keys])), 256)  # parts in quotes, so that none runs into the next
     one = uploads.select(identity.alias("identity"), "payload").distinct()
     held = stored_runs.select(identity.alias("identity"), F.col("payload").alias("was")).distinct()
     state = F.when(F.col("was").isNull(), "new").when(F.col("was") == F.col("payload"), "known").otherwise("conflict")
@@ -87,9 +90,11 @@ def new_reports(stored_runs: DataFrame, uploads: DataFrame, keys: list[str]) ->
 
 def spread_selection(nodes: DataFrame, limit: int, share: float = 0.7) -> DataFrame:
     """id: at most `limit` nodes (id, kind, source, degree, in_focus): the best of each kind and source first, then focus nodes up to a share, then by degree."""
-    best = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.desc("degree"), "id")) == 1
-    tier = F.when(best("kind"), 0).when(best("source"), 1).otherwise(2)
-    first = nodes.withColumn("tier", tier)
+    rank = F.struct(-F.col("degree"), F.col("id"))
+    best = lambda c: nodes.groupBy(c).agg(F.min_by("id", rank).alias("id")).select("id").distinct()  # noqa: E731 - a row for each kind or source
+    of_kind, of_source = best("kind").withColumn("k", F.lit(True)), best("source").withColumn("s", F.lit(True))
+    tier = F.when(F.col("k"), 0).when(F.col("s"), 1).otherwise(2)
+    first = nodes.join(of_kind, "id", "left").join(of_source, "id", "left").withColumn("tier", tier)
     focus = first.where("tier = 2 and in_focus").orderBy(F.desc("degree"), "id").limit(int(limit * share)).select("id", F.lit(2).alias("tier"), "degree")
     rest = first.join(focus.select("id"), "id", "left_anti").select("id", F.when(F.col("tier") == 2, 3).otherwise(F.col("tier")).alias("tier"), "degree")
     return focus.union(rest).orderBy("tier", F.desc("degree"), "id").limit(limit).select("id")

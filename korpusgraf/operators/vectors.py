@@ -51,12 +51,18 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = 8_19
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cosine_top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """id, distance (1 - cosine, four decimals) of the k nearest to one query vector, in codegen; a top-k keeps k rows a task."""
+def cosine_distances(vectors: DataFrame, query: list[float], most: float | None = None) -> DataFrame:
+    """id, distance (1 - cosine, four decimals) of all vectors to one query vector, in codegen; with `most` those that aren't farther."""
     q = F.array(*[F.lit(float(x)) for x in query])
     norm = float(np.sqrt(sum(float(x) ** 2 for x in query)))
     dot = F.aggregate(F.zip_with(F.col("v"), q, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    return vectors.select("id", F.round(1 - dot / norm, 4).alias("distance")).orderBy("distance", "id").limit(k)
+    out = vectors.select("id", F.round(1 - dot / norm, 4).alias("distance"))
+    return out if most is None else out.where(F.col("distance") <= most)
+
+
+def cosine_top_k(vectors: DataFrame, query: list[float], k: int, most: float | None = None) -> DataFrame:
+    """id, distance of the k nearest to one query vector, none farther than `most`; a top-k keeps k rows a task."""
+    return cosine_distances(vectors, query, most).orderBy("distance", "id").limit(k)
 
 
 def rank_fusion(channels: list[DataFrame], per_channel: int = 40, k: int = 20, limit: int = 20) -> DataFrame:

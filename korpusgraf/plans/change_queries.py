@@ -73,7 +73,7 @@ QUERIES = {
     "worklist": lambda s, d: reports.worklist(items(s, d), "1995-06-01").limit(50).select("id", "priority", "status"),
     "embedding_coverage": lambda s, d: reports.coverage(documents(s, d), "en"),
     "restricted_pages": lambda s, d: reports.restricted(pages(s, d)).select("id"),
-    "ci_ingest": lambda s, d: reports.new_reports(uploads(s, d, "="), uploads(s, d, "<>"), ["run", "job"]).groupBy("state").agg(F.count("*").alias("n")),
+    "ci_ingest": lambda s, d: reports.new_reports(uploads(s, d, "="), uploads(s, d, "<>"), ["run", "job"]),
     "spread_selection": lambda s, d: reports.spread_selection(nodes(s, d), 60),
 }
 REF = f"""own AS (SELECT * FROM entities WHERE id IN ({PART + 17}, {PART + 5})), refs AS (SELECT src_id, line FROM edges WHERE dst_id IN (SELECT id FROM own) UNION ALL SELECT src_id, line FROM edges WHERE resolution = 'unresolved' AND lower(dst_name) IN (SELECT lower(name) FROM own)),
@@ -103,7 +103,7 @@ SELECT j.*, n >= 2 AS is_branch, src = dst OR EXISTS (SELECT 1 FROM walk WHERE w
     "worklist": "WITH i AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS due, CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'review' ELSE 'done' END AS status FROM orders) SELECT id, priority, status FROM i ORDER BY coalesce(due < DATE '1995-06-01', false) DESC, priority DESC, CASE status WHEN 'open' THEN 0 WHEN 'review' THEN 1 ELSE 2 END, due NULLS LAST, id LIMIT 50",
     "embedding_coverage": "SELECT CASE WHEN doc_id % 5 <> 0 THEN lang ELSE 'none' END AS model, count(*) AS chunks, count(*) FILTER (doc_id % 5 <> 0 AND lang = 'en') AS done FROM documents GROUP BY 1",
     "restricted_pages": with_relations("entities", "p AS (SELECT e.id, e.parent_id AS a, u.parent_id AS b FROM entities e LEFT JOIN entities u ON u.id = e.parent_id WHERE e.type IN ('region', 'nation', 'customer')) SELECT id FROM p WHERE id % 11 <> 3 AND coalesce(a % 11, 0) <> 3 AND coalesce(b % 11, 0) <> 3"),
-    "ci_ingest": f"WITH a AS ({UP} = 0), b AS ({UP} <> 0) SELECT CASE WHEN a.payload IS NULL THEN 'new' WHEN a.payload = b.payload THEN 'known' ELSE 'conflict' END AS state, count(*) AS n FROM b LEFT JOIN a USING (user_id, event_type) GROUP BY 1",
+    "ci_ingest": f"""WITH a AS ({UP} = 0), b AS ({UP} <> 0) SELECT sha256('["' || user_id || '","' || event_type || '"]') AS identity, CAST(b.payload AS VARCHAR) AS payload, CASE WHEN a.payload IS NULL THEN 'new' WHEN a.payload = b.payload THEN 'known' ELSE 'conflict' END AS state FROM b LEFT JOIN a USING (user_id, event_type)""",
     "spread_selection": with_relations("entities", """n AS (SELECT id, type AS kind, source_id AS source, id % 97 AS degree, starts_with(file_path, 'EUROPE') AS f FROM entities),
 t AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY kind ORDER BY degree DESC, id) = 1 THEN 0 WHEN row_number() OVER (PARTITION BY source ORDER BY degree DESC, id) = 1 THEN 1 ELSE 2 END AS tier FROM n),
 x AS (SELECT id FROM t WHERE tier = 2 AND f ORDER BY degree DESC, id LIMIT 42)

@@ -18,7 +18,7 @@ def both_ways(s, d):
 
 def blended(s, d):
     hits = search.term_score(chunks(s, d), ["the", "tion"]).select(F.col("chunk_id").alias("id"), "score").orderBy(F.desc("score"), "id").limit(40)
-    near = vectors.cosine_top_k(unit(s, d), one_query(s, d), 1 << 30).select("id", (1 - F.col("distance")).alias("cosine"))
+    near = vectors.cosine_distances(unit(s, d), one_query(s, d)).select("id", (1 - F.col("distance")).alias("cosine"))
     return context.blend_rerank(hits.join(near, "id", "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0))))
 
 

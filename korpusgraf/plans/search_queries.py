@@ -51,6 +51,11 @@ def qualified_refs(s, d):
     return done.groupBy("src_id", "resolution").agg(F.count("*").alias("edges"), F.sum("dst_id").alias("sum_dst"))
 
 
+def external_name():
+    """A target's name behind a prefix chosen by the edge's line, some of which are of systems."""
+    return F.concat(F.get(F.array(*[F.lit(p) for p in ("CEE", "DFH", "dsn", "IGZ", "MQ", "XX", "A")]), F.col("line") - 1), F.col("dst_name"))
+
+
 def external(name):
     return F.startswith(F.upper(name), F.lit("A")) | F.startswith(F.upper(name), F.lit("B"))
 
@@ -77,7 +82,7 @@ def quotas(s, d):
 QUERIES = {
     "search_tiered": lambda s, d: search.search_entities(entities(s, d), "BRAZIL", ["b", "a"], 60, {"nation": 0, "part": 1}),
     "search_documents": lambda s, d: search.search_documents(chunks(s, d), ["license", "the"]),
-    "name_hits": lambda s, d: search.name_hits(entities(s, d).where("type <> 'order'"), ["supp", "cust", "00"], 30),
+    "name_hits": lambda s, d: search.name_hits(entities(s, d), ["supp", "cust", "00"], 30),
     "lexical_fallback": lambda s, d: search.lexical_fallback(chunks(s, d), ["license", "token", "password", "released"]),
     "symbol_matches": lambda s, d: search.symbol_matches(entities(s, d), entities(s, d).where("type = 'supplier'").select(F.col("qualified_name").alias("query"), T.query_variants(F.col("qualified_name")).alias("variants"))),
     "first_chunk_per_source": lambda s, d: search.first_per_file(chunks(s, d).select(F.col("source").alias("file_path"), "chunk_id"), 20),
@@ -96,7 +101,7 @@ QUERIES = {
     "resolution_preflight": lambda s, d: resolution.preflight(edges(s, d), entities(s, d).where("type = 'part'")),
     "multiset_difference": lambda s, d: resolution.multiset_difference(edges(s, d).select("type", "dst_name"), edges(s, d).where("line <= 2").select("type", "dst_name")).groupBy("type", "dst_name").agg(F.count("*").alias("n")),
     "unresolved_by_name": lambda s, d: resolution.unresolved_by_name(edges(s, d), entities(s, d).where("type = 'part'").select("name").distinct()),
-    "external_targets": lambda s, d: entities(s, d).where("type in ('nation', 'region')").select("id", resolution.external_category(F.concat(F.substring("name", 1, 2), F.lit("FX"))).alias("category")),
+    "external_targets": lambda s, d: edges(s, d).select("edge_id", resolution.external_category(external_name()).alias("category")),
 }
 OPEN = "open_ AS (SELECT * FROM edges WHERE resolution = 'unresolved')"
 SQL = {
@@ -106,10 +111,10 @@ SQL = {
 ORDER BY tier, CASE type WHEN 'nation' THEN 0 WHEN 'part' THEN 1 ELSE 2 END, length(name), name, id LIMIT 60"""),
     "search_documents": with_relations("chunks", "SELECT file_path, min(chunk_id) AS chunk_id, count(*) AS chunks FROM chunks WHERE contains(lower(file_path || ' ' || content), 'license') AND contains(lower(file_path || ' ' || content), 'the') GROUP BY 1"),
     "name_hits": with_relations("entities", """SELECT id, hits FROM (SELECT id, name, CAST(contains(q, 'supp') AS INT) + CAST(contains(q, 'cust') AS INT) + CAST(contains(q, '00') AS INT) AS hits
-  FROM (SELECT *, regexp_replace(lower(name), '[-_. ]', '', 'g') AS q FROM entities WHERE type <> 'order')) WHERE hits >= 2 ORDER BY hits DESC, length(name), id LIMIT 30"""),
+  FROM (SELECT *, regexp_replace(lower(name), '[-_. ]', '', 'g') AS q FROM entities)) WHERE hits >= 2 ORDER BY hits DESC, length(name), id LIMIT 30"""),
     "lexical_fallback": with_relations("chunks", """SELECT chunk_id, hits FROM (SELECT chunk_id, CAST(contains(lower(content), 'license') AS INT) + CAST(contains(lower(content), 'token') AS INT) + CAST(contains(lower(content), 'password') AS INT) + CAST(contains(lower(content), 'released') AS INT) AS hits FROM chunks)
 WHERE hits > 0 ORDER BY hits DESC, chunk_id LIMIT 10"""),
-    "symbol_matches": with_relations("entities", """SELECT DISTINCT q.qualified_name AS query, e.id FROM entities q JOIN entities e ON q.type = 'supplier' AND (e.name IN (q.qualified_name, replace(q.qualified_name, '.', '#'), string_split(q.qualified_name, '.')[-1]) OR e.qualified_name IN (q.qualified_name, replace(q.qualified_name, '.', '#'), string_split(q.qualified_name, '.')[-1]))"""),
+    "symbol_matches": with_relations("entities", """SELECT DISTINCT q.qualified_name AS query, e.id FROM entities q JOIN entities e ON q.type = 'supplier' AND (e.name IN (q.qualified_name, replace(q.qualified_name, '.', '#')) OR e.qualified_name IN (q.qualified_name, replace(q.qualified_name, '.', '#')))"""),
     "first_chunk_per_source": with_relations("chunks", "SELECT source AS file_path, min(chunk_id) AS chunk_id FROM chunks GROUP BY 1 ORDER BY 1 LIMIT 20"),
     "term_score": with_relations("chunks", """SELECT chunk_id, score FROM (SELECT chunk_id, round(((length(l) - length(replace(l, 'the', ''))) / 3 + (length(l) - length(replace(l, 'tion', ''))) / 4) / (1 + ln(length(l) + 1)), 4) AS score
   FROM (SELECT chunk_id, translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM chunks)) WHERE score > 0"""),
@@ -128,7 +133,8 @@ SELECT * FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER
     "quota_rerank": f"""WITH {UNIT}, near AS (SELECT b.id, 'f' || b.id % 60 AS file, ['code', 'test', 'other'][b.id % 3 + 1] AS kind, round(1 - round(1 - {COS}, 4), 4) AS score FROM n a, n b WHERE a.id = 7 ORDER BY round(1 - {COS}, 4), b.id LIMIT 200),
 f AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, id) = 1), k AS (SELECT * FROM f QUALIFY kind = 'code' OR row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) <= 2)
 SELECT id, file, kind, score FROM k ORDER BY score DESC, id LIMIT 12""",
-    "external_targets": with_relations("entities", "SELECT id, CASE WHEN upper(substr(name, 1, 2)) || 'FX' LIKE 'MQ%' THEN 'messaging' END AS category FROM entities WHERE type IN ('nation', 'region')"),
+    "external_targets": with_relations("edges", """n AS (SELECT edge_id, ['CEE', 'DFH', 'dsn', 'IGZ', 'MQ', 'XX', 'A'][line] || dst_name AS name FROM edges)
+SELECT edge_id, CASE upper(name[1:3]) WHEN 'CEE' THEN 'runtime' WHEN 'DFH' THEN 'transaction-system' WHEN 'DSN' THEN 'database' WHEN 'IGZ' THEN 'runtime' ELSE CASE WHEN name LIKE 'MQ%' THEN 'messaging' END END AS category FROM n"""),
     "resolve_unique_names": f"""WITH refs AS (SELECT {ORDER} + l_orderkey AS src_id, CASE WHEN l_linenumber % 2 = 0 THEN p_name || '#' || p_partkey ELSE p_name END AS dst_name FROM lineitem JOIN part ON l_partkey = p_partkey),
 held AS (SELECT upper(p_name) AS key, {PART} + p_partkey AS t FROM part UNION ALL SELECT upper(p_name || '#' || p_partkey), {PART} + p_partkey FROM part), one AS (SELECT key, min(t) AS t FROM held GROUP BY key HAVING count(DISTINCT t) = 1)
 SELECT src_id, CASE WHEN t IS NULL THEN 'unresolved' ELSE 'resolved' END AS resolution, count(*) AS edges, CAST(sum(t) AS BIGINT) AS sum_dst FROM refs LEFT JOIN one ON upper(dst_name) = key GROUP BY 1, 2""",

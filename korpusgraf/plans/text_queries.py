@@ -8,6 +8,8 @@ from korpusgraf.functions import chunking
 from korpusgraf.functions.text import codeowners_pattern
 from korpusgraf.operators import evidence, groups, rollup
 from korpusgraf.plans.rollup_queries import pairs
+from korpusgraf.plans.structure_queries import O
+from korpusgraf.plans.structure_queries import _files as by_customer
 from korpusgraf.sources import readers
 from korpusgraf.sources.adapter import chunks, entities, table, with_relations
 
@@ -33,8 +35,14 @@ def cited_files(s, d):
 
 
 def names(s, d):
-    words = F.array(*[F.lit(w) for w in ("license", "apache", "password", "token", "tion", "thth")])
-    return table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), words[F.col("r_regionkey")].alias("token"))
+    """Entities named by the words of documents: those of an id divisible by seven name each of their longer words, so that rare and shared names come about."""
+    c = table(s, d, "documents").where("doc_id % 7 = 0")
+    return c.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_.#]{9,})"), F.lit(1)))).alias("token"))
+
+
+def settings(s, d):
+    """A properties file for each customer, a key for each order."""
+    return by_customer(s, d, "'# note\\n\\n'", "concat('key.', x.o_orderkey, ' = v', x.o_orderkey % 7, '\\nlong', x.o_orderkey, ': a\\\\\\n   b\\n! x')")
 
 
 def with_lang(s, d):
@@ -45,7 +53,7 @@ QUERIES = {
     "chunk_lines": lambda s, d: chunking.chunked(table(s, d, "documents"), "doc_id", "text"),
     "markdown_outline": lambda s, d: table(s, d, "documents").select("doc_id", F.explode(chunking.outline(F.regexp_replace("text", r"(?m)^([A-Z][a-z]+)\.$", "# $1"))).alias("h")).select("doc_id", "h.line", "h.level", "h.title"),
     "page_lines": lambda s, d: readers.page_lines(table(s, d, "pages")),
-    "property_rows": lambda s, d: readers.property_rows(s.createDataFrame([("a.properties", "# c\nk = v\nlong = a\\\n  b\n! x\nurl: http://x")], "path string, content string")),
+    "property_rows": lambda s, d: readers.property_rows(settings(s, d)),
     "repo_statistics": lambda s, d: readers.repo_statistics(with_lang(s, d)),
     "mentions": lambda s, d: evidence.mentions(chunks(s, d), names(s, d)),
     "citations": lambda s, d: evidence.citations(answers(s, d)),
@@ -59,9 +67,10 @@ SQL = {
     "repo_statistics": "SELECT lang AS language, count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines FROM documents GROUP BY lang",
     "markdown_outline": r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS line, unnest(l) AS t FROM l)
 SELECT doc_id, CAST(line AS INT) AS line, 1 AS level, t[1:-2] AS title FROM x WHERE regexp_full_match(t, '[A-Z][a-z]+\.')""",
-    "mentions": with_relations("chunks", """names AS (SELECT CAST(r_regionkey AS BIGINT) AS id, ['license', 'apache', 'password', 'token', 'tion', 'thth'][r_regionkey + 1] AS token FROM region),
-rare AS (SELECT * FROM names QUALIFY count(*) OVER (PARTITION BY token) <= 3), words AS (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_.#]{4,}')) AS token FROM chunks)
+    "mentions": with_relations("chunks", """words AS (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_.#]{4,}')) AS token FROM chunks),
+long AS (SELECT DISTINCT chunk_id AS id, unnest(regexp_extract_all(lower(content), '[a-z0-9_.#]{9,}')) AS token FROM chunks WHERE chunk_id % 7 = 0), rare AS (SELECT * FROM long QUALIFY count(*) OVER (PARTITION BY token) <= 3)
 SELECT chunk_id, id, count(*) AS uses FROM words JOIN rare USING (token) GROUP BY 1, 2"""),
+    "property_rows": f"""WITH {O} SELECT 'src/' || o_custkey AS path, CAST(3 * n AS INT) AS line, 'key.' || o_orderkey AS key, 'v' || o_orderkey % 7 AS value FROM o UNION ALL SELECT 'src/' || o_custkey, CAST(3 * n + 1 AS INT), 'long' || o_orderkey, 'ab' FROM o""",
     "citations": "SELECT event_id AS answer_id, 'orders/' || user_id || '.sql' AS path, CAST(event_id % 90 + 1 AS INT) AS line FROM events UNION ALL SELECT event_id, 'x' || event_id % 7 || '/unit.java', CAST(event_id % 50 AS INT) FROM events",
     "citation_reconcile": """SELECT event_id AS answer_id, 'orders/' || user_id || '.sql' AS path, CAST(event_id % 90 + 1 AS INT) AS line, CASE WHEN user_id IN (SELECT c_custkey FROM customer) AND event_id % 90 + 1 <= 60 THEN 'kept' ELSE 'removed' END AS state FROM events
 UNION ALL SELECT event_id, 'x' || event_id % 7 || '/unit.java', CAST(event_id % 50 AS INT), CASE WHEN event_id % 7 IN (1, 2) AND event_id % 50 <= 30 THEN 'kept' ELSE 'ambiguous' END FROM events""",
