@@ -128,7 +128,7 @@ def with_keys(texts: DataFrame) -> DataFrame:
     form = texts.withColumn("form", line_forms(F.col("text")))
     unwrapped = F.when(F.col("text").rlike(WRAPPED), line_forms(F.regexp_replace("text", WRAPPED, " $1"))).otherwise(F.col("form"))
     form = form.select("*", _plain(F.col("form")).alias("plain"), _plain(unwrapped).alias("whole"))
-    lines = F.filter(F.transform(F.split("plain", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("plain", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     blocks = F.filter(F.split(F.regexp_replace("whole", r" *\n *", "\n"), "\n{2,}"), lambda b: F.trim(F.translate(b, "\n", " ")) != "")
     return form.select(
         *texts.columns, F.md5(_flat(F.col("form")).cast("binary")).alias("digest"), _key(F.col("whole")).alias("key"),
