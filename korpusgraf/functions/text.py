@@ -70,7 +70,8 @@ def question_symbols(question: Column, most: int = 8) -> Column:
     or more, `()` and closing marks cut. A name that another one holds, in any case, is dropped."""
     shape = r"([A-Za-z_][A-Za-z0-9_]*(?:(?:\.|#|::)[A-Za-z_][A-Za-z0-9_]*)+|[A-Za-z0-9]+_[A-Za-z0-9_]+|[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)+|[A-Za-z]*[a-z0-9][A-Z][A-Za-z0-9]*|[A-Z]{2,}[0-9]+)"
     found = F.array_distinct(F.filter(F.regexp_extract_all(question, F.lit(shape), F.lit(1)), lambda t: F.length(t) >= 4))
-    alone = F.transform(F.array(found), lambda ts: F.filter(ts, lambda t: ~F.exists(ts, lambda o: (F.lower(o) != F.lower(t)) & F.contains(F.lower(o), F.lower(t)))))[0]
+    held = lambda ts, t, i: F.exists(ts, lambda o: (F.lower(o) != F.lower(t)) & F.contains(F.lower(o), F.lower(t))) | (F.array_position(F.transform(ts, lambda o: F.lower(o)), F.lower(t)) <= i)
+    alone = F.transform(F.array(found), lambda ts: F.filter(ts, lambda t, i: ~held(ts, t, i)))[0]
     return F.slice(alone, 1, most)
 
 
@@ -108,7 +109,7 @@ def split_parameters(text: Column) -> Column:
         return F.struct(depth.alias("depth"), F.when(cut, "").otherwise(F.concat(acc["now"], c)).alias("now"), F.when(cut, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]).alias("out"))
 
     parts = F.aggregate(F.split(text, ""), start, step, lambda acc: F.concat(acc["out"], F.array(acc["now"])))
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def is_documentation(kind: Column, language: Column) -> Column:

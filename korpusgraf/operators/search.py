@@ -69,3 +69,8 @@ def term_score(chunks: DataFrame, terms: list[str]) -> DataFrame:
     low = F.translate(F.col("content"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     n = sum(((F.char_length(low) - F.char_length(F.replace(low, F.lit(t), F.lit("")))) / len(t) for t in terms), F.lit(0.0))
     return chunks.select("chunk_id", F.round(n / (1 + F.log(F.char_length("content").cast("double") + 1)), 4).alias("score")).where("score > 0")
+
+
+def bounded(candidates: DataFrame, tokens: list[str], order: list, most: int = 2_000) -> DataFrame:
+    """The candidates of a search; where every token is shorter than three characters, so that no index helps, only the first `most` in a unique order."""
+    return candidates.orderBy(*order).limit(most) if all(len(t) < 3 for t in tokens) else candidates

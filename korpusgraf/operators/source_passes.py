@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusgraf.operators.lineage import stored
-from korpusgraf.operators.structure import in_file, lines, part, so_far
+from korpusgraf.operators.structure import in_file, lines, logical_lines, part, so_far
 
 NAME = r"[A-Z0-9]+(?:-[A-Z0-9]+)*"
 
@@ -28,17 +28,6 @@ def source_format(files: DataFrame) -> DataFrame:
     return files.select("path").join(out, "path", "left").select("path", F.coalesce("directive", F.when(F.col("free") > F.col("fixed"), "free").otherwise("fixed")).alias("format"))
 
 
-def logical_lines(files: DataFrame) -> DataFrame:
-    """path, line, end_line, text of fixed-format programs: comments left out, lines continued by `-` in column 7 joined to the line above; a continued
-    literal goes on after its opening quote. Text is columns 8 to 72."""
-    code = lines(files).withColumn("mark", F.substring("text", 7, 1)).where(F.col("mark").isin("", " ", "-", "D", "d"))
-    code = code.withColumn("nr", F.sum(F.when(F.col("mark") == "-", 0).otherwise(1)).over(so_far()))
-    body = F.substring("text", 8, 65)
-    piece = F.when(F.col("mark") == "-", F.regexp_replace(body, r"""^\s+['"]?""", "")).otherwise(body)
-    whole = code.withColumn("piece", piece).groupBy("path", "nr").agg(F.min("line").alias("line"), F.max("line").alias("end_line"), F.array_sort(F.collect_list(F.struct("line", "piece"))).alias("ps"))
-    return whole.select("path", "line", "end_line", F.array_join(F.transform("ps", lambda p: p["piece"]), "").alias("text"))
-
-
 def active_lines(code: DataFrame, defines: dict[str, str]) -> DataFrame:
     """Lines (path, line, text) that no >>IF, >>ELSE, >>END-IF region makes inactive for certain: `n = m` of numbers and DEFINED(name) of known names are
     decided, any other condition leaves both branches. Directive lines stay out."""

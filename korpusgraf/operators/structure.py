@@ -52,6 +52,17 @@ def owner_when(condition: str) -> Column:
     return F.last(F.when(F.expr(condition), F.col("name")), ignorenulls=True).over(so_far())
 
 
+def logical_lines(files: DataFrame) -> DataFrame:
+    """path, line, end_line, text of fixed-format programs: comments left out, lines continued by `-` in column 7 joined to the line above; a continued
+    literal goes on after its opening quote. Text is columns 8 to 72."""
+    code = lines(files).withColumn("mark", F.substring("text", 7, 1)).where(F.col("mark").isin("", " ", "-", "D", "d"))
+    code = code.withColumn("nr", F.sum(F.when(F.col("mark") == "-", 0).otherwise(1)).over(so_far()))
+    body = F.substring("text", 8, 65)
+    piece = F.when(F.col("mark") == "-", F.regexp_replace(body, r"""^\s+['"]?""", "")).otherwise(body)
+    whole = code.withColumn("piece", piece).groupBy("path", "nr").agg(F.min("line").alias("line"), F.max("line").alias("end_line"), F.array_sort(F.collect_list(F.struct("line", "piece"))).alias("ps"))
+    return whole.select("path", "line", "end_line", F.array_join(F.transform("ps", lambda p: p["piece"]), "").alias("text"))
+
+
 def cobol_code(files: DataFrame) -> DataFrame:
     """Lines of fixed-format programs without sequence numbers and comments: path, line, text in upper case."""
     return lines(files).where(F.substring("text", 7, 1).isin("", " ", "-")).withColumn("text", F.upper(F.substring("text", 8, 65)))
@@ -67,12 +78,14 @@ def cobol_units(files: DataFrame) -> DataFrame:
 
 
 def cobol_edges(files: DataFrame) -> DataFrame:
-    """path, line, src (paragraph, or null above the first), type (PERFORM, CALL, GOTO, COPY), dst_name, resolution: calls by a data name are dynamic."""
-    code = cobol_code(files)
-    para = F.when(code["text"].rlike(r"^[A-Z0-9-]+ *\. *$"), part(r"^([A-Z0-9-]+) *\."))
+    """path, line, src (paragraph, or null above the first), type (PERFORM, CALL, GOTO, COPY), dst_name, resolution: all such statements of each logical line; calls by a
+    data name are dynamic."""
+    code = logical_lines(files).withColumn("text", F.regexp_replace(F.upper("text"), r"(?<!['A-Z])\*>.*$", ""))
+    para = F.when(F.col("text").rlike(r"^[A-Z0-9-]+ *\. *$"), part(r"^([A-Z0-9-]+) *\."))
     code = code.withColumn("src", F.last(para, ignorenulls=True).over(so_far()))
     shapes = [("PERFORM", r"\bPERFORM +([A-Z0-9]+(?:-[A-Z0-9]+)+|[A-Z0-9-]+)(?= *(?:\.|THRU|UNTIL|$))"), ("CALL", r"\bCALL +('[^']+'|\"[^\"]+\"|[A-Z0-9-]+)"), ("GOTO", r"\bGO +TO +([A-Z0-9-]+)"), ("COPY", r"\bCOPY +([A-Z0-9-]+)")]
-    found = F.filter(F.array(*[F.struct(F.lit(t).alias("type"), part(p).alias("name")) for t, p in shapes]), lambda x: x["name"].isNotNull())
+    tagged = lambda t, names: F.transform(names, lambda n: F.struct(F.lit(t).alias("type"), n.alias("name")))
+    found = F.concat(*[tagged(t, F.regexp_extract_all("text", F.lit(p), F.lit(1))) for t, p in shapes])  # every match of a line
     hits = code.select("path", "line", "src", F.explode(found).alias("f"))
     name = F.regexp_replace("f.name", "['\"]", "")
     dynamic = (F.col("f.type") == "CALL") & ~F.col("f.name").rlike("^['\"]")

@@ -33,6 +33,7 @@ def noted(s, d):
 
 QUERIES = {
     "drop_layers": lambda s, d: context.drop_layers(both_ways(s, d), s.createDataFrame([(ROOT,)], "id long"), 2)[1],
+    "drop_layer_nodes": lambda s, d: context.drop_layers(both_ways(s, d), s.createDataFrame([(ROOT,)], "id long"), 2, 1 << 40)[0],
     "outside_index": lambda s, d: context.outside_index(edges(s, d), entities(s, d)),
     "file_references": lambda s, d: context.file_references(edges(s, d), entities(s, d), "orders/7"),
     "control_flow": lambda s, d: context.control_flow(edges(s, d), entities(s, d), "orders/7"),
@@ -47,6 +48,8 @@ SQL = {
 one AS (SELECT DISTINCT b AS id FROM step WHERE a = {ROOT} AND b <> {ROOT}), two AS (SELECT DISTINCT b AS id FROM step WHERE a IN (SELECT id FROM one) AND b <> {ROOT} AND b NOT IN (SELECT id FROM one))
 SELECT CAST(1 AS INT) AS layer, (SELECT count(*) FROM one) AS nodes, (SELECT count(*) FROM step WHERE a = {ROOT} AND b IS NULL) AS unresolved, false AS collapsed
 UNION ALL SELECT 2, (SELECT count(*) FROM two), (SELECT count(*) FROM step WHERE a IN (SELECT id FROM one) AND b IS NULL), (SELECT count(*) FROM two) > 40"""),
+    "drop_layer_nodes": with_relations("edges", f"""step AS (SELECT src_id AS a, dst_id AS b FROM edges WHERE dst_id IS NOT NULL UNION SELECT dst_id, src_id FROM edges WHERE dst_id IS NOT NULL),
+walk AS (SELECT CAST({ROOT} AS BIGINT) AS id, 0 AS layer UNION SELECT b, layer + 1 FROM walk JOIN step ON a = id WHERE layer < 2) SELECT id, min(layer) AS layer FROM walk GROUP BY id"""),
     "outside_index": with_relations("edges entities", "o AS (SELECT file_path, dst_name, edges.type FROM edges JOIN entities ON id = src_id WHERE dst_id IS NULL) SELECT file_path, count(*) AS open_edges FROM o WHERE (file_path, dst_name) IN (SELECT file_path, dst_name FROM o WHERE type = 'IMPORTS') GROUP BY 1"),
     "file_references": with_relations("edges entities", "SELECT line, edge_id, edges.type AS type, t.qualified_name AS target, t.file_path AS target_path FROM edges JOIN entities s ON s.id = src_id JOIN entities t ON t.id = dst_id WHERE resolution = 'resolved' AND s.file_path = 'orders/7' ORDER BY line, edge_id LIMIT 200"),
     "control_flow": with_relations("edges entities", "SELECT DISTINCT CAST(1 AS INT) AS hop, start_line, line, src_id, dst_id FROM edges JOIN entities ON id = src_id WHERE edges.type = 'CALL' AND dst_id IS NOT NULL AND file_path = 'orders/7'"),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from korpusgraf.plans import assembly_queries, change_queries, choice_queries, context_queries, graph_queries, link_queries, pass_queries, rollup_queries, search_queries, source_queries, structure_queries, text_queries
+from korpusgraf.plans import assembly_queries, change_queries, choice_queries, context_queries, graph_queries, link_queries, pass_queries, rollup_queries, search_queries, source_queries, structure_queries, symbol_queries, text_queries
 
-PARTS = (rollup_queries, search_queries, graph_queries, link_queries, text_queries, structure_queries, change_queries, context_queries, choice_queries, pass_queries, source_queries, assembly_queries)
+PARTS = (rollup_queries, search_queries, graph_queries, link_queries, text_queries, structure_queries, change_queries, context_queries, choice_queries, pass_queries, source_queries, assembly_queries, symbol_queries)
 QUERIES: dict = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 SQL: dict[str, str] = {k: v for part in PARTS for k, v in part.SQL.items()}

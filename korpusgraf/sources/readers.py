@@ -99,3 +99,48 @@ def repo_statistics(files: DataFrame) -> DataFrame:
     """language, files, lines."""
     lines = F.size(F.split("content", "\n"))
     return files.groupBy("language").agg(F.count("*").alias("files"), F.sum(lines).alias("lines"))
+
+
+#: EBCDIC code pages that are told apart, and the characters that stand for text in them.
+EBCDIC = ("cp037", "cp273", "cp1140")
+
+
+def ebcdic_page(data: bytes) -> str | None:
+    """The EBCDIC page of which most bytes are letters, digits, blanks or line ends, if at least nine of ten are and fewer would be as ASCII; the first of equals. Else null."""
+    if not data or data.isascii():
+        return None
+    good = lambda text: sum(c.isalnum() or c in " \n\r\x85.,;:()-*/'\"=+" for c in text) / len(text)
+    best = max(EBCDIC, key=lambda page: good(data.decode(page)))
+    plain = good(data.decode("latin-1"))
+    try:
+        data.decode("utf-8")
+        return None
+    except UnicodeDecodeError:
+        return best if good(data.decode(best)) >= 0.9 and good(data.decode(best)) > plain else None
+
+
+def strictly_decoded(files: DataFrame, charset: str | None = None) -> DataFrame:
+    """path, charset, text, error_at of files (path, content in bytes): decoded as `charset`, else as EBCDIC where that shows, else as UTF-8; text is null and error_at the
+    offset of the first byte that can't be decoded, or null."""
+
+    def decode(col: pd.Series) -> pd.DataFrame:
+        out = []
+        for raw in col:
+            data = bytes(raw or b"")
+            page = charset or ebcdic_page(data) or "utf-8"
+            try:
+                out.append((page, data.decode(page), None))
+            except UnicodeDecodeError as e:
+                out.append((page, None, e.start))
+        return pd.DataFrame(out, columns=["charset", "text", "error_at"]).astype({"error_at": "Int32"})
+
+    made = F.pandas_udf(decode, "charset string, text string, error_at int")("content")
+    return files.select("path", made.alias("d")).select("path", "d.charset", "d.text", "d.error_at")
+
+
+def byte_parts(texts: DataFrame, id_col: str, text_col: str, budget: int) -> DataFrame:
+    """id, nr, part: texts in parts of at most `budget` UTF-8 bytes (fit_bytes); null and empty texts have none."""
+    from korpusgraf.functions.chunking import fit_bytes
+
+    cut = F.pandas_udf(lambda col: col.map(lambda t: fit_bytes(t or "", budget)), "array<string>")
+    return texts.select(F.col(id_col).alias("id"), F.posexplode(cut(text_col)).alias("nr", "part"))
