@@ -1,7 +1,8 @@
 """Language-model scoring by the likelihood of subword lattices.
 
 The pieces are those of an existing subword vocabulary. Its own segmentations of the training words, weighted by the words' counts,
-give each piece its unigram score; bytes stand in for characters that no piece covers, and one end piece closes a text. A word's
+give each piece a first unigram score, and ROUNDS of expected counts over all segmentations (words of up to LONG characters; longer ones by
+the vocabulary's own) the final one; bytes stand in for characters that no piece covers, and one end piece closes a text. A word's
 probability is the sum over all its segmentations into pieces, by forward recursion in log space; a text's probability is the product
 over its words and the end, so that the result is the marginal over all segmentations of the document.
 
@@ -30,6 +31,7 @@ from korpusgraf.llm.common import crc_of_id, stored
 HOT, HOT_BYTES = 1 << 18, 64
 BASE, SPREAD, BITS, MASK = 0x100000001B3, 0x9E3779B97F4A7C15, 18, (1 << 64) - 1
 FLUSH = 200_000
+ROUNDS, LONG = 2, 256
 SMOOTH = 0.1
 MARK = "▁"
 
@@ -60,7 +62,7 @@ def piece_ids(path: str, words: list[str]) -> list[list[int]]:
 class Lattice:
     """Piece scores (natural logs) and the forward recursion over a word's segmentations."""
 
-    def __init__(self, path: str, counts: dict[int, int], ends: int):
+    def __init__(self, path: str, counts: dict[int, float], ends: int):
         sp = _processor(path)
         size = sp.get_piece_size()
         usable = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i))]
@@ -75,22 +77,23 @@ class Lattice:
     def _index(self) -> None:
         """Open-addressed table from the hashes of pieces to their scores, for lookups of whole arrays."""
         self.power = np.array([pow(BASE, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
-        self.keys, self.values, self.probes = np.zeros(1 << BITS, np.uint64), np.full(1 << BITS, -np.inf), 1
-        for piece, score in self.pieces.items():
+        self.keys, self.numbers, self.probes = np.zeros(1 << BITS, np.uint64), np.full(1 << BITS, len(self.pieces), np.int32), 1
+        self.values = np.array([*self.pieces.values(), -np.inf])  # the last stands for no piece
+        for number, piece in enumerate(self.pieces):
             key = 0
             for c in piece:
                 key = (key * BASE + ord(c) + 1) & MASK
             slot, tries = ((key * SPREAD) & MASK) >> (64 - BITS), 1
             while self.keys[slot]:
                 slot, tries = (slot + 1) & ((1 << BITS) - 1), tries + 1
-            self.keys[slot], self.values[slot] = key, score
+            self.keys[slot], self.numbers[slot] = key, number
             self.probes = max(self.probes, tries)
 
-    def _scores(self, keys: np.ndarray) -> np.ndarray:
-        """Piece scores of hashed substrings, -inf where there is no such piece."""
+    def _numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces of hashed substrings, len(pieces) where there is no such piece."""
         slot = ((keys * np.uint64(SPREAD)) >> np.uint64(64 - BITS)).astype(np.int64)
         found = self.keys[slot]
-        out = np.where(found == keys, self.values[slot], -np.inf)
+        out = np.where(found == keys, self.numbers[slot], len(self.pieces))
         rest = np.flatnonzero((found != keys) & (found != 0))
         for _ in range(self.probes - 1):
             if not rest.size:
@@ -98,16 +101,67 @@ class Lattice:
             slot[rest] = (slot[rest] + 1) & ((1 << BITS) - 1)
             found = self.keys[slot[rest]]
             hit = found == keys[rest]
-            out[rest[hit]] = self.values[slot[rest[hit]]]
+            out[rest[hit]] = self.numbers[slot[rest[hit]]]
             rest = rest[~hit & (found != 0)]
         return out
 
-    def _of_length(self, words: list[str], n: int) -> np.ndarray:
+    def _scores(self, keys: np.ndarray) -> np.ndarray:
+        return self.values[self._numbers(keys)]
+
+    def expected(self, words: list[str], weights: np.ndarray, longest: int = LONG, batch: int = 2048) -> tuple[np.ndarray, dict[int, float]]:
+        """How often each piece (by its number) and each byte is expected in the words, times their weights, over all segmentations by their probability: forward
+        and backward recursions. Longer words than `longest` are left to the caller."""
+        size = np.array([len(w) for w in words], np.int64)
+        total, of_bytes = np.zeros(len(self.pieces) + 1), dict.fromkeys(self.bytes, 0.0)
+        for n in np.unique(size[(size > 0) & (size <= longest)]).tolist():
+            at = np.flatnonzero(size == n)
+            for k in range(0, len(at), batch):
+                part = at[k : k + batch]
+                self._expect([words[i] for i in part], n, weights[part], total, of_bytes)
+        return total[:-1], of_bytes
+
+    def _expect(self, words: list[str], n: int, weights: np.ndarray, total: np.ndarray, of_bytes: dict[int, float]) -> None:
+        points, prefix = self._prefixes(words, n)
+        numbers: dict[tuple[int, int], np.ndarray] = {}
+        scores: dict[tuple[int, int], np.ndarray] = {}
+        bare: dict[int, np.ndarray] = {}
+        forward = [np.zeros(len(words))]
+        for j in range(1, n + 2):
+            for i in range(max(0, j - self.longest), j):
+                numbers[i, j] = self._numbers(prefix[j] - prefix[i] * self.power[j - i])
+                scores[i, j] = self.values[numbers[i, j]]
+            if (lone := np.isneginf(self._scores(points[j - 1].astype(np.uint64) + np.uint64(1)))).any():
+                bare[j] = lone
+                for c in np.unique(points[j - 1][lone]).tolist():
+                    scores[j - 1, j][points[j - 1] == c] = sum(self.bytes[b] for b in chr(c).encode())
+            forward.append(_log_sum([forward[i] + scores[i, j] for i in range(max(0, j - self.longest), j)]))
+        backward = {n + 1: np.zeros(len(words))}
+        for i in range(n, -1, -1):
+            backward[i] = _log_sum([scores[i, j] + backward[j] for j in range(i + 1, min(n + 1, i + self.longest) + 1)])
+        ids, shares = [], []
+        for (i, j), s in scores.items():
+            p = np.exp(forward[i] + s + backward[j] - forward[-1]) * weights
+            if i == j - 1 and j in bare:
+                for c in np.unique(points[i][bare[j]]).tolist():
+                    share = float(p[points[i] == c].sum())
+                    for b in chr(c).encode():
+                        of_bytes[b] += share
+                p = np.where(bare[j], 0.0, p)
+            ids.append(numbers[i, j])
+            shares.append(p)
+        total += np.bincount(np.concatenate(ids), np.concatenate(shares), len(total))
+
+    def _prefixes(self, words: list[str], n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Code points of the marked words by place, and hashes of their beginnings."""
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).T
         points = np.vstack([np.full((1, len(words)), ord(MARK), np.uint32), points])
         prefix = [np.zeros(len(words), np.uint64)]
         for row in points:
             prefix.append(prefix[-1] * np.uint64(BASE) + row.astype(np.uint64) + np.uint64(1))
+        return points, prefix
+
+    def _of_length(self, words: list[str], n: int) -> np.ndarray:
+        points, prefix = self._prefixes(words, n)
         forward = [np.zeros(len(words))]
         for j in range(1, n + 2):
             first = max(0, j - self.longest)
@@ -176,17 +230,54 @@ def word_counts(docs: DataFrame, training: Column) -> DataFrame:
     return seen.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def learnt_lattice(counts: DataFrame, ends: int, path: str) -> Lattice:
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    stacked = np.stack(terms)
+    top = stacked.max(axis=0)
+    return top + np.log(np.exp(stacked - top).sum(axis=0))
+
+
+def learnt_lattice(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> Lattice:
+    """Piece scores from the training words: first by the vocabulary's own segmentation, then in each round by the expected counts over all segmentations. What
+    comes to the driver is a row for each piece of the vocabulary."""
+    train = counts.where("c > 0").select("word", "c")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter[int] = Counter()
         for pdf in batches:
             for ids, c in zip(piece_ids(path, pdf["word"].tolist()), pdf["c"].tolist()):
                 for i in ids:
                     total[i] += c
-        yield pd.DataFrame({"i": list(total), "n": list(total.values())}, dtype="int64")
-
-    rows = counts.where("c > 0").select("word", "c").mapInPandas(pieces, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    return Lattice(path, {r["i"]: r["n"] for r in rows}, ends)  # a row for each piece of the vocabulary
+        yield pd.DataFrame({"i": list(total), "n": [float(n) for n in total.values()]}).astype({"i": "int64", "n": float})
+
+    def summed(found: DataFrame) -> dict[int, float]:
+        return {r["i"]: r["n"] for r in found.groupBy("i").agg(F.round(F.sum("n"), 3).alias("n")).collect()}
+
+    lattice = Lattice(path, summed(train.mapInPandas(best, "i long, n double")), ends)
+    for _ in range(rounds):
+        held = counts.sparkSession.sparkContext.broadcast(lattice)  # the vocabulary's pieces
+
+        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sp, model = _processor(path), held.value
+            ids = [sp.piece_to_id(p) for p in model.pieces]
+            byte_ids = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
+            total, of_bytes, long_ = np.zeros(len(ids)), Counter(), Counter()
+            for pdf in batches:
+                words, weights = pdf["word"].tolist(), pdf["c"].to_numpy(float)
+                n, b = model.expected(words, weights)
+                total += n
+                of_bytes.update(b)
+                for k in np.flatnonzero([len(w) > LONG for w in words]).tolist():
+                    for i in piece_ids(path, [words[k]])[0]:
+                        long_[i] += weights[k]
+            rows = {i: n for i, n in zip(ids, total.tolist()) if n > 0}
+            for b, n in of_bytes.items():
+                rows[byte_ids[b]] = rows.get(byte_ids[b], 0.0) + n
+            for i, n in long_.items():
+                rows[i] = rows.get(i, 0.0) + n
+            yield pd.DataFrame({"i": list(rows), "n": list(rows.values())}).astype({"i": "int64", "n": float})
+
+        lattice = Lattice(path, summed(train.mapInPandas(expect, "i long, n double")), ends)
+    return lattice
 
 
 def held_out(doc_id: Column) -> Column:

@@ -615,6 +615,44 @@ def test_sharding_of_nothing(no_docs):
 
 
 # 9
+def brute_expected(model, word, weight, out):
+    """Adds a word's expected pieces, by plain forward and backward sums of probabilities; a byte counts as (b,)."""
+    s = lattice.MARK + word
+
+    def arcs(i):
+        found = [(j, model.pieces[s[i:j]], [s[i:j]]) for j in range(i + 1, min(len(s), i + model.longest) + 1) if s[i:j] in model.pieces]
+        if s[i] not in model.pieces:
+            found.append((i + 1, sum(model.bytes[b] for b in s[i].encode()), [(b,) for b in s[i].encode()]))
+        return found
+
+    forward, backward = [1.0] + [0.0] * len(s), [0.0] * len(s) + [1.0]
+    for i in range(len(s)):
+        for j, p, _ in arcs(i):
+            forward[j] += forward[i] * math.exp(p)
+    for i in reversed(range(len(s))):
+        backward[i] = sum(math.exp(p) * backward[j] for j, p, _ in arcs(i))
+    for i in range(len(s)):
+        for j, p, used in arcs(i):
+            for piece in used:
+                out[piece] += weight * forward[i] * math.exp(p) * backward[j] / forward[-1]
+
+
+def brute_lattice(path, counts, ends, rounds=lattice.ROUNDS):
+    sp = lattice._processor(path)
+    of = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not sp.is_byte(i)}
+    of |= {(int(sp.id_to_piece(i)[1:-1], 16),): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
+    ids = Counter()
+    for w, pieces in zip(counts, lattice.piece_ids(path, list(counts))):
+        for p in pieces:
+            ids[p] += counts[w]
+    for _ in range(rounds):
+        model, found = lattice.Lattice(path, ids, ends), Counter()
+        for w, c in counts.items():
+            brute_expected(model, w, c, found)
+        ids = {of[p]: n for p, n in found.items()}
+    return lattice.Lattice(path, ids, ends)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd_docs"])
 @pytest.mark.parametrize("hot, order", [(1, "as is"), (1 << 18, "as is"), (1, "dealt"), (1 << 18, "random")])
 def test_lm_scoring(request, which, hot, order):
@@ -625,13 +663,7 @@ def test_lm_scoring(request, which, hot, order):
     c = Counter(w for i, ws in rows if not out(i) for w in ws)
     ends = sum(not out(i) for i, _ in rows)
     n, v = sum(c.values()) + ends, len(c) + (ends > 0)
-    ids = Counter()
-    path = lattice.default_vocabulary()
-    words = [w.decode() for w in c]
-    for w, pieces in zip(words, lattice.piece_ids(path, words)):
-        for p in pieces:
-            ids[p] += c[w.encode()]
-    model = lattice.Lattice(path, ids, ends)
+    model = brute_lattice(lattice.default_vocabulary(), {w.decode(): k for w, k in c.items()}, ends)
     base = lambda k: math.log10((k + 0.1) / (n + 0.1 * (v + 1)))
     want = sorted(((i, out(i), len(ws) + 1, sum(c[w] > 0 for w in ws) + (ends > 0), n, round(sum(base(c[w]) for w in ws) + base(ends), 5), round(sum(model.log10(w.decode()) for w in ws) + model.end / math.log(10), 5)) for i, ws in rows), key=repr)
     got = sorted(((*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in lattice.score(df, hot=hot).collect()), key=repr)
@@ -639,6 +671,16 @@ def test_lm_scoring(request, which, hot, order):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], atol=1e-3)
 
 
+def test_expected_pieces_of_all_segmentations():
+    model = lattice.Lattice(lattice.default_vocabulary(), {i: i % 97 for i in range(32000)}, 3)
+    words, weights = ["there", "x\U00012000q\U00012000", "é", "日本", "a" * 60, "hello", "\U0001f600"], np.array([1.0, 2, 3, 4, 5, 6, 7])
+    total, of_bytes = model.expected(words, weights)
+    want = Counter()
+    for w, c in zip(words, weights):
+        brute_expected(model, w, c, want)
+    assert np.allclose(total, [want[p] for p in model.pieces]) and of_bytes == pytest.approx({b: want[(b,)] for b in of_bytes}) and max(of_bytes.values()) >= 4
+
+
 def test_lattice_sums_all_segmentations():
     model = lattice.Lattice(lattice.default_vocabulary(), {i: i % 97 for i in range(32000)}, 3)
 
