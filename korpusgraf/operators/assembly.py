@@ -46,6 +46,32 @@ def outline(entities: DataFrame, edges: DataFrame, asked: DataFrame, per_fact: i
     return kids.join(facts, "src_id", "left").select(F.col("parent_id").alias("id"), F.col("src_id").alias("child"), "start_line", F.coalesce("facts", F.lit("")).alias("facts"))
 
 
+def call_flow_page(edges: DataFrame, start: DataFrame, hops: int, offset: int, size: int, per_node: int = 5) -> DataFrame:
+    """pos, hop, src_id, edge_id, dst_id, out_edges, has_more, next_cursor: a page of a call flow by hop, source and edge id, with how many edges each target has itself."""
+    flow = graph.call_flow(edges, start, hops, per_node)
+    page = offset_page(flow, ["hop", "src_id", "edge_id"], offset, size).withColumn("pos", F.row_number().over(Window.orderBy("hop", "src_id", "edge_id")) + offset)  # over `size` rows
+    ends = page.select(F.col("dst_id").alias("src_id")).distinct()
+    own = edges.join(F.broadcast(ends), "src_id", "left_semi").groupBy(F.col("src_id").alias("dst_id")).agg(F.count("*").alias("out_edges"))  # at most `size` targets
+    return page.join(own, "dst_id", "left").select("pos", "hop", "src_id", "edge_id", "dst_id", F.coalesce("out_edges", F.lit(0)).alias("out_edges"), "has_more", "next_cursor")
+
+
+def evidence_pack(entities: DataFrame, edges: DataFrame, queries: DataFrame, budget: int, steps: list[int], per_block: int = 5) -> DataFrame:
+    """query, block, item, text: for each asked symbol (query, tokens) its first entity by symbol_stages, what it uses and what uses it by line, cut to the budget of characters
+    of each symbol: the entity's own line first, then blocks of up to `per_block` edges."""
+    found = symbol_stages(entities, queries, 1)
+    best = stored(found.join(entities.select("id", "qualified_name"), "id").groupBy("query").agg(F.min_by(F.struct("id", "qualified_name"), F.struct("stage", F.length("qualified_name"), "id")).alias("e")).select("query", "e.id", "e.qualified_name"))
+    own = best.select("query", F.lit(0).alias("block"), F.col("id").cast("string").alias("item"), F.col("qualified_name").alias("text"))
+
+    def block(n: int, key: str) -> DataFrame:
+        met = edges.join(best.select("query", F.col("id").alias(key)), key)
+        few = met.withColumn("nr", F.row_number().over(Window.partitionBy("query").orderBy("line", "edge_id"))).where(F.col("nr") <= per_block)
+        return few.select("query", F.lit(n).alias("block"), F.col("edge_id").alias("item"), F.concat_ws(" ", "type", "dst_name").alias("text"))
+
+    rows = own.union(block(1, "src_id")).union(block(2, "dst_id"))
+    fit = fitted(rows.select(F.col("query").alias("pack"), F.concat_ws(":", "block", "item").alias("item"), F.col("block").alias("rank"), "text"), budget, steps)
+    return fit.select(F.col("pack").alias("query"), F.substring_index("item", ":", 1).cast("int").alias("block"), F.expr("substring(item, 3)").alias("item"), "text")
+
+
 def linked_documents(nodes: DataFrame, links: DataFrame, chunks: DataFrame) -> DataFrame:
     """file_path, nodes, chunks: documents that approved links (id, chunk_id, status) join to nodes (id)."""
     met = links.where("status = 'approved'").join(nodes.select("id").distinct(), "id", "left_semi").join(chunks.select("chunk_id", "file_path"), "chunk_id")

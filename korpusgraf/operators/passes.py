@@ -180,6 +180,20 @@ def receiver_types(calls: DataFrame, variables: DataFrame, fields: DataFrame, re
     return resolve_staged(keyed, stages).select(F.col("ref_id").alias("call_id"), F.col("target_id").alias("type"))
 
 
+def binding_targets(classes: DataFrame, declarations: DataFrame) -> DataFrame:
+    """ref_id, target_id of bound classes (ref_id, namespace, name, is_root): an element of that namespace and name for a root class, else, and where there is no such
+    element, the type. declarations: namespace, name, kind (element, type), target_id."""
+    keyed = classes.select("ref_id", "namespace", F.when(F.col("is_root"), F.col("name")).alias("element"), F.col("name").alias("type"))
+    of = lambda kind: declarations.where(F.col("kind") == kind).select("namespace", F.col("name").alias(kind), "target_id")
+    return resolve_staged(keyed, [(of("element"), ["namespace", "element"]), (of("type"), ["namespace", "type"])]).select("ref_id", "target_id", "stage")
+
+
+def rederived(edges: DataFrame, derived: DataFrame, kinds: list[str]) -> DataFrame:
+    """src_id, dst_id, type: edges with those of the derived kinds replaced by what holds now (derived: src_id, dst_id, type), so that a second run changes nothing."""
+    kept = edges.where(~F.col("type").isin(kinds)).select("src_id", "dst_id", "type")
+    return kept.union(derived.where(F.col("type").isin(kinds)).select("src_id", "dst_id", "type").distinct())
+
+
 def lambda_targets(calls: DataFrame, assignments: DataFrame) -> DataFrame:
     """call_id, target_id: calls of a local variable (call_id, method, name, line) that has been given one lambda before and nothing else anywhere in its
     method. assignments: method, name, line, lambda_id (null: another value)."""

@@ -230,6 +230,26 @@ def well_formed(content: Column) -> Column:
     return F.when(parsed["_corrupt_record"].isNull(), content)
 
 
+def xml_elements(files: DataFrame) -> DataFrame:
+    """path, nr, element (names from the root, joined by `/`), attributes (map) of the elements of XML files in document order, without namespace prefixes; malformed files have
+    none. An element's place comes from the tags before it, so a file's tags meet in one fold."""
+    clean = F.regexp_replace(F.col("x"), r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>]*>", "")
+    tags = F.regexp_extract_all(clean, F.lit(r"""(</?[A-Za-z_](?:[^>"']|"[^"]*"|'[^']*')*>)"""), F.lit(1))
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<element:string,tag:string>>").alias("out"))
+
+    def push(acc: Column, tag: Column) -> Column:
+        closes, alone = F.startswith(tag, F.lit("</")), F.endswith(tag, F.lit("/>"))
+        stack = F.concat(acc["stack"], F.array(F.regexp_extract(tag, r"^<(?:[\w.-]+:)?([\w.-]+)", 1)))
+        shorter = F.slice(acc["stack"], F.lit(1), F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))
+        out = F.concat(acc["out"], F.array(F.struct(F.array_join(stack, "/").alias("element"), tag.alias("tag"))))
+        return F.struct(F.when(closes, shorter).when(alone, acc["stack"]).otherwise(stack).alias("stack"), F.when(closes, acc["out"]).otherwise(out).alias("out"))
+
+    shape = r"""([\w:.-]+)\s*=\s*["']([^"']*)["']"""
+    names, values = (F.regexp_extract_all("e.tag", F.lit(shape), F.lit(i)) for i in (1, 2))
+    rows = files.select("path", well_formed(F.col("content")).alias("x")).where("x is not null").select("path", F.posexplode(F.aggregate(tags, start, push, lambda acc: acc["out"])).alias("nr", "e"))
+    return rows.select("path", "nr", "e.element", F.map_from_arrays(names, values).alias("attributes"))
+
+
 def schema_names(files: DataFrame) -> DataFrame:
     """path, namespace, kind (element, complexType, simpleType, message, portType), name: what WSDL and XSD files declare at their top level; malformed files
     declare nothing."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from korpusgraf.operators import assembly as A
 from korpusgraf.operators import graph
-from korpusgraf.plans.graph_queries import HITS, hunks
+from korpusgraf.plans.graph_queries import HITS, hunks, linked
 from korpusgraf.plans.rollup_queries import PAIRS, pairs
 from korpusgraf.sources.adapter import ORDER, PART, SUPPLIER, chunks, edges, entities, table, with_relations
 
@@ -153,7 +153,15 @@ def windows(s, d):
     return A.source_window(c, 3, 9, 5)
 
 
+def pack(s, d):
+    asked = [("AFRICA.ALGERIA", ["africa", "algeria"]), ("ORDER-7", ["order-7"]), ("ORDER-40", ["order-40"])]
+    e = entities(s, d).where("type in ('nation', 'order')")
+    return A.evidence_pack(e, edges(s, d).union(back(s, d)), s.createDataFrame(asked, "query string, tokens array<string>"), 60, [40, 12, 6], 3)
+
+
 QUERIES = {
+    "call_flow_page": lambda s, d: A.call_flow_page(linked(s, d), of(s, d, "order").where(f"id < {ORDER + 30}").select("id"), 2, 10, 15, 3),
+    "evidence_pack": pack,
     "entry_paragraphs": entry,
     "units_of_chunks": lambda s, d: A.units_of(places(s, d), parts(s, d)),
     "covering_entity": lambda s, d: A.covering_entity(hunks(s, d), of(s, d, "part")),
@@ -185,6 +193,17 @@ QUERIES = {
 }
 PLACES = "c AS (SELECT event_id AS chunk_id, 'Brand#' || (1 + event_id % 5) || (1 + user_id % 5) || '/' || ['STANDARD', 'PROMO', 'SMALL', 'LARGE', 'ECONOMY', 'MEDIUM'][event_id % 6 + 1] AS file_path, event_id % 480 AS line FROM events)"
 SQL = {
+    "call_flow_page": with_relations("edges", f"""linked AS (SELECT edge_id, src_id, dst_id, type, resolution, line FROM edges UNION ALL SELECT 'p' || p_partkey, {PART} + p_partkey, {PART} + p_partkey + 1, CASE WHEN p_size % 2 = 0 THEN 'CALL' ELSE 'USES' END, 'resolved', p_size FROM part),
+best AS (SELECT edge_id, src_id, dst_id FROM linked WHERE dst_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY src_id ORDER BY CASE WHEN type = 'CALL' THEN 0 WHEN type = 'READS' THEN 1 ELSE 2 END, CASE resolution WHEN 'resolved' THEN 0 ELSE 1 END, line, edge_id) <= 3),
+one AS (SELECT *, 1 AS hop FROM best WHERE src_id >= {ORDER} AND src_id < {ORDER + 30}), f AS (SELECT * FROM one UNION ALL SELECT *, 2 FROM best WHERE src_id IN (SELECT dst_id FROM one)),
+p AS (SELECT *, CAST(row_number() OVER (ORDER BY hop, src_id, edge_id) AS INT) AS pos, count(*) OVER () AS n FROM f)
+SELECT pos, hop, src_id, edge_id, dst_id, (SELECT count(*) FROM linked l WHERE l.src_id = p.dst_id) AS out_edges, n > 25 AS has_more, CASE WHEN n > 25 THEN 25 END AS next_cursor FROM p WHERE pos BETWEEN 11 AND 25"""),
+    "evidence_pack": with_relations("entities edges", f"""e AS (SELECT edge_id, src_id, dst_id, dst_name, type, line FROM edges UNION ALL SELECT 'b' || o_orderkey, {PART} + o_orderkey % 200, {ORDER} + o_orderkey, 'x', 'CALL', 1 FROM orders),
+q AS (SELECT 'AFRICA.ALGERIA' AS query, id, qualified_name FROM entities WHERE qualified_name = 'AFRICA.ALGERIA' UNION ALL SELECT qualified_name, id, qualified_name FROM entities WHERE name IN ('ORDER-7', 'ORDER-40')),
+r AS (SELECT query, 0 AS block, CAST(id AS VARCHAR) AS item, qualified_name AS text FROM q
+  UNION ALL SELECT * FROM (SELECT query, 1, edge_id, type || ' ' || dst_name FROM q JOIN e ON src_id = id QUALIFY row_number() OVER (PARTITION BY query ORDER BY line, edge_id) <= 3) UNION ALL SELECT * FROM (SELECT query, 2, edge_id, type || ' ' || dst_name FROM q JOIN e ON dst_id = id QUALIFY row_number() OVER (PARTITION BY query ORDER BY line, edge_id) <= 3)),
+s AS (SELECT query, CASE WHEN sum(least(length(text), 40)) <= 60 THEN 40 WHEN sum(least(length(text), 12)) <= 60 THEN 12 ELSE 6 END AS step FROM r GROUP BY 1)
+SELECT query, block, item, text[1:step] AS text FROM r JOIN s USING (query) QUALIFY sum(least(length(text), step)) OVER (PARTITION BY query ORDER BY block, block || ':' || item ROWS UNBOUNDED PRECEDING) <= 60"""),
     "entry_paragraphs": """SELECT c_custkey AS program, arg_min(p_partkey, (p_partkey % 230, p_partkey)) AS id FROM customer JOIN part ON p_partkey % 2 = c_custkey % 2 AND p_size % 3 = c_custkey % 3 AND p_partkey % 50 = c_custkey % 50
 AND p_partkey % 230 >= c_custkey % 200 AND p_partkey % 230 + 5 <= c_custkey % 200 + 60 GROUP BY 1""",
     "units_of_chunks": with_relations("entities", f"{PLACES}, h AS (SELECT chunk_id, id, CASE WHEN id % 9 > 0 THEN end_line ELSE 1000000000 END - start_line AS size FROM c JOIN entities USING (file_path) WHERE type = 'part' AND line >= start_line AND (id % 9 = 0 OR line <= end_line)) SELECT chunk_id, arg_min(id, (size, id)) AS id FROM h GROUP BY 1"),

@@ -97,6 +97,16 @@ def lambdas(s, d):
     return passes.lambda_targets(calls, table(s, d, PARTS).selectExpr("p_partkey % 90 as method", "p_size % 5 as name", "p_partkey % 50 as line", "case when p_size % 7 > 0 then p_partkey end as lambda_id"))
 
 
+def bindings(s, d):
+    classes = ev(s, d, "concat('urn:', user_id % 2) as namespace", "concat('L', event_id % 60) as name", "event_id % 2 = 0 as is_root")
+    return passes.binding_targets(classes, pt(s, d, "concat('urn:', p_size % 2) as namespace", "concat('L', p_partkey % 70) as name", "case when p_partkey % 3 = 0 then 'element' else 'type' end as kind"))
+
+
+def rederived(s, d):
+    old = table(s, d, "lineitem").selectExpr("l_orderkey as src_id", "l_partkey as dst_id", "case l_linenumber when 1 then 'INJECTS' when 2 then 'DISPATCHES_TO' else 'CALL' end as type")
+    return passes.rederived(old, table(s, d, PARTS).selectExpr("p_size as src_id", "p_partkey div 2 as dst_id", "case when p_partkey % 2 = 0 then 'INJECTS' else 'CALL' end as type"), ["INJECTS", "DISPATCHES_TO"])
+
+
 def upserts(s, d):
     old = table(s, d, "orders").selectExpr("o_custkey % 100 as path", "concat('k', o_orderkey % 40) as key").distinct().withColumn("id", F.concat_ws("-", "path", "key"))
     parsed = table(s, d, "lineitem").where("l_suppkey % 3 > 0").selectExpr("l_suppkey % 50 as path", "concat('k', l_partkey % 45) as key", "l_linenumber as line")
@@ -106,7 +116,7 @@ def upserts(s, d):
 QUERIES = {
     "markup_links": links, "shell_targets": shell, "job_targets": jobs, "project_targets": projects, "documentation_targets": documentation, "schema_targets": schemas,
     "map_targets": screens, "stylesheet_targets": stylesheets, "program_targets": programs, "resource_targets": resources, "property_targets": properties,
-    "injection_targets": injections, "receiver_types": receivers, "lambda_targets": lambdas, "persist_upsert": upserts,
+    "binding_targets": bindings, "framework_edges": rederived, "injection_targets": injections, "receiver_types": receivers, "lambda_targets": lambdas, "persist_upsert": upserts,
 }
 
 
@@ -172,6 +182,10 @@ SELECT ref_id, CASE WHEN n = 1 THEN a WHEN q IS NULL AND nn = 1 THEN an END AS t
         "SELECT event_id AS ref_id, user_id % 50 AS method, user_id % 10 AS class, 'x' || event_id % 40 || CASE WHEN event_id % 3 = 0 THEN '()' ELSE '' END AS name, CASE WHEN event_id % 3 = 0 THEN 'x' || event_id % 40 END AS called FROM events",
         [("SELECT p_partkey % 50 AS method, 'x' || p_partkey % 40 AS name, 'Type' || p_size % 2 AS target_id FROM part WHERE p_size < 10", "method, name"), ("SELECT p_partkey % 10 AS class, 'x' || p_partkey % 40 AS name, 'Type' || p_size % 2 AS target_id FROM part WHERE p_size BETWEEN 10 AND 30", "class, name"),
          ("SELECT p_partkey % 10 AS class, 'x' || p_partkey % 40 AS called, 'Type' || p_size % 2 AS target_id FROM part WHERE p_size > 30", "class, called")], "ref_id AS call_id, target_id AS type"),
+    "binding_targets": staged(
+        f"SELECT {E}, 'urn:' || user_id % 2 AS namespace, CASE WHEN event_id % 2 = 0 THEN 'L' || event_id % 60 END AS element, 'L' || event_id % 60 AS t FROM events",
+        [(f"SELECT {P}, 'urn:' || p_size % 2 AS namespace, 'L' || p_partkey % 70 AS element FROM part WHERE p_partkey % 3 = 0", "namespace, element"), (f"SELECT {P}, 'urn:' || p_size % 2 AS namespace, 'L' || p_partkey % 70 AS t FROM part WHERE p_partkey % 3 > 0", "namespace, t")]),
+    "framework_edges": "SELECT l_orderkey AS src_id, l_partkey AS dst_id, 'CALL' AS type FROM lineitem WHERE l_linenumber > 2 UNION ALL SELECT DISTINCT p_size, p_partkey // 2, 'INJECTS' FROM part WHERE p_partkey % 2 = 0",
     "lambda_targets": """WITH a AS (SELECT p_partkey % 90 AS method, p_size % 5 AS name, min(p_partkey % 50) AS line, min(CASE WHEN p_size % 7 > 0 THEN p_partkey END) AS target_id FROM part GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT event_id AS call_id, target_id FROM events JOIN a ON method = user_id % 40 AND name = event_id % 5 WHERE target_id IS NOT NULL AND event_id % 60 > line""",
     "persist_upsert": """WITH o AS (SELECT DISTINCT o_custkey % 100 AS path, 'k' || o_orderkey % 40 AS key FROM orders), p AS (SELECT DISTINCT l_suppkey % 50 AS path, 'k' || l_partkey % 45 AS key FROM lineitem WHERE l_suppkey % 3 > 0)

@@ -114,6 +114,11 @@ def schemas(s, d):
     return P.schema_names(grouped(s, d, item, '''concat('<xsd:schema xmlns:xsd="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:', o_custkey % 9, '">')''', broken("'</xsd:schema>'", "'</xsd:schem'")))
 
 
+def elements(s, d):
+    item = '''concat('<o:order id="', x, '"><!-- <no/> --><line nr="1" text="a>b"/><line nr=\\'2\\'/></o:order>')'''
+    return P.xml_elements(grouped(s, d, item, "'<?xml version=\"1.0\"?><all xmlns:o=\"urn:o\">'", broken("'</all>'", "'<all>'"))).where("element <> 'all'").select("path", "nr", "element", F.coalesce(F.col("attributes")["id"], F.col("attributes")["nr"]).alias("value"))
+
+
 def beans(s, d):
     return P.spring_beans(grouped(s, d, '''concat('<bean id="b', x, '" class="app.C', x % 9, '"/>')''', "'<beans xmlns=\"urn:x\">'", broken("'</beans>'", "'<beans>'")))
 
@@ -166,7 +171,7 @@ QUERIES = {
     "data_items": lambda s, d: P.data_items(P.logical_lines(described(s, d))), "inherited_fields": copies, "data_references": references, "file_access": accesses, "exec_blocks": blocks,
     "dynamic_candidates": dynamic, "paragraph_chunks": chunked, "routine_chunks": routines, "screen_fields": screens, "yaml_keys": yaml, "ini_keys": ini, "schema_names": schemas, "spring_beans": beans,
     "endpoints": routes, "asciidoc_facts": manuals, "composed_lines": composed, "completeness": results, "build_profile": profiles,
-    "csd_files": csd, "shell_facts": scripts, "pom_dependencies": poms, "dataset_assignments": datasets,
+    "xml_elements": elements, "csd_files": csd, "shell_facts": scripts, "pom_dependencies": poms, "dataset_assignments": datasets,
 }
 
 
@@ -199,6 +204,8 @@ SELECT 'src/' || o.o_custkey || ':' || (3 * n - 2) AS id, string_agg(t, chr(10)
     "yaml_keys": rows((1, f"'k' || {k} AS key, '' AS value", "true"), (2, f"'k' || {k} || '.name', CAST({k} % 10 AS VARCHAR)", "true"), (3, f"'k' || {k} || '.list', ''", "true"), (5, f"'k' || {k} || '.list.deep', CAST({k} AS VARCHAR)", "true"), (0, "'root', '1'", "n = 1"), lines=5, head=2),
     "ini_keys": rows((3, f"'s' || {k} || '.key' AS key, 'v' || {k} % 7 AS value", "true"), (0, "'top', '0'", "n = 1"), lines=3, head=1),
     "schema_names": f"SELECT 'src/' || o_custkey AS path, 'urn:' || o_custkey % 9 AS namespace, 'element' AS kind, 'e' || {k} AS name FROM orders WHERE o_custkey % 5 > 0 UNION ALL SELECT 'src/' || o_custkey, 'urn:' || o_custkey % 9, 'complexType', 't' || {k} FROM orders WHERE o_custkey % 5 > 0 AND {k} % 3 = 0",
+    "xml_elements": f"""WITH {O}, f AS (SELECT * FROM o WHERE o_custkey % 5 > 0) SELECT 'src/' || o_custkey AS path, CAST(3 * n - 2 AS INT) AS nr, 'all/order' AS element, CAST({k} AS VARCHAR) AS value FROM f
+UNION ALL SELECT 'src/' || o_custkey, CAST(3 * n - 1 AS INT), 'all/order/line', '1' FROM f UNION ALL SELECT 'src/' || o_custkey, CAST(3 * n AS INT), 'all/order/line', '2' FROM f""",
     "spring_beans": f"WITH {O} SELECT 'src/' || o_custkey AS path, CAST(n - 1 AS INT) AS nr, 'b' || {k} AS id, 'app.C' || {k} % 9 AS class FROM o WHERE o_custkey % 5 > 0",
     "endpoints": rows((1, f"'GET' AS verb, '/c' || o_custkey || '/o' || {k} AS route", "true"), (3, f"'ANY', '/c' || o_custkey || '/p' || {k}", "true"), lines=3, head=2),
     "asciidoc_facts": rows((0, "'heading' AS type, 1 AS level, 'Title' AS name", "n = 1"), (1, f"'heading', 2, 'Part ' || {k}", "true"), (2, f"'include', NULL, 'd/' || {k} % 5 || '.adoc'", "true"), (3, f"'mention', NULL, 'C' || {k} % 9", "true"), (3, "'mention', NULL, 'x.y'", "true"), lines=3, head=1),
