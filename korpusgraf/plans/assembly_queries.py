@@ -218,7 +218,7 @@ SELECT id, 'change' AS via, 0 AS hop FROM seed UNION ALL SELECT id, min(via), 1
     "change_package": with_relations("entities edges chunks", f"""s AS (SELECT unnest([{PART + 1}, {PART + 17}]) AS id), e AS (SELECT DISTINCT src_id AS id, 'edge 1' AS way FROM edges WHERE resolution = 'resolved' AND dst_id IN (SELECT id FROM s)),
 m AS (SELECT DISTINCT src_id AS id, 'name 1' AS way FROM edges WHERE resolution = 'unresolved' AND lower(dst_name) IN (SELECT lower(name) FROM entities WHERE id IN (SELECT id FROM s))), i AS (SELECT * FROM e UNION ALL SELECT * FROM m), ids AS (SELECT DISTINCT id FROM i),
 l AS (SELECT DISTINCT {ORDER} + 1 + event_id % 150 AS id, event_id % 200 AS chunk_id FROM events WHERE event_id % 3 = 0 AND {ORDER} + 1 + event_id % 150 IN (SELECT id FROM ids)),
-t AS (SELECT DISTINCT {PART} + o_orderkey % 200 AS src_id, {ORDER} + o_orderkey AS dst_id FROM orders WHERE {ORDER} + o_orderkey IN (SELECT id FROM ids) AND o_orderkey % 200 > 0 AND o_orderkey % 5 = 0),
+t AS (SELECT DISTINCT {PART} + o_orderkey % 200 AS src_id, {ORDER} + o_orderkey AS dst_id FROM orders WHERE {ORDER} + o_orderkey IN (SELECT id FROM ids) AND {PART} + o_orderkey % 200 IN (SELECT id FROM entities) AND o_orderkey % 5 = 0),
 own AS (SELECT id, file_path FROM entities WHERE id IN (SELECT id FROM ids))
 SELECT 'impact' AS section, way AS item, count(*) AS n FROM i GROUP BY way UNION ALL SELECT 'document', file_path, count(DISTINCT id) FROM l JOIN chunks USING (chunk_id) GROUP BY file_path
 UNION ALL SELECT 'test', CAST(src_id AS VARCHAR), count(*) FROM t GROUP BY src_id UNION ALL SELECT 'owner', CASE WHEN file_path LIKE 'orders/1%' THEN 'one' WHEN regexp_matches(file_path, '^orders/[2-9]') THEN 'rest' ELSE 'none' END, count(DISTINCT file_path) FROM own GROUP BY 2

@@ -56,8 +56,8 @@ def findings(s, d):
 
 
 def implementations(s, d):
-    calls = table(s, d, "events").selectExpr("event_id as call_id", "concat('T', event_id % 20) as type", "concat('m', user_id % 40) as name", "cast(event_id % 3 as int) as arity")
-    methods = table(s, d, "part").selectExpr("p_partkey as id", "concat('T', p_partkey % 20) as type", "concat('m', p_partkey % 40) as name", "cast(p_size % 3 as int) as arity")
+    calls = table(s, d, "events").selectExpr("event_id as call_id", "concat('T', event_id % 20) as type", "concat('m', user_id % 100) as name", "cast(event_id % 3 as int) as arity")
+    methods = table(s, d, "part").selectExpr("p_partkey as id", "concat('T', p_partkey % 20) as type", "concat('m', p_partkey div 20) as name", "cast(p_size % 3 as int) as arity")
     return change.implementations(calls, methods, s.range(20).selectExpr("concat('T', id) as sub", "concat('T', id div 2) as super").where("sub <> super"), 2)
 
 
@@ -111,7 +111,7 @@ SELECT 'src/' || o_custkey AS path, CAST(2 * n + 1 AS INT) AS line, CASE WHEN o_
     "outdated_findings": """WITH RECURSIVE v AS (SELECT p_partkey AS id, p_size = 7 OR p_partkey % 30 = 3 AS hit FROM part WHERE p_partkey % 5 > 0), w AS (SELECT id, 0 AS n FROM v WHERE hit UNION SELECT v.id, n + 1 FROM w JOIN v ON v.id // 2 = w.id WHERE n < 4)
 SELECT p_partkey AS id, CASE WHEN p_partkey IN (SELECT id FROM w) THEN 'outdated' WHEN p_partkey % 5 = 0 THEN 'draft' ELSE 'verified' END AS state FROM part""",
     "implementations": """WITH r AS (SELECT i AS sub, i // 2 AS super FROM range(1, 20) t(i)), z AS (SELECT * FROM r UNION SELECT a.sub, b.super FROM r a JOIN r b ON a.super = b.sub)
-SELECT event_id AS call_id, min(p_partkey) AS id FROM events JOIN z ON super = event_id % 20 AND sub <> super JOIN part ON p_partkey % 20 = sub AND p_partkey % 40 = user_id % 40 AND p_size % 3 = event_id % 3 GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1""",
+SELECT event_id AS call_id, min(p_partkey) AS id FROM events JOIN z ON super = event_id % 20 AND sub <> super JOIN part ON p_partkey % 20 = sub AND p_partkey // 20 = user_id % 100 AND p_size % 3 = event_id % 3 GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1""",
     "expanded_chunks": with_relations("entities", f"""{HITS}, st AS (SELECT {PART} + p_partkey AS x, {PART} + 1 + p_partkey * 7 % 150 AS y FROM part UNION SELECT {PART} + 1 + p_partkey * 7 % 150, {PART} + p_partkey FROM part),
 n AS (SELECT DISTINCT hunk_id AS hit_id, y AS id FROM hits JOIN st ON x = id WHERE hunk_id % 5 = 0), m AS (SELECT DISTINCT hit_id, hunk_id AS chunk_id FROM n JOIN hits USING (id) WHERE hunk_id <> hit_id)
 SELECT hit_id, chunk_id FROM m QUALIFY sum(40 + chunk_id % 60) OVER (PARTITION BY hit_id ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) <= 150"""),
