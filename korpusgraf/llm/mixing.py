@@ -11,13 +11,13 @@ Positions on the lines come from prefix sums over hash buckets, so a hot source
 source, and one number for each source and shard.
 
 Cases: null source is a source of its own, after all others. Null or empty text: size 0, nothing is taken. Rows of one doc_id (null ones
-too) and size lie side by side on the line, in the order of their rows (mixture) or of their texts' hashes (resample). Empty table: no rows.
+too) and size are ordered by their texts' hashes, so that reruns agree however the rows are dealt. Empty table: no rows.
 Further columns pass through mix() and resample(); those named like a column that mix() adds are replaced there and kept by resample().
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row
@@ -41,10 +41,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def in_order(sources: Iterable[str | None]) -> list[str | None]:
+    """By code point, null last."""
+    return sorted(sources, key=lambda s: (s is None, s or ""))
+
+
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
     """Shares of the sum of all sizes by weight, in code point order with null last; what lies above `most` times a source's size is
     shared anew among the others until none is above."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    names = in_order(sizes)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
     left, free, out = float(sum(sizes.values())), list(names), {}
     while free:
@@ -96,7 +101,7 @@ def mix(docs: DataFrame, shards: int = 16, size_col: str = "size", block_words:
     goal = targets(sizes, weights, most)
     block = max(block_words, -(-sum(sizes.values()) // (1 << 26)))  # the law's draws stay below 1e9 blocks
     spark = docs.sparkSession
-    names = list(sizes)
+    names = in_order(sizes)
     whole = [int(round(goal[s])) for s in names]
     rows = [(i, s is None, s or "", sizes[s], float(goal[s]), w // max(1, sizes[s]), w % max(1, sizes[s]), -(-sizes[s] // block)) for i, (s, w) in enumerate(zip(names, whole))]
     plan = spark.createDataFrame(rows, "_i int, _none boolean, _source string, source_size long, target double, _full long, _rest long, _n long")
@@ -168,11 +173,11 @@ def drawn(mixed: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of documents, and draws: shard:place:epoch:block:start:length of each
     piece that a shard draws, comma-joined. taken is the sum of these lengths."""
-    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")))
+    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda acc, p: acc + p["length"])
     place = lambda p: place_in_shard(p["shard"], p["block"], p["start"], F.col("doc_id"))
     draw = lambda p: F.concat_ws(":", *[x.cast("string") for x in (p["shard"], place(p), p["epoch"], p["block"], p["start"], p["length"])])
-    return mix(sized, shards, ties=("row",)).select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join(F.transform("pieces", draw), ",").alias("draws"))
+    return mix(sized, shards, ties=("tie",)).select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join(F.transform("pieces", draw), ",").alias("draws"))
 
 
 def resample(docs: DataFrame, shards: int = 16) -> DataFrame:

@@ -494,9 +494,8 @@ def test_the_tree_decides_what_is_taken(spark, docs, monkeypatch):
         last = p[(p["source"] == s) & (p["epoch"] == full)].groupby("block")["length"].sum()
         assert quota[s] == full * n + len(last) and last.sum() == goal[s] - full * sizes[s] and (last < 64).sum() <= 2
     seen = {s: p[p["source"] == s].groupby("shard")["block"].nunique().to_dict() for s in names}
-    order = [r["source"] for r in sized.groupBy("source").count().collect()]
-    held = mixing.split_blocks(np.array([quota[s] for s in order]), 5)
-    assert {s: {k: int(v) for k, v in enumerate(held[:, i]) if v} for i, s in enumerate(order)} == seen
+    held = mixing.split_blocks(np.array([quota[s] for s in names]), 5)
+    assert {s: {k: int(v) for k, v in enumerate(held[:, i]) if v} for i, s in enumerate(names)} == seen
     other = mixing.drawn(mixing.mix(sized, shards=5, block_words=64, seed=7)).toPandas()
     assert set(zip(p["source"], p["block"])) != set(zip(other["source"], other["block"]))
     row = mixing.mixture(docs).where("taken > 0").first()
@@ -505,6 +504,19 @@ def test_the_tree_decides_what_is_taken(spark, docs, monkeypatch):
     assert {r["taken"] for r in mixing.mixture(docs).collect()} == {0} and mixing.resample(docs).count() == 0
 
 
+def test_mixing_agrees_however_rows_are_dealt(odd_docs):
+    rows = odd_docs.union(odd_docs.where("doc_id is null").withColumn("text", F.lit("four other words here")))
+    want = Counter(map(tuple, mixing.mixture(rows).collect()))
+    assert all(Counter(map(tuple, mixing.mixture(rows.repartition(n).orderBy(F.rand(n))).collect())) == want for n in (2, 5))
+    words = Counter()
+    for r in mixing.resample(rows).collect():
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+    taken = Counter()
+    for r in mixing.mixture(rows).collect():
+        taken[r["doc_id"]] += r["taken"]
+    assert words == +taken
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5)).alias("a"), mixing.permuted(F.col("id"), F.lit(n), F.lit(6)).alias("b")).collect()
@@ -606,8 +618,8 @@ def test_sharding(request, which):
     assert order["shard"].is_monotonic_increasing and got["shard"].between(0, 39).all()
     for _, x in got.groupby("shard"):
         assert sorted(x["slot"]) == list(range(len(x)))
-    total, cum = got["size"].sum(), order["size"].cumsum() - order["size"] / 2
-    assert (order["shard"] == np.minimum(39, (cum * 40 / total).astype(int))).all() or which == "odd_docs"
+    total, before = got["size"].sum(), order["size"].cumsum() - order["size"]
+    assert (order["shard"] == np.minimum(39, (2 * before + order["size"]) * 40 // (2 * total))).all()
 
 
 def test_sharding_of_nothing(no_docs):
