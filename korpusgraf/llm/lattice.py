@@ -1,8 +1,8 @@
 """Language-model scoring by the likelihood of subword lattices.
 
 The pieces are those of an existing subword vocabulary. Its own segmentations of the training words, weighted by the words' counts,
-give each piece a first unigram score, and ROUNDS of expected counts over all segmentations (words of up to LONG characters; longer ones by
-the vocabulary's own) the final one; bytes stand in for characters that no piece covers, and one end piece closes a text. A word's
+give each piece a first unigram score, and expected counts over all segmentations (ROUNDS times) the final one;
+bytes stand in for characters that no piece covers, and one end piece closes a text. A word's
 probability is the sum over all its segmentations into pieces, by forward recursion in log space; a text's probability is the product
 over its words and the end, so that the result is the marginal over all segmentations of the document.
 
@@ -31,7 +31,7 @@ from korpusgraf.llm.common import crc_of_id, stored
 HOT, HOT_BYTES = 1 << 18, 64
 BASE, SPREAD, BITS, MASK = 0x100000001B3, 0x9E3779B97F4A7C15, 18, (1 << 64) - 1
 FLUSH = 200_000
-ROUNDS, LONG = 2, 256
+ROUNDS = 1
 SMOOTH = 0.1
 MARK = "▁"
 
@@ -79,7 +79,8 @@ class Lattice:
         self.power = np.array([pow(BASE, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
         self.keys, self.numbers, self.probes = np.zeros(1 << BITS, np.uint64), np.full(1 << BITS, len(self.pieces), np.int32), 1
         self.values = np.array([*self.pieces.values(), -np.inf])  # the last stands for no piece
-        for number, piece in enumerate(self.pieces):
+        self.number = {piece: number for number, piece in enumerate(self.pieces)}
+        for piece, number in self.number.items():
             key = 0
             for c in piece:
                 key = (key * BASE + ord(c) + 1) & MASK
@@ -108,9 +109,9 @@ class Lattice:
     def _scores(self, keys: np.ndarray) -> np.ndarray:
         return self.values[self._numbers(keys)]
 
-    def expected(self, words: list[str], weights: np.ndarray, longest: int = LONG, batch: int = 2048) -> tuple[np.ndarray, dict[int, float]]:
+    def expected(self, words: list[str], weights: np.ndarray, longest: int = 48, batch: int = 2048) -> tuple[np.ndarray, dict[int, float]]:
         """How often each piece (by its number) and each byte is expected in the words, times their weights, over all segmentations by their probability: forward
-        and backward recursions. Longer words than `longest` are left to the caller."""
+        and backward recursions, words of equal length together, those longer than `longest` one by one."""
         size = np.array([len(w) for w in words], np.int64)
         total, of_bytes = np.zeros(len(self.pieces) + 1), dict.fromkeys(self.bytes, 0.0)
         for n in np.unique(size[(size > 0) & (size <= longest)]).tolist():
@@ -118,8 +119,33 @@ class Lattice:
             for k in range(0, len(at), batch):
                 part = at[k : k + batch]
                 self._expect([words[i] for i in part], n, weights[part], total, of_bytes)
+        for i in np.flatnonzero(size > longest).tolist():
+            self._expect_one(words[i], float(weights[i]), total, of_bytes)
         return total[:-1], of_bytes
 
+    def _expect_one(self, word: str, weight: float, total: np.ndarray, of_bytes: dict[int, float]) -> None:
+        w = MARK + word
+        n, get, longest = len(w), self.pieces.get, self.longest
+        bare = [sum(self.bytes[b] for b in c.encode()) if get(c) is None else None for c in w]
+
+        def joined(terms: list[float]) -> float:
+            top = max(terms)
+            return top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms]))
+
+        forward, backward = [0.0], [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            terms = [forward[i] + s for i in range(max(0, j - longest), j) if (s := get(w[i:j])) is not None]
+            forward.append(joined(terms + [forward[j - 1] + bare[j - 1]] if bare[j - 1] is not None else terms))
+        for i in range(n - 1, -1, -1):
+            arcs = [(w[i:j], s + backward[j]) for j in range(i + 1, min(n, i + longest) + 1) if (s := get(w[i:j])) is not None]
+            lone = bare[i] + backward[i + 1] if bare[i] is not None else None
+            backward[i] = joined([s for _, s in arcs] + ([lone] if lone is not None else []))
+            for piece, s in arcs:
+                total[self.number[piece]] += weight * math.exp(forward[i] + s - forward[n])
+            if lone is not None:
+                for b in w[i].encode():
+                    of_bytes[b] += weight * math.exp(forward[i] + lone - forward[n])
+
     def _expect(self, words: list[str], n: int, weights: np.ndarray, total: np.ndarray, of_bytes: dict[int, float]) -> None:
         points, prefix = self._prefixes(words, n)
         numbers: dict[tuple[int, int], np.ndarray] = {}
@@ -260,20 +286,12 @@ def learnt_lattice(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS
             sp, model = _processor(path), held.value
             ids = [sp.piece_to_id(p) for p in model.pieces]
             byte_ids = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
-            total, of_bytes, long_ = np.zeros(len(ids)), Counter(), Counter()
+            total, of_bytes = np.zeros(len(ids)), Counter()
             for pdf in batches:
-                words, weights = pdf["word"].tolist(), pdf["c"].to_numpy(float)
-                n, b = model.expected(words, weights)
+                n, b = model.expected(pdf["word"].tolist(), pdf["c"].to_numpy(float))
                 total += n
                 of_bytes.update(b)
-                for k in np.flatnonzero([len(w) > LONG for w in words]).tolist():
-                    for i in piece_ids(path, [words[k]])[0]:
-                        long_[i] += weights[k]
-            rows = {i: n for i, n in zip(ids, total.tolist()) if n > 0}
-            for b, n in of_bytes.items():
-                rows[byte_ids[b]] = rows.get(byte_ids[b], 0.0) + n
-            for i, n in long_.items():
-                rows[i] = rows.get(i, 0.0) + n
+            rows = {i: n for i, n in zip(ids, total.tolist()) if n > 0} | {byte_ids[b]: n for b, n in of_bytes.items() if n > 0}
             yield pd.DataFrame({"i": list(rows), "n": list(rows.values())}).astype({"i": "int64", "n": float})
 
         lattice = Lattice(path, summed(train.mapInPandas(expect, "i long, n double")), ends)

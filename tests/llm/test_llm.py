@@ -685,7 +685,7 @@ def test_lm_scoring(request, which, hot, order):
 
 def test_expected_pieces_of_all_segmentations():
     model = lattice.Lattice(lattice.default_vocabulary(), {i: i % 97 for i in range(32000)}, 3)
-    words, weights = ["there", "x\U00012000q\U00012000", "é", "日本", "a" * 60, "hello", "\U0001f600"], np.array([1.0, 2, 3, 4, 5, 6, 7])
+    words, weights = ["there", "x\U00012000q\U00012000", "é", "日本", "a" * 60, "hello", "\U0001f600\U00012000" + "ab" * 40], np.array([1.0, 2, 3, 4, 5, 6, 7])
     total, of_bytes = model.expected(words, weights)
     want = Counter()
     for w, c in zip(words, weights):
