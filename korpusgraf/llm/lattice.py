@@ -1,7 +1,7 @@
 """Language-model scoring by the likelihood of subword lattices.
 
 The pieces are those of an existing subword vocabulary. Its own segmentations of the training words, weighted by the words' counts,
-give each piece a first unigram score, and expected counts over all segmentations (ROUNDS times) the final one;
+give each piece its unigram score, and, if rounds are asked for, expected counts over all segmentations a better one (each round reads all words);
 bytes stand in for characters that no piece covers, and one end piece closes a text. A word's
 probability is the sum over all its segmentations into pieces, by forward recursion in log space; a text's probability is the product
 over its words and the end, so that the result is the marginal over all segmentations of the document.
@@ -31,7 +31,7 @@ from korpusgraf.llm.common import crc_of_id, stored
 HOT, HOT_BYTES = 1 << 18, 64
 BASE, SPREAD, BITS, MASK = 0x100000001B3, 0x9E3779B97F4A7C15, 18, (1 << 64) - 1
 FLUSH = 200_000
-ROUNDS = 1
+ROUNDS = 0
 SMOOTH = 0.1
 MARK = "▁"
 
@@ -302,7 +302,7 @@ def held_out(doc_id: Column) -> Column:
     return crc_of_id(doc_id) % 10 == 0
 
 
-def score(docs: DataFrame, vocabulary: str | None = None, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str | None = None, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     path = vocabulary or default_vocabulary()
     sc = docs.sparkSession.sparkContext
@@ -313,7 +313,7 @@ def score(docs: DataFrame, vocabulary: str | None = None, hot: int = HOT) -> Dat
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     train_tokens, distinct = sums["c"] + ends, sums["v"] + (ends > 0)
     whole = train_tokens + SMOOTH * (distinct + 1)
-    lattice = sc.broadcast(learnt_lattice(counts, ends, path))  # the vocabulary's pieces
+    lattice = sc.broadcast(learnt_lattice(counts, ends, path, rounds))  # the vocabulary's pieces
     base_of = lambda c: math.log10((c + SMOOTH) / whole) if whole else 0.0
 
     @F.pandas_udf("double")

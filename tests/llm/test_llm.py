@@ -649,7 +649,7 @@ def brute_expected(model, word, weight, out):
                 out[piece] += weight * forward[i] * math.exp(p) * backward[j] / forward[-1]
 
 
-def brute_lattice(path, counts, ends, rounds=lattice.ROUNDS):
+def brute_lattice(path, counts, ends, rounds):
     sp = lattice._processor(path)
     of = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not sp.is_byte(i)}
     of |= {(int(sp.id_to_piece(i)[1:-1], 16),): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
@@ -666,8 +666,8 @@ def brute_lattice(path, counts, ends, rounds=lattice.ROUNDS):
 
 
 @pytest.mark.parametrize("which", ["docs", "odd_docs"])
-@pytest.mark.parametrize("hot, order", [(1, "as is"), (1 << 18, "as is"), (1, "dealt"), (1 << 18, "random")])
-def test_lm_scoring(request, which, hot, order):
+@pytest.mark.parametrize("hot, order, rounds", [(1, "as is", 0), (1 << 18, "as is", 1), (1, "dealt", 2), (1 << 18, "random", 0)])
+def test_lm_scoring(request, which, hot, order, rounds):
     df = request.getfixturevalue(which)
     df = {"as is": df, "dealt": df.repartition(7), "random": df.orderBy(F.rand())}[order]
     rows = [(i, (t or "").encode().lower().split()) for i, t in rows_of(df)]
@@ -675,10 +675,10 @@ def test_lm_scoring(request, which, hot, order):
     c = Counter(w for i, ws in rows if not out(i) for w in ws)
     ends = sum(not out(i) for i, _ in rows)
     n, v = sum(c.values()) + ends, len(c) + (ends > 0)
-    model = brute_lattice(lattice.default_vocabulary(), {w.decode(): k for w, k in c.items()}, ends)
+    model = brute_lattice(lattice.default_vocabulary(), {w.decode(): k for w, k in c.items()}, ends, rounds)
     base = lambda k: math.log10((k + 0.1) / (n + 0.1 * (v + 1)))
     want = sorted(((i, out(i), len(ws) + 1, sum(c[w] > 0 for w in ws) + (ends > 0), n, round(sum(base(c[w]) for w in ws) + base(ends), 5), round(sum(model.log10(w.decode()) for w in ws) + model.end / math.log(10), 5)) for i, ws in rows), key=repr)
-    got = sorted(((*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in lattice.score(df, hot=hot).collect()), key=repr)
+    got = sorted(((*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in lattice.score(df, hot=hot, rounds=rounds).collect()), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], atol=1e-3)
 
