@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from korpusgraf.llm.common import ascii_lower
 
-#: Equivalent spellings, applied in this order to the lower-cased text.
+#: Equivalent spellings, applied in this order to the lower-cased text: literal ones, and patterns after them.
+LITERALS = [("licence", "license"), ("organisation", "organization"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("https://", "http://"), ("&", " and ")]
 SPELLINGS = [
-    (r"licence", "license"), (r"organisation", "organization"), (r"sub-license", "sublicense"), (r"non-commercial", "noncommercial"),
-    (r"https://", "http://"), (r"&", " and "), (r"\bver(sion|\.)? ?(\d)", r"v$2"), (r"\bv\.? ?(\d)", r"v$1"), (r"(\d)\.0\b", "$1"), (r"\bthe\b", " "),
+    (r"\bver(sion|\.)? ?(\d)", r"v$2"), (r"\bv\.? ?(\d)", r"v$1"), (r"(\d)\.0\b", "$1"), (r"\bthe\b", " "),
 ]
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
+BLOCK = "\x01"
 #: A line break within a sentence of the terms before this word, where the next line is no notice.
 WRAPPED = r"(?<=[^\s])[ \t]*\r?\n[^A-Za-z0-9\n]*(copyright|COPYRIGHT)(?=(?i:, [a-z]|\s+(?:notice|statement|holder|owner|law|licen[cs]e|interest|permission|disclaimer|treat|and|or|on the|in the|the software)))"
 
@@ -97,7 +98,11 @@ def entire() -> list[tuple[str, str]]:
 
 def line_forms(text: Column) -> Column:
     """The canonical form with its line breaks kept."""
-    t = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
+    low = ascii_lower(F.coalesce(text, F.lit("")))
+    notice = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©"))
+    t = F.when(notice, F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
+    for literal, to in LITERALS:
+        t = F.replace(t, F.lit(literal), F.lit(to))
     for pattern, to in SPELLINGS:
         t = F.regexp_replace(t, pattern, to)
     return F.regexp_replace(t, r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " ")
@@ -116,23 +121,26 @@ def _plain(form: Column) -> Column:
     return F.regexp_replace(form, r"[ \p{P}\p{S}\p{Z}\p{Cf}\x{80}-\x{9F}]+", " ")
 
 
-def _key(plain: Column) -> Column:
-    """MD5 for the lookup; spellings with a hyphen are made one with any dash."""
-    return F.md5(F.regexp_replace(_flat(plain), r"\b(non|sub) (commercial|license)", "$1$2").cast("binary"))
+def _joined(plain: Column) -> Column:
+    """Spellings with a hyphen are made one with any dash."""
+    return F.regexp_replace(plain, r"\b(non|sub) (commercial|license)", "$1$2")
 
 
 def with_keys(texts: DataFrame) -> DataFrame:
-    """texts (text and others) with digest, key of the whole text, and keys of its lines and blocks. A block is a run of lines whose
+    """texts (text and others) with digest, key of the whole text, and keys of its lines and blocks: MD5 of their forms. A block is a run of lines whose
     forms hold something, so that comment marks and empty comment lines are no part of it. Line breaks before `copyright` within
     a sentence are taken away for whole texts and blocks."""
-    form = texts.withColumn("form", line_forms(F.col("text")))
-    unwrapped = F.when(F.col("text").rlike(WRAPPED), line_forms(F.regexp_replace("text", WRAPPED, " $1"))).otherwise(F.col("form"))
-    form = form.select("*", _plain(F.col("form")).alias("plain"), _plain(unwrapped).alias("whole"))
-    lines = F.filter(F.transform(F.split("plain", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    blocks = F.filter(F.split(F.regexp_replace("whole", r" *\n *", "\n"), "\n{2,}"), lambda b: F.trim(F.translate(b, "\n", " ")) != "")
+    form = texts.withColumn("form", line_forms(F.col("text"))).withColumn("plain", _plain(F.col("form")))
+    wrapped = (F.contains("text", F.lit("copyright")) | F.contains("text", F.lit("COPYRIGHT"))) & F.col("text").rlike(WRAPPED)
+    whole = F.when(wrapped, _plain(line_forms(F.regexp_replace("text", WRAPPED, " $1")))).otherwise(F.col("plain"))
+    # Blocks end in a mark that no form holds, lines within one become words of it.
+    blocks = F.translate(F.regexp_replace(F.regexp_replace(whole, r" *\n *", "\n"), "\n{2,}", BLOCK), "\n", " ")
+    form = form.select(*texts.columns, "form", _joined(F.col("plain")).alias("lines"), _joined(blocks).alias("blocks"))
+    keys = lambda parts: F.transform(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.md5(x.cast("binary")))
+    key = F.md5(F.trim(F.translate("blocks", BLOCK, " ")).cast("binary"))
     return form.select(
-        *texts.columns, F.md5(_flat(F.col("form")).cast("binary")).alias("digest"), _key(F.col("whole")).alias("key"),
-        F.transform(lines, _key).alias("line_keys"), F.transform(blocks, _key).alias("block_keys"),
+        *texts.columns, F.md5(_flat(F.col("form")).cast("binary")).alias("digest"), key.alias("key"),
+        keys(F.split("lines", "\n")).alias("line_keys"), keys(F.split("blocks", BLOCK)).alias("block_keys"),
     )
 
 
@@ -174,7 +182,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
 def _sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     t = rf"regexp_replace(translate(coalesce(%s, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quoted(COPYRIGHT_LINE)}, ' ', 'g')"
-    for pattern, to in SPELLINGS:
+    for pattern, to in LITERALS + SPELLINGS:
         to = to.replace("$", "\\")
         t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(to)}, 'g')"
     form = f"regexp_replace({t}, '[^a-z0-9\\n\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')"
