@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from korpusgraf.llm import langid, lattice, licences, mixing, packing, secrets, sharding, simhash, sketches, topk
+from korpusgraf.llm import audit, langid, lattice, licences, mixing, packing, secrets, sharding, simhash, sketches, topk
 from korpusgraf.llm.common import table
 
 QUERIES = {
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_sharding": lambda spark, d: sharding.shard(table(spark, d, "documents")),
     "op9_lm_scoring": lambda spark, d: lattice.score(table(spark, d, "documents")),
     "op10_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
+    "op11_filter_audit": lambda spark, d: audit.audit(table(spark, d, "documents"), table(spark, d, "labels")),
 }
-SQL = {"op3_exact_top_k": topk.SQL, "op4_license_scan": licences.SQL}
+SQL = {"op3_exact_top_k": topk.SQL, "op4_license_scan": licences.SQL, "op11_filter_audit": audit.SQL}
