@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from korpusgraf.llm import audit, chat, langid, lattice, licences, mixing, packing, secrets, sharding, simhash, sketches, topk
+from korpusgraf.llm import audit, chat, langid, lattice, licences, mixing, packing, secrets, sharding, simhash, sketches, spelling, topk
 from korpusgraf.llm.common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_lm_scoring": lambda spark, d: lattice.score(table(spark, d, "documents")),
     "op10_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op11_filter_audit": lambda spark, d: audit.audit(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op12_spelling_variants": lambda spark, d: spelling.variants(table(spark, d, "documents")),
     "op13_chat_formatting": lambda spark, d: chat.chats(table(spark, d, "conversations")),
 }
 SQL = {"op3_exact_top_k": topk.SQL, "op4_license_scan": licences.SQL, "op11_filter_audit": audit.SQL, "op13_chat_formatting": chat.SQL}
