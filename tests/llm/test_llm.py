@@ -822,4 +822,4 @@ def test_nothing_to_scan(no_docs):
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
-    assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and len(queries.QUERIES) == 13
