@@ -3,7 +3,7 @@
 Character one- to three-grams of the lower-cased whole text are hashed into FEATURES dimensions. Document frequencies are
 counted over all training rows. The weights are fitted by follow-the-regularised-leader (proximal, per coordinate, with L1
 and L2 penalties) on a sample of at most `sample_rows` labelled rows with at most `entries` distinct n-grams together, taken by a hash
-of the row and shared evenly among the languages; every fifth sampled row is kept back to fit the temperature that calibrates the
+of the row; rows are taken from the languages in turn, so a bound cuts them evenly. Every fifth sampled row is kept back to fit the temperature that calibrates the
 probabilities.
 
 Cases: null text or text without a letter: `und` with score 0. No labelled training rows: every row is `und` with score 0. Repeated
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusgraf.llm.common import crc_of_id, sealed, small_batches, stored, unsealed
@@ -26,7 +26,8 @@ from korpusgraf.llm.common import crc_of_id, sealed, small_batches, stored, unse
 FEATURES = 1 << 14
 SAMPLE_ROWS, SAMPLE_ENTRIES = 3_000, 1 << 23
 STEP = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters and some numerals; `has_letter` tells them apart.
+ALNUM = re.compile(r"[^\W\d_]")
 NONE = "und"
 
 
@@ -46,7 +47,7 @@ def counts(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    return any(m.group().isalpha() for m in ALNUM.finditer(text or ""))
 
 
 @dataclass
@@ -134,10 +135,12 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS, entries: int = SAMPLE_
 
     with small_batches(train):
         held = stored(chosen.mapInPandas(sparse, "lang string, key long, size long, i array<int>, n array<int>"))
-    order = ["key", "lang", "size"]
-    sizes = [r["size"] for r in held.select(*order).orderBy(*order).limit(sample_rows).collect()]
+    # the first row of each language, then the second of each, and so on, until a bound is met
+    order = ["turn", "key", "lang", "size"]
+    dealt = held.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("key", "size")))
+    sizes = [r["size"] for r in dealt.select(*order).orderBy(*order).limit(sample_rows).collect()]
     take = int((np.cumsum(sizes) <= entries).sum()) if sizes else 0
-    got = held.orderBy(*order).limit(max(1, take)).toPandas()  # at most sample_rows rows and, but for a single one, `entries` n-grams
+    got = dealt.orderBy(*order).limit(max(1, take)).toPandas().sort_values(order[1:])  # at most sample_rows rows and, but for a single one, `entries` n-grams
     if got.empty:
         return None
     x = []

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusgraf.llm.common import crc_of_id, stored
+from korpusgraf.llm.common import crc_of_id, small_batches, stored
 
 HOT, HOT_BYTES = 1 << 18, 64
 BASE, SPREAD, BITS, MASK = 0x100000001B3, 0x9E3779B97F4A7C15, 18, (1 << 64) - 1
@@ -308,7 +308,8 @@ def score(docs: DataFrame, vocabulary: str | None = None, hot: int = HOT, rounds
     sc = docs.sparkSession.sparkContext
     out = held_out(F.col("doc_id"))
     rows = docs.select("doc_id", "text")
-    counts = stored(word_counts(rows, ~out))
+    with small_batches(docs):
+        counts = stored(word_counts(rows, ~out))
     ends = rows.where(~out).count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     train_tokens, distinct = sums["c"] + ends, sums["v"] + (ends > 0)
@@ -348,7 +349,8 @@ def score(docs: DataFrame, vocabulary: str | None = None, hot: int = HOT, rounds
 
     # The row's number and id are made in the one pass that is stored, so that no later job numbers the rows anew.
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("id"), "text")
-    parts = stored(numbered.mapInPandas(sums_of, "row long, id string, word string, tf long, tokens long, known long, base double, lm double"))
+    with small_batches(docs):
+        parts = stored(numbered.mapInPandas(sums_of, "row long, id string, word string, tf long, tokens long, known long, base double, lm double"))
     rare = parts.where("word is not null").select("row", "word", "tf").join(scored.select("word", "c", "lm"), "word")
     rare = rare.select("row", F.lit(None).cast("string").alias("id"), F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known"), (F.col("tf") * F.log10((F.col("c") + SMOOTH) / F.lit(float(whole)))).alias("base"), (F.col("tf") * F.col("lm")).alias("lm"))
     both = parts.where("word is null").select("row", "id", "tokens", "known", "base", "lm").union(rare)

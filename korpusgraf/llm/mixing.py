@@ -23,11 +23,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from korpusgraf.llm.common import SPACE, WORD, buckets_for, prefix_sums, sealed, stored, unsealed
+from korpusgraf.llm.common import WORD, buckets_for, prefix_sums, sealed, stored, unsealed
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
 SEED = 20_240_601
+#: A word with the white space before it; the last one also with what follows.
+SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]++\z)?"
 ADDED = ("source_size", "target", "pieces")
 PIECES = "array<struct<shard:int,epoch:int,block:bigint,start:bigint,length:bigint>>"
 
@@ -182,14 +184,15 @@ def mixture(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 def resample(docs: DataFrame, shards: int = 16) -> DataFrame:
     """The mixed documents: a row for each piece that a shard draws, in order of shard and place. A document that lies in one block
-    comes whole; of others each piece holds its words, joined by spaces. Documents without words are left out: the mix takes none of
+    comes whole; of others each piece is the text from the white space before its first word to its last word (the text's last piece, to the end), so the
+    pieces of a document in order are its text. Documents without words are left out: the mix takes none of
     their words. Partitions hold one shard each, or a range of places of one."""
     needed = ("doc_id", "source", "text", "n_chars")
     sized = sealed(docs, *needed).withColumn("_size", n_words(F.col("text"))).withColumn("_tie", F.xxhash64("text"))
     mixed = mix(sized, shards, "_size", ties=("_tie",))
     cut = F.exists("pieces", lambda p: p["length"] < F.col("_size"))
-    words = F.when(cut, F.filter(F.split("text", SPACE), lambda w: w != "")).otherwise(F.array().cast("array<string>"))
-    texts = _let(words, lambda w: F.transform("pieces", lambda p: F.when(p["length"] == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(w, p["start"].cast("int") + 1, p["length"].cast("int")), " "))))
+    words = F.when(cut, F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    texts = _let(words, lambda w: F.transform("pieces", lambda p: F.when(p["length"] == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(w, p["start"].cast("int") + 1, p["length"].cast("int")), ""))))
     out = drawn(mixed.withColumn("pieces", F.transform(F.arrays_zip(F.col("pieces").alias("p"), texts.alias("t")), lambda x: F.struct(x["p"]["shard"].alias("shard"), x["p"]["block"].alias("block"), x["p"]["start"].alias("start"), x["t"].alias("_text")))))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
     part = F.col("shard") * parts + F.floor((F.shiftright("place", 32) / float(1 << 32) + 0.5) * parts).cast("int")

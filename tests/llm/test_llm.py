@@ -191,6 +191,19 @@ def test_language_model_against_plain_numbers(spark, docs):
         assert not langid.has_letter(r["text"]) or (got[0] == langs[int(p.argmax())] and score[0] == pytest.approx(p.max(), abs=1e-3))
 
 
+def test_numerals_are_no_letters(spark):
+    texts = ["\u00bd \u00b2 \u2460 \u2167 12 _", "\u00bd a", "\u4e2d", "\u0301"]
+    assert [langid.has_letter(t) for t in texts] == [False, True, True, False]
+
+
+def test_each_language_keeps_rows_under_a_bound(spark):
+    """Long texts of one language don't push another out of the sample."""
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, "".join(chr(rng.randrange(97, 5000)) for _ in range(4000)), "long") for i in range(60)] + [(100 + i, f"kurz und klein {i}", "kurz") for i in range(60)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, 120, entries=40_000)
+    assert model.langs == ["kurz", "long"] and langid.predict(pd.Series(["kurz und klein"]), model)[0] == ["kurz"]
+
+
 def test_the_sample_is_bounded(spark):
     docs = spark.createDataFrame([(None if i % 3 == 0 else i, f"text {i % 3 and i} of language {i % 7}", f"l{i % 200}") for i in range(1200)], "doc_id long, text string, lang string")
     seen = []
@@ -544,6 +557,27 @@ def test_mix_with_clashing_names(odd_docs, no_docs):
     assert {r["target"] for r in mixing.resample(clash, 4).collect()} == {"mine"} and mixing.resample(clash, 4).columns == clash.columns
 
 
+def test_pieces_give_back_their_text(spark):
+    """Line breaks, tabs and indentation survive where a document is cut."""
+    code = "\n".join(f"{' ' * (4 * (i % 3))}line{i}\t=  {i}\x0b" for i in range(900)) + "\n\n"
+    rows = spark.createDataFrame([(i, f"  {i}\n{code}", "s", i) for i in range(30)], "doc_id long, text string, source string, extra int")
+    sized = rows.withColumn("size", mixing.n_words(F.col("text"))).withColumn("tie", F.xxhash64("text"))
+    order = {(r["doc_id"], r["epoch"], r["start"]): r["place"] for r in mixing.drawn(mixing.mix(sized, 3, ties=("tie",))).collect()}
+    texts = defaultdict(list)
+    for r in mixing.resample(rows, 3).collect():
+        texts[r["doc_id"]].append(r["text"])
+    whole = Counter()
+    for i, parts in texts.items():
+        starts = sorted(s for d, _, s in order if d == i)
+        assert len(parts) == len(starts) and set(r for r in parts) <= {p for p in parts if p in f"  {i}\n{code}"}
+        words = [len(WORD.findall(p)) for p in parts]
+        by_start = sorted(parts, key=lambda p: f"  {i}\n{code}".index(p))
+        if sum(words) == len(WORD.findall(f"  {i}\n{code}")):
+            assert "".join(by_start) == f"  {i}\n{code}"
+            whole[len(parts)] += 1
+    assert whole and max(whole) > 1
+
+
 def test_resample(odd_docs, no_docs):
     out = mixing.resample(odd_docs)
     assert out.columns == odd_docs.columns
