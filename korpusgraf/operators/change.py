@@ -48,23 +48,6 @@ def data_origin(writes: DataFrame, reads: DataFrame, start: DataFrame, depth: in
     return seen.where("hop > 0")
 
 
-def branches_and_cycles(jumps: DataFrame, depth: int = 8) -> DataFrame:
-    """src, line, dst, is_branch, is_cycle of jumps (unit, src, line, dst): a line with two targets branches; a jump whose target leads back to its
-    source within `depth` steps closes a cycle."""
-    step = stored(jumps.select("unit", F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
-    seen = frontier = step.select("unit", "a", "b")
-    for _ in range(depth - 1):
-        new = frontier.select("unit", "a", F.col("b").alias("m")).join(step.select("unit", F.col("a").alias("m"), "b"), ["unit", "m"]).select("unit", "a", "b").distinct()
-        frontier = stored(new.join(seen, ["unit", "a", "b"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = stored(seen.union(frontier))
-    back = seen.select("unit", F.col("a").alias("dst"), F.col("b").alias("src"), F.lit(True).alias("back")).distinct()
-    many = jumps.groupBy("unit", "src", "line").agg(F.countDistinct("dst").alias("n"))
-    met = jumps.distinct().join(many, ["unit", "src", "line"]).join(back, ["unit", "src", "dst"], "left")
-    return met.select("unit", "src", "line", "dst", (F.col("n") >= 2).alias("is_branch"), (F.coalesce("back", F.lit(False)) | (F.col("src") == F.col("dst"))).alias("is_cycle"))
-
-
 def implementations(calls: DataFrame, methods: DataFrame, realises: DataFrame, levels: int = 3) -> DataFrame:
     """call_id, id: the only method that a call of an abstract method can reach: of the types that realise its type, directly or over `levels` levels, those with a method of
     that name and arity. calls: call_id, type, name, arity; methods: id, type, name, arity; realises: sub, super."""

@@ -61,7 +61,6 @@ QUERIES = {
     "test_evidence": lambda s, d: change.test_evidence(edges(s, d), entities(s, d), entities(s, d).where("type = 'part'").select("id"), F.col("id") % 10 == 0),
     "includes": lambda s, d: change.includes(edges(s, d), F.startswith("dst_name", F.lit("a"))),
     "data_origin": lambda s, d: change.data_origin(statements(s, d, "'R'"), statements(s, d, "'A'"), table(s, d, "part").where("p_partkey in (1, 2)").select(F.col("p_partkey").alias("field")), 2),
-    "branches_and_cycles": lambda s, d: change.branches_and_cycles(jumps(s, d), 10),
     "group_paths": lambda s, d: change.group_paths(tree(s, d)),
     "visible_groups": lambda s, d: change.visible_groups(change.group_paths(tree(s, d)), ["EUROPE", "ASIA"]),
     "scan_reasons": lambda s, d: reports.scan_reasons(problems(s, d), CLASSES),
@@ -89,9 +88,6 @@ SQL = {
     "includes": with_relations("edges", "i AS (SELECT DISTINCT src_id, dst_name, line, type, resolution FROM edges WHERE type IN ('COPY', 'IMPORTS')) SELECT src_id, count(*) FILTER (resolution = 'resolved') AS resolved, count(*) FILTER (resolution <> 'resolved' AND dst_name LIKE 'a%') AS external, count(*) FILTER (resolution <> 'resolved' AND dst_name NOT LIKE 'a%') AS unresolved FROM i GROUP BY 1"),
     "data_origin": f"""WITH w AS ({STAT}'R'), r AS ({STAT}'A'), step AS (SELECT DISTINCT w.field AS a, r.field AS b FROM w JOIN r ON w.unit = r.unit AND r.line BETWEEN w.line AND w.line + 2 AND w.field <> r.field),
 one AS (SELECT a AS field, b AS origin FROM step WHERE a IN (1, 2)), two AS (SELECT DISTINCT field, b AS origin FROM one JOIN step ON a = origin WHERE b <> field AND (field, b) NOT IN (SELECT * FROM one)) SELECT field, origin, 1 AS hop FROM one UNION ALL SELECT field, origin, 2 FROM two""",
-    "branches_and_cycles": """WITH RECURSIVE j AS (SELECT DISTINCT l_suppkey AS unit, l_partkey % 9 AS src, CAST(l_quantity AS INT) % 3 AS line, l_orderkey % 9 AS dst FROM lineitem),
-walk AS (SELECT unit, src AS a, dst AS b FROM j UNION SELECT w.unit, a, dst FROM walk w JOIN j ON j.unit = w.unit AND src = b), n AS (SELECT unit, src, line, count(DISTINCT dst) AS n FROM j GROUP BY ALL)
-SELECT j.*, n >= 2 AS is_branch, src = dst OR EXISTS (SELECT 1 FROM walk WHERE walk.unit = j.unit AND a = dst AND b = src) AS is_cycle FROM j JOIN n USING (unit, src, line)""",
     "group_paths": with_relations("entities", f"{TREE} SELECT * FROM paths"),
     "visible_groups": with_relations("entities", f"{TREE}, s AS (SELECT id, path, string_split(path, '/') AS p FROM paths) SELECT id, CASE WHEN p[1] NOT IN ('EUROPE', 'ASIA') THEN p[1] WHEN len(p) > 1 THEN p[1] || '/' || p[2] ELSE path END AS shown FROM s"),
     "scan_reasons": f"WITH {PROBLEMS} SELECT CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'decode' WHEN 2 THEN 'too_large' ELSE 'other' END AS reason, count(*) AS files FROM p GROUP BY 1",
