@@ -15,34 +15,40 @@ def weighted(pairs: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-def local_moves(edges: DataFrame, rounds: int) -> DataFrame:
+def local_moves(edges: DataFrame, rounds: int = 12, least_moves: float = 0.002) -> DataFrame:
     """node, community: from groups of one, each round lets the nodes whose hash is due move to the neighbouring group of greatest modularity gain,
-    ties to the least name; nodes move half at a time, so that neighbours don't swap. Only sums for each node and group are shuffled, and no
-    graph is gathered in one place."""
-    degree = stored(edges.groupBy("a").agg(F.sum("w").alias("k")))
-    total = degree.agg(F.sum("k")).first()[0]
-    now = degree.select(F.col("a").alias("node"), F.col("a").alias("community"))
-    still = 0
-    for turn in range(rounds if total else 0):
-        sums = now.join(degree, now["node"] == degree["a"]).groupBy("community").agg(F.sum("k").alias("tot"))
-        to = edges.where("a <> b").join(now.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w_in"))
-        own = now.select(F.col("node").alias("a"), F.col("community").alias("own"))
-        options = to.join(own, "a").join(degree, "a").join(sums, "community")
-        stay = own.select("a", F.col("own").alias("community"), F.lit(0.0).alias("w_in"), "own").join(degree, "a").join(sums, "community").select(options.columns)
+    ties to the least name; nodes move half at a time, so that neighbours don't swap. Only nodes one of whose neighbours moved since they last looked are looked at, so
+    a round costs what has changed; rounds end when three in turn move at most `least_moves` of all nodes, or at `rounds`. Nodes of different `scope`s (a column of edges, optional) share
+    no edge, and each scope counts by its own weight. Only sums for each node and group are shuffled, and no graph is gathered in one place."""
+    scope = F.col("scope") if "scope" in edges.columns else F.lit(0)
+    degree = edges.groupBy("a", scope.alias("scope")).agg(F.sum("w").alias("k"))
+    totals = degree.groupBy("scope").agg(F.sum("k").alias("total"))
+    now = stored(degree.join(totals, "scope").select(F.col("a").alias("node"), F.col("a").alias("community"), "k", "total", F.lit(True).alias("active")))
+    links = edges.where("a <> b").select("a", "b", "w")
+    n, still = now.count(), 0
+    for turn in range(rounds if n else 0):
+        due = now.where("active").where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0).select(F.col("node").alias("a"), F.col("community").alias("own"), "k", "total")
+        to = links.join(due.select("a"), "a").join(now.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w_in"))
+        stay = due.select("a", F.col("own").alias("community"), F.lit(0.0).alias("w_in"))
+        options = to.union(stay).groupBy("a", "community").agg(F.max("w_in").alias("w_in")).join(due, "a").join(now.groupBy("community").agg(F.sum("k").alias("tot")), "community")
         left = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gains = options.union(stay).groupBy("a", "community", "own").agg(F.max(F.round(F.col("w_in") - F.col("k") * left / total, 9)).alias("gain"))
-        w = Window.partitionBy("a").orderBy(F.desc("gain"), F.col("community") != F.col("own"), "community")
-        best = gains.withColumn("nr", F.row_number().over(w)).where("nr = 1").where(f"own <> community and pmod(xxhash64(a, {turn}), 2) = 0").select(F.col("a").alias("node"), F.col("community").alias("to"))
-        best = stored(best)
-        still = still + 1 if best.isEmpty() else 0
-        if still == 3:  # three draws of movers in turn found none that gains
+        gain = F.round(F.col("w_in") - F.col("k") * left / F.col("total"), 9)
+        best = options.groupBy("a", "own").agg(F.min(F.struct((-gain).alias("loss"), (F.col("community") != F.col("own")).alias("moves"), "community")).alias("x"))
+        seen = stored(best.select(F.col("a").alias("node"), F.col("x.community").alias("to"), F.col("x.moves").alias("moves")))
+        moved = seen.where("moves").select(F.col("node").alias("b"))
+        count = moved.count()
+        still = still + 1 if count <= n * least_moves else 0
+        if still == 3:  # three draws of movers in turn found next to none that gains
             break
-        now = stored(now.join(best, "node", "left").select("node", F.coalesce("to", "community").alias("community")))
-    return now
+        woken = links.join(moved, "b").select(F.col("a").alias("node"), F.lit(True).alias("woken")).distinct()
+        met = now.join(seen.select("node", "to"), "node", "left").join(woken, "node", "left")
+        now = stored(met.select("node", F.coalesce("to", "community").alias("community"), "k", "total", ((F.col("active") & F.col("to").isNull()) | F.coalesce("woken", F.lit(False))).alias("active")))
+    return now.select("node", "community")
 
 
 def communities(edges: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
-    """node, community: local moves, then the same on the graph of the groups found, until a level joins none."""
+    """node, community: local moves, then the same on the graph of the groups found, until a level joins none. edges: a, b, w and optionally scope."""
+    scoped = "scope" in edges.columns
     edges = stored(edges)
     found, level = None, edges
     for _ in range(levels):
@@ -51,10 +57,78 @@ def communities(edges: DataFrame, rounds: int = 12, levels: int = 3) -> DataFram
         if step.where("node <> community").isEmpty():
             break
         g = lambda x, y: step.select(F.col("node").alias(x), F.col("community").alias(y))  # noqa: B023, E731
-        level = stored(level.join(g("a", "ca"), "a").join(g("b", "cb"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        keys = [F.col("ca").alias("a"), F.col("cb").alias("b"), *([F.col("scope")] if scoped else [])]
+        level = stored(level.join(g("a", "ca"), "a").join(g("b", "cb"), "b").groupBy(*keys).agg(F.sum("w").alias("w")))
     return found
 
 
+def _numbered(groups: DataFrame, buckets: int = 64) -> DataFrame:
+    """groups (parent, community, files) with nr: from 0 within each parent, the largest first. Sizes and hash buckets are counted, so that no parent's groups are ranked in one task."""
+    by = groups.withColumn("bucket", F.pmod(F.xxhash64("community"), F.lit(buckets)))
+    counts = by.groupBy("parent", "files", "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("parent").orderBy(F.desc("files"), "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("parent", "files", "bucket").orderBy("community")) - 1
+    return by.withColumn("own", own).join(counts.withColumn("before", before).drop("n"), ["parent", "files", "bucket"]).select("parent", "community", "files", (F.col("before") + F.col("own")).cast("long").alias("nr"))
+
+
+def file_tree(edges: DataFrame, topics: DataFrame | None = None, most: int = 150, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Groups (key, parent_key, level, kind, files) and leaves (node, key): every file of edges (a, b, w) in its finest group.
+
+    A file of topics (topic, node) belongs to the smallest of its topics, by members and then by number; such groups are `t<topic>` and are not split. The others are grouped by modularity;
+    a group of more than `most` files is split by its inner edges alone, `depth` times at most, and stays whole if that gives one part. All groups of a level are split together, each being a
+    scope of its own. Keys number the parts by size: c0, c0.1, c0.1.0."""
+    edges = stored(edges.select("a", "b", "w"))
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    groups, leaves = None, None
+    if topics is not None:
+        sizes = topics.distinct().groupBy("topic").agg(F.count("*").alias("size"))
+        of = stored(topics.distinct().join(sizes, "topic").groupBy("node").agg(F.min(F.struct("size", "topic")).alias("x")).select("node", F.concat(F.lit("t"), F.col("x.topic").cast("string")).alias("key")))
+        held = of.groupBy("key").agg(F.count("*").alias("files"))
+        named = sizes.select(F.concat(F.lit("t"), F.col("topic").cast("string")).alias("key")).join(held, "key", "left")
+        groups = named.select("key", F.lit(None).cast("string").alias("parent_key"), F.lit(0).alias("level"), F.lit("topic").alias("kind"), F.coalesce("files", F.lit(0)).cast("long").alias("files"))
+        leaves = of
+        nodes = nodes.join(of, "node", "left_anti")
+    now = stored(nodes.select("node", F.lit("").alias("parent")))
+    for level in range(depth + 1):
+        if now.isEmpty():
+            break
+        at = lambda c, p: now.select(F.col("node").alias(c), F.col("parent").alias(p))  # noqa: B023, E731
+        inner = edges.join(at("a", "scope"), "a").join(at("b", "other"), "b").where("scope = other").select("a", "b", "w", "scope")
+        found = communities(inner)
+        part = stored(now.join(found, "node", "left").select("node", "parent", F.coalesce("community", "node").alias("community")))
+        sized = part.groupBy("parent", "community").agg(F.count("*").alias("files"))
+        parts = sized.groupBy("parent").agg(F.count("*").alias("parts"))
+        key = F.when(F.col("parent") == "", F.concat(F.lit("c"), F.col("nr").cast("string"))).otherwise(F.concat("parent", F.lit("."), F.col("nr").cast("string")))
+        made = stored(_numbered(sized).withColumn("key", key).join(parts, "parent"))
+        # a group whose inner edges give one part stays as it is
+        split = made.where("parts > 1") if level else made
+        rows = split.select("key", F.when(F.col("parent") != "", F.col("parent")).alias("parent_key"), F.lit(level).alias("level"), F.lit("community").alias("kind"), "files")
+        groups = rows if groups is None else groups.unionByName(rows)
+        placed = stored(part.join(made.select("parent", "community", "key", "parts", F.col("files").alias("size")), ["parent", "community"]).select("node", F.when((F.col("parts") == 1) & F.lit(level > 0), F.col("parent")).otherwise(F.col("key")).alias("key"), ((F.col("size") > most) & ((F.col("parts") > 1) | F.lit(level == 0)) & F.lit(level < depth)).alias("again")))
+        done = placed.where("not again").select("node", "key")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        now = placed.where("again").select("node", F.col("key").alias("parent"))
+    empty = edges.sparkSession.createDataFrame([], "key string, parent_key string, level int, kind string, files long")
+    return (empty if groups is None else groups), (edges.select(F.col("a").alias("node"), F.lit("").alias("key")).where(F.lit(False)) if leaves is None else leaves)
+
+
+def described(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """key, label, path_prefix, central_file of groups, members being their files (key, node = source:path). The central file weighs most among those that refer to others, or among
+    all if none does, ties to the greatest path; the prefix is the directory that all files share, of which the label shows the last two parts."""
+    weight = weighted(pairs).groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
+    users = pairs.select(F.col("src_file").alias("node")).distinct().withColumn("uses", F.lit(True))
+    met = members.join(weight, "node", "left").join(users, "node", "left").withColumn("path", F.regexp_replace("node", "^[^:]*:", ""))
+    folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    best = F.max_by("path", F.struct(F.coalesce("uses", F.lit(False)), F.coalesce("k", F.lit(0.0)), "path"))
+    one = met.withColumn("folder", folder).groupBy("key").agg(best.alias("central_file"), F.min(F.split("folder", "/")).alias("lo"), F.max(F.split("folder", "/")).alias("hi"), F.min("folder").alias("least"))
+    # what the least and the greatest list of parts share, all share
+    shared = F.aggregate(F.arrays_zip("lo", "hi"), F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("parts")), lambda acc, x: F.struct((acc["on"] & F.coalesce(x["lo"] == x["hi"], F.lit(False))).alias("on"), F.when(acc["on"] & F.coalesce(x["lo"] == x["hi"], F.lit(False)), F.concat(acc["parts"], F.array(x["lo"]))).otherwise(acc["parts"]).alias("parts")))["parts"]
+    parts = F.when(F.col("least") == "", F.array().cast("array<string>")).otherwise(shared)
+    stem = F.regexp_replace(F.regexp_extract("central_file", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    short = F.array_join(F.when(F.size("parts") > 2, F.slice("parts", -2, 2)).otherwise(F.col("parts")), "/")
+    return one.withColumn("parts", parts).select("key", F.when(F.size("parts") > 0, F.concat(short, F.lit(" · "), stem)).otherwise(stem).alias("label"), F.array_join("parts", "/").alias("path_prefix"), "central_file")
+
+
 def modularity(edges: DataFrame, groups: DataFrame) -> float:
     total = edges.agg(F.sum("w")).first()[0]
     g = lambda x, y: groups.select(F.col("node").alias(x), F.col("community").alias(y))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import cycles, process
+from korpusgraf.operators import cycles, process, slices
 from korpusgraf.plans.change_queries import jumps
 from korpusgraf.sources.adapter import CUSTOMER, ORDER, PART, edges, entities, table, with_relations
 
@@ -35,7 +35,27 @@ def walked(s, d):
     return process.walk(*steps(s, d), roots, "both", HOPS, 5_000, EDGE_LIMIT)
 
 
+LINE = "l_orderkey % 200"
+OPERATION = "case l_linenumber % 3 when 0 then 'MOVE' when 1 then 'STRING' else 'COMPUTE' end"
+DEPTH, MOST = 5, 10
+
+
+def sliced(s, d):
+    """Statements of suppliers' units write and read parts; rows of tables set parts of fifth lines; small parts are parameters that orders give."""
+    line = table(s, d, "lineitem").withColumn("id", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), F.round(F.col("l_extendedprice") * 100).cast("long")))
+    one = ["cast(l_suppkey as string) as unit", f"{OPERATION} as operation", f"cast({LINE} as int) as line", "concat('F', l_partkey) as field"]
+    writes = line.where("l_returnflag = 'R'").selectExpr("id as write_id", *one)
+    reads = line.where("l_returnflag = 'A'").selectExpr(*one, "l_linestatus = 'F' as source")
+    flows = line.where("l_returnflag = 'N' and l_linenumber = 5").selectExpr("id as row_id", "concat('T', l_suppkey) as unit", f"cast({LINE} as int) as line", "'assign' as operation", "concat('F', l_partkey) as field", "array(concat('F', l_orderkey), concat('F', l_suppkey)) as sources")
+    parameters = table(s, d, "part").where("p_size < 5").selectExpr("concat('F', p_partkey) as field", "concat('r', p_size) as routine", "p_size % 2 as position")
+    calls = table(s, d, "orders").selectExpr("o_orderkey as call_id", "concat('r', o_custkey % 5) as routine", "concat('c', o_custkey) as caller", "cast(o_orderkey % 90 as int) as line", "o_orderstatus = 'P' as test", "array(concat('x', o_custkey), 'y') as arguments", "array(concat('F', o_custkey), cast(null as string)) as refs")
+    steps = slices.statement_steps(writes, reads).unionByName(slices.table_steps(flows)).unionByName(slices.argument_steps(parameters, calls))
+    starts = table(s, d, "part").where("p_brand in ('Brand#3', 'Brand#4')").selectExpr("concat('F', p_partkey) as field")
+    return slices.backward_slice(starts, steps, depth=DEPTH, most=MOST)
+
+
 QUERIES = {
+    "backward_slice": sliced,
     "branches_and_cycles": lambda s, d: cycles.branches_and_cycles(jumps(s, d)),
     "strong_components": lambda s, d: cycles.strong_components(rings(s, d)),
     "process_walk": lambda s, d: walked(s, d)[0],
@@ -62,8 +82,31 @@ k AS MATERIALIZED (SELECT edge_id, src_id, dst_id, type, CASE WHEN type = 'CALL'
 i AS (SELECT src_id AS block, edge_id, dst_id, kind, certainty FROM k WHERE type = 'CALL' AND src_id IN (SELECT id FROM b)),
 f0 AS (SELECT {PART} + p_partkey AS root, {PART} + p_partkey AS node FROM part WHERE p_brand = 'Brand#7'), {', '.join(map(_hop, range(1, HOPS + 1)))},
 s AS ({' UNION ALL '.join(f'FROM s{h}' for h in range(1, HOPS + 1))})"""
+
+
+def _level(h: int) -> str:
+    seen = " UNION ALL ".join(f"SELECT start, field FROM f{i}" for i in range(h))
+    before = " UNION ALL ".join(f"SELECT start FROM m{i}" for i in range(1, h)) or "SELECT CAST(NULL AS VARCHAR) AS start WHERE false"
+    return f"""n{h} AS (SELECT start, count(*) AS n FROM ({before}) GROUP BY start),
+m{h} AS MATERIALIZED (SELECT * FROM (SELECT f.start, coalesce(n, 0) + row_number() OVER (PARTITION BY f.start ORDER BY place, kind, s.nr) AS nr, {h} AS level, f.field, unit, line, operation, reads, follows FROM f{h - 1} f JOIN s ON s.field = f.field LEFT JOIN n{h} n ON n.start = f.start) WHERE nr <= {MOST}),
+g{h} AS (SELECT start, nr, unnest(follows) AS field, generate_subscripts(follows, 1) AS p FROM m{h}),
+f{h} AS MATERIALIZED (SELECT start, field, row_number() OVER (PARTITION BY start ORDER BY min((nr, p))) AS place FROM g{h} WHERE (start, field) NOT IN ({seen}) AND start NOT IN (SELECT start FROM ({before} UNION ALL SELECT start FROM m{h}) GROUP BY start HAVING count(*) >= {MOST}) GROUP BY start, field)"""
+
+
+LINES = "SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, *"
+SLICE = f"""WITH l AS ({LINES}, CAST(l_suppkey AS VARCHAR) AS unit, CASE l_linenumber % 3 WHEN 0 THEN 'MOVE' WHEN 1 THEN 'STRING' ELSE 'COMPUTE' END AS operation, CAST({LINE} AS INT) AS line, 'F' || l_partkey AS field FROM lineitem),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY line, id) AS nr FROM l WHERE l_returnflag = 'R') WHERE nr <= 4),
+o AS (SELECT w.id, list_sort(list(DISTINCT r.field)) AS reads FROM w JOIN l r ON r.l_returnflag = 'A' AND r.unit = w.unit AND r.operation = w.operation AND r.field <> w.field AND (CASE w.operation WHEN 'MOVE' THEN r.line = w.line WHEN 'STRING' THEN r.l_linestatus = 'F' AND r.line BETWEEN w.line - 25 AND w.line ELSE r.l_linestatus = 'F' AND r.line BETWEEN w.line AND w.line + 2 END) GROUP BY w.id),
+t AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY 'T' || l_suppkey, line, id) AS nr FROM l WHERE l_returnflag = 'N' AND l_linenumber = 5),
+p AS (SELECT 'F' || p_partkey AS field, 'c' || o_custkey AS unit, CAST(o_orderkey % 90 AS INT) AS line, CASE p_size % 2 WHEN 0 THEN 'x' || o_custkey ELSE 'y' END AS argument, CASE p_size % 2 WHEN 0 THEN ['F' || o_custkey] ELSE [] END AS refs, row_number() OVER (PARTITION BY p_partkey ORDER BY o_orderstatus = 'P', o_orderkey) AS nr FROM part JOIN orders ON o_custkey % 5 = p_size WHERE p_size < 5),
+s AS MATERIALIZED (SELECT w.field, 0 AS kind, nr, unit, line, operation, coalesce(reads, []) AS reads, coalesce(reads, []) AS follows FROM w LEFT JOIN o ON o.id = w.id
+  UNION ALL SELECT field, 1, nr, 'T' || l_suppkey, line, 'assign', ['F' || l_orderkey, 'F' || l_suppkey], list_filter(CASE WHEN l_orderkey = l_suppkey THEN ['F' || l_suppkey] ELSE ['F' || l_orderkey, 'F' || l_suppkey] END, lambda x: x <> field) FROM t WHERE nr <= 4
+  UNION ALL SELECT field, 2, nr, unit, line, 'argument', [argument], refs FROM p WHERE nr <= 4),
+f0 AS (SELECT 'F' || p_partkey AS start, 'F' || p_partkey AS field, 1 AS place FROM part WHERE p_brand IN ('Brand#3', 'Brand#4')), {', '.join(map(_level, range(1, DEPTH + 1)))}
+SELECT start, nr, level, field, unit, line, operation, array_to_string(reads, ',') AS reads FROM ({' UNION ALL '.join(f'FROM m{h}' for h in range(1, DEPTH + 1))})"""
 CUT = " UNION ALL ".join(f"SELECT root, max(n - ({EDGE_LIMIT} - used)) AS omitted FROM r{h} WHERE used < {EDGE_LIMIT} GROUP BY root HAVING max(n - ({EDGE_LIMIT} - used)) > 0 UNION ALL SELECT DISTINCT f.root, 0 FROM f{h - 1} f JOIN n{h} n ON n.root = f.root WHERE used >= {EDGE_LIMIT}" for h in range(1, HOPS + 1))
 SQL = {
+    "backward_slice": SLICE,
     "branches_and_cycles": """WITH RECURSIVE j AS (SELECT DISTINCT l_suppkey AS unit, l_partkey % 9 AS src, CAST(l_quantity AS INT) % 3 AS line, l_orderkey % 9 AS dst FROM lineitem),
 walk AS (SELECT unit, src AS a, dst AS b FROM j UNION SELECT w.unit, a, dst FROM walk w JOIN j ON j.unit = w.unit AND src = b), n AS (SELECT unit, src, line, count(DISTINCT dst) AS n FROM j GROUP BY ALL)
 SELECT j.*, n >= 2 AS is_branch, src = dst OR EXISTS (SELECT 1 FROM walk WHERE walk.unit = j.unit AND a = dst AND b = src) AS is_cycle FROM j JOIN n USING (unit, src, line)""",
