@@ -1,17 +1,16 @@
-"""Lineage cuts of iterative operators."""
+"""Lineage cuts of iterative operators, and folders for tables that a query makes."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder that the session names in spark.checkpoint.dir, and read again; where it names none in local mode, as in tests, to a
-    new folder. It goes when the application ends."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession) -> str:
+    """A new path in the folder that the session names in spark.checkpoint.dir; where it names none in local mode, as in tests, in a new folder. It goes when the
+    application ends."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
@@ -20,7 +19,13 @@ def stored(df: DataFrame) -> DataFrame:
         base = tempfile.mkdtemp(prefix="korpusgraf-")
         sc.setCheckpointDir(base)
     path = f"{base}/{sc.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to a fresh folder, and read again."""
+    path = fresh_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
