@@ -47,27 +47,47 @@ def markup_links(links: DataFrame, files: DataFrame) -> DataFrame:
     return resolve_staged(links.withColumn("path", normal_path(F.col("path"), F.col("link"))), [(files, ["source_id", "path"])])
 
 
-def shell_targets(refs: DataFrame, files: DataFrame, classes: DataFrame) -> DataFrame:
-    """Scripts and stylesheets (ref_id, source_id, path, name, kind) by path, else by the only file of that name in the source; started Java classes by the
-    qualified name. files: source_id, path, target_id; classes: name, target_id."""
+def shell_targets(refs: DataFrame, entities: DataFrame) -> DataFrame:
+    """ref_id, target_id (null: open) of references in shell scripts (ref_id, source_id, variant, path, name, kind, type): within the same source and variant the only entity of that
+    type (any, if null) in the file that the script's link names, or for a started Java class (kind starts_java) of that qualified name. Class names and links that leave the source or hold
+    expressions stay open. entities: source_id, variant, path, qualified_name, type, target_id."""
     java = F.col("kind") == "starts_java"
-    tail = F.when(~java, F.substring_index("name", "/", -1))
-    keyed = refs.select("ref_id", "source_id", F.when(~java, normal_path(F.col("path"), F.col("name"))).alias("path"), tail.alias("tail"), F.when(java, F.col("name")).alias("name"))
-    by_tail = files.select("source_id", F.substring_index("path", "/", -1).alias("tail"), "target_id")
-    return resolve_staged(keyed, [(classes, ["name"]), (files, ["source_id", "path"]), (by_tail, ["source_id", "tail"])]).select("ref_id", "target_id", "stage")
-
-
-def job_targets(steps: DataFrame, programs: DataFrame, procs: DataFrame) -> DataFrame:
-    """EXEC steps (ref_id, path, kind: PGM or PROC, name): programs by name; procedures in the step's own file first, then members by their file's name, then
-    by their label. programs: name, target_id; procs: path, label, in_stream, target_id."""
-    name = F.upper("name")
-    keyed = steps.select("ref_id", "path", F.when(F.col("kind") == "PGM", name).alias("program"), F.when(F.col("kind") == "PROC", name).alias("proc"))
-    own = procs.where("in_stream").select("path", F.upper("label").alias("proc"), "target_id")
-    stem = F.upper(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", ""))
-    member = procs.where("not in_stream").select(stem.alias("proc"), "target_id")
-    label = procs.where("not in_stream").select(F.upper("label").alias("proc"), "target_id")
-    stages = [(programs.select(F.upper("name").alias("program"), "target_id"), ["program"]), (own, ["path", "proc"]), (member, ["proc"]), (label, ["proc"])]
-    return resolve_staged(keyed, stages).select("ref_id", "target_id", "stage")
+    asked = refs.select("ref_id", "source_id", "variant", F.col("type").alias("wanted"), F.when(~java, normal_path(F.col("path"), F.col("name"))).alias("path"), F.when(java, F.col("name")).alias("qualified_name"))
+    found = None
+    for key in ("path", "qualified_name"):
+        per = entities.groupBy("source_id", "variant", key, "type").agg(F.min("target_id").alias("a"), F.max("target_id").alias("b"))
+        met = asked.where(F.col(key).isNotNull()).join(per, ["source_id", "variant", key]).where("wanted is null or type = wanted").select("ref_id", "a", "b")
+        found = met if found is None else found.union(met)
+    one = found.groupBy("ref_id").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a = b").select("ref_id", F.col("a").alias("target_id"))
+    return refs.select("ref_id").join(one, "ref_id", "left")
+
+
+#: Endings of files that hold one catalogued procedure.
+PROC_FILE = r"(?i)\.(prc|proc)$"
+
+
+def job_targets(steps: DataFrame, programs: DataFrame, procs: DataFrame, files: DataFrame) -> DataFrame:
+    """ref_id, target_id (null: open) and by (program, label, own_file, member, member_file: what decided) of EXEC steps (ref_id, source_id, variant, path, kind: PGM or PROC, name).
+
+    Names count in upper case, within the step's source and variant. A program needs one of its name. A procedure's label decides; of several, those in the step's own file if any (a
+    procedure file has no in-stream procedures), else those in a file of the procedure's name; without a label the procedure file of that name. programs: source_id, variant, name,
+    target_id; procs: the same and path, name being the label; files: source_id, variant, path, target_id."""
+    scope = ["source_id", "variant", "name"]
+    stem = lambda path: F.upper(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", ""))
+    ends = lambda df, keys, name: df.groupBy(*keys).agg(F.min("target_id").alias(f"{name}_a"), F.max("target_id").alias(f"{name}_b"))
+    asked = steps.withColumn("name", F.upper("name"))
+    label = procs.withColumn("name", F.upper("name"))
+    member = files.where(F.col("path").rlike(PROC_FILE)).withColumn("name", stem("path"))
+    met = asked.join(ends(programs.withColumn("name", F.upper("name")), scope, "program"), scope, "left").join(ends(label, scope, "label"), scope, "left").join(ends(label, [*scope, "path"], "own"), [*scope, "path"], "left")
+    met = met.join(ends(label.where(F.col("name") == stem("path")), scope, "member"), scope, "left").join(ends(member, scope, "file"), scope, "left")
+    proc, one = F.col("kind") == "PROC", lambda n: F.when(F.col(f"{n}_a") == F.col(f"{n}_b"), F.col(f"{n}_a"))
+    by = (
+        F.when(~proc, F.when(F.col("program_a").isNotNull(), "program")).when(F.col("label_a") == F.col("label_b"), "label").when(F.col("label_a").isNull(), F.when(F.col("file_a").isNotNull(), "member_file"))
+        .when(F.col("own_a").isNotNull() & ~F.col("path").rlike(PROC_FILE), "own_file").when(F.col("member_a").isNotNull(), "member")
+    )
+    met = met.withColumn("by", by)
+    target = F.when(F.col("by") == "program", one("program")).when(F.col("by") == "label", one("label")).when(F.col("by") == "own_file", one("own")).when(F.col("by") == "member", one("member")).when(F.col("by") == "member_file", one("file"))
+    return met.select("ref_id", target.alias("target_id"), "by")
 
 
 def project_targets(refs: DataFrame, declared: DataFrame, projects: DataFrame) -> DataFrame:

@@ -15,10 +15,10 @@ NAME = r"[A-Z0-9]+(?:-[A-Z0-9]+)*"
 
 
 def source_format(files: DataFrame) -> DataFrame:
-    """path, format (fixed, free): by a leading >>SOURCE directive, else by counting lines: comments after code and text in columns 1 to 6 speak for free,
+    """path, format (fixed, free): by the first >>SOURCE directive, also behind a numbered sequence area, else by counting lines: comments after code and text in columns 1 to 6 speak for free,
     indicators in column 7 for fixed; fixed if there are as many."""
     l = lines(files).where(F.trim("text") != "")
-    directive = F.lower(part(r"(?i)^\s*>>\s*SOURCE\s+(?:FORMAT\s+)?(?:IS\s+)?(FREE|FIXED)\b"))
+    directive = F.lower(part(r"(?i)^(?:[0-9 ]{6} |\s*)\s*>>\s*SOURCE\s+(?:FORMAT\s+)?(?:IS\s+)?(FREE|FIXED)\b"))
     area = F.trim(F.substring("text", 1, 6))
     inline = F.col("text").rlike(r"\S.*\*>")
     free = inline | ((area != "") & ~area.rlike("^[0-9]+$"))
@@ -294,15 +294,15 @@ def asciidoc_facts(files: DataFrame) -> DataFrame:
     return l.select("path", "line", F.explode(found).alias("f")).select("path", "line", "f.type", "f.level", "f.name")
 
 
-def composed_lines(files: DataFrame, most: int = 16) -> DataFrame:
+def composed_lines(files: DataFrame) -> DataFrame:
     """path, position, source, line, text: the lines of each AsciiDoc file with its includes in their place. An include of a file that is being included already, or of
-    none, stays a line; includes nest until no level has any, `most` levels at most. position: line numbers from the file inwards."""
+    none, stays a line; so a level holds fewer files than the one before, and includes nest until no level has any. position: line numbers from the file inwards."""
     l = lines(files).withColumn("target", part(r"^include::([^\[]+)\["))
     now = l.select("path", F.array("line").alias("position"), F.col("path").alias("source"), "line", "text", "target", F.array("path").alias("open"))
     body = l.select(F.col("path").alias("target"), F.col("line").alias("l"), F.col("text").alias("t"), F.col("target").alias("n"))
     known = files.select(F.col("path").alias("target"), F.lit(True).alias("known"))
     out = None
-    for _ in range(most):
+    while True:
         met = now.join(known, "target", "left").withColumn("goes", F.coalesce("known", F.lit(False)) & ~F.array_contains("open", F.coalesce("target", F.lit(""))))
         done = met.where("not goes").select("path", "position", "source", "line", "text")
         out = done if out is None else out.union(done)

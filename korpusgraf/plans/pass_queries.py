@@ -24,15 +24,19 @@ def links(s, d):
 
 
 def shell(s, d):
-    name = "case event_id % 3 when 0 then concat('../lib/s', event_id % 40, '.sh') when 1 then concat('/opt/s', event_id % 60, '.sh') else concat('app.Main', event_id % 80) end"
-    refs = ev(s, d, "user_id % 3 as source_id", "concat('bin/x', user_id, '.sh') as path", f"{name} as name", "case when event_id % 3 = 2 then 'starts_java' else 'sources' end as kind")
-    return passes.shell_targets(refs, pt(s, d, "p_size % 3 as source_id", "concat(case when p_partkey % 2 = 0 then 'lib' else 'etc' end, '/s', p_partkey % 100, '.sh') as path"), pt(s, d, "concat('app.Main', p_partkey div 2 + p_partkey % 2) as name"))
+    name = "case event_id % 3 when 0 then concat('./s', event_id % 40, '.sh') when 1 then concat('/opt/s', event_id % 60, '.sh') else concat('app.Main', event_id % 80) end"
+    refs = ev(s, d, "user_id % 3 as source_id", "concat('v', user_id % 2) as variant", "concat('lib/r', user_id, '.sh') as path", f"{name} as name", "case when event_id % 3 = 2 then 'starts_java' else 'runs' end as kind", "case when event_id % 4 > 0 then case when event_id % 3 = 2 then 'class' else 'script' end end as type")
+    held = pt(s, d, "p_size % 3 as source_id", "concat('v', p_partkey % 2) as variant", "concat(case when p_partkey % 5 = 0 then 'opt' else 'lib' end, '/s', p_partkey % 100, '.sh') as path", "concat('app.Main', p_partkey % 300) as qualified_name", "case when p_partkey % 3 = 0 then 'class' else 'script' end as type")
+    return passes.shell_targets(refs, held)
 
 
 def jobs(s, d):
-    steps = ev(s, d, "concat('jobs/j', user_id % 40) as path", "case when event_id % 2 = 0 then 'PGM' else 'PROC' end as kind", "concat('x', event_id % 90) as name")
-    procs = pt(s, d, "concat(case when p_partkey % 3 = 0 then 'jobs/j' else 'procs/X' end, p_partkey % 40, case when p_partkey % 3 = 0 then '' else '.prc' end) as path", "concat('X', p_size + 30) as label", "p_partkey % 3 = 0 as in_stream")
-    return passes.job_targets(steps, pt(s, d, "concat('X', p_partkey div 2) as name"), procs)
+    scope = ["p_size % 2 as source_id", "concat('v', p_partkey % 2) as variant"]
+    steps = ev(s, d, "user_id % 2 as source_id", "concat('v', event_id % 3 % 2) as variant", "concat('jobs/j', user_id % 40, case when user_id % 9 = 0 then '.prc' else '.jcl' end) as path", "case when event_id % 4 = 0 then 'PGM' else 'PROC' end as kind", "concat('x', event_id % 400) as name")
+    path = "concat(case when p_partkey % 3 = 0 then 'jobs/j' else 'procs/X' end, p_partkey % 40, case when p_partkey % 6 = 0 then '.jcl' else '.prc' end) as path"
+    procs = pt(s, d, *scope, path, "concat('X', p_partkey % 300) as name")
+    files = pt(s, d, *scope, "concat('lib/x', p_partkey % 500, case when p_partkey % 5 = 0 then '.txt' else '.PROC' end) as path")
+    return passes.job_targets(steps, pt(s, d, *scope, "concat('X', p_partkey div 2) as name"), procs, files)
 
 
 def projects(s, d):
@@ -134,16 +138,19 @@ SQL = {
     "markup_links": staged(
         f"""SELECT {E}, event_id % 2 AS source_id, CASE event_id % 4 WHEN 0 THEN 'web/d' || user_id % 3 || '/p' || event_id % 90 || '.jsp' WHEN 1 THEN 'web/d' || user_id % 5 || '/p' || event_id % 70 || '.jsp' WHEN 2 THEN 'web/d1/p' || event_id % 50 || '.jsp' END AS path FROM events""",
         [(f"SELECT {P}, p_partkey % 2 AS source_id, 'web/d' || p_size % 5 || '/p' || p_partkey || '.jsp' AS path FROM part", "source_id, path")], "ref_id, path, target_id"),
-    "shell_targets": staged(
-        f"""SELECT {E}, user_id % 3 AS source_id, CASE WHEN event_id % 3 = 2 THEN 'app.Main' || event_id % 80 END AS name, CASE event_id % 3 WHEN 0 THEN 'lib/s' || event_id % 40 || '.sh' WHEN 1 THEN 'opt/s' || event_id % 60 || '.sh' END AS path,
-        CASE event_id % 3 WHEN 0 THEN 's' || event_id % 40 || '.sh' WHEN 1 THEN 's' || event_id % 60 || '.sh' END AS tail FROM events""",
-        [(f"SELECT {P}, 'app.Main' || (p_partkey // 2 + p_partkey % 2) AS name FROM part", "name"),
-         (f"SELECT {P}, p_size % 3 AS source_id, CASE WHEN p_partkey % 2 = 0 THEN 'lib' ELSE 'etc' END || '/s' || p_partkey % 100 || '.sh' AS path FROM part", "source_id, path"),
-         (f"SELECT {P}, p_size % 3 AS source_id, 's' || p_partkey % 100 || '.sh' AS tail FROM part", "source_id, tail")]),
-    "job_targets": staged(
-        f"SELECT {E}, 'jobs/j' || user_id % 40 AS path, CASE WHEN event_id % 2 = 0 THEN 'X' || event_id % 90 END AS program, CASE WHEN event_id % 2 = 1 THEN 'X' || event_id % 90 END AS proc FROM events",
-        [(f"SELECT {P}, 'X' || p_partkey // 2 AS program FROM part", "program"), (f"SELECT {P}, 'jobs/j' || p_partkey % 40 AS path, 'X' || (p_size + 30) AS proc FROM part WHERE p_partkey % 3 = 0", "path, proc"),
-         (f"SELECT {P}, 'X' || p_partkey % 40 AS proc FROM part WHERE p_partkey % 3 > 0", "proc"), (f"SELECT {P}, 'X' || (p_size + 30) AS proc FROM part WHERE p_partkey % 3 > 0", "proc")]),
+    "shell_targets": f"""WITH r AS (SELECT {E}, user_id % 3 AS source, user_id % 2 AS v, CASE event_id % 3 WHEN 0 THEN 'lib/s' || event_id % 40 || '.sh' WHEN 1 THEN 'opt/s' || event_id % 60 || '.sh' END AS file, CASE WHEN event_id % 3 = 2 THEN 'app.Main' || event_id % 80 END AS class,
+  CASE WHEN event_id % 4 > 0 THEN CASE WHEN event_id % 3 = 2 THEN 'class' ELSE 'script' END END AS type FROM events),
+e AS (SELECT {P}, p_size % 3 AS source, p_partkey % 2 AS v, CASE WHEN p_partkey % 5 = 0 THEN 'opt' ELSE 'lib' END || '/s' || p_partkey % 100 || '.sh' AS file, 'app.Main' || p_partkey % 300 AS class, CASE WHEN p_partkey % 3 = 0 THEN 'class' ELSE 'script' END AS type FROM part),
+c AS (SELECT ref_id, list(DISTINCT target_id) AS ids FROM r JOIN e ON e.source = r.source AND e.v = r.v AND (e.file = r.file OR e.class = r.class) AND (r.type IS NULL OR e.type = r.type) GROUP BY ref_id)
+SELECT r.ref_id, CASE WHEN len(ids) = 1 THEN ids[1] END AS target_id FROM r LEFT JOIN c ON c.ref_id = r.ref_id""",
+    # each step's candidates as a list, narrowed as the rule says
+    "job_targets": f"""WITH r AS (SELECT {E}, user_id % 2 AS source, event_id % 3 % 2 AS v, 'jobs/j' || user_id % 40 || CASE WHEN user_id % 9 = 0 THEN '.prc' ELSE '.jcl' END AS path, event_id % 4 = 0 AS pgm, 'X' || event_id % 400 AS name FROM events),
+p AS (SELECT {P}, p_size % 2 AS source, p_partkey % 2 AS v, CASE WHEN p_partkey % 3 = 0 THEN 'jobs/j' ELSE 'procs/X' END || p_partkey % 40 || CASE WHEN p_partkey % 6 = 0 THEN '.jcl' ELSE '.prc' END AS path, 'X' || p_partkey % 300 AS label, 'X' || p_partkey // 2 AS program, CASE WHEN p_partkey % 5 > 0 THEN 'X' || p_partkey % 500 END AS member FROM part),
+c AS (SELECT ref_id, list(target_id) FILTER (pgm AND program = name) AS programs, list({{'t': target_id, 'p': p.path}}) FILTER (NOT pgm AND label = name) AS labels, list(target_id) FILTER (NOT pgm AND member = name) AS members FROM r JOIN p ON p.source = r.source AND p.v = r.v AND name IN (program, label, member) GROUP BY ref_id),
+n AS (SELECT r.*, programs, labels, members, CASE WHEN r.path NOT LIKE '%.prc' THEN list_filter(labels, lambda x: x.p = r.path) END AS own, list_filter(labels, lambda x: upper(regexp_replace(regexp_replace(x.p, '.*/', ''), '[.][^.]*$', '')) = name) AS named FROM r LEFT JOIN c ON c.ref_id = r.ref_id),
+k AS (SELECT ref_id, CASE WHEN pgm THEN programs WHEN labels IS NULL THEN members WHEN len(labels) > 1 AND len(own) > 0 THEN list_transform(own, lambda x: x.t) WHEN len(labels) > 1 AND len(named) > 0 THEN list_transform(named, lambda x: x.t) ELSE list_transform(labels, lambda x: x.t) END AS left_over,
+  CASE WHEN pgm THEN CASE WHEN programs IS NOT NULL THEN 'program' END WHEN labels IS NULL THEN CASE WHEN members IS NOT NULL THEN 'member_file' END WHEN len(labels) = 1 THEN 'label' WHEN len(own) > 0 THEN 'own_file' WHEN len(named) > 0 THEN 'member' END AS "by" FROM n)
+SELECT ref_id, CASE WHEN len(left_over) = 1 THEN left_over[1] END AS target_id, "by" FROM k""",
     "project_targets": """WITH r AS (SELECT event_id AS ref_id, user_id % 30 AS path, event_id % 60 AS c, event_id % 45 AS m FROM events), d AS (SELECT p_size % 30 AS path, p_partkey % 60 AS c, min(p_partkey) AS t, count(*) AS n FROM part GROUP BY 1, 2),
 a AS (SELECT s_suppkey % 50 AS c, min(s_suppkey) AS pc, count(*) AS nc FROM supplier GROUP BY 1), b AS (SELECT s_suppkey % 40 AS m, min(s_suppkey) AS pm, count(*) AS nm FROM supplier GROUP BY 1)
 SELECT ref_id, CASE WHEN n = 1 THEN t END AS target_id, CASE WHEN nc = 1 THEN pc WHEN nc IS NULL AND nm = 1 THEN pm END AS internal_project FROM r LEFT JOIN d USING (path, c) LEFT JOIN a USING (c) LEFT JOIN b USING (m)""",
