@@ -25,6 +25,12 @@ def file_graph(s, d):
     return groups.weighted(pairs(s, d))
 
 
+def group_tree(s, d):
+    """Each file with its finest group and that group's level and size."""
+    held, leaves = groups.file_tree(file_graph(s, d))
+    return leaves.join(held.select("key", "parent_key", "level", "files"), "key")
+
+
 def answers(s, d):
     """An answer for each event, citing files by its numbers."""
     return table(s, d, "events").selectExpr("event_id as answer_id", "concat('see orders/', user_id, '.sql:', event_id % 90 + 1, ' and x', event_id % 7, '/unit.java:', event_id % 50) as text")
@@ -62,6 +68,7 @@ QUERIES = {
     "evidence_budget": lambda s, d: evidence.within_budget(chunks(s, d), "source", ["chunk_id"], "content", 20_000).select("source", "chunk_id", "used"),
     "fall_through": lambda s, d: evidence.fall_through(entities(s, d).where("type = 'part'").withColumn("ends", F.col("id") % 4 == 0)),
     "file_groups": lambda s, d: groups.communities(file_graph(s, d)),
+    "file_group_tree": group_tree,
 }
 SQL = {
     "repo_statistics": "SELECT lang AS language, count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines FROM documents GROUP BY lang",
