@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korpusgraf.operators.lineage import stored
+
 BEST = "query_id long, id long, score double"
 
 
@@ -22,15 +24,12 @@ def in_space(vectors: DataFrame, vector_col: str, dimension: int, model: str | N
     return kept.where(F.coalesce("model", F.lit(default)) == model) if model is not None else kept
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = 8_192, same_source: bool = True) -> DataFrame:
-    """query_id, id, score (cosine, four decimals), rank: the k best candidates of each query, ties to the smaller id; its own row is left out, and
-    with same_source False every row of its source. Both sides: id, source, v (unit vectors). Blocks of queries meet blocks of candidates,
-    each task keeping k a query, so the shuffle holds k rows for each query and block."""
-    n, m = candidates.count(), queries.count()
-    parts, q_parts = max(1, -(-n // block)), max(1, -(-m // block))
-    left = queries.select(F.pmod(F.xxhash64("id"), F.lit(q_parts)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")).alias("b"), "id", "source", "v")
-    right = candidates.select(F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)).cast("array<long>")).alias("a"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("b"), "id", "source", "v")
+#: Most cells of the candidates, and vectors from which their centres are chosen; neither has an influence on results.
+MOST_CELLS, SAMPLE = 256, 2_048
+SLACK = 1e-6
 
+
+def _meet(k: int, same_source: bool):
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
@@ -46,9 +45,68 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = 8_19
                 out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "score": row[best]}))
         return pd.concat(out, ignore_index=True)
 
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, BEST)
+    return meet
+
+
+def _centres(candidates: DataFrame, cells: int) -> np.ndarray:
+    """Centres of cells from a bounded sample by hash: each the vector farthest from those before."""
+    rows = candidates.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+    x = np.array([r["v"] for r in rows])
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(cells, len(x)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = 8_192, same_source: bool = True) -> DataFrame:
+    """query_id, id, score (cosine, four decimals), rank: the k best candidates of each query, ties to the smaller id; its own row is left out, and
+    with same_source False every row of its source. Both sides: id, source, v (unit vectors).
+
+    Candidates lie in cells around centres, cells in blocks. A query meets the cell of its nearest centre first; of the others only those whose angle to the centre, less the
+    cell's radius, still allows a score as good as its k-th. Queries, too, meet in blocks, each task keeping k a query, so the shuffle holds k rows for each query and block."""
+    n, m = candidates.count(), queries.count()
+    q_parts = max(1, -(-m // block))
+    centres = _centres(candidates, max(1, min(MOST_CELLS, -(-n // block)))) if n else np.zeros((0, 0))
+    held = candidates.sparkSession.sparkContext.broadcast(centres)  # at most MOST_CELLS vectors
+
+    @F.pandas_udf("cell int, angle double")
+    def place(v: pd.Series) -> pd.DataFrame:
+        cos = np.stack(v.to_numpy()) @ held.value.T
+        return pd.DataFrame({"cell": cos.argmax(axis=1).astype(np.int32), "angle": np.arccos(np.clip(cos.max(axis=1), -1, 1))})
+
+    @F.pandas_udf("array<double>")
+    def angles(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.arccos(np.clip(np.stack(v.to_numpy()) @ held.value.T, -1, 1))))
+
+    if not n:
+        return queries.select(F.col("id").alias("query_id"), F.col("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
+    placed = stored(candidates.select("id", "source", "v", place("v").alias("p")).select("id", "source", "v", "p.*"))
+    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # a row a cell
+    blocks = F.array(*[F.lit(-(-cells[c]["n"] // block) if c in cells else 0) for c in range(len(centres))])
+    radius = F.array(*[F.lit(float(cells[c]["radius"]) if c in cells else 0.0) for c in range(len(centres))])
+    right = stored(placed.select("cell", F.pmod(F.xxhash64("id"), F.get(blocks, F.col("cell"))).alias("b"), "id", "source", "v"))
+    asking = stored(queries.select("id", "source", "v", F.pmod(F.xxhash64("id"), F.lit(q_parts)).alias("a"), angles("v").alias("angles")))
+    # the k-th score that a cell still allows; cells without rows allow none
+    bound = F.transform("angles", lambda x, c: F.when(F.get(blocks, c) > 0, F.round(F.cos(F.greatest(F.lit(0.0), x - F.get(radius, c))) + SLACK, 4)).otherwise(-2.0))
+    asking = asking.withColumn("bounds", bound).withColumn("first", (F.array_position("angles", F.array_min(F.transform("angles", lambda x, c: F.when(F.get(blocks, c) > 0, x)))) - 1).cast("int"))
+
+    def found(asks: DataFrame) -> DataFrame:
+        """The k best of each query within the cells it asks (cells)."""
+        left = asks.select("a", "id", "source", "v", F.explode("cells").alias("cell")).where(F.get(blocks, F.col("cell")) > 0)
+        left = stored(left.select("a", "cell", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1).cast("array<long>")).alias("b"), "id", "source", "v"))
+        wanted = left.select(F.col("a").alias("_a"), "cell", "b").distinct()
+        met = right.join(wanted, ["cell", "b"]).select(F.col("_a").alias("a"), "cell", "b", "id", "source", "v")
+        return left.groupBy("a", "cell", "b").cogroup(met.groupBy("a", "cell", "b")).applyInPandas(_meet(k, same_source), BEST)
+
+    best = stored(found(asking.withColumn("cells", F.array("first"))))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    kth = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    open_ = asking.join(kth, "id", "left")
+    more = F.filter(F.sequence(F.lit(0), F.lit(len(centres) - 1)), lambda c: (c != F.col("first")) & (F.col("kth").isNull() | (F.get(F.col("bounds"), c) >= F.col("kth"))))
+    if len(centres) > 1:
+        best = best.union(found(open_.withColumn("cells", more)))
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def cosine_distances(vectors: DataFrame, query: list[float], most: float | None = None) -> DataFrame:

@@ -5,10 +5,11 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import cover, cycles, groups, models, partials, passes, process, receivers, rollup, slices
+from korpusgraf.operators import cover, cycles, groups, models, partials, passes, process, receivers, rollup, slices, vectors
 from korpusgraf.operators.lineage import fresh_folder
 from korpusgraf.sources import commits
 
@@ -320,3 +321,21 @@ def test_shell_targets_stay_in_their_source(spark):
     asked = [("a", 1, "v", "lib/zz/r.sh", "./a.sh", "runs", "script"), ("any", 1, "v", "lib/zz/r.sh", "a.sh", "runs", None), ("c", 1, "v", "lib/zz/r.sh", "c.sh", "runs", "script"), ("C", 1, "v", "r.sh", "q.C", "starts_java", None), ("A", 1, "v", "r.sh", "q.A", "starts_java", None), ("D", 1, "v", "r.sh", "q.D", "starts_java", "class"), ("up", 1, "v", "r.sh", "../a.sh", "runs", None)]
     got = passes.shell_targets(spark.createDataFrame(asked, "ref_id string, source_id int, variant string, path string, name string, kind string, type string"), spark.createDataFrame(held, "source_id int, variant string, path string, qualified_name string, type string, target_id int"))
     assert ids(got) == {("a", 1), ("any", None), ("c", None), ("C", None), ("A", 1), ("D", None), ("up", None)}
+
+
+# nearest join
+@pytest.mark.parametrize("same_source", [True, False])
+def test_nearest_by_cells(spark, same_source):
+    """Clusters, copies that tie, and blocks so small that a cell has several: as by comparing all with all."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 8))
+    x = np.concatenate([centres[i % 6] + 0.05 * rng.normal(size=8) for i in range(150)]).reshape(150, 8)
+    x[100:110] = x[3]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, i % 4, v.tolist()) for i, v in enumerate(x)], "id long, source int, v array<double>")
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in vectors.nearest(df.where("id % 3 = 0"), df, 5, block=16, same_source=same_source).collect()}
+    for q in range(0, 150, 3):
+        scores = np.round(x @ x[q], 4)
+        order = sorted((-s, i) for i, s in enumerate(scores) if i != q and (same_source or i % 4 != q % 4))[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in order]
+    assert vectors.nearest(df, df.limit(0), 5).count() == 0 and vectors.nearest(df.limit(0), df, 5).count() == 0
