@@ -50,9 +50,13 @@ def symbol_mentions(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z0-9]*(?:[._#][A-Za-z0-9]+)+|[a-z]+[A-Z][A-Za-z0-9]*)"), F.lit(1)))
 
 
-def question_stems(question: Column) -> Column:
-    """First five letters of each word, distinct, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(question), F.lit(r"([a-z]{3,})"), F.lit(1)), lambda w: F.substring(w, 1, 5)))
+def question_stems(question: Column, generic: list[str] = (), glossary: dict[str, str] | None = None) -> Column:
+    """First five letters of each word of four letters or digits and more, distinct, in order; words of `generic` don't count. For each term of the glossary that occurs
+    in the question, the words that it stands for count too, after the question's own."""
+    low = F.lower(question)
+    words = F.filter(F.regexp_extract_all(low, F.lit("([a-zäöüß0-9]{4,})"), F.lit(1)), lambda w: ~w.isin(list(generic)) if generic else F.lit(True))
+    added = [F.when(F.contains(low, F.lit(term)), F.array(*[F.lit(w) for w in meant.split()])).otherwise(F.array().cast("array<string>")) for term, meant in (glossary or {}).items()]
+    return F.array_distinct(F.transform(F.concat(words, *added), lambda w: F.substring(w, 1, 5)))
 
 
 def query_variants(symbol: Column) -> Column:

@@ -221,11 +221,12 @@ def lambda_targets(calls: DataFrame, assignments: DataFrame) -> DataFrame:
     return calls.join(one, ["method", "name"]).where("line > at").select("call_id", "target_id")
 
 
-def upserted(old: DataFrame, parsed: DataFrame) -> DataFrame:
+def upserted(old: DataFrame, parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """key, id, action: what a parse of files makes of their stored entities. A qualified name keeps its id (update), a new one gets its digest (insert), one that is no
-    longer parsed goes (delete); files that weren't parsed don't change. Of repeated names the first by line counts. old: path, key, id; parsed: path, key, line."""
+    longer parsed goes (delete); files that weren't parsed don't change. Of repeated names the first by line counts. old: path, key, id; parsed: path, key, line; files: path of all that were parsed, also those that
+    hold no entity now; unless given, the paths in parsed."""
     one = parsed.groupBy("path", "key").agg(F.min("line").alias("line"))
-    touched = parsed.select("path").distinct()
+    touched = (parsed if files is None else files).select("path").distinct()
     met = old.join(touched, "path", "left_semi").join(one, ["path", "key"], "full")
     action = F.when(F.col("id").isNull(), "insert").when(F.col("line").isNull(), "delete").otherwise("update")
     return met.select("path", "key", F.coalesce("id", F.sha1(F.concat_ws("\n", "path", "key"))).alias("id"), action.alias("action"))

@@ -1,11 +1,11 @@
-"""Queries of full-text rank by cover density over the documents' texts."""
+"""Queries of full-text rank by cover density over the documents' texts, and of evidence packs that are made to fit."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import cover
-from korpusgraf.sources.adapter import chunks, with_relations
+from korpusgraf.operators import cover, fitting
+from korpusgraf.sources.adapter import chunks, table, with_relations
 
 QUERY = 'the "of the" -erin or le la'
 
@@ -14,7 +14,16 @@ def ranked(s, d):
     return cover.cover_rank(chunks(s, d), QUERY).withColumn("rank", F.round("rank", 6))
 
 
-QUERIES = {"cover_rank": ranked}
+def packs(s, d):
+    """A pack for each conversation: its turns as call sites, expanded sources and origins, three turns an entry."""
+    block = "case role when 'user' then 'call_sites' when 'assistant' then 'expanded' else 'data_origin' end"
+    items = table(s, d, "conversations").selectExpr("conv_id as id", f"struct(cast(turn div 3 as int) as entry, {block} as block, cast(turn as int) as nr, coalesce(text, '') as text) as item")
+    fit = fitting.fitted(items.groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items")), 900)
+    shown = F.transform(F.array_sort("items"), lambda x: F.concat_ws(":", x["entry"].cast("string"), x["block"], x["nr"].cast("string"), F.char_length(x["text"]).cast("string")))
+    return fit.select("id", F.array_join(shown, ",").alias("items"), "size", "fits")
+
+
+QUERIES = {"cover_rank": ranked, "evidence_steps": packs}
 SQL = {
     # all windows between two hits that hold an alternative, and of these the ones without a smaller one inside
     "cover_rank": with_relations("chunks", r"""t AS (SELECT chunk_id, regexp_extract_all(lower(content), '[\pL\pN]+') AS ws FROM chunks),

@@ -119,7 +119,7 @@ WHERE hits > 0 ORDER BY hits DESC, chunk_id LIMIT 10"""),
     "term_score": with_relations("chunks", """SELECT chunk_id, score FROM (SELECT chunk_id, round(((length(l) - length(replace(l, 'the', ''))) / 3 + (length(l) - length(replace(l, 'tion', ''))) / 4) / (1 + ln(length(l) + 1)), 4) AS score
   FROM (SELECT chunk_id, translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM chunks)) WHERE score > 0"""),
     "text_functions": with_relations("entities", r"""e AS (SELECT id, name, qualified_name AS q, regexp_extract(file_path, '[^/]*$') AS tail FROM entities WHERE type IN ('part', 'nation')),
-t AS (SELECT *, list_filter(string_split_regex(lower(trim(q)), '[ \t\n\r.#]+|::'), lambda x: x <> '') AS k, string_split_regex(lower(name || '-' || regexp_replace(tail, '\.[^.]*$', '')), '[-_# ]+') AS w, list_transform(regexp_extract_all(lower(name), '[a-z]{3,}'), lambda x: x[1:5]) AS s FROM e)
+t AS (SELECT *, list_filter(string_split_regex(lower(trim(q)), '[ \t\n\r.#]+|::'), lambda x: x <> '') AS k, string_split_regex(lower(name || '-' || regexp_replace(tail, '\.[^.]*$', '')), '[-_# ]+') AS w, list_transform(regexp_extract_all(lower(name), '[a-zäöüß0-9]{4,}'), lambda x: x[1:5]) AS s FROM e)
 SELECT id, tail, array_to_string(CASE WHEN contains(trim(q), ' ') THEN k[1:6] ELSE k[-6:] END, ' ') AS tokens, array_to_string(list_filter(w, lambda x, i: length(x) >= 3 AND list_position(w, x) = i), ' ') AS keywords,
   replace(q, '#', '.') || ' ' || replace(replace(q, '#', '.'), '.', '#') AS variants, true AS is_test, 'sql' AS lang, array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), ' ') AS stems FROM t"""),
     "content_fingerprint": with_relations("chunks", r"SELECT chunk_id, sha256(trim(regexp_replace(content, '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS fingerprint FROM chunks"),

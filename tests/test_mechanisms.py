@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from korpusgraf.functions.text import question_stems
 from korpusgraf.operators import cover, cycles, groups, models, partials, passes, process, receivers, rollup, slices, vectors
 from korpusgraf.operators.lineage import fresh_folder
 from korpusgraf.sources import commits
@@ -339,3 +340,16 @@ def test_nearest_by_cells(spark, same_source):
         order = sorted((-s, i) for i, s in enumerate(scores) if i != q and (same_source or i % 4 != q % 4))[:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in order]
     assert vectors.nearest(df, df.limit(0), 5).count() == 0 and vectors.nearest(df.limit(0), df, 5).count() == 0
+
+
+def test_question_stems(spark):
+    df = spark.createDataFrame([("Wie läuft die Größe2 der ABC1 Buchung über Buchungen?",)], "q string")
+    stems = lambda *a: df.select(question_stems(F.col("q"), *a)).first()[0]
+    assert stems() == ["läuft", "größe", "abc1", "buchu", "über"]
+    assert stems(["läuft"], {"buchung": "posting entry"}) == ["größe", "abc1", "buchu", "über", "posti", "entry"]
+
+
+def test_emptied_files_lose_their_entities(spark):
+    S = spark.createDataFrame
+    old, parsed = S([("a", "k", "1"), ("b", "k", "2"), ("c", "k", "3")], "path string, key string, id string"), S([("a", "k", 5)], "path string, key string, line int")
+    assert {tuple(r)[:2] + (r["action"],) for r in passes.upserted(old, parsed, S([("a",), ("b",)], "path string")).collect()} == {("a", "k", "update"), ("b", "k", "delete")}
