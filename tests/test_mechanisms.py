@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from korpusgraf.functions.text import question_stems
-from korpusgraf.operators import cover, cycles, groups, models, partials, passes, process, receivers, rollup, slices, vectors
+from korpusgraf.operators import cover, cycles, groups, layers, models, partials, passes, process, receivers, rollup, slices, vectors
 from korpusgraf.operators.lineage import fresh_folder
 from korpusgraf.sources import commits
 
@@ -353,3 +353,89 @@ def test_emptied_files_lose_their_entities(spark):
     S = spark.createDataFrame
     old, parsed = S([("a", "k", "1"), ("b", "k", "2"), ("c", "k", "3")], "path string, key string, id string"), S([("a", "k", 5)], "path string, key string, line int")
     assert {tuple(r)[:2] + (r["action"],) for r in passes.upserted(old, parsed, S([("a",), ("b",)], "path string")).collect()} == {("a", "k", "update"), ("b", "k", "delete")}
+
+
+# layers
+def plain_layers(edges, entities, root, direction, depth, kinds, collapse_above, expand, frontier_limit, tests):
+    """One root's layers, edge by edge."""
+    types = {t for k in kinds for t in layers.KINDS[k]}
+    near, far = (1, 2) if direction == "down" else (2, 1)
+    is_test = lambda i: not tests and bool(re.search(r"(^|/)(src/test|tests?)/|(Test|Tests|IT|ITCase)\.java$", entities[i][1] or ""))
+    known = sorted(e for e in edges if e[4] in types)
+    imported = {(entities[e[1]][1], e[3].rsplit(".", 1)[-1]) for e in edges if e[4] in ("IMPORTS", "IMPORTS_MODULE") and e[5] == "unresolved" and e[1] in entities and e[3]}
+    own, last = [root], [root] if entities.get(root, (0, 0, 0))[2] == "class" else []
+    for _ in range(3):
+        last = [i for i, e in entities.items() if e[0] in last]
+        own += [i for i in last if i not in own]
+    own, seen, frontier = set(own), set(own), set(own)
+    anchor = lambda i: root if i in own else i
+    nodes, shown, back, rows = [], [], {}, []
+
+    def note(e, layer):
+        if e[1] in own and e[2] in own and not e[1] == e[2] == root:
+            return
+        key = (anchor(e[1]), anchor(e[2]), e[4])
+        if key not in back and len(back) < 4 * collapse_above:
+            back[key] = (layer, len(back) + 1, e[0], *key)
+
+    for layer in range(1, depth + 1):
+        met = [e for e in known if e[near] in frontier]
+        open_ = [e for e in met if e[2] is None]
+        external = sum((entities.get(e[1], (0, None))[1], (e[3] or "").split(".", 1)[0]) in imported for e in open_)
+        found, first, hidden = {}, [], set()
+        for e in met:
+            if e[far] in seen:
+                note(e, layer)
+            elif e[far] in entities and is_test(e[far]):
+                hidden.add(e[far])
+            elif e[far] in entities:
+                found.setdefault(e[far], len(found) + 1)
+                first.append((layer, len(first) + 1, e[0], anchor(e[1]), anchor(e[2]), e[4]))
+        collapsed = len(found) > collapse_above and layer not in expand
+        truncated = not collapsed and len(found) > frontier_limit
+        rows.append((layer, len(found), len(hidden), len(open_), external, collapsed, truncated, "collapsed" if collapsed else None if found else "end"))
+        if collapsed or not found:
+            break
+        nodes += [(layer, nr, i) for i, nr in found.items()]
+        shown += first[: 4 * collapse_above]
+        seen |= found.keys()
+        frontier = set(list(found)[:frontier_limit])
+    else:
+        for e in known:
+            if e[near] in frontier and e[far] in seen:
+                note(e, depth + 1)
+    return set(nodes), set(shown), set(back.values()), set(rows)
+
+
+@pytest.mark.parametrize("direction,kinds,expanded,tests", [("down", ("control",), (), False), ("up", ("control", "data"), (2,), False), ("down", ("includes", "control"), (1, 2, 3), True)])
+def test_layers(spark, direction, kinds, expanded, tests):
+    rng = random.Random(11)
+    entities = {i: (rng.choice([None, rng.randrange(30)]), rng.choice(["a/x", "b/y", "src/test/z", "q/FooTest.java", None]), rng.choice(["class", "method"])) for i in range(45)}
+    entities[0], entities[1], entities[2] = (None, "a/x", "class"), (0, "a/x", "method"), (1, "a/x", "method")
+    edges = [(f"e{n:03}", rng.randrange(50), rng.choice([None, *range(50)]), rng.choice(["A.b", "A", "q.A", "B", None]), rng.choice(["CALL", "CALLS", "READS", "IMPORTS", "OTHER"]), rng.choice(["resolved", "unresolved"])) for n in range(150)]
+    edges += [("z1", 0, 0, "x", "CALL", "resolved"), ("z2", 0, 2, "x", "CALL", "resolved"), ("z3", 1, 40, "x", "CALL", "resolved"), ("z4", 40, 2, "x", "CALL", "resolved"), ("z5", None, 1, "x", "CALL", "resolved")]
+    roots = [0, 7, 12, 44, 999]
+    frame = spark.createDataFrame(edges, "edge_id string, src_id long, dst_id long, dst_name string, type string, resolution string")
+    known = spark.createDataFrame([(i, *e) for i, e in entities.items()], "id long, parent_id long, file_path string, type string")
+    expand = spark.createDataFrame([(r, h) for r in roots for h in expanded] * 2, "root long, layer int")
+    got = layers.layers(frame, known, spark.createDataFrame([(r,) for r in roots] * 2, "id long"), direction, 4, kinds, 5, expand, 4, tests)
+    every = {r: plain_layers(edges, entities, r, direction, 4, kinds, 5, expanded, 4, tests) for r in roots}
+    for part in range(4):
+        assert ids(got[part]) == {(r, *w) for r, plain in every.items() for w in plain[part]}
+
+
+def test_layers_of_nothing(spark):
+    edges = spark.createDataFrame([], "edge_id string, src_id long, dst_id long, dst_name string, type string, resolution string")
+    entities = spark.createDataFrame([], "id long, parent_id long, file_path string, type string")
+    got = layers.layers(edges, entities, spark.createDataFrame([(1,), (None,)], "id long"))
+    assert [len(ids(p)) for p in got[:3]] == [0, 0, 0] and (1, 1, 0, 0, 0, 0, False, False, "end") in ids(got.summary)
+    with pytest.raises(ValueError):
+        layers.layers(edges, entities, entities.select("id"), kinds=("other",))
+
+
+def test_layer_alternatives(spark):
+    edges = spark.createDataFrame([("a", 1, 5, "READS"), ("b", 2, 5, "READS"), ("c", 2, 6, "CALL"), ("d", 6, 1, "CALL"), ("e", 7, 2, "CALL"), ("f", 1, 2, "READS"), ("g", 1, None, "READS"), ("h", 8, 1, "COPY"), ("i", 9, 1, "COPY")], "edge_id string, src_id long, dst_id long, type string")
+    entities = spark.createDataFrame([(i, "tests/a" if i == 8 else "a") for i in (1, 2, 5, 6, 7, 8)], "id long, file_path string")
+    own = spark.createDataFrame([(1, 1), (1, 2)], "root long, id long")
+    assert ids(layers.alternatives(edges, entities, own, "down")) == {(1, "down", "data", 1), (1, "up", "control", 2)}
+    assert (1, "up", "includes", 1) in ids(layers.alternatives(edges, entities, own, "down", tests=True))
