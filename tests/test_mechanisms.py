@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from korpusgraf.functions.text import question_stems
-from korpusgraf.operators import cover, cycles, groups, layers, models, partials, passes, process, receivers, rollup, slices, vectors
+from korpusgraf.operators import cover, cycles, groups, layers, lookup, models, partials, passes, process, receivers, rollup, slices, vectors
 from korpusgraf.operators.lineage import fresh_folder
 from korpusgraf.sources import commits
 
@@ -439,3 +439,78 @@ def test_layer_alternatives(spark):
     own = spark.createDataFrame([(1, 1), (1, 2)], "root long, id long")
     assert ids(layers.alternatives(edges, entities, own, "down")) == {(1, "down", "data", 1), (1, "up", "control", 2)}
     assert (1, "up", "includes", 1) in ids(layers.alternatives(edges, entities, own, "down", tests=True))
+
+
+# lookup of symbols
+def plain_lookup(entities, term, limit):
+    """The rule, one search after the other. entities: id, name, qualified_name, file_path, type, start_line."""
+    def search(phrase, size):
+        parts = [p for p in re.split(r"[\s.#]+|::", phrase.lower()) if p]
+        parts = parts[:6] if " " in phrase else parts[-6:]
+        rows = []
+        for e in entities:
+            n, q, f = (e[1] or "").lower(), (e[2] or "").lower().rsplit("/", 1)[-1], (e[3] or "").lower().rsplit("/", 1)[-1] if e[4] in lookup.FILE_TYPES else ""
+            if parts and all(p in n or p in q or p in f for p in parts):
+                tier = 0 if n == phrase.lower() else 1 if n.startswith(phrase.lower()) else 2 if all(p in n for p in parts) else 3 if all(p in q for p in parts) else 4
+                rows.append((tier, lookup.SEARCH_RANK.get(e[4], 2), len(e[1] or ""), e[1] or "", e[0], e))
+        return [r[-1] for r in sorted(rows)[:size]]
+
+    key = lambda v: re.sub(r"\s+", "", (v or "").replace("\\", "/").lower().split("(")[0].replace("#", ".")).strip(".")
+    types = lambda listed: [re.sub(r"\s", "", re.sub(r"^(.*[>\w])\s+\w+$", r"\1", p.replace("final ", "").strip())).lower() for p in re.findall(r"(?:<[^>]*>|[^,<])+", listed)]
+
+    def same(e, spelling):
+        if spelling.endswith(")"):
+            own = re.search(r"#[^#@()]*\((.*)\)$", e[2] or "")
+            if not own or types(own[1]) != types(spelling[spelling.index("(") + 1 : -1]):
+                return False
+        k = key(spelling)
+        return k in (key(e[1]), key(e[2]), key(e[3])) or bool(k) and (key(e[2]).endswith("." + k) or key(e[3]).endswith("/" + k))
+
+    ways, found, mode = lookup.spellings(term), {}, "exact"
+    for way in ways:
+        found |= {e[0]: e for e in search(way, limit + 1)}
+        if any(same(e, way) for e in found.values()):
+            break
+    if len(term.split()) > 1 and not any(same(e, w) for e in found.values() for w in ways):
+        mode = "tokens"
+    tokens = [w for w in re.split(r"[\s,;|]+", term) if len(w) > 2 and w.lower() not in lookup.STOP_WORDS]
+    if not found and len(tokens) > 1:
+        anchor = lookup.anchor_of(tokens)
+        rest = [t.lower() for t in tokens if t != anchor]
+        pool = {e[0]: e for w in lookup.spellings(anchor) for e in search(w, 80)}
+        score = {i: sum(t in " ".join([e[1] or "", (e[2] or "").replace("#", "."), e[3] or ""]).lower() for t in rest) for i, e in pool.items()}
+        kept = [i for i in pool if score[i] == len(rest)] or [i for i in pool if score[i]]
+        found = {i: pool[i] for i in sorted(kept, key=lambda i: -score[i])[: limit + 1]}
+        mode = "tokens"
+    if found:
+        best = sorted(found.values(), key=lambda e: (not same(e, term), lookup.RESULT_RANK.get(e[4], 4), e[3] or "", e[5] or 0, e[0]))
+        return [(term, mode, i, e[0]) for i, e in enumerate(best, 1)]
+    for head in [h for h in re.split(r"[.#\s(|]+", term) if len(h) > 2][:2]:
+        if hits := search(head, 5):
+            return [(term, "none", i, e[0]) for i, e in enumerate(hits, 1)]
+    return [(term, "none", None, None)]
+
+
+def test_spellings():
+    assert lookup.spellings("a.B.c(X)") == ["a.B.c(X)", "a.B#c", "B#c", "B.c"]
+    assert lookup.spellings("A.b") == ["A.b", "A#b"] and lookup.spellings("A#b") == ["A#b"] and lookup.spellings("PAY-ROLL") == ["PAY-ROLL"]
+    assert lookup.anchor_of(["longestword", "a.b", "PAY-ROLL"]) == "PAY-ROLL"
+
+
+def test_symbol_lookup(spark):
+    rng = random.Random(3)
+    parts = ["Pay", "Roll", "Calc", "Order", "Item", "Svc"]
+    entities = [
+        (1, "save", "app.OrderSvc#save(List<A, B>,final int n)", "src/app/OrderSvc.java", "method", 5), (2, "save", "app.OrderSvc#save(int)", "src/app/OrderSvc.java", "method", 9), (3, "OrderSvc", "app.OrderSvc", "src/app/OrderSvc.java", "class", 1),
+        (4, "PAY-ROLL", "PAY-ROLL", "cobol\\PAY-ROLL.cbl", "program", 1), (5, None, None, None, None, None), (6, "", "", "", "field", 0), (7, "PAY-ROLL", "X.PAY-ROLL", "b.cbl", "paragraph", None), (8, "run.sh", "bin/run.sh", "bin/run.sh", "shell_script", 1),
+    ]
+    for i in range(10, 90):
+        name, owner = "".join(rng.choices(parts, k=2)), rng.choice(parts)
+        entities.append((i, name, rng.choice([f"app.{owner}#{name}(int)", f"lib/{owner}.{name}", name]), rng.choice(["src/a.java", "src/b.java", "calc/Pay.java"]), rng.choice(["method", "class", "field", "compilation_unit"]), rng.choice([1, 2, None])))
+    terms = ["OrderSvc.save", "app.OrderSvc.save(List<A, B> x, int y)", "OrderSvc#save(int)", "PAY-ROLL", "where is PAY-ROLL in cobol", "how does PayRoll calc the Zzzz", "Pay Roll", "Order", "run.sh", "PayRoll.nothing", "zzzz", "zz", "calc/Pay.java", "A.b.C", "Item nope nope", "  ", "Order"]
+    frame = spark.createDataFrame(entities, "id long, name string, qualified_name string, file_path string, type string, start_line int").withColumn("nr", F.lit(1)).withColumn("size", F.lit("x"))
+    got = ids(lookup.find_symbols(frame, terms, 6))
+    assert got == {row for t in terms if t.strip() for row in plain_lookup(entities, t, 6)}
+    assert ids(lookup.find_symbols(frame.where("false"), ["a.b"])) == {("a.b", "none", None, None)} and not ids(lookup.find_symbols(frame, [" "]))
+    with pytest.raises(ValueError):
+        lookup.find_symbols(frame, [f"t{i}" for i in range(17)])
