@@ -20,9 +20,9 @@ def keyword(s, d):
     return linking.keyword_pass(named(s, d), chunks(s, d), 0.5, 10)
 
 
-def old_links(s, d):
+def old_links(found):
     """Every third pair of the keyword pass, decided by its ids."""
-    return keyword(s, d).where("(id + chunk_id) % 3 = 0").select("id", "chunk_id", F.when(F.col("chunk_id") % 2 == 0, "approved").otherwise("pending").alias("status"), F.lit(0.1).alias("score"))
+    return found.where("(id + chunk_id) % 3 = 0").select("id", "chunk_id", F.when(F.col("chunk_id") % 2 == 0, "approved").otherwise("pending").alias("status"), F.lit(0.1).alias("score"))
 
 
 def files(s, d, new):
@@ -92,10 +92,10 @@ def deps(s, d):
 
 QUERIES = {
     "keyword_pass": keyword,
-    "merge_passes": lambda s, d: linking.merged([keyword(s, d), keyword(s, d).withColumn("score", F.lit(0.9))], 0.95),
-    "undecided_pairs": lambda s, d: linking.undecided(keyword(s, d), old_links(s, d)),
-    "store_links": lambda s, d: linking.stored_links(old_links(s, d), keyword(s, d).where("id % 2 = 0")),
-    "link_status_counts": lambda s, d: linking.status_counts(old_links(s, d), F.col("id") > 3),
+    "merge_passes": lambda s, d: linking.merged([found := keyword(s, d), found.withColumn("score", F.lit(0.9))], 0.95),
+    "undecided_pairs": lambda s, d: linking.undecided(found := keyword(s, d), old_links(found)),
+    "store_links": lambda s, d: linking.stored_links(old_links(found := keyword(s, d)), found.where("id % 2 = 0")),
+    "link_status_counts": lambda s, d: linking.status_counts(old_links(keyword(s, d)), F.col("id") > 3),
     "feedback_escalation": lambda s, d: linking.escalated(doc_links(s, d), votes(s, d), NOW),
     "semantic_pass": semantic,
     "candidate_keys": lambda s, d: linking.candidate_keys(titled(s, d)),

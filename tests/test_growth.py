@@ -33,3 +33,12 @@ def ids(df):
 def test_a_text_above_the_budget_ends_its_group(spark):
     rows = spark.range(60).select(F.lit("g").alias("g"), F.col("id").alias("n"), F.when(F.col("id") == 3, F.repeat(F.lit("x"), F.lit(100))).otherwise("ab").alias("t"))
     assert ids(evidence.within_budget(rows, "g", ["n"], "t", 20).select("n", "used")) == {(0, 2), (1, 4), (2, 6)}
+
+
+def test_keywords_that_many_entities_and_chunks_share(spark):
+    entities = spark.range(400).selectExpr("id", "array('the', case when id % 2 = 0 then 'then' else 'there' end) as keywords")
+    chunks = spark.range(400).selectExpr("id as chunk_id", "case when id % 4 = 0 then 'the end' else 'then' end as content")
+    got = []
+    assert most_rows(spark, lambda: got.extend(linking.keyword_pass(entities, chunks, 0.3, 3).collect())) < 5_000
+    want = {(i, c, 1.0 if i % 2 == 0 else 0.5) for i in range(400) for c in ((1, 2, 3) if i % 2 == 0 else (0, 1, 2))}
+    assert {tuple(r) for r in got} == want
