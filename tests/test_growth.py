@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import evidence, linking
+from korpusgraf.operators import evidence, linking, slices
 
 
 def most_rows(spark, run):
@@ -42,3 +42,11 @@ def test_keywords_that_many_entities_and_chunks_share(spark):
     assert most_rows(spark, lambda: got.extend(linking.keyword_pass(entities, chunks, 0.3, 3).collect())) < 5_000
     want = {(i, c, 1.0 if i % 2 == 0 else 0.5) for i in range(400) for c in ((1, 2, 3) if i % 2 == 0 else (0, 1, 2))}
     assert {tuple(r) for r in got} == want
+
+
+def test_parameters_of_one_routine_share_its_call_sites(spark):
+    parameters = spark.range(300).selectExpr("concat('F', id) as field", "'r' as routine", "0 as position")
+    calls = spark.range(300).selectExpr("id as call_id", "'r' as routine", "'c' as caller", "1 as line", "id % 3 = 0 as test", "array(concat('x', id)) as arguments", "array(concat('F', id)) as refs")
+    got = []
+    assert most_rows(spark, lambda: got.extend(slices.argument_steps(parameters, calls).select("field", "at.nr", "reads").collect())) < 5_000
+    assert {(f, nr, r[0]) for f, nr, r in got} == {(f"F{i}", nr, f"x{x}") for i in range(300) for nr, x in enumerate((1, 2, 4, 5), 1)}
