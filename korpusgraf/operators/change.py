@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpusgraf.operators.intervals import overlapping
+from korpusgraf.operators.intervals import RANGE, distinct_ranges, range_hits, to_hunks
 from korpusgraf.operators.lineage import stored
 
 
@@ -63,15 +63,30 @@ def implementations(calls: DataFrame, methods: DataFrame, realises: DataFrame, l
 def expanded_chunks(hits: DataFrame, chunks: DataFrame, entities: DataFrame, edges: DataFrame, budget: int = 7_200) -> DataFrame:
     """hit_id, chunk_id: chunks of the entities one resolved step away from the entities that a hit's lines overlap, in order of chunk, up to `budget` characters
     for each hit. hits and chunks: chunk_id, file_path, start_line, end_line (chunks: size)."""
-    over = lambda c, key: overlapping(c.withColumnRenamed("chunk_id", "hunk_id"), entities).select(F.col("hunk_id").alias(key), "id")
     known = edges.where("resolution = 'resolved' and dst_id is not null")
     step = known.select(F.col("src_id").alias("id"), F.col("dst_id").alias("other")).union(known.select("dst_id", "src_id")).distinct()
-    near = over(hits, "hit_id").join(step, "id").select("hit_id", F.col("other").alias("id")).distinct()
-    met = near.join(over(chunks, "chunk_id"), "id").where("chunk_id <> hit_id").select("hit_id", "chunk_id").distinct().join(chunks.select("chunk_id", "size"), "chunk_id")
+    # chunks of a range, of an entity's range, of an entity's neighbours and of a hit's range: of each the first that the budget can reach
+    of_range = _reachable(chunks.select(*RANGE, "chunk_id", "size"), RANGE, budget)
+    spans = distinct_ranges(entities)
+    met = range_hits(chunks, spans.withColumn("id", F.struct(*RANGE))).select(F.col("id").alias("span"), *[F.col(f"hunk_id.{c}").alias(c) for c in RANGE])
+    of_span = _reachable(met.join(of_range, RANGE).select("span", "chunk_id", "size"), ["span"], budget)
+    of_entity = entities.select("id", F.struct(*RANGE).alias("span")).join(of_span, "span").select(F.col("id").alias("other"), "chunk_id", "size")
+    near = step.join(of_entity, "other").select("id", "chunk_id", "size").distinct().withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(16)))
+    near = stored(_reachable(_reachable(near, ["id", "part"], budget), ["id"], budget).drop("part"))
+    asked = hits.withColumnRenamed("chunk_id", "hunk_id")
+    found = _reachable(range_hits(asked, entities).select("hunk_id", "id").join(near, "id").select("hunk_id", "chunk_id", "size").distinct(), ["hunk_id"], budget)
     w = Window.partitionBy("hit_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, 0)
+    met = to_hunks(found, asked).withColumnRenamed("hunk_id", "hit_id").where("chunk_id <> hit_id")
     return met.withColumn("used", F.sum("size").over(w)).where(F.col("used") <= budget).select("hit_id", "chunk_id")
 
 
+def _reachable(rows: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """The rows (keys, chunk_id, size) that can be within the budget of any larger set without one chunk, the hit's own: those before them, without the largest, don't exceed it."""
+    before = Window.partitionBy(*keys).orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce("size", F.lit(0))
+    return rows.withColumn("_used", F.coalesce(F.sum(size).over(before) - F.max(size).over(before), F.lit(0))).where(F.col("_used") <= budget).drop("_used")
+
+
 def group_paths(groups: DataFrame) -> DataFrame:
     """id, path: names from the root to each group (id, parent_id, name), level by level until one is empty. Groups in a cycle hang on no root
     and have no path."""

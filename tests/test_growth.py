@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import assembly, evidence, intervals, linking, slices
+from korpusgraf.operators import assembly, change, evidence, intervals, linking, slices
 
 
 def most_rows(spark, run):
@@ -46,22 +46,6 @@ def test_keywords_that_many_entities_and_chunks_share(spark):
     assert {tuple(r) for r in got} == want
 
 
-def test_parameters_of_one_routine_share_its_call_sites(spark):
-    parameters = spark.range(300).selectExpr("concat('F', id) as field", "'r' as routine", "0 as position")
-    calls = spark.range(300).selectExpr("id as call_id", "'r' as routine", "'c' as caller", "1 as line", "id % 3 = 0 as test", "array(concat('x', id)) as arguments", "array(concat('F', id)) as refs")
-    got = []
-    assert most_rows(spark, lambda: got.extend(slices.argument_steps(parameters, calls).select("field", "at.nr", "reads").collect())) < 5_000
-    assert {(f, nr, r[0]) for f, nr, r in got} == {(f"F{i}", nr, f"x{x}") for i in range(300) for nr, x in enumerate((1, 2, 4, 5), 1)}
-
-
-def test_programs_and_paragraphs_of_one_file(spark):
-    at = "0 as source_id", "'v' as variant", "'f' as file_path"
-    programs, paragraphs = spark.range(300).selectExpr("id", *at, "10 as start_line", "40 as end_line"), spark.range(300).selectExpr("id", *at, "cast(id % 3 * 10 as int) as start_line", "cast(id % 3 * 10 + 5 as int) as end_line")
-    got = []
-    assert most_rows(spark, lambda: got.extend(assembly.entry_paragraphs(programs, paragraphs).collect())) < 5_000
-    assert {tuple(r) for r in got} == {(i, 1) for i in range(300)}
-
-
 def test_equal_ranges_meet_once(spark):
     hunks = spark.range(300).selectExpr("id as hunk_id", "'f' as file_path", "case when id % 2 = 0 then 5 else 8 end as start_line", "9 as end_line")
     entities = spark.range(300).selectExpr("id", "'f' as file_path", "1 as start_line", "20 as end_line").union(spark.createDataFrame([(300, "f", 4, 9), (301, "f", 4, 9), (302, "f", 7, 8)], "id long, file_path string, start_line int, end_line int"))
@@ -85,3 +69,34 @@ def test_ranges_that_overlap_without_holding_each_other(spark):
     assert ids(intervals.innermost_of(hunks, entities)) == ids(intervals.innermost(intervals.overlapping(hunks, entities, 16))) == inner
     least = {i: [x[0] for x in xs if x[3] - x[2] == min(y[3] - y[2] for y in xs)] for i, xs in hit.items() if xs}
     assert ids(intervals.smallest_unique_of(hunks, entities)) == {(i, x[0]) for i, x in least.items() if len(x) == 1}
+
+
+def test_programs_and_paragraphs_of_one_file(spark):
+    at = "0 as source_id", "'v' as variant", "'f' as file_path"
+    programs, paragraphs = spark.range(300).selectExpr("id", *at, "10 as start_line", "40 as end_line"), spark.range(300).selectExpr("id", *at, "cast(id % 3 * 10 as int) as start_line", "cast(id % 3 * 10 + 5 as int) as end_line")
+    got = []
+    assert most_rows(spark, lambda: got.extend(assembly.entry_paragraphs(programs, paragraphs).collect())) < 5_000
+    assert {tuple(r) for r in got} == {(i, 1) for i in range(300)}
+
+
+def test_parameters_of_one_routine_share_its_call_sites(spark):
+    parameters = spark.range(300).selectExpr("concat('F', id) as field", "'r' as routine", "0 as position")
+    calls = spark.range(300).selectExpr("id as call_id", "'r' as routine", "'c' as caller", "1 as line", "id % 3 = 0 as test", "array(concat('x', id)) as arguments", "array(concat('F', id)) as refs")
+    got = []
+    assert most_rows(spark, lambda: got.extend(slices.argument_steps(parameters, calls).select("field", "at.nr", "reads").collect())) < 5_000
+    assert {(f, nr, r[0]) for f, nr, r in got} == {(f"F{i}", nr, f"x{x}") for i in range(300) for nr, x in enumerate((1, 2, 4, 5), 1)}
+
+
+def test_chunks_beyond_the_budget_never_meet(spark):
+    entities = spark.range(200).selectExpr("id", "'f' as file_path", "1 as start_line", "9 as end_line")
+    chunks = spark.range(300).selectExpr("id as chunk_id", "'f' as file_path", "1 as start_line", "3 as end_line", "cast(40 + id % 60 as int) as size")
+    edges = spark.range(200).selectExpr("cast(id as string) as edge_id", "id as src_id", "(id + 1) % 5 as dst_id", "'n' as dst_name", "'CALL' as type", "'resolved' as resolution", "1 as line")
+    got = []
+    assert most_rows(spark, lambda: got.extend(change.expanded_chunks(chunks, chunks, entities, edges, 150).collect())) < 10_000
+    want = set()
+    for h in range(300):
+        used = 0
+        for c in (c for c in range(6) if c != h):
+            used += 40 + c % 60
+            want |= {(h, c)} if used <= 150 else set()
+    assert {tuple(r) for r in got} == want
