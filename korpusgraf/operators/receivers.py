@@ -104,7 +104,9 @@ def chain_types(calls: DataFrame, variables: DataFrame, types: DataFrame, supers
     own_type = F.when(F.size("params") > 0, F.concat(F.col("type"), F.lit("<"), F.array_join("params", ","), F.lit(">"))).otherwise(F.col("type"))
     owners = types.select(F.col("type").alias("owner"), own_type.alias("self"))
     parents = supers.groupBy(F.col("type").alias("owner")).agg(F.min("parent").alias("parent"), F.max("parent").alias("other")).select("owner", F.when(F.col("parent") == F.col("other"), F.col("parent")).alias("parent"))
-    asked = calls.select("call_id", "unit", "owner", steps(F.col("receiver")).alias("steps")).where(F.size("steps") > 0)
+    # calls of one unit and owner with the same receiver have one type
+    key = ["unit", "owner", "receiver"]
+    asked = stored(calls.select(*key).distinct().select(F.struct(*key).alias("call"), "unit", "owner", steps(F.col("receiver")).alias("steps"))).where(F.size("steps") > 0)
     first = asked.withColumn("s", F.get("steps", F.lit(0))).withColumn("name", F.col("s.name")).withColumn("arity", F.coalesce("s.arity", F.lit(-1)))
     of_unit = variables.groupBy("unit", "name").agg(F.min("type").alias("v_lo"), F.max("type").alias("v_hi")).withColumn("arity", F.lit(-1))
     of_owner = offers.select(F.col("type").alias("owner"), "name", "arity", F.col("result").alias("m"), F.lit(True).alias("m_known"))
@@ -116,12 +118,12 @@ def chain_types(calls: DataFrame, variables: DataFrame, types: DataFrame, supers
         .when(F.col("v_lo").isNotNull(), F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo"))).when(F.col("m_known"), F.col("m")).otherwise(F.col("static"))
     )
     params = types.select(F.col("type").alias("_raw"), "params")
-    now = met.select("call_id", "steps", F.lit(1).alias("at"), _indexed(found, F.col("s.index")).alias("type"))
+    now = met.select("call", "steps", F.lit(1).alias("at"), _indexed(found, F.col("s.index")).alias("type"))
     out = None
     while True:
-        # a type that isn't known ends its chain
-        now = stored(now.withColumn("_raw", raw(F.col("type"))).join(params, "_raw").where(F.size(arguments(F.col("type"))).isin(0) | (F.size(arguments(F.col("type"))) == F.size("params"))))
-        ended = now.where(F.col("at") >= F.size("steps")).select("call_id", "type")
+        # a type that isn't known ends its chain; types are written first, or each use of one would work it out again
+        now = stored(stored(now).withColumn("_raw", raw(F.col("type"))).join(params, "_raw").where(F.size(arguments(F.col("type"))).isin(0) | (F.size(arguments(F.col("type"))) == F.size("params"))))
+        ended = now.where(F.col("at") >= F.size("steps")).select("call", "type")
         out = ended if out is None else out.union(ended)
         going = now.where(F.col("at") < F.size("steps"))
         if going.isEmpty():
@@ -129,5 +131,5 @@ def chain_types(calls: DataFrame, variables: DataFrame, types: DataFrame, supers
         step = going.withColumn("s", F.get("steps", F.col("at"))).select("*", F.col("s.name").alias("name"), F.coalesce("s.arity", F.lit(-1)).alias("arity")).where(~F.contains("type", F.lit("[]")))
         offer = offers.select(F.col("type").alias("_raw"), "name", "arity", "result")
         met = step.join(offer, ["_raw", "name", "arity"])
-        now = met.select("call_id", "steps", (F.col("at") + 1).alias("at"), _indexed(put_in(F.col("result"), F.col("params"), arguments(F.col("type"))), F.col("s.index")).alias("type"))
-    return calls.select("call_id").join(out, "call_id", "left")
+        now = met.select("call", "steps", (F.col("at") + 1).alias("at"), _indexed(put_in(F.col("result"), F.col("params"), arguments(F.col("type"))), F.col("s.index")).alias("type"))
+    return calls.select("call_id", F.struct(*key).alias("call")).join(out, "call", "left").select("call_id", "type")
