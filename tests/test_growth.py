@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import assembly, change, evidence, intervals, linking, slices
+from korpusgraf.operators import assembly, change, evidence, intervals, linking, models, slices
 
 
 def most_rows(spark, run):
@@ -100,3 +100,17 @@ def test_chunks_beyond_the_budget_never_meet(spark):
             used += 40 + c % 60
             want |= {(h, c)} if used <= 150 else set()
     assert {tuple(r) for r in got} == want
+
+
+def test_managed_versions_hold_no_pairs_of_models(spark):
+    """Six layers of 40 models, each importing five of the next; two models on a cycle, and two imports at one place, end in the last layer too."""
+    m = spark.range(240).selectExpr("cast(id as string) as model", "cast(id as string) as coordinates", "cast(null as string) as parent")
+    m = m.union(spark.createDataFrame([("x", "x", None), ("y", "y", None), ("z", "z", None)], "model string, coordinates string, parent string"))
+    rows = spark.range(200).selectExpr("cast(id as string) as model", "posexplode(array(0, 1, 2, 5, 13)) as (place, by)", "id").selectExpr("model", "place", "cast(null as string) as key", "cast(null as string) as value", "cast((id div 40 + 1) * 40 + (id + by) % 40 as string) as imports")
+    rows = rows.union(spark.range(200, 240).selectExpr("cast(id as string)", "9", "'k'", "concat('v', id)", "null"))
+    more = [("x", 0, "y"), ("x", 1, "0"), ("y", 0, "x"), ("y", 1, "7"), ("z", 0, "2"), ("z", 0, "1")]
+    rows = rows.union(spark.createDataFrame(more, "model string, place int, imports string").selectExpr("model", "place", "null", "null", "imports"))
+    got = []
+    assert most_rows(spark, lambda: got.extend(models.managed_versions(rows, models.parents(m), m).collect())) < 4_000
+    want = {(str(i), "k", f"v{200 + i % 40}", str(200 + i % 40), 5 - i // 40) for i in range(240)} | {("x", "k", "v207", "207", 7), ("y", "k", "v200", "200", 7), ("z", "k", "v201", "201", 6)}
+    assert {tuple(r) for r in got} == want
