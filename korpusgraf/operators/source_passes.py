@@ -75,7 +75,9 @@ def inherited_fields(copies: DataFrame, fields: DataFrame) -> DataFrame:
     """program, name, level: the fields of copybooks that programs copy (program, copybook, old, new: text replaced in names, or null), where the copybook
     is a single file. fields: copybook, path, name, level."""
     one = fields.groupBy("copybook").agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a = b").select("copybook")
-    met = copies.join(fields.join(one, "copybook", "left_semi"), "copybook")
+    # equal copies and equal fields meet once
+    copies = copies.select("program", "copybook", "old", "new").distinct()
+    met = copies.join(fields.join(one, "copybook", "left_semi").select("copybook", "name", "level").distinct(), "copybook")
     return met.select("program", F.when(F.col("old").isNotNull(), F.replace("name", F.col("old"), F.coalesce("new", F.lit("")))).otherwise(F.col("name")).alias("name"), "level").distinct()
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import assembly, change, evidence, intervals, linking, models, slices
+from korpusgraf.operators import assembly, change, evidence, intervals, linking, models, slices, source_passes
 
 
 def most_rows(spark, run, metric="number of output rows"):
@@ -114,3 +114,11 @@ def test_managed_versions_hold_no_pairs_of_models(spark):
     assert most_rows(spark, lambda: got.extend(models.managed_versions(rows, models.parents(m), m).collect())) < 4_000
     want = {(str(i), "k", f"v{200 + i % 40}", str(200 + i % 40), 5 - i // 40) for i in range(240)} | {("x", "k", "v207", "207", 2), ("y", "k", "v200", "200", 2), ("z", "k", "v201", "201", 1)}
     assert {tuple(r) for r in got} == want
+
+
+def test_equal_fields_of_a_copybook_meet_once(spark):
+    copies = spark.range(300).selectExpr("id % 100 as program", "'B' as copybook", "'F' as old", "'N' as new")
+    fields = spark.range(300).selectExpr("'B' as copybook", "'d' as path", "concat('F', id % 3) as name", "id % 3 as level")
+    got = []
+    assert most_rows(spark, lambda: got.extend(source_passes.inherited_fields(copies, fields).collect())) < 5_000
+    assert {tuple(r) for r in got} == {(p, f"N{n}", n) for p in range(100) for n in range(3)} and len(got) == 300
