@@ -65,12 +65,13 @@ def focus(edges: DataFrame, entities: DataFrame, start: DataFrame, types: list[s
 
 def shortest_paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """id, hop, path: to each node reached the edge ids of one shortest path from start; among several, that whose last edge has the least id."""
-    step = stored(edges.where("dst_id is not null").groupBy("src_id", "dst_id").agg(F.min("edge_id").alias("edge_id")))
+    step = edges.where("dst_id is not null").select("src_id", "dst_id", "edge_id")
     seen = start.select("id").distinct().select("id", F.lit(0).alias("hop"), F.array().cast("array<string>").alias("path"))
     frontier = seen
     for hop in range(1, hops + 1):
         met = frontier.withColumnRenamed("id", "src_id").join(step, "src_id").join(seen.select(F.col("id").alias("dst_id")), "dst_id", "left_anti")
-        best = met.groupBy("dst_id").agg(F.min_by(F.concat("path", F.array("edge_id")), "edge_id").alias("path"))
+        # of parallel edges the least is chosen here, among those at the frontier only, so that no hop moves the other edges
+        best = met.groupBy("dst_id").agg(F.min_by(F.concat("path", F.array("edge_id")), F.struct("edge_id", "src_id")).alias("path"))
         frontier = stored(best.select(F.col("dst_id").alias("id"), F.lit(hop).alias("hop"), "path"))
         seen = seen.union(frontier)
     return seen

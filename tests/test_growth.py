@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import assembly, change, evidence, intervals, linking, models, slices, source_passes
+from korpusgraf.operators import assembly, change, evidence, graph, intervals, linking, models, slices, source_passes
 
 
 def most_rows(spark, run, metric="number of output rows"):
@@ -122,3 +122,11 @@ def test_equal_fields_of_a_copybook_meet_once(spark):
     got = []
     assert most_rows(spark, lambda: got.extend(source_passes.inherited_fields(copies, fields).collect())) < 5_000
     assert {tuple(r) for r in got} == {(p, f"N{n}", n) for p in range(100) for n in range(3)} and len(got) == 300
+
+
+def test_paths_move_only_edges_at_the_frontier(spark):
+    edges = spark.range(3000).selectExpr("concat('e', id) as edge_id", "id as src_id", "id + 1 as dst_id").union(spark.createDataFrame([("a", 0, 2), ("b", 0, 2), ("d", 1, 5)], "edge_id string, src_id long, dst_id long"))
+    got = []
+    start = spark.range(1)
+    assert most_rows(spark, lambda: got.extend(graph.shortest_paths(edges, start, 2).collect()), "shuffle records written") < 100
+    assert {r["id"]: r["path"] for r in got} == {0: [], 1: ["e0"], 2: ["a"], 3: ["a", "e2"], 5: ["e0", "d"]}
