@@ -35,17 +35,17 @@ def between_files(edges: DataFrame, entities: DataFrame, path: Column | None = N
 def file_pairs(edges: DataFrame, entities: DataFrame, path: Column | None = None, samples: int = 0) -> DataFrame:
     """src_file, dst_file (file_key), edge_count, edge_types (array), priority, is_control and, if samples are wanted, sample_ids (array of
     the least edge ids); self-pairs are left out. path: from an entity to what counts as its file's path."""
-    met = between_files(edges, entities, path)
-    pairs = met.groupBy("src_file", "dst_file").agg(
+    met, few = between_files(edges, entities, path), []
+    if samples:  # numbered where the pairs are grouped too, so that the edges move once
+        met = met.withColumn("nr", F.row_number().over(Window.partitionBy("src_file", "dst_file").orderBy("edge_id")))
+        few = [F.sort_array(F.collect_list(F.when(F.col("nr") <= samples, F.col("edge_id")))).alias("sample_ids")]
+    return met.groupBy("src_file", "dst_file").agg(
         F.count("*").alias("edge_count"),
         F.sort_array(F.collect_set("type")).alias("edge_types"),
         F.max(priority_of(F.col("type"))).alias("priority"),
         F.max(F.col("type").isin(CONTROL)).alias("is_control"),
+        *few,
     )
-    if not samples:
-        return pairs
-    few = _first_edges(met, samples).groupBy("src_file", "dst_file").agg(F.sort_array(F.collect_list("edge_id")).alias("sample_ids"))
-    return pairs.join(few, ["src_file", "dst_file"])
 
 
 def _first_edges(met: DataFrame, per_pair: int) -> DataFrame:

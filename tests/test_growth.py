@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import assembly, change, evidence, graph, intervals, linking, models, slices, source_passes
+from korpusgraf.operators import assembly, change, evidence, graph, intervals, linking, models, rollup, slices, source_passes
 
 
 def most_rows(spark, run, metric="number of output rows"):
@@ -130,3 +130,12 @@ def test_paths_move_only_edges_at_the_frontier(spark):
     start = spark.range(1)
     assert most_rows(spark, lambda: got.extend(graph.shortest_paths(edges, start, 2).collect()), "shuffle records written") < 100
     assert {r["id"]: r["path"] for r in got} == {0: [], 1: ["e0"], 2: ["a"], 3: ["a", "e2"], 5: ["e0", "d"]}
+
+
+def test_pairs_and_their_samples_come_from_one_pass(spark):
+    edges = spark.range(600).selectExpr("concat('e', id) as edge_id", "id % 30 as src_id", "30 + id % 2 as dst_id", "'CALL' as type")
+    entities = spark.range(32).selectExpr("id", "concat('f', id div 15) as file_path")
+    made = rollup.file_pairs(edges, entities, samples=2)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2
+    of = lambda a: sorted(f"e{i}" for i in range(600) if i % 30 // 15 == a)[:2]
+    assert {(r["src_file"], r["dst_file"], r["edge_count"], tuple(r["sample_ids"])) for r in made.collect()} == {(f"f{a}", "f2", 300, tuple(of(a))) for a in (0, 1)}
