@@ -11,7 +11,7 @@ from korpusgraf.operators.lineage import stored
 def weighted(pairs: DataFrame) -> DataFrame:
     """a, b, w: both directions of each pair, weighted by count and priority."""
     one = pairs.select(F.col("src_file").alias("a"), F.col("dst_file").alias("b"), (F.col("edge_count") * (1 + F.col("priority"))).cast("double").alias("w")).where("a <> b")
-    both = one.union(one.select(F.col("b"), F.col("a"), "w"))
+    both = one.select(F.inline(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w"))))
     return both.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
@@ -140,7 +140,9 @@ def modularity(edges: DataFrame, groups: DataFrame) -> float:
 def group_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """src_group, dst_group, weight between different groups."""
     g = lambda x, y: groups.select(F.col("node").alias(x), F.col("community").alias(y))
-    met = edges.join(g("a", "src_group"), "a").join(g("b", "dst_group"), "b").where("src_group <> dst_group")
+    # weights are summed by the first group before the second is looked up
+    one = edges.join(g("a", "src_group"), "a").groupBy("src_group", "b").agg(F.sum("w").alias("w"))
+    met = one.join(g("b", "dst_group"), "b").where("src_group <> dst_group")
     return met.groupBy("src_group", "dst_group").agg(F.sum("w").alias("weight"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from korpusgraf.functions import chunking
 from korpusgraf.functions import text as T
 from korpusgraf.operators import change, groups, search, structure, vectors
+from korpusgraf.operators.lineage import stored
 from korpusgraf.plans.graph_queries import HITS, hunks
 from korpusgraf.plans.structure_queries import O
 from korpusgraf.plans.structure_queries import _files as by_customer
@@ -87,15 +88,15 @@ QUERIES = {
     "dependency_fingerprints": fingerprints,
     "model_space": in_space,
     "short_query": lambda s, d: search.bounded(entities(s, d), ["a", "ou"], ["id"], 500).select("id"),
-    "group_labels": lambda s, d: groups.labels(file_graph(s, d), fixed_groups(s, d)),
-    "group_edges": lambda s, d: groups.group_edges(file_graph(s, d), fixed_groups(s, d)),
+    "group_labels": lambda s, d: groups.labels(graph := stored(file_graph(s, d)), fixed_groups(graph)),
+    "group_edges": lambda s, d: groups.group_edges(graph := stored(file_graph(s, d)), fixed_groups(graph)),
     "byte_parts": lambda s, d: readers.byte_parts(table(s, d, "documents"), "doc_id", "text", 700).select("id", "nr", F.octet_length("part").alias("bytes"), F.sha2("part", 256).alias("hash")),
 }
 
 
-def fixed_groups(s, d):
+def fixed_groups(graph):
     """Files grouped by the length of their names."""
-    return file_graph(s, d).select(F.col("a").alias("node"), F.length("a").cast("string").alias("community")).distinct()
+    return graph.select(F.col("a").alias("node"), F.length("a").cast("string").alias("community")).distinct()
 
 
 FILES = """met AS (SELECT e.type, s.source_id || ':' || s.file_path AS a, t.source_id || ':' || t.file_path AS b FROM edges e JOIN entities s ON s.id = src_id JOIN entities t ON t.id = dst_id WHERE (s.source_id, s.file_path) <> (t.source_id, t.file_path)),

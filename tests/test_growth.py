@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import assembly, change, evidence, graph, intervals, linking, models, rollup, slices, source_passes
+from korpusgraf.operators import assembly, change, evidence, graph, groups, intervals, linking, models, rollup, slices, source_passes
 
 
 def most_rows(spark, run, metric="number of output rows"):
@@ -139,3 +139,11 @@ def test_pairs_and_their_samples_come_from_one_pass(spark):
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2
     of = lambda a: sorted(f"e{i}" for i in range(600) if i % 30 // 15 == a)[:2]
     assert {(r["src_file"], r["dst_file"], r["edge_count"], tuple(r["sample_ids"])) for r in made.collect()} == {(f"f{a}", "f2", 300, tuple(of(a))) for a in (0, 1)}
+
+
+def test_group_edges_are_summed_before_their_second_group_is_looked_up(spark):
+    edges = spark.range(4000).selectExpr("concat('a', id % 200) as a", "concat('b', id % 20) as b", "1.0D as w")
+    found = edges.select("a").union(edges.select("b")).distinct().selectExpr("a as node", "substr(a, 1, 1) as community")
+    got = groups.group_edges(edges, found)
+    assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
+    assert ids(got) == {("a", "b", 4000.0)}
