@@ -8,9 +8,13 @@ from korpusgraf.llm import langid, mixing, packing, secrets, simhash
 from korpusgraf.llm.common import small_batches, stored, table
 
 
+#: A document stays if its best language is at least as likely as all others together.
+LIKELY = 0.5
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learnt language; what has no letters or no likely language goes."""
-    return langid.accepted(docs)
+    """Keeps documents in a learnt language; what has no letters, or no language of a probability of LIKELY, goes."""
+    return langid.accepted(docs, LIKELY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -810,6 +810,15 @@ def test_fullest_is_the_best_subset():
 
 
 # pipeline
+def test_language_stage_removes_what_has_no_likely_language(spark, data):
+    words = {"en": "the quick brown fox", "de": "über straße und schön", "fr": "après déjà être là", "es": "niño mañana señor así"}
+    rows = [(20 * k + i, f"{text} {text} {i}", lang) for k, (lang, text) in enumerate(words.items()) for i in range(20)]
+    docs = spark.createDataFrame([*rows, (900, "\u0436\u0436\u0436 \u0449\u0449\u0449", None)], "doc_id long, text string, lang string")
+    scores = {r["doc_id"]: r["score"] for r in langid.identify(docs).collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, data).collect()}
+    assert scores[900] < 0.5 and kept == {r[0] for r in rows}
+
+
 def test_pipeline(spark, docs, data):
     rows = {r["doc_id"]: r for r in docs.collect()}
     step = docs
