@@ -128,7 +128,9 @@ def poms(files: DataFrame) -> DataFrame:
     one = lambda q: F.xpath_string("content", F.lit(q))
     deps = F.arrays_zip(F.xpath("content", F.lit("/project/dependencies/dependency/groupId/text()")).alias("g"), F.xpath("content", F.lit("/project/dependencies/dependency/artifactId/text()")).alias("a"))
     group = F.coalesce(F.nullif(one("/project/groupId"), F.lit("")), one("/project/parent/groupId"))
-    return files.select("path", one("/project/artifactId").alias("artifact"), group.alias("group"), F.explode_outer(deps).alias("d")).select("path", "artifact", "group", F.concat_ws(":", "d.g", "d.a").alias("dependency"))
+    # a file is parsed before its rows are made, not again for each of them
+    parsed = files.select("path", one("/project/artifactId").alias("artifact"), group.alias("group"), deps.alias("ds"))
+    return parsed.select("path", "artifact", "group", F.explode_outer("ds").alias("d")).select("path", "artifact", "group", F.concat_ws(":", "d.g", "d.a").alias("dependency"))
 
 
 def dataset_assignments(steps: DataFrame, dds: DataFrame, fds: DataFrame) -> DataFrame:

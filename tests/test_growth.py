@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import assembly, change, evidence, graph, groups, intervals, linking, models, rollup, slices, source_passes
+from korpusgraf.operators import assembly, change, evidence, graph, groups, intervals, linking, models, rollup, slices, source_passes, structure
 
 
 def most_rows(spark, run, metric="number of output rows"):
@@ -147,3 +147,12 @@ def test_group_edges_are_summed_before_their_second_group_is_looked_up(spark):
     got = groups.group_edges(edges, found)
     assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
     assert ids(got) == {("a", "b", 4000.0)}
+
+
+def test_a_project_file_is_parsed_before_its_rows_are_made(spark):
+    item = "<dependency><groupId>g</groupId><artifactId>a{}</artifactId></dependency>"
+    files = spark.createDataFrame([("p", f"<project><artifactId>x</artifactId><groupId>t</groupId><dependencies>{item.format(1)}{item.format(2)}</dependencies></project>"), ("q", "<project><artifactId>y</artifactId></project>")], "path string, content string")
+    made = structure.poms(files)
+    above = made._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "xpath" not in above
+    assert ids(made) == {("p", "x", "t", "g:a1"), ("p", "x", "t", "g:a2"), ("q", "y", "", "")}
