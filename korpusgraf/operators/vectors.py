@@ -29,20 +29,47 @@ MOST_CELLS, SAMPLE = 256, 2_048
 SLACK = 1e-6
 
 
+#: Scores of single precision are that near to the exact ones of unit vectors, and to their rounding.
+NEAR = 2e-4
+
+
 def _meet(k: int, same_source: bool):
+    """The k best of each query. Where a query knows its k-th score so far (kth), all candidates are compared with that at single precision, and only those near it or above are scored
+    exactly; else the k-th best is found by partition. No query sorts all candidates."""
+
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})]
         if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+            return out[0]
         c = c.sort_values("id")
         ids, cv, cs = c["id"].to_numpy(), np.stack(c["v"].to_numpy()), c["source"].to_numpy()
-        out = []
-        for at in range(0, len(q), 256):
-            part = q.iloc[at : at + 256]
-            scores = np.round(np.stack(part["v"].to_numpy()) @ cv.T, 4)
-            for row, (query_id, source) in zip(scores, zip(part["id"], part["source"])):
-                ok = np.flatnonzero((ids != query_id) & (same_source | (cs != source)))
-                best = ok[np.lexsort((ids[ok], -row[ok]))[:k]]
-                out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "score": row[best]}))
+        single = cv.astype(np.float32)
+        known = q["kth"].notna().to_numpy()
+        for part_known, rows in ((True, q[known]), (False, q[~known])):
+            for at in range(0, len(rows), 256):
+                part = rows.iloc[at : at + 256]
+                qv, query_ids, sources = np.stack(part["v"].to_numpy()), part["id"].to_numpy(), part["source"].to_numpy()
+                if part_known:
+                    least = part["kth"].to_numpy()
+                    r, x = np.nonzero(~(qv.astype(np.float32) @ single.T < (least - NEAR).astype(np.float32)[:, None]))
+                    score = np.round(np.einsum("ij,ij->i", qv[r], cv[x]), 4)
+                    ok = ~(score < least[r])
+                else:
+                    scores = np.round(qv @ cv.T, 4)
+                    out_of = query_ids[:, None] == ids
+                    if not same_source:
+                        out_of |= sources[:, None] == cs
+                    scores[out_of] = -np.inf
+                    best = -np.partition(-scores, k - 1, axis=1)[:, [k - 1]] if k < len(ids) else -np.inf
+                    r, x = np.nonzero(~(scores < best))
+                    score = scores[r, x]
+                    ok = score != -np.inf
+                ok &= (ids[x] != query_ids[r]) & (same_source | (cs[x] != sources[r]))
+                r, x, score = r[ok], x[ok], score[ok]
+                order = np.lexsort((ids[x], -score, r))
+                r, x, score = r[order], x[order], score[order]
+                first = np.arange(len(r)) - np.searchsorted(r, r) < k
+                out.append(pd.DataFrame({"query_id": query_ids[r[first]], "id": ids[x[first]], "score": score[first]}))
         return pd.concat(out, ignore_index=True)
 
     return meet
@@ -64,9 +91,9 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = 8_19
     with same_source False every row of its source. Both sides: id, source, v (unit vectors).
 
     Candidates lie in cells around centres, cells in blocks. A query meets the cell of its nearest centre first; of the others only those whose angle to the centre, less the
-    cell's radius, still allows a score as good as its k-th. Queries, too, meet in blocks, each task keeping k a query, so the shuffle holds k rows for each query and block."""
+    cell's radius, still allows a score as good as its k-th, and in these only candidates with such a score. Queries, too, meet in blocks, each task keeping k a query, so the shuffle holds k rows for each query and block."""
     n, m = candidates.count(), queries.count()
-    q_parts = max(1, -(-m // block))
+    q_parts = max(1, -(-m // (4 * block)))  # candidates move once for each block of queries
     centres = _centres(candidates, max(1, min(MOST_CELLS, -(-n // block)))) if n else np.zeros((0, 0))
     held = candidates.sparkSession.sparkContext.broadcast(centres)  # at most MOST_CELLS vectors
 
@@ -93,19 +120,20 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = 8_19
 
     def found(asks: DataFrame) -> DataFrame:
         """The k best of each query within the cells it asks (cells)."""
-        left = asks.select("a", "id", "source", "v", F.explode("cells").alias("cell")).where(F.get(blocks, F.col("cell")) > 0)
-        left = stored(left.select("a", "cell", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1).cast("array<long>")).alias("b"), "id", "source", "v"))
-        wanted = left.select(F.col("a").alias("_a"), "cell", "b").distinct()
+        each = F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1).cast("array<long>")).alias("b")
+        of_cells = asks.select("a", "id", "source", "v", "kth", F.explode("cells").alias("cell")).where(F.get(blocks, F.col("cell")) > 0)
+        left = of_cells.select("a", "cell", each, "id", "source", "v", "kth")  # made where it moves, so that vectors aren't written for each block
+        wanted = of_cells.select("a", "cell").distinct().select(F.col("a").alias("_a"), "cell", each)
         met = right.join(wanted, ["cell", "b"]).select(F.col("_a").alias("a"), "cell", "b", "id", "source", "v")
         return left.groupBy("a", "cell", "b").cogroup(met.groupBy("a", "cell", "b")).applyInPandas(_meet(k, same_source), BEST)
 
-    best = stored(found(asking.withColumn("cells", F.array("first"))))
+    best = stored(found(asking.withColumn("kth", F.lit(None).cast("double")).withColumn("cells", F.array("first"))))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     kth = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
     open_ = asking.join(kth, "id", "left")
     more = F.filter(F.sequence(F.lit(0), F.lit(len(centres) - 1)), lambda c: (c != F.col("first")) & (F.col("kth").isNull() | (F.get(F.col("bounds"), c) >= F.col("kth"))))
     if len(centres) > 1:
-        best = best.union(found(open_.withColumn("cells", more)))
+        best = best.union(found(stored(open_.select("a", "id", "source", "v", "kth", more.alias("cells")))))
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

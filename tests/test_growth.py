@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import assembly, change, evidence, graph, groups, intervals, linking, models, rollup, slices, source_passes, structure
+from korpusgraf.operators import assembly, change, evidence, graph, groups, intervals, linking, models, rollup, slices, source_passes, structure, vectors
 
 
 def most_rows(spark, run, metric="number of output rows"):
@@ -156,3 +158,17 @@ def test_a_project_file_is_parsed_before_its_rows_are_made(spark):
     above = made._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "xpath" not in above.lower()
     assert ids(made) == {("p", "x", "t", "g:a1"), ("p", "x", "t", "g:a2"), ("q", "y", "", "")}
+
+
+def test_a_query_with_a_known_score_leaves_worse_candidates_unsorted():
+    """Of 3000 candidates none but those that reach the query's k-th score come back, ties and its own source apart."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8))
+    x[7] = x[11]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = pd.DataFrame({"id": np.arange(3000), "source": np.arange(3000) % 3, "v": list(x)})
+    q = pd.DataFrame({"id": [7, 7000], "source": [1, 2], "v": [x[7], x[5]], "kth": [0.95, np.nan]})
+    got = vectors._meet(5, False)(q, c)
+    of = lambda i, s: [(-v, n) for v, n in sorted((-v, n) for n, v in enumerate(np.round(x @ x[i], 4)) if n != i * (i == 7) and n % 3 != s)]
+    assert [tuple(r) for r in got[got.query_id == 7][["score", "id"]].values] == [r for r in of(7, 1) if r[0] >= 0.95][:5]
+    assert [tuple(r) for r in got[got.query_id == 7000][["score", "id"]].values] == of(5, 2)[:5]
