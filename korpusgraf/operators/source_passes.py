@@ -36,15 +36,16 @@ def active_lines(code: DataFrame, defines: dict[str, str]) -> DataFrame:
     opened = F.sum(F.when(F.col("kind") == "IF", 1).otherwise(0)).over(so_far())
     closed = F.coalesce(F.sum(F.when(F.col("kind") == "END-IF", 1).otherwise(0)).over(in_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     l = l.withColumn("depth", opened - closed)
-    heads = l.where("kind is not null and depth > 0")
-    level = Window.partitionBy("path", "depth").orderBy("line")
+    l = l.withColumn("head", F.col("kind").isNotNull() & (F.col("depth") > 0))
+    level = Window.partitionBy("path", "depth", "head").orderBy("line")
     left, right = F.regexp_extract("condition", r"^(\d+)\s*=\s*(\d+)$", 1), F.regexp_extract("condition", r"^(\d+)\s*=\s*(\d+)$", 2)
     known = F.upper(F.regexp_extract("condition", r"^DEFINED\s*\(\s*([A-Z0-9-]+)\s*\)$", 1))
     value = F.when(left != "", left == right).when(known.isin([d.upper() for d in defines]), F.lit(True))
-    heads = heads.withColumn("value", F.last(F.when(F.col("kind") == "IF", F.struct(value.alias("v"))), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, 0))["v"]).withColumn("to", F.lead("line").over(level))
-    off = heads.where("(kind = 'IF' and not value) or (kind = 'ELSE' and value)")
-    change = off.select("path", "line", F.lit(1).alias("d")).union(off.where("to is not null").select("path", F.col("to"), F.lit(-1))).groupBy("path", "line").agg(F.sum("d").alias("d"))
-    met = l.join(change, ["path", "line"], "left").withColumn("off", F.sum(F.coalesce("d", F.lit(0))).over(so_far()))
+    l = l.withColumn("value", F.last(F.when(F.col("kind") == "IF", F.struct(value.alias("v"))), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, 0))["v"])
+    # a head that takes lines away does so up to the next head of its level; all windows are along files, so lines meet theirs without a join
+    takes = F.coalesce(F.col("head") & (((F.col("kind") == "IF") & ~F.col("value")) | ((F.col("kind") == "ELSE") & F.col("value"))), F.lit(False)).cast("int")
+    change = F.when(F.col("head"), F.col("takes") - F.coalesce(F.lag("takes").over(level), F.lit(0))).otherwise(0)
+    met = l.withColumn("takes", takes).withColumn("d", change).withColumn("off", F.sum("d").over(so_far()))
     return met.where("kind is null and off = 0").select(*code.columns)
 
 

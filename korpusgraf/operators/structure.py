@@ -16,6 +16,16 @@ def so_far() -> WindowSpec:
     return in_file().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+#: Files that meet in one task, where lines of a file do.
+FILES_A_TASK = 2_000
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """files dealt by path to as many tasks as their number asks for: what a task holds doesn't grow with the input, and windows along a file's lines move none of them again."""
+    least = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(max(least, -(-files.count() // FILES_A_TASK)), "path")
+
+
 def lines(files: DataFrame) -> DataFrame:
     """path, line (from 1), text."""
     return files.select("path", F.posexplode(F.split("content", r"\r?\n")).alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line"), "text")
@@ -55,7 +65,7 @@ def owner_when(condition: str) -> Column:
 def logical_lines(files: DataFrame) -> DataFrame:
     """path, line, end_line, text of fixed-format programs: comments left out, lines continued by `-` in column 7 joined to the line above; a continued
     literal goes on after its opening quote. Text is columns 8 to 72."""
-    code = lines(files).withColumn("mark", F.substring("text", 7, 1)).where(F.col("mark").isin("", " ", "-", "D", "d"))
+    code = lines(dealt(files)).withColumn("mark", F.substring("text", 7, 1)).where(F.col("mark").isin("", " ", "-", "D", "d"))
     code = code.withColumn("nr", F.sum(F.when(F.col("mark") == "-", 0).otherwise(1)).over(so_far()))
     body = F.substring("text", 8, 65)
     piece = F.when(F.col("mark") == "-", F.regexp_replace(body, r"""^\s+['"]?""", "")).otherwise(body)

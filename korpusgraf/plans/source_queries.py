@@ -19,7 +19,7 @@ def text(s, d, *rows, head="''"):
 
 
 def plain(files):
-    return structure.lines(files)
+    return structure.lines(structure.dealt(files))
 
 
 def formats(s, d):

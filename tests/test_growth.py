@@ -172,3 +172,17 @@ def test_a_query_with_a_known_score_leaves_worse_candidates_unsorted():
     of = lambda i, s: [(-v, n) for v, n in sorted((-v, n) for n, v in enumerate(np.round(x @ x[i], 4)) if n != i * (i == 7) and n % 3 != s)]
     assert [tuple(r) for r in got[got.query_id == 7][["score", "id"]].values] == [r for r in of(7, 1) if r[0] >= 0.95][:5]
     assert [tuple(r) for r in got[got.query_id == 7000][["score", "id"]].values] == of(5, 2)[:5]
+
+
+def test_lines_of_programs_move_with_their_file(spark, monkeypatch):
+    """Regions and calls are found where a file's lines are, in as many tasks as there are files for."""
+    monkeypatch.setattr(structure, "FILES_A_TASK", 10)
+    files = spark.range(300).selectExpr("concat('f', id) as path", "concat('>>IF 1 = ', id % 2, '\\na', id, '\\n>>ELSE\\nb', id, '\\n>>END-IF\\n') as content")
+    kept = source_passes.active_lines(structure.lines(structure.dealt(files)), {})
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1 and structure.dealt(files).rdd.getNumPartitions() == 30
+    assert ids(kept.where("text <> ''")) == {(f"f{i}", 4 - i % 2 * 2, f"{'ba'[i % 2]}{i}") for i in range(300)}
+    calls = files.select("path", F.concat(F.lit("       01  W PIC X VALUE 'I'.\n           MOVE 'P' TO W.\n           CALL W.\n           CALL V.\n")).alias("content"))
+    found = source_passes.dynamic_candidates(structure.logical_lines(calls))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    assert ids(found) == {x for i in range(300) for x in ((f"f{i}", 3, "W", "I,P"), (f"f{i}", 4, "V", ""))}
