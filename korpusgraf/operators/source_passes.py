@@ -145,11 +145,15 @@ def exec_blocks(files: DataFrame) -> DataFrame:
 def dynamic_candidates(code: DataFrame) -> DataFrame:
     """path, line, field, candidates: for each CALL of a data name the literals that its program gives that field, by MOVE or VALUE, sorted."""
     up = code.withColumn("up", F.upper("text"))
-    calls = up.select("path", "line", part(rf"\bCALL\s+({NAME})(?![A-Z0-9-])", text="up").alias("field")).where("field is not null")
-    moved = up.select("path", part(rf"\bMOVE\s+['\"][^'\"]+['\"]\s+TO\s+({NAME})", text="up").alias("field"), part(rf"\bMOVE\s+['\"]([^'\"]+)['\"]\s+TO\s+{NAME}", text="up").alias("literal"))
-    valued = up.select("path", part(rf"^\s*\d{{1,2}}\s+({NAME})\s.*\bVALUE\s+(?:IS\s+)?['\"]", text="up").alias("field"), part(r"\bVALUE\s+(?:IS\s+)?['\"]([^'\"]+)['\"]", text="up").alias("literal"))
-    given = moved.union(valued).where("field is not null and literal is not null").groupBy("path", "field").agg(F.array_join(F.sort_array(F.collect_set(F.trim("literal"))), ",").alias("candidates"))
-    return calls.join(given, ["path", "field"], "left").select("path", "line", "field", F.coalesce("candidates", F.lit("")).alias("candidates"))
+    none = F.lit(None).cast("string")
+    given = lambda field, literal: F.struct(F.lit(None).cast("int").alias("line"), part(field, text="up").alias("field"), F.trim(part(literal, text="up")).alias("literal"))
+    called = F.struct("line", part(rf"\bCALL\s+({NAME})(?![A-Z0-9-])", text="up").alias("field"), none.alias("literal"))
+    moved = given(rf"\bMOVE\s+['\"][^'\"]+['\"]\s+TO\s+({NAME})", rf"\bMOVE\s+['\"]([^'\"]+)['\"]\s+TO\s+{NAME}")
+    valued = given(rf"^\s*\d{{1,2}}\s+({NAME})\s.*\bVALUE\s+(?:IS\s+)?['\"]", r"\bVALUE\s+(?:IS\s+)?['\"]([^'\"]+)['\"]")
+    # lines are read once; calls and what is given meet where they are grouped, and a literal of a program's field moves once
+    rows = up.select("path", F.inline(F.array(called, moved, valued))).where("field is not null and (line is not null or literal is not null)")
+    one = rows.groupBy("path", "field").agg(F.collect_list("line").alias("lines"), F.array_join(F.sort_array(F.collect_set("literal")), ",").alias("candidates"))
+    return one.select("path", F.explode("lines").alias("line"), "field", "candidates")
 
 
 def paragraph_chunks(units: DataFrame, code: DataFrame, size: int = 4_000, least: int = 400) -> DataFrame:
