@@ -88,15 +88,17 @@ def last_before(messages: DataFrame) -> DataFrame:
 
 
 def dependency_closure(deps: DataFrame, depth: int | None = None) -> DataFrame:
-    """path, needs: direct and indirect dependencies, without the file itself, until a step finds no new pair, or up to `depth` steps. Lineage is cut at each step."""
-    from korpusgraf.operators.lineage import stored
+    """path, needs: direct and indirect dependencies, without the file itself, until a step finds no new pair, or up to `depth` steps. Lineage is cut at each step.
+
+    Pairs are kept in buckets by path and needs, to which each step adds what it found: pairs held are neither moved nor written again, and a step moves only its own."""
+    from korpusgraf.operators.lineage import Buckets, stored
 
     step = stored(deps.select("path", "needs").where("path <> needs").distinct())
-    out = frontier = step
-    for _ in count() if depth is None else range(depth - 1):
-        new = frontier.select("path", F.col("needs").alias("mid")).join(step.select(F.col("path").alias("mid"), "needs"), "mid").select("path", "needs").where("path <> needs").distinct()
-        frontier = stored(new.join(out, ["path", "needs"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        out = stored(out.union(frontier))
-    return out
+    with Buckets(step, "path", "needs") as out:
+        frontier = step
+        for _ in count() if depth is None else range(depth - 1):
+            new = frontier.select("path", F.col("needs").alias("mid")).join(step.select(F.col("path").alias("mid"), "needs"), "mid").select("path", "needs").where("path <> needs").distinct()
+            frontier = out.add(new.join(out.rows(), ["path", "needs"], "left_anti"))
+            if frontier.isEmpty():
+                break
+    return out.files()
