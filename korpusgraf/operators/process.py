@@ -6,6 +6,8 @@ node budget is spent. What doesn't enter is counted, with the reason."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,22 @@ def certainty(resolution: Column, guarded: Column) -> Column:
     return F.when(resolution == "dynamic", "possible").when(resolution != "resolved", "unresolved").when(F.coalesce(guarded, F.lit(False)), "possible").otherwise("certain")
 
 
+#: What a step's edge says, and the values that it can have; a walk moves them as one number.
+SAID = {"type": sorted(EDGE_KIND), "base": sorted(KINDS), "kind": sorted(KINDS), "certainty": ["certain", "possible", "unresolved"]}
+
+
+def packed() -> Column:
+    code = F.lit(0)
+    for c, values in SAID.items():
+        code = code * len(values) + (F.array_position(F.array(*map(F.lit, values)), F.col(c)) - 1).cast("int")
+    return code
+
+
+def unpacked(c: str) -> Column:
+    after = list(SAID.values())[list(SAID).index(c) + 1 :]
+    return F.get(F.array(*map(F.lit, SAID[c])), F.floor(F.col("code") / math.prod(map(len, after))).cast("int") % len(SAID[c]))
+
+
 def walk(edges: DataFrame, entities: DataFrame, roots: DataFrame, direction: str = "outgoing", hops: int = 3, node_limit: int = 100, edge_limit: int = 200, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Steps (root, hop, pos, edge_id, src_id, dst_id, kind, certainty) and sums (root, nodes, steps, omitted_nodes, omitted_steps, reasons) of the walks from roots (id).
 
@@ -48,14 +66,14 @@ def walk(edges: DataFrame, entities: DataFrame, roots: DataFrame, direction: str
         raise ValueError("unknown kind or direction")
     loaded = wanted | ({"call"} if "iteration" in wanted else set())
     types = [t for t, k in EDGE_KIND.items() if k in loaded] + (CALLING if "external_call" in wanted else [])
-    known = step_kinds(edges).withColumn("certainty", certainty(F.col("resolution"), F.col("guarded"))).select("edge_id", "src_id", "dst_id", "type", "base", "kind", "certainty")
+    known = step_kinds(edges).withColumn("certainty", certainty(F.col("resolution"), F.col("guarded"))).select("edge_id", "src_id", "dst_id", packed().alias("code"))
     known = stored(known)
-    at_frontier = known.where(F.col("type").isin(types))
+    at_frontier = known.where(unpacked("type").isin(types))
     kind_of = entities.select(F.col("id").alias("dst_id"), F.col("type").isin(BLOCK_TYPES).alias("dst_block"), "operation")
     src_of = entities.select(F.col("id").alias("src_id"), F.col("type").isin(BLOCK_TYPES).alias("src_block"))
     # of a block within a paragraph: the calls in it, edge by edge
     blocks = entities.where(F.col("type").isin(BLOCK_TYPES)).select(F.col("id").alias("block"))
-    inner = stored(known.where("type = 'CALL'").select(F.col("src_id").alias("block"), *[F.col(c).alias(f"in_{c}") for c in ("edge_id", "dst_id", "type", "base", "kind", "certainty")]).join(blocks, "block", "left_semi"))
+    inner = stored(known.where(unpacked("type") == "CALL").select(F.col("src_id").alias("block"), F.col("edge_id").alias("in_edge_id"), F.col("dst_id").alias("in_dst_id"), *[unpacked(c).alias(f"in_{c}") for c in SAID]).join(blocks, "block", "left_semi"))
 
     nodes = stored(roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct())
     frontier = nodes
@@ -70,16 +88,20 @@ def walk(edges: DataFrame, entities: DataFrame, roots: DataFrame, direction: str
         used = stored(used.select("root", "n_nodes", F.coalesce("n_steps", F.lit(0)).alias("n_steps"), F.coalesce("n_outside", F.lit(0)).alias("n_outside")))
         ends = {"outgoing": ["src_id"], "incoming": ["dst_id"], "both": ["src_id", "dst_id"]}[direction]
         touched = None
+        # a root that has spent its budget takes no edges, so none are looked up for it
+        going_on = frontier.join(used.where(F.col("n_steps") < edge_limit).select("root"), "root", "left_semi") if steps is not None else frontier
         for end in ends:
-            one = at_frontier.join(frontier.withColumnRenamed("node", end), end).select("root", "edge_id", "src_id", "dst_id", "type", "base", "kind", "certainty")
+            one = at_frontier.join(going_on.withColumnRenamed("node", end), end).select("root", "edge_id", "src_id", "dst_id", "code")
             touched = one if touched is None else touched.union(one)
-        rows = touched.distinct().join(used, "root")
-        open_ = rows.where(F.col("n_steps") < edge_limit)
+        # the edges touched are found once, for those taken and for the count of those beyond
+        touched = stored(touched.distinct())
+        open_ = touched.join(used.where(F.col("n_steps") < edge_limit), "root")
         first = open_.withColumn("nr", F.row_number().over(Window.partitionBy("root").orderBy("edge_id"))).where(F.col("nr") <= edge_limit).where(F.col("nr") <= edge_limit - F.col("n_steps"))
         beyond = open_.groupBy("root").agg((F.count("*") - edge_limit + F.first("n_steps")).alias("omitted")).where("omitted > 0")
         spent = frontier.select("root").distinct().join(used, "root").where(F.col("n_steps") >= edge_limit).select("root", F.lit(0).cast("long").alias("omitted"))
 
         here = frontier.select("root", F.col("node").alias("src_id"), F.lit(True).alias("from_here"))
+        first = first.select("*", *[unpacked(c).alias(c) for c in SAID]).drop("code")
         met = first.join(here, ["root", "src_id"], "left").join(kind_of, "dst_id", "left")
         contained = (F.col("type") == "CONTAINS") & F.coalesce("dst_block", F.lit(False)) & F.coalesce("from_here", F.lit(False)) & F.lit(direction != "incoming")
         met = met.withColumn("block", F.when(contained, F.col("dst_id"))).join(inner, "block", "left")

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import assembly, change, evidence, graph, groups, incremental, intervals, linking, models, rollup, slices, source_passes, structure, vectors
+from korpusgraf.operators import assembly, change, evidence, graph, groups, incremental, intervals, linking, models, process, rollup, slices, source_passes, structure, vectors
 
 
 def most_rows(spark, run, metric="number of output rows", of=max):
@@ -203,3 +203,12 @@ def test_a_closure_moves_no_pair_twice(spark):
     assert moved < 1500
     assert sorted(tuple(r) for r in got) == [(a, b) for a in range(21) for b in range(a + 1, 21)]
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("buckets_")]
+
+
+def test_a_root_that_has_spent_its_edges_moves_no_others(spark):
+    """The second hop would touch 2000 edges, but the first has spent the budget."""
+    edges = spark.range(2005).selectExpr("lpad(id, 5, '0') as edge_id", "case when id < 5 then 1 else 10 + id % 5 end as src_id", "case when id < 5 then 10 + id else 100 + id end as dst_id", "'CALL' as type", "'resolved' as resolution", "false as loop", "false as guarded")
+    entities = spark.range(3000).selectExpr("id", "'paragraph' as type", "cast(null as string) as operation")
+    got = []
+    assert total(spark, lambda: got.extend(process.walk(edges, entities, spark.range(1, 2), "outgoing", 3, 100, 5)[1].collect()), "shuffle records written") < 1500
+    assert [tuple(r) for r in got] == [(1, 6, 5, 0, 0, "edge_limit")]
