@@ -26,10 +26,11 @@ def file_key(entities: DataFrame, path: Column | None = None) -> Column:
 
 
 def between_files(edges: DataFrame, entities: DataFrame, path: Column | None = None) -> DataFrame:
-    """Edges whose ends lie in different files, with src_file and dst_file. The entities' keys are made once and stored."""
+    """Edges whose ends lie in different files, with src_file and dst_file. The entities' keys are made once and stored; the second end is looked up first,
+    so that edges that come dealt by it (`targeted_edges`) stay where they are."""
     at = stored(entities.select("id", file_key(entities, path).alias("file")))
     src, dst = at.select(F.col("id").alias("src_id"), F.col("file").alias("src_file")), at.select(F.col("id").alias("dst_id"), F.col("file").alias("dst_file"))
-    return edges.where(F.col("dst_id").isNotNull()).join(src, "src_id").join(dst, "dst_id").where("src_file <> dst_file")
+    return edges.where(F.col("dst_id").isNotNull()).join(dst, "dst_id").join(src, "src_id").where("src_file <> dst_file")
 
 
 def file_pairs(edges: DataFrame, entities: DataFrame, path: Column | None = None, samples: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from korpusgraf.operators import rollup
-from korpusgraf.sources.adapter import edges, entities, with_relations
+from korpusgraf.sources.adapter import entities, targeted_edges, with_relations
 
 PAIRS = """met AS (SELECT e.*, s.source_id || ':' || s.file_path AS src_file, t.source_id || ':' || t.file_path AS dst_file FROM edges e JOIN entities s ON s.id = src_id JOIN entities t ON t.id = dst_id WHERE (s.source_id, s.file_path) <> (t.source_id, t.file_path)),
 typed AS (SELECT *, CASE WHEN type = 'IMPORTS' THEN 0 WHEN type IN ('CALL', 'COPY') THEN 3 WHEN type = 'READS' THEN 2 ELSE 1 END AS p FROM met),
@@ -15,7 +15,7 @@ degree AS (SELECT file, count(*) AS degree FROM ends GROUP BY file)"""
 
 
 def pairs(spark, d):
-    return rollup.file_pairs(edges(spark, d), entities(spark, d))
+    return rollup.file_pairs(targeted_edges(spark, d), entities(spark, d))
 
 
 def flat(df):
@@ -23,11 +23,11 @@ def flat(df):
 
 
 QUERIES = {
-    "file_pair_rollup": lambda s, d: flat(rollup.file_pairs(edges(s, d), entities(s, d), samples=5)).withColumn("sample_ids", F.array_join("sample_ids", ",")),
-    "file_pair_evidence": lambda s, d: rollup.sample_edges(edges(s, d), entities(s, d)),
+    "file_pair_rollup": lambda s, d: flat(rollup.file_pairs(targeted_edges(s, d), entities(s, d), samples=5)).withColumn("sample_ids", F.array_join("sample_ids", ",")),
+    "file_pair_evidence": lambda s, d: rollup.sample_edges(targeted_edges(s, d), entities(s, d)),
     "file_degree": lambda s, d: rollup.degrees(pairs(s, d)),
     "graph_backbone": lambda s, d: flat(rollup.backbone(pairs(s, d))),
-    "directory_rollup": lambda s, d: flat(rollup.file_pairs(edges(s, d), entities(s, d), F.substring_index("file_path", "/", 1))),
+    "directory_rollup": lambda s, d: flat(rollup.file_pairs(targeted_edges(s, d), entities(s, d), F.substring_index("file_path", "/", 1))),
     "overview_cap": lambda s, d: rollup.capped(pairs(s, d), 200).select("src_file", "dst_file", "edge_count"),
     "inventory": lambda s, d: rollup.inventory(entities(s, d)),
     "areas": lambda s, d: rollup.areas(entities(s, d)),

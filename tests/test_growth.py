@@ -212,3 +212,17 @@ def test_a_root_that_has_spent_its_edges_moves_no_others(spark):
     got = []
     assert total(spark, lambda: got.extend(process.walk(edges, entities, spark.range(1, 2), "outgoing", 3, 100, 5)[1].collect()), "shuffle records written") < 1500
     assert [tuple(r) for r in got] == [(1, 6, 5, 0, 0, "edge_limit")]
+
+
+def test_edges_meet_parts_and_files_of_parts_in_one_place(spark, data):
+    from korpusgraf.plans.rollup_queries import QUERIES
+    from korpusgraf.sources.adapter import edges
+
+    met, held = edges(spark, data).where("dst_id is not null"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as large tables meet
+    try:
+        got = []
+        assert total(spark, lambda: got.extend(QUERIES["file_pair_evidence"](spark, data).select("edge_id").collect()), "shuffle records written") < 4.3 * met.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert {r[0] for r in got} <= {r[0] for r in met.select("edge_id").collect()}
