@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpusgraf.operators.lineage import stored
+from korpusgraf.operators.lineage import Buckets, stored
 
 
 def weighted(pairs: DataFrame) -> DataFrame:
@@ -15,69 +17,111 @@ def weighted(pairs: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-def local_moves(edges: DataFrame, rounds: int = 12, least_moves: float = 0.002) -> DataFrame:
+TURNS = 16
+
+
+def numbered(names: DataFrame) -> DataFrame:
+    """no, name: each of the names (one column) once, by a number that is in the order of names. Its lowest `TURNS` bits say (by 0) in which turns the name is due to move, so that
+    edges between numbers need not carry it."""
+    one = names.toDF("name").where("name is not null").distinct()
+    bits = F.lit(0).cast("long")
+    for turn in range(TURNS):
+        bits = bits + F.pmod(F.xxhash64("name", F.lit(turn)), F.lit(2)) * (1 << turn)
+    return stored(one.orderBy("name").select((F.shiftleft(F.monotonically_increasing_id(), TURNS) + bits).alias("no"), "name"))
+
+
+def _due(node: str, turn: int) -> Column:
+    return F.shiftright(F.col(node), turn % TURNS).bitwiseAND(F.lit(1)) == 0
+
+
+def local_moves(links: Buckets, scopes: DataFrame | None = None, rounds: int = 12, least_moves: float = 0.002) -> DataFrame:
     """node, community: from groups of one, each round lets the nodes whose hash is due move to the neighbouring group of greatest modularity gain,
-    ties to the least name; nodes move half at a time, so that neighbours don't swap. Only nodes one of whose neighbours moved since they last looked are looked at, so
-    a round costs what has changed; rounds end when three in turn move at most `least_moves` of all nodes, or at `rounds`. Nodes of different `scope`s (a column of edges, optional) share
-    no edge, and each scope counts by its own weight. Only sums for each node and group are shuffled, and no graph is gathered in one place."""
-    scope = F.col("scope") if "scope" in edges.columns else F.lit(0)
-    degree = edges.groupBy("a", scope.alias("scope")).agg(F.sum("w").alias("k"))
-    totals = degree.groupBy("scope").agg(F.sum("k").alias("total"))
-    now = stored(degree.join(totals, "scope").select(F.col("a").alias("node"), F.col("a").alias("community"), "k", "total", F.lit(True).alias("active")))
-    links = edges.where("a <> b").select("a", "b", "w")
+    ties to the least name; nodes move half at a time, so that neighbours don't swap. Only nodes one of whose neighbours moved since they last looked move; rounds end when three in
+    turn move at most `least_moves` of all nodes, or at `rounds`. links: a, b, w between numbers (`numbered`), in buckets by b, so that they learn their neighbours' groups where they
+    are and move once a round, to a. Nodes of different scopes (no, scope) share no edge, and each scope counts by its own weight. No graph or list of nodes is gathered in one place."""
+    degree = links.rows().groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
+    held = degree.withColumn("scope", F.lit(0).cast("long")) if scopes is None else degree.join(scopes.withColumnRenamed("no", "node").hint("merge"), "node")
+    held = stored(held)
+    totals = held.groupBy("scope").agg(F.sum("k").alias("total"))
+    now = stored(held.join(F.broadcast(totals), "scope").select("node", F.col("node").alias("community"), "k", "total", F.lit(-1).alias("looked"), F.lit(-1).alias("moved")))
     n, still = now.count(), 0
     for turn in range(rounds if n else 0):
-        due = now.where("active").where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0).select(F.col("node").alias("a"), F.col("community").alias("own"), "k", "total")
-        to = links.join(due.select("a"), "a").join(now.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w_in"))
-        stay = due.select("a", F.col("own").alias("community"), F.lit(0.0).alias("w_in"))
-        options = to.union(stay).groupBy("a", "community").agg(F.max("w_in").alias("w_in")).join(due, "a").join(now.groupBy("community").agg(F.sum("k").alias("tot")), "community")
+        at = now.join(now.groupBy("community").agg(F.sum("k").alias("tot")).hint("merge"), "community")
+        own = at.where(_due("node", turn)).withColumnRenamed("node", "a")
+        near = links.rows().where(_due("a", turn) & F.expr("a <> b")).join(at.select(F.col("node").alias("b"), "community", "tot", "moved").hint("shuffle_hash"), "b")
+        stay = own.select("a", "community", F.lit(0.0).alias("w"), "tot", F.lit(-1).alias("moved"))
+        options = near.select(stay.columns).union(stay).repartition("a").groupBy("a", "community").agg(F.sum("w").alias("w_in"), F.max("tot").alias("tot"), F.max("moved").alias("moved"))
+        met = options.join(own.select("a", F.col("community").alias("own"), "k", "total", "looked").hint("shuffle_hash"), "a")
         left = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w_in") - F.col("k") * left / F.col("total"), 9)
-        best = options.groupBy("a", "own").agg(F.min(F.struct((-gain).alias("loss"), (F.col("community") != F.col("own")).alias("moves"), "community")).alias("x"))
-        seen = stored(best.select(F.col("a").alias("node"), F.col("x.community").alias("to"), F.col("x.moves").alias("moves")))
-        moved = seen.where("moves").select(F.col("node").alias("b"))
-        count = moved.count()
+        best = met.groupBy("a").agg(F.min(F.struct((-gain).alias("loss"), (F.col("community") != F.col("own")).alias("moves"), "community")).alias("x"), F.max("moved").alias("woken"), F.max("looked").alias("looked"))
+        seen = best.where("woken >= looked").select(F.col("a").alias("node"), F.col("x.community").alias("to"), F.col("x.moves").alias("moves"))
+        met = now.join(seen.hint("merge"), "node", "left")
+        then = stored(met.select("node", F.coalesce("to", "community").alias("community"), "k", "total", F.when(F.col("to").isNull(), F.col("looked")).otherwise(turn).alias("looked"), F.when(F.col("moves"), turn).otherwise(F.col("moved")).alias("moved")))
+        count = then.where(F.col("moved") == turn).count()
         still = still + 1 if count <= n * least_moves else 0
         if still == 3:  # three draws of movers in turn found next to none that gains
             break
-        woken = links.join(moved, "b").select(F.col("a").alias("node"), F.lit(True).alias("woken")).distinct()
-        met = now.join(seen.select("node", "to"), "node", "left").join(woken, "node", "left")
-        now = stored(met.select("node", F.coalesce("to", "community").alias("community"), "k", "total", ((F.col("active") & F.col("to").isNull()) | F.coalesce("woken", F.lit(False))).alias("active")))
+        now = then
     return now.select("node", "community")
 
 
-def communities(edges: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
-    """node, community: local moves, then the same on the graph of the groups found, until a level joins none. edges: a, b, w and optionally scope."""
-    scoped = "scope" in edges.columns
-    edges = stored(edges)
-    found, level = None, edges
+def number_communities(edges: DataFrame, scopes: DataFrame | None = None, rounds: int = 12, levels: int = 3) -> DataFrame:
+    """node, community, stored: local moves, then the same on the graph of the groups found, until a level joins none. edges: a, b, w between numbers; scopes: no, scope."""
+    found, level = None, edges.select("a", "b", "w")
     for _ in range(levels):
-        step = local_moves(level, rounds)
-        found = step if found is None else stored(found.join(step.select(F.col("node").alias("community"), F.col("community").alias("up")), "community").select("node", F.col("up").alias("community")))
-        if step.where("node <> community").isEmpty():
-            break
-        g = lambda x, y: step.select(F.col("node").alias(x), F.col("community").alias(y))  # noqa: B023, E731
-        keys = [F.col("ca").alias("a"), F.col("cb").alias("b"), *([F.col("scope")] if scoped else [])]
-        level = stored(level.join(g("a", "ca"), "a").join(g("b", "cb"), "b").groupBy(*keys).agg(F.sum("w").alias("w")))
+        with Buckets(level, "b") as links:
+            step = stored(local_moves(links, scopes, rounds))
+            found = step if found is None else stored(found.join(step.select(F.col("node").alias("community"), F.col("community").alias("up")).hint("merge"), "community").select("node", F.col("up").alias("community")))
+            if step.where("node <> community").isEmpty():
+                break
+            g = lambda x, y: step.select(F.col("node").alias(x), F.col("community").alias(y)).hint("shuffle_hash")  # noqa: B023, E731
+            one = links.rows().join(g("b", "cb"), "b").groupBy("a", "cb").agg(F.sum("w").alias("w"))
+            level = stored(one.join(g("a", "ca"), "a").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
     return found
 
 
+def _to_numbers(edges: DataFrame, names: DataFrame) -> DataFrame:
+    of = lambda x: names.select(F.col("name").alias(x), F.col("no").alias(f"{x}_no")).hint("merge")
+    return edges.join(of("a"), "a").join(of("b"), "b").select(F.col("a_no").alias("a"), F.col("b_no").alias("b"), "w")
+
+
+def to_names(found: DataFrame, names: DataFrame, *cols: str) -> DataFrame:
+    """found with the names of the numbers in its columns `cols`."""
+    for c in cols:
+        found = found.join(names.select(F.col("no").alias(c), F.col("name").alias(f"_{c}")).hint("merge"), c).withColumn(c, F.col(f"_{c}")).drop(f"_{c}")
+    return found
+
+
+def communities(edges: DataFrame, rounds: int = 12, levels: int = 3, names: DataFrame | None = None) -> DataFrame:
+    """node, community: local moves on several levels. edges: a, b, w; if names (no, name, of `numbered`) are given, a and b are numbers."""
+    if names is None:
+        edges = stored(edges.select("a", "b", "w"))
+        names = numbered(edges.select("a"))
+        edges = _to_numbers(edges, names)
+    return to_names(number_communities(edges, None, rounds, levels), names, "node", "community").select("node", "community")
+
+
 def _numbered(groups: DataFrame, buckets: int = 64) -> DataFrame:
     """groups (parent, community, files) with nr: from 0 within each parent, the largest first. Sizes and hash buckets are counted, so that no parent's groups are ranked in one task."""
     by = groups.withColumn("bucket", F.pmod(F.xxhash64("community"), F.lit(buckets)))
     counts = by.groupBy("parent", "files", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("parent").orderBy(F.desc("files"), "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy("parent", "files", "bucket").orderBy("community")) - 1
-    return by.withColumn("own", own).join(counts.withColumn("before", before).drop("n"), ["parent", "files", "bucket"]).select("parent", "community", "files", (F.col("before") + F.col("own")).cast("long").alias("nr"))
+    return by.withColumn("own", own).join(counts.withColumn("before", before).drop("n").hint("merge"), ["parent", "files", "bucket"]).select("parent", "community", "files", (F.col("before") + F.col("own")).cast("long").alias("nr"))
 
 
-def file_tree(edges: DataFrame, topics: DataFrame | None = None, most: int = 150, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+def file_tree(edges: DataFrame, topics: DataFrame | None = None, most: int = 150, depth: int = 3, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Groups (key, parent_key, level, kind, files) and leaves (node, key): every file of edges (a, b, w) in its finest group.
 
     A file of topics (topic, node) belongs to the smallest of its topics, by members and then by number; such groups are `t<topic>` and are not split. The others are grouped by modularity;
     a group of more than `most` files is split by its inner edges alone, `depth` times at most, and stays whole if that gives one part. All groups of a level are split together, each being a
-    scope of its own. Keys number the parts by size: c0, c0.1, c0.1.0."""
+    scope of its own, with the inner edges of the level before. Keys number the parts by size: c0, c0.1, c0.1.0. If names (no, name) are given, a and b are numbers; nodes, parts and
+    their edges meet where they lie, so that none of them is gathered by the driver."""
     edges = stored(edges.select("a", "b", "w"))
+    if names is None:
+        names = numbered(edges.select("a").union(edges.select("b")))
+        edges = stored(_to_numbers(edges, names))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     groups, leaves = None, None
     if topics is not None:
@@ -87,29 +131,33 @@ def file_tree(edges: DataFrame, topics: DataFrame | None = None, most: int = 150
         named = sizes.select(F.concat(F.lit("t"), F.col("topic").cast("string")).alias("key")).join(held, "key", "left")
         groups = named.select("key", F.lit(None).cast("string").alias("parent_key"), F.lit(0).alias("level"), F.lit("topic").alias("kind"), F.coalesce("files", F.lit(0)).cast("long").alias("files"))
         leaves = of
-        nodes = nodes.join(of, "node", "left_anti")
-    now = stored(nodes.select("node", F.lit("").alias("parent")))
+        nodes = nodes.join(of.join(names.hint("merge"), F.col("node") == F.col("name")).select(F.col("no").alias("node")), "node", "left_anti")
+    now, places = stored(nodes.select("node", F.lit("").alias("parent"), F.lit(0).cast("long").alias("scope"))), []
     for level in range(depth + 1):
         if now.isEmpty():
             break
-        at = lambda c, p: now.select(F.col("node").alias(c), F.col("parent").alias(p))  # noqa: B023, E731
-        inner = edges.join(at("a", "scope"), "a").join(at("b", "other"), "b").where("scope = other").select("a", "b", "w", "scope")
-        found = communities(inner)
-        part = stored(now.join(found, "node", "left").select("node", "parent", F.coalesce("community", "node").alias("community")))
+        if level or topics is not None:
+            at = lambda c, p: now.select(F.col("node").alias(c), F.col("scope").alias(p)).hint("merge")  # noqa: B023, E731
+            edges = stored(edges.join(at("a", "scope"), "a").join(at("b", "other"), "b").where("scope = other").select("a", "b", "w"))
+        found = number_communities(edges, now.select(F.col("node").alias("no"), "scope"))
+        met = now.join(found.hint("merge"), "node", "left").select("node", "parent", F.coalesce("community", "node").alias("scope"))
+        part = stored(met.join(names.select(F.col("no").alias("scope"), F.col("name").alias("community")).hint("merge"), "scope").select("node", "parent", "community", "scope"))
         sized = part.groupBy("parent", "community").agg(F.count("*").alias("files"))
         parts = sized.groupBy("parent").agg(F.count("*").alias("parts"))
         key = F.when(F.col("parent") == "", F.concat(F.lit("c"), F.col("nr").cast("string"))).otherwise(F.concat("parent", F.lit("."), F.col("nr").cast("string")))
-        made = stored(_numbered(sized).withColumn("key", key).join(parts, "parent"))
+        made = stored(_numbered(sized).withColumn("key", key).join(F.broadcast(parts), "parent"))
         # a group whose inner edges give one part stays as it is
         split = made.where("parts > 1") if level else made
         rows = split.select("key", F.when(F.col("parent") != "", F.col("parent")).alias("parent_key"), F.lit(level).alias("level"), F.lit("community").alias("kind"), "files")
         groups = rows if groups is None else groups.unionByName(rows)
-        placed = stored(part.join(made.select("parent", "community", "key", "parts", F.col("files").alias("size")), ["parent", "community"]).select("node", F.when((F.col("parts") == 1) & F.lit(level > 0), F.col("parent")).otherwise(F.col("key")).alias("key"), ((F.col("size") > most) & ((F.col("parts") > 1) | F.lit(level == 0)) & F.lit(level < depth)).alias("again")))
-        done = placed.where("not again").select("node", "key")
+        placed = stored(part.join(made.select("parent", "community", "key", "parts", F.col("files").alias("size")).hint("merge"), ["parent", "community"]).select("node", "scope", F.when((F.col("parts") == 1) & F.lit(level > 0), F.col("parent")).otherwise(F.col("key")).alias("key"), ((F.col("size") > most) & ((F.col("parts") > 1) | F.lit(level == 0)) & F.lit(level < depth)).alias("again")))
+        places.append(placed.where("not again").select("node", "key"))
+        now = placed.where("again").select("node", F.col("key").alias("parent"), "scope")
+    if places:
+        done = to_names(reduce(DataFrame.unionByName, places), names, "node").select("node", "key")
         leaves = done if leaves is None else leaves.unionByName(done)
-        now = placed.where("again").select("node", F.col("key").alias("parent"))
     empty = edges.sparkSession.createDataFrame([], "key string, parent_key string, level int, kind string, files long")
-    return (empty if groups is None else groups), (edges.select(F.col("a").alias("node"), F.lit("").alias("key")).where(F.lit(False)) if leaves is None else leaves)
+    return (empty if groups is None else groups), (names.select(F.col("name").alias("node"), F.lit("").alias("key")).where(F.lit(False)) if leaves is None else leaves)
 
 
 def described(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -25,18 +25,19 @@ def file_key(entities: DataFrame, path: Column | None = None) -> Column:
     return F.concat_ws(":", *scope, F.coalesce(path if path is not None else F.col("file_path"), F.lit("")))
 
 
-def between_files(edges: DataFrame, entities: DataFrame, path: Column | None = None) -> DataFrame:
+def between_files(edges: DataFrame, entities: DataFrame, path: Column | None = None, numbers: DataFrame | None = None) -> DataFrame:
     """Edges whose ends lie in different files, with src_file and dst_file. The entities' keys are made once and stored; the second end is looked up first,
-    so that edges that come dealt by it (`targeted_edges`) stay where they are."""
-    at = stored(entities.select("id", file_key(entities, path).alias("file")))
+    so that edges that come dealt by it (`targeted_edges`) stay where they are. numbers: no and name of all files; then edges have the files' numbers."""
+    at = entities.select("id", file_key(entities, path).alias("file"))
+    at = stored(at if numbers is None else at.join(numbers.hint("merge"), F.col("file") == F.col("name")).select("id", F.col("no").alias("file")))
     src, dst = at.select(F.col("id").alias("src_id"), F.col("file").alias("src_file")), at.select(F.col("id").alias("dst_id"), F.col("file").alias("dst_file"))
     return edges.where(F.col("dst_id").isNotNull()).join(dst, "dst_id").join(src, "src_id").where("src_file <> dst_file")
 
 
-def file_pairs(edges: DataFrame, entities: DataFrame, path: Column | None = None, samples: int = 0) -> DataFrame:
+def file_pairs(edges: DataFrame, entities: DataFrame, path: Column | None = None, samples: int = 0, numbers: DataFrame | None = None) -> DataFrame:
     """src_file, dst_file (file_key), edge_count, edge_types (array), priority, is_control and, if samples are wanted, sample_ids (array of
-    the least edge ids); self-pairs are left out. path: from an entity to what counts as its file's path."""
-    met, few = between_files(edges, entities, path), []
+    the least edge ids); self-pairs are left out. path: from an entity to what counts as its file's path. numbers: as for between_files."""
+    met, few = between_files(edges, entities, path, numbers), []
     if samples:  # numbered where the pairs are grouped too, so that the edges move once
         met = met.withColumn("nr", F.row_number().over(Window.partitionBy("src_file", "dst_file").orderBy("edge_id")))
         few = [F.sort_array(F.collect_list(F.when(F.col("nr") <= samples, F.col("edge_id")))).alias("sample_ids")]

@@ -11,7 +11,7 @@ from korpusgraf.plans.rollup_queries import pairs
 from korpusgraf.plans.structure_queries import O
 from korpusgraf.plans.structure_queries import _files as by_customer
 from korpusgraf.sources import readers
-from korpusgraf.sources.adapter import chunks, entities, table, with_relations
+from korpusgraf.sources.adapter import chunks, entities, table, targeted_edges, with_relations
 
 RULES = [("*", "all"), ("/orders/", "sales"), ("EUROPE/*", "europe"), ("**/GERMANY", "berlin")]
 
@@ -25,10 +25,22 @@ def file_graph(s, d):
     return groups.weighted(pairs(s, d))
 
 
+def numbered_graph(s, d):
+    """All files by number, weighted by their edges, and the files' names."""
+    names = groups.numbered(entities(s, d).select(rollup.file_key(entities(s, d))))
+    return groups.weighted(rollup.file_pairs(targeted_edges(s, d), entities(s, d), numbers=names)), names
+
+
+def file_groups(s, d):
+    graph, names = numbered_graph(s, d)
+    return groups.communities(graph, names=names)
+
+
 def group_tree(s, d):
     """Each file with its finest group and that group's level and size."""
-    held, leaves = groups.file_tree(file_graph(s, d))
-    return leaves.join(held.select("key", "parent_key", "level", "files"), "key")
+    graph, names = numbered_graph(s, d)
+    held, leaves = groups.file_tree(graph, names=names)
+    return leaves.join(held.select("key", "parent_key", "level", "files").hint("merge"), "key")
 
 
 def answers(s, d):
@@ -67,7 +79,7 @@ QUERIES = {
     "ownership": lambda s, d: evidence.owners(entities(s, d).select(F.col("file_path").alias("path")).distinct(), [(codeowners_pattern(p), o) for p, o in RULES]),
     "evidence_budget": lambda s, d: evidence.within_budget(chunks(s, d), "source", ["chunk_id"], "content", 20_000).select("source", "chunk_id", "used"),
     "fall_through": lambda s, d: evidence.fall_through(entities(s, d).where("type = 'part'").withColumn("ends", F.col("id") % 4 == 0)),
-    "file_groups": lambda s, d: groups.communities(file_graph(s, d)),
+    "file_groups": file_groups,
     "file_group_tree": group_tree,
 }
 SQL = {

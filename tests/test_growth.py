@@ -226,3 +226,17 @@ def test_edges_meet_parts_and_files_of_parts_in_one_place(spark, data):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert {r[0] for r in got} <= {r[0] for r in met.select("edge_id").collect()}
+
+
+def test_rounds_of_moves_move_links_once(spark):
+    """Two planted groups: 780 links both ways, and at most 28 turns on three levels; each turn moves half of the links once, and a level all of them a few times."""
+    rows = [(f"{c}{i}", f"{c}{j}", 1, 0) for c in "ab" for i in range(28) for j in range(i)] + [("a0", "b0", 1, 0)]
+    edges, got, held = groups.weighted(spark.createDataFrame(rows, "src_file string, dst_file string, edge_count long, priority int")).cache(), [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges.count()
+        moved = total(spark, lambda: got.extend(groups.communities(edges).collect()), "shuffle records written")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert moved < 20_000
+    assert {r["node"][0] for r in got if r["community"] == got[0]["community"]} == {got[0]["node"][0]} and len({r["community"] for r in got}) == 2
