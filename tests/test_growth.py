@@ -240,3 +240,22 @@ def test_rounds_of_moves_move_links_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert moved < 20_000
     assert {r["node"][0] for r in got if r["community"] == got[0]["community"]} == {got[0]["node"][0]} and len({r["community"] for r in got}) == 2
+
+
+def test_the_driver_gathers_no_nodes(spark):
+    """What a tree of groups broadcasts is a row for each split group, not for each file."""
+    rows = [(f"s:{c}/f{i}", f"s:{c}/f{j}", 1, 0) for c in range(4) for i in range(14) for j in range(i)] + [(f"s:{c}/f0", f"s:{c + 1}/f0", 1, 0) for c in range(3)]
+    edges = groups.weighted(spark.createDataFrame(rows, "src_file string, dst_file string, edge_count long, priority int"))
+    store, bus, got = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus(), []
+    bus.waitUntilEmpty()
+    last = max((x.executionId() for x in map(store.executionsList().apply, range(store.executionsList().size()))), default=-1)
+    got.extend(groups.file_tree(edges, most=10)[1].collect())
+    bus.waitUntilEmpty()
+    runs, sent = store.executionsList(), 0
+    for e in (x.executionId() for x in map(runs.apply, range(runs.size())) if x.executionId() > last):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in filter(lambda x: x.name() == "BroadcastExchange", map(nodes.apply, range(nodes.size()))):
+            for m in map(node.metrics().apply, range(node.metrics().size())):
+                if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined():
+                    sent += int(values.get(m.accumulatorId()).get().replace(",", ""))
+    assert len(got) == 56 and sent < 56
