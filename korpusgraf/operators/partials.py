@@ -15,17 +15,18 @@ from korpusgraf.sources import commits
 
 BUCKETS = 64
 PAIR = ["src_file", "dst_file"]
-SCHEMAS = {"counts": "src_file string, dst_file string, type string, n long", "degrees": "file string, degree long", "strong": "node string, src_file string, dst_file string"}
+#: {0} is the type of what names a file in the first delta.
+SCHEMAS = {"counts": "src_file {0}, dst_file {0}, type string, n long", "degrees": "file {0}, degree long", "strong": "node {0}, src_file {0}, dst_file {0}"}
 
 
 def _path(table: str, file: Column, buckets: int) -> Column:
     return F.concat(F.lit(f"{table}/"), F.pmod(F.xxhash64(file), F.lit(buckets)).cast("string"))
 
 
-def _state(spark: SparkSession, base: str, table: str, at: dict) -> DataFrame:
+def _state(spark: SparkSession, base: str, table: str, at: dict, kind: str = "string") -> DataFrame:
     """The table's rows with their bucket's path."""
     rows = commits.read(spark, base, table, at)
-    return spark.createDataFrame([], f"source string, path string, {SCHEMAS[table]}") if rows is None else rows
+    return spark.createDataFrame([], f"source string, path string, {SCHEMAS[table].format(kind)}") if rows is None else rows
 
 
 def pairs_of(counts: DataFrame) -> DataFrame:
@@ -45,9 +46,9 @@ def strongest(pairs: DataFrame, degree: DataFrame, nodes: DataFrame, k: int) ->
 
 def apply(spark: SparkSession, base: str, delta: DataFrame, k: int = 3, buckets: int = BUCKETS) -> int:
     """Changes the roll-up in `base` by a delta (src_file, dst_file, type, sign: 1 for an added edge, -1 for a removed one) and returns its new version. Pairs within a file
-    don't count. The number of buckets must stay the same."""
+    don't count. The number of buckets must stay the same. Files go by names or, which moves less, by numbers; ties end at either."""
     at = commits.manifest(spark, base)
-    old = {t: _state(spark, base, t, at) for t in SCHEMAS}
+    old = {t: _state(spark, base, t, at, delta.schema["src_file"].dataType.simpleString()) for t in SCHEMAS}
     change = stored(delta.where("src_file <> dst_file").groupBy(*PAIR, "type").agg(F.sum("sign").alias("n")).where("n <> 0"))
     touched = change.select(*PAIR).distinct()
     before = stored(old["counts"].join(touched, PAIR, "left_semi").select(*PAIR, "type", "n"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import partials, rollup
-from korpusgraf.operators.lineage import fresh_folder
+from korpusgraf.operators import groups, partials, rollup
+from korpusgraf.operators.lineage import fresh_folder, stored
 from korpusgraf.plans import rollup_queries
 from korpusgraf.sources import commits
-from korpusgraf.sources.adapter import chunks, edges, entities
+from korpusgraf.sources.adapter import chunks, entities, targeted_edges
 
 
 def saved(s, d):
@@ -25,14 +25,17 @@ def saved(s, d):
 
 
 def kept(s, d):
-    """All edges of orders, in three deltas: at first without the calls and with each read doubled; then the calls come, and the second reads go."""
+    """All edges of orders, in three deltas: at first without the calls and with each read doubled; then the calls come, and the second reads go. Files go by
+    numbers in the order of their names, which are looked up for the result; edges are put between files once."""
     base = fresh_folder(s)
-    e = rollup.between_files(edges(s, d), entities(s, d)).select("src_file", "dst_file", "type")
+    names = groups.numbered(entities(s, d).select(rollup.file_key(entities(s, d))))
+    e = stored(rollup.between_files(targeted_edges(s, d), entities(s, d), numbers=names).select("src_file", "dst_file", "type"))
     reads, calls = e.where("type = 'READS'"), e.where("type = 'CALL'")
     partials.apply(s, base, e.where("type <> 'CALL'").union(reads).withColumn("sign", F.lit(1)))
     partials.apply(s, base, calls.withColumn("sign", F.lit(1)))
     partials.apply(s, base, reads.withColumn("sign", F.lit(-1)))
-    return rollup_queries.flat(partials.current_backbone(s, base))
+    found = rollup_queries.flat(partials.current_backbone(s, base))
+    return groups.to_names(found, names, "src_file", "dst_file").select(found.columns)
 
 
 QUERIES = {"saved_chunks": saved, "kept_backbone": kept}

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from korpusgraf.operators import assembly, change, evidence, graph, groups, incremental, intervals, linking, models, process, rollup, slices, source_passes, structure, vectors
+from korpusgraf.operators import assembly, change, evidence, graph, groups, incremental, intervals, linking, models, partials, process, rollup, slices, source_passes, structure, vectors
 
 
 def most_rows(spark, run, metric="number of output rows", of=max):
@@ -259,3 +259,27 @@ def test_the_driver_gathers_no_nodes(spark):
                 if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined():
                     sent += int(values.get(m.accumulatorId()).get().replace(",", ""))
     assert len(got) == 56 and sent < 56
+
+
+def test_a_kept_roll_up_takes_files_by_number(spark, tmp_path):
+    base, edges = str(tmp_path), [(2, 10, "CALL"), (2, 9, "CALL"), (10, 9, "CALL"), (11, 9, "READS"), (11, 2, "CALL"), (9, 100, "CALL")]
+    of = lambda rows: spark.createDataFrame(rows, "src_file long, dst_file long, type string, sign int")
+    partials.apply(spark, base, of([(*e, 1) for e in edges[:4]]), k=1, buckets=2)
+    partials.apply(spark, base, of([(*e, 1) for e in edges[4:]] + [(*edges[3], -1)]), k=1, buckets=2)
+    found = partials.current_backbone(spark, base, 1, always=1)
+    assert found.schema["src_file"].dataType.simpleString() == "bigint"
+    pairs = partials.pairs_of(of([(*e, 1) for e in edges if e != edges[3]]).withColumnRenamed("sign", "n"))
+    want = rollup.backbone(pairs, 1, always=1)
+    plain = lambda df: {str(r) for r in df.select(found.columns).collect()}
+    assert plain(found) == plain(want)
+
+
+def test_deltas_of_the_kept_roll_up_hold_numbers(spark, data, monkeypatch):
+    from korpusgraf.plans import save_queries
+
+    deltas = []
+    monkeypatch.setattr(save_queries.partials, "apply", lambda s, base, delta, **_: deltas.append(delta))
+    monkeypatch.setattr(save_queries.partials, "current_backbone", lambda s, base: deltas[0].withColumn("edge_types", F.array("type")))
+    save_queries.kept(spark, data)
+    assert len(deltas) == 3 and all(d.schema[c].dataType.simpleString() == "bigint" for d in deltas for c in ("src_file", "dst_file"))
+    assert all("lineitem" not in d._jdf.queryExecution().optimizedPlan().toString() and not d.inputFiles()[0].endswith("lineitem.parquet") for d in deltas)
