@@ -35,10 +35,6 @@ def doc_links(s, d):
     return table(s, d, "events").selectExpr(f"{PART} + 1 + event_id % 150 as id", "event_id % 200 as chunk_id", "case when event_id % 3 = 0 then 'approved' else 'pending' end as status")
 
 
-def few_hunks(s, d):
-    return hunks(s, d).where("hunk_id % 40 = 0")
-
-
 def package(s, d):
     impact = graph.impact(edges(s, d), entities(s, d), s.createDataFrame([(PART + 1,), (PART + 17,)], "id long"))
     return A.change_package(impact, entities(s, d), edges(s, d).union(back(s, d)), doc_links(s, d).withColumn("id", F.col("id") - PART + ORDER), chunks(s, d), F.col("id") % 5 == 0, [("^orders/1", "one"), ("^orders/[2-9]", "rest")])
@@ -167,7 +163,7 @@ QUERIES = {
     "covering_entity": lambda s, d: A.covering_entity(hunks(s, d), of(s, d, "part")),
     "outline_facts": lambda s, d: A.outline(entities(s, d), edges(s, d), of(s, d, "customer").select("id"), 2),
     "linked_documents": lambda s, d: A.linked_documents(of(s, d, "part").where("id % 2 = 0").select("id"), doc_links(s, d), chunks(s, d)),
-    "diff_impact": lambda s, d: A.diff_impact(few_hunks(s, d), of(s, d, "part"), edges(s, d), 2),
+    "diff_impact": lambda s, d: A.diff_impact(hunks(s, d), of(s, d, "part"), edges(s, d), 2),
     "change_package": package,
     "process_steps": steps,
     "fall_through_steps": falls,
@@ -212,7 +208,7 @@ AND p_partkey % 230 >= c_custkey % 200 AND p_partkey % 230 + 5 <= c_custkey % 20
 f AS (SELECT src_id, lower(type) || ' ' || string_agg(dst_name, ', ' ORDER BY nr) FILTER (nr <= 2) || CASE WHEN count(*) > 2 THEN ' +' || (count(*) - 2) ELSE '' END AS fact FROM r GROUP BY src_id, type), g AS (SELECT src_id, string_agg(fact, '; ' ORDER BY fact) AS facts FROM f GROUP BY 1)
 SELECT e.parent_id AS id, e.id AS child, e.start_line, coalesce(facts, '') AS facts FROM entities e LEFT JOIN g ON src_id = e.id WHERE e.type = 'order' AND e.parent_id IN (SELECT id FROM entities WHERE type = 'customer')"""),
     "linked_documents": with_relations("chunks entities", f"l AS (SELECT {PART} + 1 + event_id % 150 AS id, event_id % 200 AS chunk_id FROM events WHERE event_id % 3 = 0) SELECT file_path, count(DISTINCT id) AS nodes, count(DISTINCT chunk_id) AS chunks FROM l JOIN chunks USING (chunk_id) WHERE id % 2 = 0 AND id IN (SELECT id FROM entities) GROUP BY 1"),
-    "diff_impact": with_relations("entities edges", f"""{HITS}, seed AS (SELECT DISTINCT id FROM hits h WHERE hunk_id % 40 = 0 AND NOT EXISTS (SELECT 1 FROM hits o WHERE o.hunk_id = h.hunk_id AND o.start_line >= h.start_line AND o.end_line <= h.end_line AND o.size < h.size)),
+    "diff_impact": with_relations("entities edges", f"""{HITS}, seed AS (SELECT DISTINCT id FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.hunk_id = h.hunk_id AND o.start_line >= h.start_line AND o.end_line <= h.end_line AND o.size < h.size)),
 one AS (SELECT DISTINCT src_id AS id FROM edges WHERE resolution = 'resolved' AND dst_id IN (SELECT id FROM seed)), n AS (SELECT DISTINCT src_id AS id FROM edges WHERE resolution = 'unresolved' AND lower(dst_name) IN (SELECT lower(name) FROM entities WHERE id IN (SELECT id FROM seed) AND type = 'part'))
 SELECT id, 'change' AS via, 0 AS hop FROM seed UNION ALL SELECT id, min(via), 1 FROM (SELECT id, 'edge' AS via FROM one UNION ALL SELECT id, 'name' FROM n) GROUP BY 1"""),
     "change_package": with_relations("entities edges chunks", f"""s AS (SELECT unnest([{PART + 1}, {PART + 17}]) AS id), e AS (SELECT DISTINCT src_id AS id, 'edge 1' AS way FROM edges WHERE resolution = 'resolved' AND dst_id IN (SELECT id FROM s)),

@@ -283,3 +283,11 @@ def test_deltas_of_the_kept_roll_up_hold_numbers(spark, data, monkeypatch):
     save_queries.kept(spark, data)
     assert len(deltas) == 3 and all(d.schema[c].dataType.simpleString() == "bigint" for d in deltas for c in ("src_file", "dst_file"))
     assert all("lineitem" not in d._jdf.queryExecution().optimizedPlan().toString() and not d.inputFiles()[0].endswith("lineitem.parquet") for d in deltas)
+
+
+def test_a_diff_takes_all_hunks(spark, data):
+    from korpusgraf.plans.assembly_queries import QUERIES, of
+    from korpusgraf.plans.graph_queries import hunks
+
+    want = ids(intervals.innermost_of(hunks(spark, data), of(spark, data, "part")).select("id"))
+    assert ids(QUERIES["diff_impact"](spark, data).where("hop = 0").select("id")) == want
