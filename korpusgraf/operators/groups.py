@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from korpusgraf.operators.lineage import Buckets, stored
@@ -30,53 +30,57 @@ def numbered(names: DataFrame) -> DataFrame:
     return stored(one.orderBy("name").select((F.shiftleft(F.monotonically_increasing_id(), TURNS) + bits).alias("no"), "name"))
 
 
-def _due(node: str, turn: int) -> Column:
-    return F.shiftright(F.col(node), turn % TURNS).bitwiseAND(F.lit(1)) == 0
-
-
 def local_moves(links: Buckets, scopes: DataFrame | None = None, rounds: int = 12, least_moves: float = 0.002) -> DataFrame:
-    """node, community: from groups of one, each round lets the nodes whose hash is due move to the neighbouring group of greatest modularity gain,
+    """node, community, stored: from groups of one, each round lets the nodes whose hash is due move to the neighbouring group of greatest modularity gain,
     ties to the least name; nodes move half at a time, so that neighbours don't swap. Only nodes one of whose neighbours moved since they last looked move; rounds end when three in
     turn move at most `least_moves` of all nodes, or at `rounds`. links: a, b, w between numbers (`numbered`), in buckets by b, so that they learn their neighbours' groups where they
-    are and move once a round, to a. Nodes of different scopes (no, scope) share no edge, and each scope counts by its own weight. No graph or list of nodes is gathered in one place."""
+    are and move once a round, to a; each node has a link of no weight to itself, by which what it is moves along with what its neighbours are. Nodes of different scopes (no, scope)
+    share no edge, and each scope counts by its own weight. No graph or list of nodes is gathered in one place."""
     degree = links.rows().groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
     held = degree.withColumn("scope", F.lit(0).cast("long")) if scopes is None else degree.join(scopes.withColumnRenamed("no", "node").hint("merge"), "node")
     held = stored(held)
     totals = held.groupBy("scope").agg(F.sum("k").alias("total"))
     now = stored(held.join(F.broadcast(totals), "scope").select("node", F.col("node").alias("community"), "k", "total", F.lit(-1).alias("looked"), F.lit(-1).alias("moved")))
-    n, still = now.count(), 0
+    n, still, met = now.count(), 0, links.rows()
+    most = lambda *cols: [F.max(c).alias(c) for c in cols]
+    # few steps, as each costs the driver more than a round of a small level takes
     for turn in range(rounds if n else 0):
-        at = now.join(now.groupBy("community").agg(F.sum("k").alias("tot")).hint("merge"), "community")
-        own = at.where(_due("node", turn)).withColumnRenamed("node", "a")
-        near = links.rows().where(_due("a", turn) & F.expr("a <> b")).join(at.select(F.col("node").alias("b"), "community", "tot", "moved").hint("shuffle_hash"), "b")
-        stay = own.select("a", "community", F.lit(0.0).alias("w"), "tot", F.lit(-1).alias("moved"))
-        options = near.select(stay.columns).union(stay).repartition("a").groupBy("a", "community").agg(F.sum("w").alias("w_in"), F.max("tot").alias("tot"), F.max("moved").alias("moved"))
-        met = options.join(own.select("a", F.col("community").alias("own"), "k", "total", "looked").hint("shuffle_hash"), "a")
-        left = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w_in") - F.col("k") * left / F.col("total"), 9)
-        best = met.groupBy("a").agg(F.min(F.struct((-gain).alias("loss"), (F.col("community") != F.col("own")).alias("moves"), "community")).alias("x"), F.max("moved").alias("woken"), F.max("looked").alias("looked"))
-        seen = best.where("woken >= looked").select(F.col("a").alias("node"), F.col("x.community").alias("to"), F.col("x.moves").alias("moves"))
-        met = now.join(seen.hint("merge"), "node", "left")
-        then = stored(met.select("node", F.coalesce("to", "community").alias("community"), "k", "total", F.when(F.col("to").isNull(), F.col("looked")).otherwise(turn).alias("looked"), F.when(F.col("moves"), turn).otherwise(F.col("moved")).alias("moved")))
-        count = then.where(F.col("moved") == turn).count()
-        still = still + 1 if count <= n * least_moves else 0
+        due = f"shiftright(a, {turn % TURNS}) & 1 = 0"
+        at = now.selectExpr("node as b", "community", "sum(k) over (partition by community) as tot", "k", "total", "looked", "moved")
+        near = met.where(f"(a = b and w = 0) or (a <> b and {due})").join(at.repartition(links.buckets, "b").hint("shuffle_hash"), "b")  # dealt as the links are, which therefore stay
+        # what a node itself is, is null where the row is of a neighbour
+        rows = near.selectExpr("a", "community", "w", "tot", "moved", "case when a = b then struct(k, total, looked) end as own").repartition(links.buckets, "a")
+        one = rows.selectExpr("a", "community", "w", "tot", "case when own is null then moved end as woken", "case when own is not null then moved end as moved", "own.k", "own.total", "own.looked")
+        options = one.groupBy("a", "community").agg(F.sum("w").alias("w_in"), *most("tot", "woken", "moved", "k", "total", "looked"))
+        of = [f"max({c}) over (partition by a) as {n}" for c, n in (("k", "k"), ("total", "total"), ("case when k is not null then community end", "own"))]
+        gain = "round(w_in - k * (tot - case when community = own then k else 0.0D end) / total, 9)"
+        best = options.selectExpr("a", "community", "w_in", "tot", "woken", "moved", "looked", *of).groupBy("a").agg(F.expr(f"min(struct(-{gain} as loss, community <> own as moves, community)) as x"), *most("own", "k", "total", "woken", "looked", "moved"))
+        seen, gone = f"{due} and coalesce(woken, -1) >= looked", Observation()
+        then = best.selectExpr("a as node", f"case when {seen} then x.community else own end as community", "k", "total", f"case when {seen} then {turn} else looked end as looked", f"case when {seen} and x.moves then {turn} else moved end as moved")
+        then = stored(then.observe(gone, F.count_if(F.col("moved") == turn).alias("n")))
+        still = still + 1 if gone.get["n"] <= n * least_moves else 0
         if still == 3:  # three draws of movers in turn found next to none that gains
             break
         now = then
     return now.select("node", "community")
 
 
+#: So many links lie in a bucket, about 1 MB; a level of fewer makes no more tasks than it can fill.
+LINKS_A_BUCKET = 50_000
+
+
 def number_communities(edges: DataFrame, scopes: DataFrame | None = None, rounds: int = 12, levels: int = 3) -> DataFrame:
-    """node, community, stored: local moves, then the same on the graph of the groups found, until a level joins none. edges: a, b, w between numbers; scopes: no, scope."""
+    """node, community, stored: local moves, then the same on the graph of the groups found, until a level joins none. edges: a, b, w between numbers, stored; scopes: no, scope."""
     found, level = None, edges.select("a", "b", "w")
     for _ in range(levels):
-        with Buckets(level, "b") as links:
-            step = stored(local_moves(links, scopes, rounds))
+        itself = level.select("a", F.col("a").alias("b"), F.lit(0.0).alias("w")).distinct()
+        with Buckets(level.union(itself), "b", most=1 + level.count() // LINKS_A_BUCKET) as links:
+            step = local_moves(links, scopes, rounds)
             found = step if found is None else stored(found.join(step.select(F.col("node").alias("community"), F.col("community").alias("up")).hint("merge"), "community").select("node", F.col("up").alias("community")))
             if step.where("node <> community").isEmpty():
                 break
             g = lambda x, y: step.select(F.col("node").alias(x), F.col("community").alias(y)).hint("shuffle_hash")  # noqa: B023, E731
-            one = links.rows().join(g("b", "cb"), "b").groupBy("a", "cb").agg(F.sum("w").alias("w"))
+            one = links.rows().where("w <> 0").join(g("b", "cb").repartition(links.buckets, "b"), "b").groupBy("a", "cb").agg(F.sum("w").alias("w"))
             level = stored(one.join(g("a", "ca"), "a").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
     return found
 
@@ -99,7 +103,7 @@ def communities(edges: DataFrame, rounds: int = 12, levels: int = 3, names: Data
         edges = stored(edges.select("a", "b", "w"))
         names = numbered(edges.select("a"))
         edges = _to_numbers(edges, names)
-    return to_names(number_communities(edges, None, rounds, levels), names, "node", "community").select("node", "community")
+    return to_names(number_communities(stored(edges.select("a", "b", "w")), None, rounds, levels), names, "node", "community").select("node", "community")
 
 
 def _numbered(groups: DataFrame, buckets: int = 64) -> DataFrame:
