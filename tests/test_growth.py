@@ -310,3 +310,24 @@ def test_a_round_of_moves_takes_few_jobs_and_tasks(spark):
         edges.unpersist()
     assert len({(r["node"][2], r["community"]) for r in got}) == 4 and len(got) == 56
     assert jobs < 150
+
+
+def test_pairs_of_a_cell_lie_together(spark, monkeypatch):
+    """A cell's pairs come together, hunk by hunk, and hunks of equal ranges have the same entities in the same order."""
+    from korpusgraf.plans import graph_queries
+
+    hunks = spark.range(300).selectExpr("id as hunk_id", "concat('f', id % 2) as file_path", "cast(id % 5 * 10 as int) as start_line", "cast(id % 5 * 10 + 3 as int) as end_line")
+    parts = spark.range(80).selectExpr("id", "concat('f', id % 2) as file_path", "cast(id * 7 % 40 as int) as start_line", "cast(id * 7 % 40 + id % 9 as int) as end_line", "'part' as type")
+    monkeypatch.setattr(graph_queries, "hunks", lambda s, d: hunks)
+    monkeypatch.setattr(graph_queries, "entities", lambda s, d: parts)
+    got = [tuple(r) for r in graph_queries.QUERIES["overlapping_entities"](spark, "").collect()]
+    at, of = {r[0]: tuple(r)[1:] for r in hunks.collect()}, parts.collect()
+    assert sorted(got) == sorted((h, p["id"], p["end_line"] - p["start_line"]) for h, (f, a, b) in at.items() for p in of if p["file_path"] == f and p["start_line"] <= b and p["end_line"] >= a)
+    cell = lambda h, i: (at[h][0], max(at[h][1], i * 7 % 40) // 16)
+    runs = []
+    for h, i, _ in got:
+        if not runs or runs[-1][:2] != (cell(h, i), h):
+            runs.append((cell(h, i), h, []))
+        runs[-1][2].append(i)
+    assert sum(a[0] != b[0] for a, b in zip(runs, runs[1:], strict=False)) < len({r[0] for r in runs})
+    assert len(runs) == len({r[:2] for r in runs}) and len({(r[0], at[r[1]], tuple(r[2])) for r in runs}) == len({(r[0], at[r[1]]) for r in runs})
