@@ -331,3 +331,32 @@ def test_pairs_of_a_cell_lie_together(spark, monkeypatch):
         runs[-1][2].append(i)
     assert sum(a[0] != b[0] for a, b in zip(runs, runs[1:], strict=False)) < len({r[0] for r in runs})
     assert len(runs) == len({r[:2] for r in runs}) and len({(r[0], at[r[1]], tuple(r[2])) for r in runs}) == len({(r[0], at[r[1]]) for r in runs})
+
+
+def test_a_delta_that_touches_all_pairs_moves_them_three_times(spark, tmp_path):
+    """500 pairs of 60 files get an edge each: held and new ones meet once, and pairs move twice from both ends."""
+    pairs, got = spark.range(500).selectExpr("id % 50 as src_file", "50 + id div 50 as dst_file"), []
+    of = lambda kind: pairs.selectExpr("src_file", "dst_file", f"'{kind}' as type", "1 as sign")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    partials.apply(spark, str(tmp_path), of("READS"), buckets=2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as large tables meet
+    try:
+        moved = total(spark, lambda: partials.apply(spark, str(tmp_path), of("CALL"), buckets=2), "shuffle records written")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    got.extend(partials.current_pairs(spark, str(tmp_path)).collect())
+    assert len(got) == 500 and all(r["edge_count"] == 2 and r["edge_types"] == ["CALL", "READS"] for r in got)
+    assert moved < 6_000
+
+
+def test_wide_and_narrow_deltas_give_the_same(spark, tmp_path):
+    rng, held = random.Random(11), []
+    for turn in range(4):
+        gone = rng.sample(held, len(held) // 3)
+        new = [(f"f{rng.randrange(9)}", f"f{rng.randrange(9)}", rng.choice(["CALL", "READS", "IMPORTS"])) for _ in range(25)]
+        held = [*held, *new]
+        delta = spark.createDataFrame([(*e, 1) for e in new] + [(*e, -1) for e in gone], "src_file string, dst_file string, type string, sign int")
+        for name in (True, False):
+            partials.apply(spark, str(tmp_path / str(name)), delta, k=2, buckets=3, wide=name)
+        a, b = ({str(r) for r in partials.current_backbone(spark, str(tmp_path / str(name)), 2, always=1).collect()} for name in (True, False))
+        assert a == b and a
