@@ -24,11 +24,11 @@ def parents(models: DataFrame, most: int = 64) -> DataFrame:
     """model, ancestor, depth (0: itself) of each model, up its parents. models: model, coordinates, parent (coordinates or null). Coordinates that several models share are no
     parent: such a chain ends there."""
     named = models.groupBy("coordinates").agg(F.min("model").alias("ancestor"), F.count("*").alias("n")).where("n = 1 and coordinates is not null").drop("n")
-    up = stored(models.join(named.withColumnRenamed("coordinates", "parent"), "parent").select("model", F.col("ancestor").alias("next")))
+    up = stored(models.join(named.withColumnRenamed("coordinates", "parent").hint("merge"), "parent").select("model", F.col("ancestor").alias("next")))
     out = now = models.select("model", F.col("model").alias("ancestor"), F.lit(0).alias("depth"))
     for depth in range(1, most + 1):
-        step = now.join(up.select(F.col("model").alias("ancestor"), "next"), "ancestor").select("model", F.col("next").alias("ancestor"), F.lit(depth).alias("depth"))
-        now = stored(step.join(out.select("model", "ancestor"), ["model", "ancestor"], "left_anti"))
+        step = now.join(up.select(F.col("model").alias("ancestor"), "next").hint("merge"), "ancestor").select("model", F.col("next").alias("ancestor"), F.lit(depth).alias("depth"))
+        now = stored(step.join(out.select("model", "ancestor").hint("merge"), ["model", "ancestor"], "left_anti"))
         if now.isEmpty():
             break
         out = out.union(now)
@@ -61,16 +61,16 @@ def managed_versions(lists: DataFrame, chains: DataFrame, models: DataFrame) ->
 
     Rows are held for each model and key only, never for each model and list that it reaches: what a model doesn't list itself, it has from the first of its imports that has it, else from what
     its parent imports. Models are taken from the far end, so that all that one refers to is known before it. Models on a cycle, those with two imports at one place, and what these lead to
-    can't be put in such an order; for them all least paths are followed."""
+    can't be put in such an order; for them all least paths are followed. What has a row for each model meets by merges, so that the driver gathers none of it to send it round."""
     named = models.groupBy("coordinates").agg(F.min("model").alias("to"), F.count("*").alias("n")).where("n = 1 and coordinates is not null").drop("n")
-    direct = stored(lists.where("imports is not null").join(named.withColumnRenamed("coordinates", "imports"), "imports").groupBy("model", "to").agg(F.min("place").alias("place")).where("model <> to"))
+    direct = stored(lists.where("imports is not null").join(named.withColumnRenamed("coordinates", "imports").hint("merge"), "imports").groupBy("model", "to").agg(F.min("place").alias("place")).where("model <> to"))
     up = chains.where("depth = 1").select("model", F.col("ancestor").alias("to"), F.lit(None).cast(direct.schema["place"].dataType).alias("place"))
     tied = direct.groupBy("model", "place").agg(F.count("*").alias("n")).where("n > 1").select("model", F.col("model").alias("to"), "place").dropDuplicates(["model"])
     # round by round, models to which none of the rest refers are set aside
     left, aside = stored(direct.union(up).union(tied)), []
     while not left.isEmpty():
         referred = left.select(F.col("to").alias("model"), F.lit(True).alias("referred")).distinct()
-        marked = stored(left.join(referred, "model", "left"))
+        marked = stored(left.join(referred.hint("merge"), "model", "left"))
         gone = marked.where("referred is null").drop("referred")
         if gone.isEmpty():
             break
@@ -81,11 +81,11 @@ def managed_versions(lists: DataFrame, chains: DataFrame, models: DataFrame) ->
         one = gone.select("model", F.lit(turn).alias("turn")).distinct()
         turns = one if turns is None else turns.union(one)
     entry = F.min_by(F.struct("value", F.col("ancestor").alias("origin")), F.struct("depth", "place", "value")).alias("x")
-    own = chains.join(lists.where("key is not null").withColumnRenamed("model", "ancestor"), "ancestor").groupBy("model", "key").agg(entry).select("model", "key", "x.value", "x.origin", F.lit(0).alias("hops"))
+    own = chains.join(lists.where("key is not null").withColumnRenamed("model", "ancestor").hint("merge"), "ancestor").groupBy("model", "key").agg(entry).select("model", "key", "x.value", "x.origin", F.lit(0).alias("hops"))
     if turns is None:
         own = own.withColumn("turn", F.lit(0))
     else:
-        own = own.join(stored(turns), "model", "left").withColumn("turn", F.coalesce("turn", F.lit(len(aside))))
+        own = own.join(stored(turns).hint("merge"), "model", "left").withColumn("turn", F.coalesce("turn", F.lit(len(aside))))
     own = stored(own.select("model", "key", "value", "origin", "hops", "turn"), "turn")
     found = [own.drop("turn")]
     if not left.isEmpty():
@@ -95,9 +95,9 @@ def managed_versions(lists: DataFrame, chains: DataFrame, models: DataFrame) ->
         known = own.where(F.col("turn") > turn).drop("turn")
         for f in found[1:]:
             known = known.union(f)
-        met = aside[turn].join(known.withColumnRenamed("model", "to"), "to").where("place is not null or hops > 0")
+        met = aside[turn].join(known.withColumnRenamed("model", "to").hint("merge"), "to").where("place is not null or hops > 0")
         first = F.min_by(F.struct("value", "origin", (F.col("hops") + F.col("place").isNotNull().cast("int")).alias("hops")), F.struct(F.col("place").isNull(), "place")).alias("x")
-        made = met.groupBy("model", "key").agg(first).join(own.where(F.col("turn") == turn).select("model", "key"), ["model", "key"], "left_anti")
+        made = met.groupBy("model", "key").agg(first).join(own.where(F.col("turn") == turn).select("model", "key").hint("merge"), ["model", "key"], "left_anti")
         found.append(stored(made.select("model", "key", "x.value", "x.origin", "x.hops")))
     out = found[0]
     for f in found[1:]:
@@ -107,20 +107,20 @@ def managed_versions(lists: DataFrame, chains: DataFrame, models: DataFrame) ->
 
 def _along_paths(some: DataFrame, lists: DataFrame, chains: DataFrame, named: DataFrame) -> DataFrame:
     """model, key, value, origin, hops of some models (model), which hold all that they lead to: each list is reached by its least path."""
-    own = chains.join(some, "model").join(lists.withColumnRenamed("model", "ancestor"), "ancestor").select("model", F.struct(F.col("depth"), "place").alias("at"), "ancestor", "key", "value", "imports")
+    own = chains.join(some.hint("merge"), "model").join(lists.withColumnRenamed("model", "ancestor").hint("merge"), "ancestor").select("model", F.struct(F.col("depth"), "place").alias("at"), "ancestor", "key", "value", "imports")
     own = stored(own)
-    imports = stored(own.where("imports is not null").join(named.withColumnRenamed("coordinates", "imports"), "imports").groupBy("model", "to").agg(F.min("at").alias("at")))
+    imports = stored(own.where("imports is not null").join(named.withColumnRenamed("coordinates", "imports").hint("merge"), "imports").groupBy("model", "to").agg(F.min("at").alias("at")))
     # path: the places of the imports that lead to a list, compared as a whole, so earlier imports and what they import come first
     # a list that a later round reaches by a smaller path moves forward; round a cycle paths only get longer, so rounds end
     at = own.schema["at"].dataType.simpleString()
     reach = now = stored(some.select("model", F.col("model").alias("to"), F.array().cast(f"array<{at}>").alias("path")))
     while not now.isEmpty():
-        step = now.join(imports.select(F.col("model").alias("to"), F.col("to").alias("next"), "at"), "to")
+        step = now.join(imports.select(F.col("model").alias("to"), F.col("to").alias("next"), "at").hint("merge"), "to")
         step = step.select("model", F.col("next").alias("to"), F.concat("path", F.array("at")).alias("path")).groupBy("model", "to").agg(F.min("path").alias("path"))
-        now = stored(step.join(reach.withColumnRenamed("path", "old"), ["model", "to"], "left").where("old is null or path < old").select("model", "to", "path"))
+        now = stored(step.join(reach.withColumnRenamed("path", "old").hint("merge"), ["model", "to"], "left").where("old is null or path < old").select("model", "to", "path"))
         reach = stored(reach.union(now).groupBy("model", "to").agg(F.min("path").alias("path")))
     entries = own.where("key is not null").select(F.col("model").alias("to"), "at", F.col("ancestor").alias("origin"), "key", "value")
-    met = reach.join(entries, "to").withColumn("hops", F.size("path"))
+    met = reach.join(entries.hint("merge"), "to").withColumn("hops", F.size("path"))
     first = F.min_by(F.struct("value", "origin", "hops"), F.struct("path", "at", "value"))
     # the own lists' path is empty and therefore least
     return met.groupBy("model", "key").agg(first.alias("x")).select("model", "key", "x.value", "x.origin", "x.hops")

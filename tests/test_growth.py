@@ -360,3 +360,19 @@ def test_wide_and_narrow_deltas_give_the_same(spark, tmp_path):
             partials.apply(spark, str(tmp_path / str(name)), delta, k=2, buckets=3, wide=name)
         a, b = ({str(r) for r in partials.current_backbone(spark, str(tmp_path / str(name)), 2, always=1).collect()} for name in (True, False))
         assert a == b and a
+
+
+def test_the_driver_gathers_no_models(spark):
+    """Chains, imports and lists of 300 models meet where they lie; none of them is broadcast."""
+    m = spark.range(300).selectExpr("id as model", "concat('m', id) as coordinates", "case when id > 0 then concat('m', id div 3) end as parent")
+    rows = spark.range(300).selectExpr("id as model", "0 as place", "concat('k', id % 7) as key", "concat('v', id) as value", "cast(null as string) as imports").union(spark.range(300).selectExpr("id", "1", "null", "null", "concat('m', id div 2 + 1)"))
+    store, bus, got = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus(), []
+    bus.waitUntilEmpty()
+    last = max((x.executionId() for x in map(store.executionsList().apply, range(store.executionsList().size()))), default=-1)
+    got.extend(models.managed_versions(rows, models.parents(m), m).where("model = 299 and key = 'k5'").collect())
+    bus.waitUntilEmpty()
+    runs, names = store.executionsList(), []
+    for e in (x.executionId() for x in map(runs.apply, range(runs.size())) if x.executionId() > last):
+        nodes = store.planGraph(e).allNodes()
+        names += [x.name() for x in map(nodes.apply, range(nodes.size()))]
+    assert names.count("BroadcastExchange") == 0 and [tuple(r) for r in got] == [(299, "k5", "v299", 299, 0)]
